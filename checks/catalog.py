@@ -1,4 +1,4 @@
 """All registered queries, in survey order."""
 
-from checks import scalars  # noqa: F401
+from checks import scalars, filters_joins, aggregates, windows_topk  # noqa: F401
 from checks.registry import QUERIES, SQL  # noqa: F401

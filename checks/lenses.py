@@ -73,6 +73,16 @@ def _cand(q):
       from lineitem group by l_partkey,l_orderkey,l_suppkey,l_linenumber) t"""
 
 
+def _pts(q):
+    # candidates inside the volumes of the voxel lens
+    return f"""select pid, cid, z, y, x, d, {q.u('p', 'k')} as p, k from (
+      select l_suppkey as pid, (l_orderkey*8+l_linenumber)*10000000+l_partkey as cid,
+       concat_ws('-',l_partkey,l_orderkey,l_suppkey,l_linenumber) as k,
+       max(l_quantity)/5e0 as z, (floor(max(l_extendedprice)) % 1100)/1e2 as y,
+       cast(l_orderkey % 900 as double)/1e2 as x, cast(1+l_partkey % 5 as double) as d
+      from lineitem group by l_partkey,l_orderkey,l_suppkey,l_linenumber) t"""
+
+
 def _ann(q):
     return f"""select pid, cid as aid, z+(cid % 3) as z, y+1 as y, x-(cid % 5)*2 as x,
       cast(case when {q.u('ann', 'k')}<0.05 then d+5 else 0 end as double) as d, k from f_cand"""
@@ -133,6 +143,7 @@ def _feat(q):
 LENSES = {
     "f_vox": _vox,
     "f_cand": _cand,
+    "f_pts": _pts,
     "f_ann": _ann,
     "f_slices": _slices,
     "f_label_a": _label_a,
