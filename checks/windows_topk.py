@@ -125,7 +125,7 @@ def _(t):
 @query("win10_thickness_check", f"""
 with {LINE}, {ORDERED},
 lo as (select pid, sid, line_pos - lag(line_pos) over (partition by pid order by line_pos, sid) as g from line),
-loc as (select pid, max(case when rn=2 then v end) - max(case when rn=1 then v end) as by_location from (
+loc as (select pid, abs(max(case when rn=2 then v end) - max(case when rn=1 then v end)) as by_location from (
   select pid, case when sid % 7=0 then null else pos_z end as v, row_number() over (partition by pid order by pos_z*normal_z, sid) as rn from f_slices) q group by pid)
 select o.pid, {R('max(case when slice_no=1 then gap end)')} as by_position, {R('coalesce(max(by_location),0)')} as by_location,
  max(n_gaps) as n_gaps, {R('max(max_gap)')} as max_gap from ord o join loc using (pid)

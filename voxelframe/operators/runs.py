@@ -59,7 +59,7 @@ def boundary_groups(
     df: DataFrame, by: Sequence[str], order: Sequence[str], key: str, bucket: Column, out: str = "run_no"
 ) -> DataFrame:
     """Number the stretches of equal ``key`` along the order, from 1."""
-    before = previous_value(df, by, order, key, bucket, "__before")
+    before = previous_value(df, by, order, key, bucket, "__prev")
     # the first row has no predecessor and opens group 1
-    flagged = before.withColumn("__new", F.when(F.col("__before").eqNullSafe(F.col(key)), 0).otherwise(1))
-    return running_sum(flagged, by, order, "__new", bucket, out).drop("__before", "__new")
+    flagged = before.withColumn("__new", F.when(F.col("__prev").eqNullSafe(F.col(key)), 0).otherwise(1))
+    return running_sum(flagged, by, order, "__new", bucket, out).drop("__prev", "__new")

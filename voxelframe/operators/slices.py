@@ -116,10 +116,12 @@ def thickness_check(
     the set of gaps along the principal line."""
     ordered = order_slices(slices, position, by, sid).filter("slice_no < 2")
     first = ordered.groupBy(by).agg(
-        F.max(F.when(F.col("slice_no") == 1, F.col("gap"))).alias("by_position"),
+        F.abs(F.max(F.when(F.col("slice_no") == 1, F.col("gap")))).alias("by_position"),
         F.coalesce(
-            F.max(F.when(F.col("slice_no") == 1, F.col(location)))
-            - F.max(F.when(F.col("slice_no") == 0, F.col(location))),
+            F.abs(
+                F.max(F.when(F.col("slice_no") == 1, F.col(location)))
+                - F.max(F.when(F.col("slice_no") == 0, F.col(location)))
+            ),
             F.lit(0.0),
         ).alias("by_location"),
     )
