@@ -235,12 +235,23 @@ def _(t):
     )
 
 
+def crps_axis(mu, at):
+    x = "((k-" + mu + ")/(sigma*sqrt(2e0)+1e-16))"
+    cdf = "(" + ERF.format(x=x, t="(1/(1+0.3275911e0*abs(" + x + ")))") + "+1)/2"
+    return f"avg(pow({cdf}-(case when k-{at}>=0 then 1 else 0 end),2))"
+
+
 @query("met13_crps", f"""
-select pid, cid, {R(f'avg(pow({CDF}-(case when k-x0>=0 then 1 else 0 end),2))')} as crps_z from (
- select pid, cid, z/4 as mu, d/4 as sigma, (z+(cid%3))/4 as x0, unnest(range(16)) as k from f_cand) t group by pid, cid""")
-def _(t):
-    c = M.crps(F.col("z") / 4, F.col("d") / 4, (F.col("z") + F.col("cid") % 3) / 4, 16)
-    return t.f_cand.select("pid", "cid", r6(c).alias("crps_z"))
+select pid, cid, {R(crps_axis('mz','tz')+'+'+crps_axis('my','ty')+'+'+crps_axis('mx','tx'))} as crps from (
+ select pid, cid, d/4 as sigma, z/4 as mz, (z+(cid%3))/4 as tz, y/32 as my, (y+1)/32 as ty, x/32 as mx, (x-4)/32 as tx, unnest(range(16)) as k from f_cand) t group by pid, cid""")
+def _(t):
+    sigma = F.col("d") / 4
+    total = (
+        M.crps(F.col("z") / 4, sigma, (F.col("z") + F.col("cid") % 3) / 4, 16)
+        + M.crps(F.col("y") / 32, sigma, (F.col("y") + 1) / 32, 16)
+        + M.crps(F.col("x") / 32, sigma, (F.col("x") - 4) / 32, 16)
+    )
+    return t.f_cand.select("pid", "cid", r6(total).alias("crps"))
 
 
 @query("met14_prior_log_odds", f"select {R('ln((count(*)-sum(label))/(count(*)+1))')} as b0, {R('ln(sum(label)/count(*))')} as b1 from f_label_a")

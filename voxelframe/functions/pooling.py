@@ -87,15 +87,18 @@ def attention_pool(
     return weighted.groupBy(*by).agg(F.array(*[s / total for s in sums]).alias("pooled"))
 
 
-def erf(x: Column) -> Column:
-    """Error function by the fixed approximation, absolute error below 1.5e-7."""
-    t = 1 / (1 + F.lit(ERF_P) * F.abs(x))
+def _erf_parts(x: Column, t: Column) -> Column:
     poly = F.lit(0.0)
     for a in reversed(ERF_A):
         poly = (poly + F.lit(a)) * t
     return F.signum(x) * (1 - poly * F.exp(-x * x))
 
 
+def erf(x: Column) -> Column:
+    """Error function by the fixed approximation, absolute error below 1.5e-7."""
+    return _erf_parts(x, 1 / (1 + F.lit(ERF_P) * F.abs(x)))
+
+
 @F.pandas_udf(DoubleType())
 def erf_exact(x: pd.Series) -> pd.Series:
     """Error function at full precision, on Arrow batches."""
@@ -103,12 +106,17 @@ def erf_exact(x: pd.Series) -> pd.Series:
 
 
 def normal_cdf(mu: Column, sigma: Column, n: int, exact: bool = False) -> Column:
-    """CDF of the normal at 0..n-1, as an array."""
-    f = erf_exact if exact else erf
-    root2 = 2.0**0.5
-    return F.array(*[
-        (f((F.lit(float(k)) - mu) / (sigma * F.lit(root2) + F.lit(1e-16))) + 1) / 2 for k in range(n)
-    ])
+    """CDF of the normal at 0..n-1, as an array.
+
+    The lambda steps bind each argument once per element; spelled out as n columns the same formula
+    outgrows code generation.
+    """
+    scale = sigma * F.lit(2.0**0.5) + F.lit(1e-16)
+    if exact:
+        return F.array(*[(erf_exact((F.lit(float(k)) - mu) / scale) + 1) / 2 for k in range(n)])
+    args = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (k - mu) / scale)
+    parts = F.transform(args, lambda x: F.struct(x.alias("x"), (1 / (1 + F.lit(ERF_P) * F.abs(x))).alias("t")))
+    return F.transform(parts, lambda s: (_erf_parts(s["x"], s["t"]) + 1) / 2)
 
 
 def heaviside(t: Column, n: int) -> Column:
