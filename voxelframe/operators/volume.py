@@ -179,17 +179,16 @@ def union_masks(parts: DataFrame, by: str = "pid", value: str = "v") -> DataFram
 
 def gaussian_axes(centre: Sequence[Column], diameter: Column, n: int) -> list[Column]:
     """Per axis the vector exp(-(c - i)^2 / 2r^2), i = 0..n-1; radius 0 marks the centre only."""
-    out = []
     r2 = (diameter / 2) * (diameter / 2)
-    for c, a in zip(centre, AXES):
-        v = F.transform(
-            F.sequence(F.lit(0), F.lit(n - 1)),
-            lambda i, c=c: F.coalesce(
-                F.exp(-F.try_divide((c - i) * (c - i), 2 * r2)), F.when(c == i, F.lit(1.0)).otherwise(F.lit(0.0))
-            ),
-        )
-        out.append(v.alias(f"label_{a}"))
-    return out
+
+    def axis(c: Column) -> Column:
+        def value(i: Column) -> Column:
+            at_centre = F.when(c == i, F.lit(1.0)).otherwise(F.lit(0.0))
+            return F.coalesce(F.exp(-F.try_divide((c - i) * (c - i), 2 * r2)), at_centre)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value)
+
+    return [axis(c).alias(f"label_{a}") for c, a in zip(centre, AXES)]
 
 
 # --- tiles -----------------------------------------------------------------------------------
