@@ -64,10 +64,12 @@ def _conflict(overlap: float, outranks: Column) -> Column:
     return outranks & (blob_overlap(d, F.col("sigma"), F.col("__osigma")) > F.lit(overlap))
 
 
-def _without_copies(blobs: DataFrame, by: str, cid: str) -> DataFrame:
-    """Of blobs equal in place and size only the last survives any pruning."""
-    last = blobs.groupBy(by, *AXES, "sigma").agg(F.max(cid).alias(cid))
-    return blobs.join(last.select(by, cid), [by, cid], "left_semi")
+def _one_per_place(blobs: DataFrame, by: str, cid: str, pick) -> DataFrame:
+    """One row for blobs equal in place and size: none of the others survives any pruning."""
+    keys = [by, *AXES, "sigma"]
+    rest = [c for c in blobs.columns if c not in keys]
+    best = pick(F.struct(*[F.col(c) for c in rest]), F.col(cid)).alias("__best")
+    return blobs.groupBy(*keys).agg(best).select(*keys, *[F.col(f"__best.{c}") for c in rest])
 
 
 def prune(
@@ -79,7 +81,7 @@ def prune(
     than its own diameter: the rivals search cells within that reach and the victims leave by an
     anti join, so no pair of blobs is ever a row.
     """
-    distinct = _without_copies(blobs, by, cid)
+    distinct = _one_per_place(blobs, by, cid, F.max_by)
     rivals = _rival(distinct, by, cid)
     outranks = (F.col("__osigma") > F.col("sigma")) | (
         (F.col("__osigma") == F.col("sigma")) & (F.col("__oid") > F.col(cid))
@@ -103,8 +105,7 @@ def prune_greedy(
     mine = F.struct(-F.col("sigma"), *[F.col(c) for c in AXES], F.col(cid))
     other = F.struct(-F.col("__osigma"), *[F.col(c) for c in axes], F.col("__oid"))
     reach = F.col("__osigma") * F.lit(2 * math.sqrt(3))
-    first = blobs.groupBy(by, *AXES, "sigma").agg(F.min(cid).alias(cid))
-    undecided = cut(blobs.join(first.select(by, cid), [by, cid], "left_semi"))
+    undecided = cut(_one_per_place(blobs, by, cid, F.min_by))
     kept = undecided.limit(0)
     for _ in range(max_rounds):
         if undecided.isEmpty():

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,15 +128,20 @@ def keep_largest(labelled: DataFrame, by: Sequence[str] = ("pid",)) -> DataFrame
     return labelled.join(largest_label(labelled, by), [*by, "label"], "left_semi")
 
 
-def _touching(labelled: DataFrame, by: Sequence[str], ny: int | Column, nx: int | Column) -> DataFrame:
+def _reaches_edge(by: Sequence[str], ny: int | Column, nx: int | Column) -> Column:
+    """Does the row's slice component touch the edge of its slice?
+
+    A window over one component of one slice, so the labels are computed once and a partition never
+    holds more than a slice.
+    """
     edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == ny - 1) | (F.col("x") == nx - 1)
-    return labelled.filter(edge).select(*by, "label").distinct()
+    return F.max(edge).over(Window.partitionBy(*by, "label"))
 
 
 def clear_border(mask: DataFrame, ny: int | Column, nx: int | Column, by: Sequence[str] = ("pid",)) -> DataFrame:
     """Drop slice components that touch the edge of their slice."""
-    labelled = label_slices(mask, by)
-    return labelled.join(_touching(labelled, by, ny, nx), [*by, "label"], "left_anti").drop("label")
+    labelled = label_slices(mask, by).withColumn("__edge", _reaches_edge(by, ny, nx))
+    return labelled.filter("not __edge").select(*by, *AXES)
 
 
 def fill_holes(dense: DataFrame, inside: Column, ny: int | Column, nx: int | Column, by: Sequence[str] = ("pid",)) -> DataFrame:
@@ -145,7 +150,7 @@ def fill_holes(dense: DataFrame, inside: Column, ny: int | Column, nx: int | Col
     ``dense`` has every grid position, ``inside`` tells whether it is set.
     """
     background = label_slices(dense.filter(~inside), by, diagonal=False)
-    holes = background.join(_touching(background, by, ny, nx), [*by, "label"], "left_anti")
+    holes = background.withColumn("__edge", _reaches_edge(by, ny, nx)).filter("not __edge")
     return dense.filter(inside).select(*by, *AXES).unionByName(holes.select(*by, *AXES))
 
 
@@ -225,10 +230,11 @@ def prune_by_overlap(
     """
     mid = middle if isinstance(middle, Column) else F.lit(middle)
     with_mid = mask.select(by, *AXES, mid.cast("int").alias("__mid"))
-    labelled = label_slices(with_mid, [by, "__mid"])
+    # written once: the labels feed the regions, the overlaps and the result
+    labelled = cut(label_slices(with_mid, [by, "__mid"]))
     towards = F.when(F.col("z") > F.col("__mid"), F.col("z") - 1).when(F.col("z") < F.col("__mid"), F.col("z") + 1)
     child = labelled.withColumn("__inner", towards)
-    regions = cut(child.groupBy(by, "label").agg(F.count(F.lit(1)).alias("area"), F.first("__inner").alias("__inner")))
+    regions = cut(child.groupBy(by, "label").agg(F.count(F.lit(1)).alias("area"), F.max("__inner").alias("__inner")))
     inner = labelled.select(by, F.col("z").alias("__inner"), "y", "x", F.col("label").alias("parent"))
     overlaps = cut(
         child.join(inner, [by, "__inner", "y", "x"]).groupBy(by, "label", "parent").agg(F.count(F.lit(1)).alias("n"))

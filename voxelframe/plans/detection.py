@@ -12,6 +12,8 @@ from voxelframe.operators import blobs as B
 from voxelframe.operators import components as C
 from voxelframe.operators import morphology as M
 from voxelframe.operators import scalespace as S
+from voxelframe.operators.volume import densify
+from voxelframe.session import cut
 
 AXES = ("z", "y", "x")
 
@@ -21,7 +23,8 @@ def _detect(voxels, shapes, sigmas, form, threshold, overlap, value, by, slab) -
     # ids follow the raster order of (z, y, x, level)
     code = C.packed(*[F.col(c) for c in AXES]) * 64 + F.col("level")
     blobs = peaks.select(by, code.alias("cid"), *[F.col(c).cast("double").alias(c) for c in AXES], "sigma")
-    return B.prune(blobs, overlap, by)
+    # pruning reads the blobs from both sides; the scale space must not be computed twice
+    return B.prune(cut(blobs), overlap, by)
 
 
 def detect_blobs_dog(
@@ -45,8 +48,6 @@ def detect_blobs_log(
 
 
 def _dense_mask(shapes: DataFrame, mask: DataFrame, by: str) -> DataFrame:
-    from voxelframe.operators.volume import densify
-
     return densify(mask.withColumn("m", F.lit(1)), shapes, "m", by)
 
 
@@ -112,10 +113,11 @@ def lung_mask_region(
     sized = _sizes(air, shapes, by)
     n = [F.col("nz"), F.col("ny"), F.col("nx")]
     wide = [by, "nz", "ny", "nx"]
-    opened = M.opening(sized, M.cube_offsets(2), n, wide)
+    opened = cut(M.opening(sized, M.cube_offsets(2), n, wide))
     lung = C.keep_largest(C.label_volume(opened.select(by, *AXES), [by], brick=brick), [by]).select(by, *AXES)
-    hull = C.convex_hull(lung, "x", [by])
-    rest = C.label_volume(opened.select(by, *AXES).join(hull, [by, *AXES], "left_semi"), [by], brick=brick)
+    lung = cut(lung)
+    hull = cut(C.convex_hull(lung, "x", [by]))
+    rest = cut(C.label_volume(opened.select(by, *AXES).join(hull, [by, *AXES], "left_semi"), [by], brick=brick))
     main = C.largest_label(rest, [by])
     large = rest.groupBy(by, "label").agg(F.count(F.lit(1)).alias("area")).filter(F.col("area") > min_area)
     others = rest.join(large.join(main, [by, "label"], "left_anti"), [by, "label"], "left_semi")

@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(
             F.col("b").alias("a"), F.col("m").alias("b")
-        ).filter("a != b").distinct()
+        ).filter("a != b")
         parent = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(parent, "a").filter(F.col("b") != F.col("m")).select(
             F.col("b").alias("a"), F.col("m").alias("b")
