@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from voxelframe.operators.morphology import AXES, neighbour_offsets
 from voxelframe.plans.graph import connected_components
+from voxelframe.plans.pieces import map_pieces, piece_index, split_pieces
 from voxelframe.session import cut
 
 BITS = 20  # coordinates are below 2^20 - 1
@@ -29,24 +30,24 @@ def _forward(offsets: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, in
     return [o for o in offsets if o > (0, 0, 0)]
 
 
-def _group_labels(keys: np.ndarray, steps: Sequence[int]) -> np.ndarray:
-    """Smallest key linked to each of the sorted keys by steps to other keys."""
+def _roots(keys: np.ndarray, steps: Sequence[int]) -> np.ndarray:
+    """Position of the smallest key linked to each of the sorted keys by the given steps."""
     n = len(keys)
     left, right = [], []
     for s in steps:
         at = np.searchsorted(keys, keys + s)
         hit = (at < n) & (keys[np.minimum(at, n - 1)] == keys + s)
-        left.append(np.nonzero(hit)[0])
+        left.append(np.flatnonzero(hit))
         right.append(at[hit])
     a, b = np.concatenate(left), np.concatenate(right)
     root = np.arange(n)
     while True:
         ra, rb = root[a], root[b]
         low, high = np.minimum(ra, rb), np.maximum(ra, rb)
-        open_ = low != high
-        if not open_.any():
-            return keys[root]
-        np.minimum.at(root, high[open_], low[open_])
+        apart = low != high
+        if not apart.any():
+            return root
+        np.minimum.at(root, high[apart], low[apart])
         while True:
             jump = root[root]
             if (jump == root).all():
@@ -55,23 +56,32 @@ def _group_labels(keys: np.ndarray, steps: Sequence[int]) -> np.ndarray:
 
 
 def _local_labels(mask: DataFrame, by: Sequence[str], piece: Sequence[Column], offsets: Sequence[tuple[int, int, int]]) -> DataFrame:
-    steps = [(z << (2 * BITS)) + (y << BITS) + x for z, y, x in _forward(offsets)]
-    keyed = mask.select(*by, packed(*[F.col(c) for c in AXES]).alias("__k"), *[p.alias(f"__p{i}") for i, p in enumerate(piece)])
+    """Components inside pieces, all pieces of a batch in one go."""
     pieces = [f"__p{i}" for i in range(len(piece))]
-    fields = [mask.schema[b] for b in by] + [T.StructField("__k", T.LongType()), T.StructField("label", T.LongType())]
+    rows = mask.select(
+        *by, *[p.alias(n) for p, n in zip(piece, pieces)], *[F.col(c).cast("int").alias(c) for c in AXES],
+        packed(*[F.col(c) for c in AXES]).alias("__k"),
+    )
+    keys = [*by, *pieces]
+    forward = _forward(offsets)
+    schema = T.StructType([
+        *[mask.schema[b] for b in by], *[T.StructField(c, T.IntegerType()) for c in AXES], T.StructField("label", T.LongType())
+    ])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__k", ignore_index=True)
-        pdf["label"] = _group_labels(pdf["__k"].to_numpy(), steps)
-        return pdf[[*by, "__k", "label"]]
-
-    out = keyed.groupBy(*by, *pieces).applyInPandas(run, T.StructType(fields))
-    low = (1 << BITS) - 1
-    return out.select(
-        *by, F.shiftright("__k", 2 * BITS).cast("int").alias("z"),
-        F.shiftright("__k", BITS).bitwiseAND(F.lit(low)).cast("int").alias("y"),
-        F.col("__k").bitwiseAND(F.lit(low)).cast("int").alias("x"), "label",
-    )
+        # positions on one padded line: a step never runs into another row, slice or piece
+        line = piece_index(pdf, keys).astype(np.int64)
+        strides = []
+        for c in AXES:
+            at = pdf[c].to_numpy().astype(np.int64)
+            size = int(at.max() - at.min()) + 2
+            line = line * size + (at - at.min())
+            strides = [s * size for s in strides] + [1]
+        steps = [int(np.dot(o, strides)) for o in forward]
+        pdf["label"] = pdf["__k"].to_numpy()[_roots(line, steps)]
+        return pdf[[*by, *AXES, "label"]]
+
+    return map_pieces(rows, keys, ["__k"], run, schema)
 
 
 def label_slices(mask: DataFrame, by: Sequence[str] = ("pid",), diagonal: bool = True, slab: int = 8) -> DataFrame:
@@ -187,7 +197,7 @@ def _hull_rows(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.
     return every, np.ceil(lo - 1e-9).astype(int), np.floor(hi + 1e-9).astype(int)
 
 
-def convex_hull(mask: DataFrame, axis: str = "z", by: Sequence[str] = ("pid",), slab: int = 16) -> DataFrame:
+def convex_hull(mask: DataFrame, axis: str = "z", by: Sequence[str] = ("pid",)) -> DataFrame:
     """Hull of every slice across an axis.
 
     The hull depends only on the first and last set pixel of each row, so the mask is aggregated to row
@@ -198,18 +208,16 @@ def convex_hull(mask: DataFrame, axis: str = "z", by: Sequence[str] = ("pid",),
     extents = mask.groupBy(*by, axis, row).agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
     fields = [mask.schema[b] for b in by] + [T.StructField(n, T.IntegerType()) for n in (axis, row, "__lo", "__hi")]
 
+    keys = [*by, axis]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
-        for s, g in pdf.sort_values([axis, row]).groupby(axis):
+        for g in split_pieces(pdf, keys):
             r, lo, hi = _hull_rows(g[row].to_numpy(), g["__lo"].to_numpy(), g["__hi"].to_numpy())
-            parts.append(pd.DataFrame({axis: s, row: r, "__lo": lo, "__hi": hi}))
-        out = pd.concat(parts, ignore_index=True)
-        for b in by:
-            out[b] = pdf[b].iloc[0]
-        return out[[*by, axis, row, "__lo", "__hi"]]
-
-    piece = extents.withColumn("__s", F.floor(F.col(axis) / slab).cast("int"))
-    hull = piece.groupBy(*by, "__s").applyInPandas(run, T.StructType(fields))
+            parts.append(pd.DataFrame({**{k: g[k].iloc[0] for k in keys}, row: r, "__lo": lo, "__hi": hi}))
+        return pd.concat(parts, ignore_index=True)[[*keys, row, "__lo", "__hi"]]
+
+    hull = map_pieces(extents, keys, [row], run, T.StructType(fields))
     return hull.select(*by, axis, row, F.explode(F.sequence("__lo", "__hi")).alias(col)).select(*by, *AXES)
 
 

@@ -8,6 +8,7 @@ pieces with small smoothing matrices that already contain the reflecting border.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxelframe.plans.pieces import map_pieces, split_pieces
+
 # Kernels are cut at this many sigmas.
 TRUNCATE = 4.0
 
@@ -44,6 +47,7 @@ def kernel(sigma: float, derivative: int = 0) -> np.ndarray:
     return w
 
 
+@functools.lru_cache(maxsize=512)
 def smoothing_matrix(n: int, sigma: float, derivative: int = 0) -> np.ndarray:
     """(n, n): row o holds the weights of output o, positions beyond the ends mirrored back."""
     w = kernel(sigma, derivative)
@@ -72,7 +76,7 @@ def _slice_stage(voxels: DataFrame, shapes: DataFrame, sigmas: Sequence[float],
         T.StructField("line", T.ArrayType(T.DoubleType())),
     ])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         ny, nx = int(pdf["ny"].iloc[0]), int(pdf["nx"].iloc[0])
         zs, at = np.unique(pdf["z"].to_numpy(), return_inverse=True)
         img = np.zeros((len(zs), ny, nx))
@@ -89,7 +93,16 @@ def _slice_stage(voxels: DataFrame, shapes: DataFrame, sigmas: Sequence[float],
             "z": np.repeat(zs, ny), "y": np.tile(np.arange(ny), len(zs)), "line": list(lines),
         })
 
-    return rows.groupBy(by, "__slab").applyInPandas(run, schema)
+    return _each_piece(rows, by, ["z"], smooth, schema)
+
+
+def _each_piece(rows: DataFrame, by: str, order: Sequence[str], fn, schema: T.StructType) -> DataFrame:
+    keys = [by, "__slab"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([fn(g) for g in split_pieces(pdf, keys)], ignore_index=True)
+
+    return map_pieces(rows, keys, order, run, schema)
 
 
 def _space(pdf: pd.DataFrame, sigmas: Sequence[float], kind: str, form: str) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +173,7 @@ def scale_space(
         })
 
     pieces = lines.withColumn("__slab", F.floor(F.col("y") / slab).cast("int"))
-    out = pieces.groupBy(by, "__slab").applyInPandas(run, schema)
+    out = _each_piece(pieces, by, ["y"], run, schema)
     return out.select(by, "z", "y", "level", F.posexplode("line").alias("x", "v"))
 
 
@@ -195,4 +208,4 @@ def local_maxima(
             "sigma": np.asarray(sigmas)[level], "v": space[peak],
         })
 
-    return _with_halo(lines, slab).groupBy(by, "__slab").applyInPandas(run, schema)
+    return _each_piece(_with_halo(lines, slab), by, ["y"], run, schema)

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from voxelframe.session import cut
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+def _settled(edges: DataFrame) -> bool:
+    """Only stars left: every child has one parent and no parent is a child."""
+    children = edges.select(F.col("a").alias("b")).distinct().withColumn("__chained", F.lit(True))
+    n, n_children, chained = edges.join(children, "b", "left").agg(
+        F.count(F.lit(1)), F.count_distinct("a"), F.count("__chained")
     ).first()
-    return tuple(row)
+    return chained == 0 and n == n_children
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -27,8 +29,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")
     ).distinct()
     e = cut(e)
-    before = _signature(e)
-    while before[0]:
+    while not _settled(e):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(
@@ -39,9 +40,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             F.col("b").alias("a"), F.col("m").alias("b")
         ).unionByName(parent.select("a", F.col("m").alias("b"))).distinct()
         e = cut(small)
-        after = _signature(e)
-        if after == before:
-            break
-        before = after
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
