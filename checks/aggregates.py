@@ -150,7 +150,7 @@ def _(t):
 
 
 @query("agg14_objective_means", f"""
-select {R('nodule')} as nodule, {R('size')} as size, {R('malignancy')} as malignancy, {R('nodule+0.5*size+2*malignancy')} as total from (
+select {R('nodule')} as nodule, {R('size')} as size, {R('malignancy')} as malignancy, {R('nodule+0.5*coalesce(size,0)+2*coalesce(malignancy,0)')} as total from (
  select avg(-ln(greatest(features[2],1e-12))) as nodule, avg(case when features[3]>10 then (features[3]-15)*(features[3]-15) end) as size,
   avg(case when features[3]>20 then (features[5]-2.5)*(features[5]-2.5) end) as malignancy from f_feat) t""")
 def _(t):

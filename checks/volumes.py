@@ -93,12 +93,13 @@ def _(t):
 SHAPES = "shapes as (select pid, max(z)+1 as nz, max(y)+1 as ny, max(x)+1 as nx from f_vox group by pid)"
 
 
-def trilinear_sql(targets, keys, value="hu", table="f_vox"):
+def trilinear_sql(targets, keys, value="hu", table="f_vox", rounded=True):
     """Interpolated value of targets(pid, keys, sz, sy, sx, nz, ny, nx)."""
     k = ", ".join(f"t.{c}" for c in keys)
     w = "*".join(f"(1-abs(v.{c}-t.s{c}))" for c in "zyx")
     near = " and ".join(f"v.{c} between cast(floor(t.s{c}) as int) and cast(floor(t.s{c}) as int)+1 and abs(v.{c}-t.s{c})<1 and t.s{c}>=0 and t.s{c}<=t.n{c}-1" for c in "zyx")
-    return f"""select t.pid, {k}, {R(f'coalesce(sum({w}*v.{value}),0)')} as v from {targets} t left join {table} v on v.pid=t.pid and {near} group by t.pid, {k}"""
+    total = f"coalesce(sum({w}*v.{value}),0)"
+    return f"""select t.pid, {k}, {R(total) if rounded else total} as v from {targets} t left join {table} v on v.pid=t.pid and {near} group by t.pid, {k}"""
 
 
 GRID8 = "(select unnest(range(8)) as z) gz, (select unnest(range(8)) as y) gy, (select unnest(range(8)) as x) gx"

@@ -19,6 +19,9 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert unwanted not in plan
     got = rows_of(df.columns, df.collect())
     if name not in SQL:
         assert got
@@ -29,5 +32,14 @@ def test_query(spark, con, name):
     assert got == rows_of(columns, con.fetchall())
 
 
+def test_flagship_plan(spark):
+    """Top-n limits rows before the shuffle, and only needed columns are read."""
+    df = entry.queries()["flagship_patient_log_loss"](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    assert "l_tax" not in plan and "l_shipdate" not in plan
+    assert "Python" not in plan
+
+
 def test_flagship_entry(spark):
     assert entry.entry(spark).columns == ["n", "log_loss"]

@@ -68,21 +68,24 @@ def match_nearest(
     """Nearest blob of each annotation when it lies within the annotation's radius.
 
     A hit needs distance <= d/2, so the nearest blob only matters inside that reach: a cell join
-    finds it exactly without comparing an annotation with every blob of the patient. Blobs at the
-    same position are reduced to the lowest id first, which is also the tie rule. Annotations
-    without a hit have no row.
+    finds it exactly without comparing an annotation with every blob of the patient. Blobs at one
+    position are reduced to the lowest id first, which is also the tie rule, and annotations equal in
+    place and size are matched once, so heaps of copies do not multiply. Annotations without a hit
+    have no row.
     """
     places = blobs.groupBy(
         by, *[F.col(c).alias(f"__b{c}") for c in AXES]
     ).agg(F.min(cid).alias(cid))
-    marks = annotations.select(by, aid, *AXES, (F.col(diameter) / 2.0).alias("__r"))
+    keys = [by, *AXES, diameter]
+    marks = annotations.select(*keys).distinct().withColumn("__r", F.col(diameter) / 2.0)
     dist2 = squared_distance(AXES, [f"__b{c}" for c in AXES])
     pairs = join_within(
         marks, places, [by], AXES, [f"__b{c}" for c in AXES], "__r",
         dist2 <= F.col("__r") * F.col("__r"), width,
     )
     best = F.min(F.struct(dist2.alias("dist2"), F.col(cid).alias(cid)))
-    return pairs.groupBy(by, aid).agg(best.alias("__best")).select(by, aid, f"__best.{cid}", "__best.dist2")
+    nearest = pairs.groupBy(*keys).agg(best.alias("__best"))
+    return annotations.select(by, aid, *AXES, diameter).join(nearest, keys).select(by, aid, f"__best.{cid}", "__best.dist2")
 
 
 def flag_claimed(blobs: DataFrame, matches: DataFrame, by: str = "pid", cid: str = "cid") -> DataFrame:

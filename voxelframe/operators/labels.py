@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.scalars import diameter_to_prob, digitize, size_bin
-from voxelframe.operators.joins import marks_within
+from voxelframe.operators.joins import AXES, marks_within
 
 NODULE_MIN = 0.01
 
@@ -39,6 +39,7 @@ def property_targets(
     aid: str = "aid",
     d: str = "d",
     radius: float = 5.0,
+    mark_axes: Sequence[str] = ("cz", "cy", "cx"),
 ) -> DataFrame:
     """Target value and enable flag per objective, in order, as two arrays.
 
@@ -48,16 +49,24 @@ def property_targets(
     disabled.
     """
     props = [o for o in objectives if o not in ("nodule", "size")]
-    left = annotations.select(by, aid, "z", "y", "x", d)
-    near = marks_within(left.filter(F.col(d) > NODULE_MIN), marks, radius, by)
-    aggs = []
-    for p in props:
-        if p in bin_borders:
-            aggs.append(F.percentile(p, 0.5).alias(f"__{p}"))
-        else:
-            aggs.append(F.avg(p).alias(f"__{p}"))
-    matched = near.groupBy(by, aid).agg(*aggs) if aggs else None
-    out = left if matched is None else left.join(matched, [by, aid], "left")
+    left = annotations.select(by, aid, *AXES, d)
+    out = left
+    if props:
+        # equal marks travel once with their number, and annotations at one place are looked up once
+        packs = marks.groupBy(by, *mark_axes, *props).agg(F.count(F.lit(1)).alias("__w"))
+        places = left.filter(F.col(d) > NODULE_MIN).select(by, *AXES).distinct()
+        weight = F.col("__w")
+        aggs = [
+            F.percentile(p, 0.5, weight).alias(f"__{p}") if p in bin_borders
+            else (F.sum(F.col(p) * weight) / F.sum(weight)).alias(f"__{p}")
+            for p in props
+        ]
+        near = marks_within(places, packs, radius, by, mark_axes)
+        found = near.groupBy(by, *AXES).agg(*aggs, F.lit(True).alias("__found"))
+        out = left.join(found, [by, *AXES], "left")
+        for p in props:
+            # a negative at the place of a nodule stays without properties
+            out = out.withColumn(f"__{p}", F.when(F.col(d) > NODULE_MIN, F.col(f"__{p}")))
     nodule = F.col(d) > NODULE_MIN
     values = []
     for o in objectives:
