@@ -57,7 +57,14 @@ def _(t):
     )
 
 
-@query("job_property_epoch")
+@query("job_property_epoch", f"""
+with pat as (select pid, n, row_number() over (order by {U('pe','pid')}, pid) as patient from (select pid, count(*) as n from f_ann where d=0 group by pid) g),
+num as (select pid, aid, row_number() over (partition by pid order by {U('pe','pid','aid')}, aid) as item from f_ann where d=0),
+draws as (select draw, cast(floor({U('pe-patient','draw')}*(select count(*) from pat)) as bigint)+1 as patient, {U('pe-item','draw')} as v
+ from (select unnest(range(cast(floor(n+(1-0.25e0)/0.25e0*n) as bigint)-n)) as draw from (select count(*) as n from f_ann where d>0) c) d),
+epoch as (select pid, aid, cast(-1 as bigint) as draw, true as positive from f_ann where d>0
+ union all select p.pid, m.aid, d.draw, false from draws d join pat p using (patient) join num m on m.pid=p.pid and m.item=cast(floor(d.v*p.n) as bigint)+1)
+select pid, aid, draw, positive, (row_number() over (order by {U('pe-order','pid','aid','draw')}, pid, aid, draw)-1)//32 as batch_id from epoch""")
 def _(t):
     return JB.property_epoch(t.f_ann, 0.25, 32, "pe").select("pid", "aid", "draw", "positive", "batch_id")
 
@@ -110,7 +117,14 @@ def _(t):
     return JB.random_negative_slots(t.f_cand.select("pid", "cid", "p"), t.f_label_b, 8, 16, "rn").select("pid", "cid", "pick")
 
 
-@query("job_balanced_slots")
+@query("job_balanced_slots", f"""
+with known as (select * from f_label_a where pid in (select pid from f_cand)),
+neg as (select pid, row_number() over (order by {U('bs','pid')}, pid) as turn from known where label=0),
+pos as (select pid, row_number() over (order by {U('bs','pid')}, pid) as p from known where label=1),
+draws as (select turn, unnest(range(1,m+1)) as draw from (select turn, cast(floor(-ln(1-{U('bs-coin','turn')})/ln(2e0)) as int) as m from neg) q),
+stream as (select turn, cast(0 as int) as draw, pid, 0 as label from neg
+ union all select d.turn, cast(d.draw as int), pos.pid, 1 from draws d join pos on pos.p=cast(floor({U('bs-draw','turn','draw')}*(select count(*) from pos)) as bigint)+1)
+select s.*, c.cid, cast(rn as int) as rank from stream s join (select pid, cid, row_number() over (partition by pid order by p desc, cid) as rn from f_cand) c on c.pid=s.pid and rn<=4""")
 def _(t):
     return JB.balanced_slots(t.f_cand.select("pid", "cid", "p"), t.f_label_a, 4, "bs").select("turn", "draw", "pid", "label", "cid", "rank")
 
@@ -133,16 +147,17 @@ def _(t):
 GRID4 = "(select unnest(range(4)) as pz) gz, (select unnest(range(4)) as py) gy, (select unnest(range(4)) as px) gx"
 
 
+# 6.1 mm: with 6 mm many values end in an exact half of the sixth decimal
 @query("job_validation_patches", f"""
 with {SHAPES}, one as (select pid, arg_min(cid, {U('vp','pid','cid')}) as aid from f_pts group by pid),
 targets as (select o.pid, o.aid, cast(pz as int) as pz, cast(py as int) as py, cast(px as int) as px, nz, ny, nx,
- {', '.join(f"p{c}*(6/4e0)/{s}e0+p.{c}-3/{s}e0 as s{c}" for c, s in zip('zyx', SPACING8))} from one o join f_pts p on p.pid=o.pid and p.cid=o.aid join shapes on shapes.pid=o.pid, {GRID4})
+ {', '.join(f"p{c}*(6.1e0/4)/{s}e0+p.{c}-3.05e0/{s} as s{c}" for c, s in zip('zyx', SPACING8))} from one o join f_pts p on p.pid=o.pid and p.cid=o.aid join shapes on shapes.pid=o.pid, {GRID4})
 select pid, aid, pz, py, px, {R('least(greatest((v+1000)/1400,0),1)')} as v from ({trilinear_sql('targets', ('aid','pz','py','px'), rounded=False)}) r""")
 def _(t):
     pts = t.f_pts.withColumnRenamed("cid", "aid")
     rows = JB.centres(SM.one_per_group(pts, "vp"), pts)
     vox = t.f_vox
-    out = JB.patches(rows, vox, V.volume_shapes(vox), SPACING8, (4, 4, 4), (6.0, 6.0, 6.0))
+    out = JB.patches(rows, vox, V.volume_shapes(vox), SPACING8, (4, 4, 4), (6.1, 6.1, 6.1))
     return out.select("pid", "aid", "pz", "py", "px", r6("v").alias("v"))
 
 

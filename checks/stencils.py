@@ -213,7 +213,9 @@ def _(t):
 
 @query("vol27_lung_mask_region")
 def _(t):
-    return D.lung_mask_region(t.f_vox, shapes(t), threshold=150, min_area=8, brick=8)
+    # raw values are noise; smoothed ones have regions large enough to survive the opening
+    smooth = SS.scale_space(t.f_vox, shapes(t), [1.0], "gauss", "hu").drop("level")
+    return D.lung_mask_region(smooth, shapes(t), threshold=-180, min_area=8, value="v", brick=8)
 
 
 # --- scale spaces ----------------------------------------------------------------------------

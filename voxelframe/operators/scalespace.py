@@ -8,7 +8,6 @@ pieces with small smoothing matrices that already contain the reflecting border.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Sequence
 
@@ -47,7 +46,6 @@ def kernel(sigma: float, derivative: int = 0) -> np.ndarray:
     return w
 
 
-@functools.lru_cache(maxsize=512)
 def smoothing_matrix(n: int, sigma: float, derivative: int = 0) -> np.ndarray:
     """(n, n): row o holds the weights of output o, positions beyond the ends mirrored back."""
     w = kernel(sigma, derivative)
@@ -61,6 +59,17 @@ def smoothing_matrix(n: int, sigma: float, derivative: int = 0) -> np.ndarray:
     return out
 
 
+_KNOWN: dict[tuple[int, float, int], np.ndarray] = {}
+
+
+def _matrices(sigmas: Sequence[float], *sizes: int) -> dict[tuple[int, float, int], np.ndarray]:
+    """Smoothing matrices by (size, sigma, derivative), kept for the life of the worker."""
+    for key in ((n, s, d) for n in sizes for s in sigmas for d in (0, 2)):
+        if key not in _KNOWN:
+            _KNOWN[key] = smoothing_matrix(*key)
+    return _KNOWN
+
+
 # in-slice terms (derivative along y, along x) of each component, and the component's derivative along z
 _TERMS = {"gauss": ([[(0, 0)]], [0]), "log": ([[(0, 0)], [(2, 0), (0, 2)]], [2, 0])}
 
@@ -78,15 +87,16 @@ def _slice_stage(voxels: DataFrame, shapes: DataFrame, sigmas: Sequence[float],
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         ny, nx = int(pdf["ny"].iloc[0]), int(pdf["nx"].iloc[0])
+        matrix = _matrices(sigmas, ny, nx)
         zs, at = np.unique(pdf["z"].to_numpy(), return_inverse=True)
         img = np.zeros((len(zs), ny, nx))
         img[at, pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["v"].to_numpy()
         parts = []
         for s in sigmas:
-            my = {d: smoothing_matrix(ny, s, d) for d in (0, 2)}
-            mx = {d: smoothing_matrix(nx, s, d) for d in (0, 2)}
             for terms in planes:
-                parts.append(sum(np.einsum("oy,zyx,px->zop", my[dy], img, mx[dx], optimize=True) for dy, dx in terms))
+                parts.append(sum(
+                    np.einsum("oy,zyx,px->zop", matrix[ny, s, dy], img, matrix[nx, s, dx], optimize=True) for dy, dx in terms
+                ))
         lines = np.stack(parts, axis=2).reshape(len(zs) * ny, -1)
         return pd.DataFrame({
             by: pdf[by].iloc[0], "nz": pdf["nz"].iloc[0], "ny": ny, "nx": nx,
@@ -113,11 +123,12 @@ def _space(pdf: pd.DataFrame, sigmas: Sequence[float], kind: str, form: str) ->
     n_parts = len(sigmas) * len(orders)
     data = np.zeros((nz, len(ys), n_parts, nx))
     data[pdf["z"].to_numpy(), at] = np.stack(pdf["line"].to_numpy()).reshape(len(pdf), n_parts, nx)
+    matrix = _matrices(sigmas, nz)
     levels = []
     for i, s in enumerate(sigmas):
         total = 0.0
         for j, d in enumerate(orders):
-            total = total + np.einsum("oz,zyx->oyx", smoothing_matrix(nz, s, d), data[:, :, i * len(orders) + j])
+            total = total + np.einsum("oz,zyx->oyx", matrix[nz, s, d], data[:, :, i * len(orders) + j])
         levels.append(total)
     if form == "dog":
         levels = [(levels[i] - levels[i + 1]) * sigmas[i] for i in range(len(levels) - 1)]

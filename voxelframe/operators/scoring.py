@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +46,17 @@ def malignant_column(scores: np.ndarray) -> np.ndarray:
 
 def score_patches(df: DataFrame, scorer: Scorer, patch: str = "v", out: str = "p", keep: Sequence[str] = ("pid",)) -> DataFrame:
     """Score every row's patch array in Arrow batches; the model travels as a broadcast variable."""
-    model = df.sparkSession.sparkContext.broadcast(scorer)
+    packed = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(scorer))
     kept = list(keep)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{k}` {types[k]}" for k in kept] + [f"`{out}` double"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = cloudpickle.loads(packed.value)
         for pdf in batches:
             if len(pdf):
                 values = np.stack(pdf[patch].to_numpy()).astype(np.float64)
-                yield pdf[kept].assign(**{out: malignant_column(model.value.score(values))})
+                yield pdf[kept].assign(**{out: malignant_column(model.score(values))})
 
     return df.select(*kept, patch).mapInPandas(run, schema)
 
