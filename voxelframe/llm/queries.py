@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, divergence
+from voxelframe.llm import bpe, divergence, packed_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,6 +95,17 @@ def op1(table):
     return divergence.quality(table("documents")).drop("class_distance", "word_distance")
 
 
+@query("op5_ftrl_toxicity")
+def op5(table):
+    docs = table("documents")
+    return toxicity.score(docs, toxicity.fit(docs.select("doc_id", "text"), table("labels")))
+
+
+@query("op6_packed_token_ids")
+def op6(table):
+    return packed_ids.write_and_read(table("documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op10_bpe_merge_replay")
 def op10(table):
     decoded = bpe.decode(bpe.encode(table("documents")))
