@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 
 from voxelframe.llm.text import IdCache, Ranges, Texts, id_lists, map_runs, only, spread
 
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
+CACHED = 250_000
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -146,7 +147,7 @@ class Encoder:
         pattern = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.find = regex.compile(pattern).findall
         self.ranks, self.replay = ranks, MergeReplay(ranks)
-        self.chunks, self.pieces = IdCache(self.encode_chunks), IdCache(self.encode_pieces)
+        self.chunks, self.pieces = IdCache(self.encode_chunks, CACHED), IdCache(self.encode_pieces, CACHED)
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
@@ -193,7 +194,7 @@ def chunks(t: Texts) -> Ranges:
     starts = np.concatenate((begin, tail[rest]))
     order = np.argsort(starts, kind="stable")
     of = np.concatenate((words.of, rest))
-    return Ranges(t, starts[order], np.concatenate((words.ends, hi[rest]))[order], of[order])
+    return Ranges(t, starts[order], np.concatenate((words.ends, hi[rest]))[order], of[order], np.ones(len(t.buf), bool))
 
 
 def odd_blanks(t: Texts) -> np.ndarray:
@@ -235,8 +236,8 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks_pat
         lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
         starts = np.cumsum(lens) - lens
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, 300):
+                part = b.slice(lo, 300)
                 lists = part.column(part.schema.get_field_index(ids))
                 x = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -15,6 +15,7 @@ of the text's hash; no documents give no segments.
 from __future__ import annotations
 
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ END_ID = 1
 RANGE_BYTES = 32 << 20
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 RUN_BYTES = 4 << 20
+CACHED = 1_200_000
 HEAD = "<4sIII"
 
 
@@ -129,17 +131,23 @@ class Segment:
 
 
 def _tokenizer(definition: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(definition)
     t.encode_special_tokens = True
 
     def encode(words: list[bytes]):
-        got = [e.ids for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for ids in got for i in ids), np.int32, int(lens.sum())), lens
-
-    return IdCache(encode)
+        ids, lens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(words), 4096):  # an encoding holds far more than its ids
+            got = [e.ids for e in t.encode_batch_fast([w.decode() for w in words[lo : lo + 4096]], add_special_tokens=False)]
+            lens.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.int32, int(lens[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lens)
+
+    return IdCache(encode, CACHED)
 
 
 SEGMENTS = "part int, first long, n_docs long, n_ids long, docs binary, packed binary"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, divergence, packed_ids, toxicity
+from voxelframe.llm import bpe, divergence, licences, packed_ids, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,6 +95,16 @@ def op1(table):
     return divergence.quality(table("documents")).drop("class_distance", "word_distance")
 
 
+@query("op3_warc_index_merge")
+def op3(table):
+    return warc.write_and_read(table("pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_no", "range_pos")
+
+
+@query("op4_licence_automaton")
+def op4(table):
+    return licences.scan(table("documents")).drop("spans")
+
+
 @query("op5_ftrl_toxicity")
 def op5(table):
     docs = table("documents")

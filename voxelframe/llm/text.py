@@ -69,7 +69,7 @@ class Texts:
         open_[inner[inner < n]] = True
         close[inner[inner > 0] - 1] = True
         body = ~sep
-        return Ranges(self, np.flatnonzero(body & open_), np.flatnonzero(body & close) + 1)
+        return Ranges(self, np.flatnonzero(body & open_), np.flatnonzero(body & close) + 1, body=body)
 
     def words(self) -> Ranges:
         return self.ranges(BLANK)
@@ -86,9 +86,10 @@ class Texts:
 class Ranges:
     """Words or lines of a run of documents: byte ranges with the document of each."""
 
-    def __init__(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, of: np.ndarray | None = None):
-        self.texts, self.starts, self.ends = texts, starts, ends
-        self.of = np.searchsorted(texts.offs, starts, "right") - 1 if of is None else of
+    def __init__(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, of: np.ndarray | None = None, body: np.ndarray | None = None):
+        """``body``: flags of the bytes inside the ranges, if they are at hand."""
+        self.texts, self.starts, self.ends, self.body = texts, starts, ends, body
+        self.of = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, texts.offs))) if of is None else of
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -104,8 +105,7 @@ class Ranges:
         """The ranges as an Arrow binary array."""
         n = self.ends - self.starts
         offs = np.concatenate(([0], np.cumsum(n)))
-        at = np.repeat(self.starts - offs[:-1], n) + np.arange(offs[-1])
-        data = self.texts.buf[at]
+        data = self.texts.buf[spread(self.starts, n) if self.body is None else self.body]
         return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)])
 
     def interned(self) -> tuple[np.ndarray, pa.Array]:
