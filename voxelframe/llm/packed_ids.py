@@ -130,22 +130,61 @@ class Segment:
         return (d + self.low[lo:hi, None]).astype(np.uint32).ravel()[: self.n - lo * b]
 
 
-def _tokenizer(definition: str):
+# words of plain letters with ASCII marks behind them: one or two parts to the tokenizer, whatever its Unicode tables
+PLAIN = "([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\\[-`{-~]*)"
+
+
+def _tokenizer(definition: str) -> IdCache:
+    """Ids of words by the tokenizers library.
+
+    Plain words are encoded many at a time, joined by blanks, and told apart by the tokens that end a part; the others, and
+    all words of a tokenizer without such tokens, one at a time.
+    """
+    import json
     import os
+    import re
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(definition)
     t.encode_special_tokens = True
-
-    def encode(words: list[bytes]):
-        ids, lens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(words), 4096):  # an encoding holds far more than its ids
-            got = [e.ids for e in t.encode_batch_fast([w.decode() for w in words[lo : lo + 4096]], add_special_tokens=False)]
-            lens.append(np.fromiter(map(len, got), np.int64, len(got)))
-            ids.append(np.fromiter(chain.from_iterable(got), np.int32, int(lens[-1].sum())))
-        return np.concatenate(ids), np.concatenate(lens)
+    vocabulary = t.get_vocab()
+    suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+    closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    closes[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+    plain = re.compile(PLAIN).fullmatch
+
+    def singly(words: list[str]):
+        got = [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int32, int(lens.sum())), lens
+
+    def joined(words: list[str], parts: np.ndarray):
+        got = t.encode_batch_fast([" ".join(words[lo : lo + 512]) for lo in range(0, len(words), 512)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.int32)
+        ends = np.flatnonzero(closes[ids]) + 1
+        if len(ends) != parts.sum():
+            return singly(words)
+        ends = ends[np.cumsum(parts) - 1]
+        return ids, np.diff(ends, prepend=0)
+
+    def encode(strings: list[bytes]):
+        lens, flat = np.zeros(len(strings), np.int64), []
+        for lo in range(0, len(strings), 1 << 14):  # an encoding holds far more than its ids
+            words = [w.decode() for w in strings[lo : lo + (1 << 14)]]
+            found = [plain(w) for w in words] if suffix else [None] * len(words)
+            parts = np.fromiter((1 + bool(m[2]) if m else 0 for m in found), np.int64, len(found))
+            easy, hard = np.flatnonzero(parts), np.flatnonzero(parts == 0)
+            n = np.zeros(len(words), np.int64)
+            ids_e, n[easy] = joined([words[i] for i in easy.tolist()], parts[easy]) if len(easy) else (np.zeros(0, np.int32), 0)
+            ids_h, n[hard] = singly([words[i] for i in hard.tolist()]) if len(hard) else (np.zeros(0, np.int32), 0)
+            out = np.empty(int(n.sum()), np.int32)
+            is_easy = np.repeat(parts > 0, n)
+            out[is_easy], out[~is_easy] = ids_e, ids_h
+            flat.append(out)
+            lens[lo : lo + len(words)] = n
+        return np.concatenate(flat), lens
 
     return IdCache(encode, CACHED)
 

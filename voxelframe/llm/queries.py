@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, divergence, licences, packed_ids, toxicity, warc
+from voxelframe.llm import bpe, decontaminate, divergence, licences, packed_ids, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,6 +95,12 @@ def op1(table):
     return divergence.quality(table("documents")).drop("class_distance", "word_distance")
 
 
+@query("op2_bm25_decontamination")
+def op2(table):
+    hits = decontaminate.search(table("documents"), table("benchmark"))
+    return hits.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
+
+
 @query("op3_warc_index_merge")
 def op3(table):
     return warc.write_and_read(table("pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_no", "range_pos")
