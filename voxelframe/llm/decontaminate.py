@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from voxelframe.llm.text import NOT_ALNUM, Hasher, Texts, grams, map_runs, only, spread, texts_of, to_long
 
 K1, B = 1.2, 0.75
-MIN_SCORE = 0.5
+MIN_SCORE = 0.6
 MIN_OVERLAP = 0.5
 GRAM = 3
-BLOCK = 4
+BLOCK = 2
 MIN_STRIDE = 64
 MIN_ITEM_WORDS = 6
 SHARD_WORDS = 500_000

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, decontaminate, divergence, licences, packed_ids, toxicity, warc
+from voxelframe.llm import bpe, decontaminate, divergence, jaccard, licences, packed_ids, toxicity, warc, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,6 +122,41 @@ def op6(table):
     return packed_ids.write_and_read(table("documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op8_ngram_jaccard_join")
+def op8(table):
+    return jaccard.components(table("documents")).drop("class_id")
+
+
+LINES_SQL = rf"""
+with l as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents
+), f as (
+  select doc_id, i, line, row_number() over (partition by doc_id order by i) - 1 as p from l where regexp_matches(line, '[^{BLANKS}]')
+), runs as (
+  select doc_id, p, line, lead(line) over w as l2, lead(line, 2) over w as l3 from f window w as (partition by doc_id order by p)
+), later as (
+  select doc_id, p from (select doc_id, p, row_number() over (partition by line, l2, l3 order by doc_id, p) as k from runs where l3 is not null) where k > 1
+), gone as (
+  select distinct doc_id, p + j as p from later, unnest([0, 1, 2]) as u(j)
+), marked as (
+  select f.*, gone.p is not null as dropped from f left join gone using (doc_id, p)
+), counts as (
+  select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_removed from marked group by doc_id
+), texts as (
+  select l.doc_id, string_agg(l.line, chr(10) order by l.i) as kept from l left join marked m on m.doc_id = l.doc_id and m.i = l.i where not coalesce(m.dropped, false) group by l.doc_id
+)
+select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed,
+  sha256(case when n_removed > 0 and n_removed = n_lines then '' when n_removed > 0 then t.kept else coalesce(d.text, '') end) as kept_sha256
+from documents d left join counts using (doc_id) left join texts t using (doc_id)
+"""
+
+
+@query("op9_line_winnowing", LINES_SQL)
+def op9(table):
+    done = winnow.dedup_lines(table("documents"), counts=True)
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op10_bpe_merge_replay")
 def op10(table):
     decoded = bpe.decode(bpe.encode(table("documents")))

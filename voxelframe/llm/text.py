@@ -168,31 +168,14 @@ def covered(at: np.ndarray, k: int, n: int) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
-def window_minima(h: np.ndarray, bounds: np.ndarray, w: int) -> np.ndarray:
-    """Places of the rightmost minimum of every ``w`` consecutive hashes of a document, once each.
-
-    A document with fewer than ``w`` hashes, but at least one, is one window.
-    """
-    n = len(h)
-    if not n:
-        return np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    best, at = h.copy(), np.arange(n)
-    m = n - w + 1
-    if m > 0:
-        best, at = best[:m], at[:m]
-        for j in range(1, w):
-            take = h[j : j + m] <= best
-            best = np.where(take, h[j : j + m], best)
-            at = np.where(take, np.arange(j, j + m), at)
-        at = at[of[:m] == of[w - 1 :]]
-    else:
-        at = at[:0]
-    short = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < w))
-    if len(short):
-        extra = [bounds[i] + len(x) - 1 - int(np.argmin(x[::-1])) for i in short for x in [h[bounds[i] : bounds[i + 1]]]]
-        at = np.concatenate((at, np.array(extra, np.int64)))
-    return np.unique(at)
+def window_minima(h: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
+    """For each window of ``w`` items that begins at a place in ``first``: the place of its smallest hash, the last of equals."""
+    best, at = h[first], first.copy()
+    for j in range(1, w):
+        x = h[first + j]
+        take = x <= best
+        best[take], at[take] = x[take], first[take] + j
+    return at
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray, run_bytes: int = RUN_BYTES) -> Iterator[Texts]:
