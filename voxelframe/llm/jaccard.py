@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelframe.llm.shared import EXTRA, PACKED, Packer, blobs, concat, shared_pairs
 from voxelframe.llm.text import Hasher, Texts, grams, map_runs, mix, only, sized, to_long
 from voxelframe.plans.graph import connected_components
 from voxelframe.session import cut
@@ -38,7 +39,6 @@ WIDTH = 4
 GROWTH = 1.6
 PIECE_BYTES = 8 << 20
 SHARDS = 16
-FLUSH_KEYS = 1_500_000
 LOCAL_GROUP = 8
 CELL = 1024
 WORDS_BAND, EMPTY = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -215,101 +215,29 @@ def _gather(docs: DataFrame, width: int, percent: int) -> DataFrame:
     pieces = sized(docs, PIECE_BYTES)
     shards = max(512, SHARDS * pieces)
 
-    class State:
-        def __init__(self):
-            self.hasher, self.bands = Hasher(), Bands(percent)
-            self.keys, self.classes, self.held, self.turn = [], [], 0, 0
-
-        def blobs(self, kind, shard, *columns):
-            """One row per shard with its part of the columns."""
-            order = np.argsort(shard.astype(np.uint16 if shards < 65536 else np.int64), kind="stable")
-            shard = shard[order]
-            cut_ = np.flatnonzero(np.diff(shard, prepend=-1))
-            columns = [c[order] for c in columns]
-            rows = {"kind": np.full(len(cut_), kind), "shard": shard[cut_]}
-            for name, c in zip(("a", "b", "c"), [*columns, *[None] * (3 - len(columns))]):
-                if c is None:
-                    rows[name] = pa.nulls(len(cut_), pa.large_binary())
-                else:
-                    offs = np.append(cut_, len(c)) * c.itemsize
-                    rows[name] = pa.Array.from_buffers(pa.large_binary(), len(cut_), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(c))])
-            return rows
-
-        def flush(self):
-            if not self.keys:
-                return None
-            key, cls = np.concatenate(self.keys), np.concatenate(self.classes)
-            self.keys, self.classes, self.held = [], [], 0
-            order = np.lexsort((cls, key))
-            key, cls = key[order], cls[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls = key[new], cls[new]
-            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-            size = np.diff(np.append(begin, len(key)))
-            # of a tile with many classes here only the first goes to the tile's shard; all are members already
-            large = np.repeat(size >= LOCAL_GROUP, size)
-            send = ~large
-            send[begin[size >= LOCAL_GROUP]] = True
-            rows = self.blobs(0, (key[send] >> np.uint64(20)).astype(np.int64) % shards, key[send], cls[send])
-            if large.any():
-                self.turn += 1
-                spread_ = (np.arange(int(large.sum())) // 4096 + self.turn) % shards
-                more = self.blobs(1, spread_, key[large], cls[large])
-                rows = {k: pa.concat_arrays([v, more[k]]) if isinstance(v, pa.Array) else np.concatenate((v, more[k])) for k, v in rows.items()}
-            return rows
-
     def run(state, rows, t):
-        g, bounds = sets_of(state.hasher, t, width)
+        hasher, bands, packer = state
+        g, bounds = sets_of(hasher, t, width)
         cls = class_digest(g, bounds)
-        key, doc = tile_keys(g, bounds, state.bands)
-        state.keys.append(key)
-        state.classes.append(cls[doc])
-        state.held += len(key)
-        ids = rows.column(0)
-        known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
-        x = ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        state.turn += 1
-        out = state.blobs(2, np.full(len(t), state.turn % shards), np.where(known, x, 0).astype(np.uint64), cls, np.diff(bounds) * np.where(known, 1, -1) - ~known)
-        if state.held >= FLUSH_KEYS:
-            more = state.flush()
-            out = {k: pa.concat_arrays([v, more[k]]) if isinstance(v, pa.Array) else np.concatenate((v, more[k])) for k, v in out.items()}
-        return out
-
-    packed = map_runs(docs, "text", run, "kind int, shard int, a binary, b binary, c binary", State, State.flush)
+        key, doc = tile_keys(g, bounds, bands)
+        known = pc.is_valid(rows.column(0)).to_numpy(zero_copy_only=False)
+        ids = rows.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+        size = np.diff(bounds)
+        return concat([blobs(EXTRA, packer.any_shard(len(t)), ids, cls, np.where(known, size, -size - 1)), packer.add(key, cls[doc])])
 
-    def settle(batches):
-        keys, classes = [], []
+    packed = map_runs(docs, "text", run, PACKED, lambda: (Hasher(), Bands(percent), Packer(shards, LOCAL_GROUP)), lambda s: s[2].flush())
 
-        def rows(kind, x, y, n, valid=None):
-            x, y = pa.array(x.view(np.int64), mask=valid), pa.array(y.view(np.int64))
+    def settle(batches):
+        def rows(kind, x, y, n, null=None):
+            x, y = pa.array(x.view(np.int64), mask=null), pa.array(y.view(np.int64))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(y), kind, np.int32)), x, y, pa.array(n.astype(np.int32))], ["kind", "x", "y", "n"])
 
-        for b in batches:
-            for kind, a, c, n in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
-                a, c = np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint64)
-                if kind == 0:
-                    keys.append(a)
-                    classes.append(c)
-                elif kind == 1:
-                    yield rows(0, a, c, np.zeros(len(a)))
-                else:
-                    n = np.frombuffer(n, np.int64)
-                    yield rows(1, a, c, np.where(n < 0, -n - 1, n), n < 0)
-        if keys:
-            key, cls = np.concatenate(keys), np.concatenate(classes)
-            keys.clear()
-            classes.clear()
-            order = np.lexsort((cls, key))
-            key, cls = key[order], cls[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls = key[new], cls[new]
-            same = np.zeros(len(key) + 1, bool)
-            same[1:-1] = key[1:] == key[:-1]
-            shared = same[1:] | same[:-1]
-            if shared.any():
-                yield rows(0, key[shared], cls[shared], np.zeros(int(shared.sum())))
+        extra: list = []
+        for key, cls in shared_pairs(batches, extra):
+            yield rows(0, key, cls, np.zeros(len(key)))
+        for ids, cls, n in extra:
+            n = np.frombuffer(n, np.int64)
+            yield rows(1, np.frombuffer(ids, np.int64), np.frombuffer(cls, np.int64), np.where(n < 0, -n - 1, n), n < 0)
 
     return packed.repartition(pieces, "shard").mapInArrow(settle, STAGED)
 

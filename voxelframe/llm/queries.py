@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, decontaminate, divergence, jaccard, licences, packed_ids, toxicity, warc, winnow
+from voxelframe.llm import bpe, decontaminate, divergence, jaccard, licences, packed_ids, phrases, toxicity, warc, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,6 +122,11 @@ def op6(table):
     return packed_ids.write_and_read(table("documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op7_phrase_automata")
+def op7(table):
+    return phrases.remove_repeats(table("documents"), with_text=False)
+
+
 @query("op8_ngram_jaccard_join")
 def op8(table):
     return jaccard.components(table("documents")).drop("class_id")
