@@ -196,7 +196,7 @@ def _(t):
 @query("jn13_same_keys", f"""
 select p.config, p.pid, {R('p.p')} as p, a.label from f_pred p join f_label_a a using (pid)""")
 def _(t):
-    return J.require_same_keys(t.f_pred, t.f_label_a).select("config", "pid", r6("p").alias("p"), "label")
+    return J.require_same_keys(t.f_pred, t.f_label_a, per=["config"]).select("config", "pid", r6("p").alias("p"), "label")
 
 
 @query("jn13_key_difference", """

@@ -18,12 +18,13 @@ from voxelframe.plans import patient as PT
 
 @query("flagship_patient_log_loss", f"""
 with r as (select pid, cid, p, row_number() over (partition by pid order by p desc, cid) rn from f_cand),
-s as (select pid, case when p < 0.75 then 0 else p end x from r where rn <= 8),
+slots as (select pid, unnest(range(1, 9)) as rn from f_label_a),
+s as (select slots.pid, case when p >= 0.75 then p else 0 end x from slots left join r on r.pid = slots.pid and r.rn = slots.rn),
 m as (select pid, ln(avg(exp(16*x)) + 1e-7)/16 pm from s group by pid)
 select count(*) n, {R('-avg(l.label*ln(least(greatest(pm,1e-15),1-1e-15)) + (1-l.label)*ln(1-least(greatest(pm,1e-15),1-1e-15)))')} as log_loss
 from m join f_label_a l using (pid)""")
 def _(t):
-    preds = PT.patient_predictions(t.f_cand)
+    preds = PT.patient_predictions(t.f_cand, t.f_label_a)
     out = PT.patient_log_loss(preds, t.f_label_a)
     return out.select("n", r6("log_loss").alias("log_loss"))
 
@@ -130,7 +131,7 @@ def ll(p, y, eps):
 
 
 def scored(t):
-    return J.require_same_keys(t.f_pred, t.f_label_a)
+    return J.require_same_keys(t.f_pred, t.f_label_a, per=["config"])
 
 
 @query("met1_log_loss", f"select config, {R('-avg('+ll('p','label','1e-15')+')')} as loss from f_pred join f_label_a using (pid) group by config")
@@ -175,25 +176,31 @@ def _(t):
 
 FLAGGED = f"""{NEAREST_SQL}, flagged as (select c.pid, c.cid, c.p, cast(n.cid is not null as int) as flag from f_cand c
  left join (select distinct pid, cid from near) n on n.pid=c.pid and n.cid=c.cid),
-per as (select b.pid, n_blobs, tp, coalesce(n_pos,0) as n_pos from (select pid, count(*) as n_blobs, sum(flag) as tp from flagged group by pid) b
- left join (select pid, count(*) as n_pos from f_ann where d>0 group by pid) a using (pid))"""
+per as (select w.pid, coalesce(n_blobs,0) as n_blobs, coalesce(tp,0) as tp, coalesce(n_pos,0) as n_pos
+ from (select p_partkey as pid from part) w
+ left join (select pid, count(*) as n_blobs, sum(flag) as tp from flagged group by pid) b on b.pid = w.pid
+ left join (select pid, count(*) as n_pos from f_ann where d>0 group by pid) a on a.pid = w.pid)"""
 
 
 def flagged(t):
     return J.flag_claimed(t.f_cand.select("pid", "cid", "p"), nearest(t))
 
 
+def all_patients(t):
+    return t.part.select(F.col("p_partkey").alias("pid"))
+
+
 @query("met6_detection_totals", f"""with {FLAGGED}
 select count(*) as n_patients, cast(sum(tp) as bigint) as tp, cast(sum(n_blobs) as bigint) as n_blobs, cast(sum(n_pos) as bigint) as n_pos, count(*) filter (tp<n_pos) as n_missed from per""")
 def _(t):
-    return M.detection_totals(M.detection_per_patient(flagged(t), t.f_ann.filter("d > 0")))
+    return M.detection_totals(M.detection_per_patient(flagged(t), t.f_ann.filter("d > 0"), patients=all_patients(t)))
 
 
 @query("met7_detection_in_top", f"""with {FLAGGED},
 top as (select pid, sum(flag) as tp_top from (select *, row_number() over (partition by pid order by p desc, cid) as rn from flagged) t where rn<=5 group by pid)
-select cast(sum(tp) as bigint) as tp, cast(sum(n_pos) as bigint) as n_pos, cast(sum(tp_top) as bigint) as tp_top, cast(sum(5-tp_top) as bigint) as fp_top from per join top using (pid)""")
+select cast(sum(tp) as bigint) as tp, cast(sum(n_pos) as bigint) as n_pos, cast(sum(tp_top) as bigint) as tp_top, cast(sum(5-coalesce(tp_top,0)) as bigint) as fp_top from per left join top using (pid)""")
 def _(t):
-    return M.detection_in_top(flagged(t), t.f_ann.filter("d > 0"), 5)
+    return M.detection_in_top(flagged(t), t.f_ann.filter("d > 0"), 5, patients=all_patients(t))
 
 
 @query("met8_mask_recall", """

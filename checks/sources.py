@@ -108,7 +108,7 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "submission")
     means = t.f_pred.groupBy("pid").agg(r6(F.avg("p")).alias("p"))
-    SF.write_submission(means, path, single_file_rows=1_000_000)
+    SF.write_submission(means, path)
     return SF.read_submission(t.spark, path)
 
 

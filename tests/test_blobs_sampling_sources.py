@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from voxelframe import schemas
 from voxelframe.functions import pooling as P
 from voxelframe.operators import blobs as B
+from voxelframe.operators import ensemble as EN
 from voxelframe.operators import filters as FL
 from voxelframe.operators import joins as J
 from voxelframe.operators import metrics as ME
 from voxelframe.operators import sampling as SM
 from voxelframe.operators import slices as SL
+from voxelframe.plans import patient as PT
 from voxelframe.plans.ordered import value_bucket
 from voxelframe.session import scratch_path
 from voxelframe.sources import files as SF
@@ -24,8 +26,9 @@ def overlap(a, b):
         return 0.0
     if d <= abs(r1 - r2):
         return 1.0
-    vol = math.pi / (12 * d) * (r1 + r2 - d) ** 2 * (d * d + 2 * d * (r1 + r2) - 3 * (r1 * r1 + r2 * r2) + 6 * r1 * r2)
-    return vol / (4 / 3 * math.pi * min(r1, r2) ** 3)
+    plane = (d * d + r1 * r1 - r2 * r2) / (2 * d)  # of the common circle, from the first centre
+    caps = sum(math.pi * h * h * (r - h / 3) for r, h in ((r1, r1 - plane), (r2, r2 - d + plane)))
+    return caps / (4 / 3 * math.pi * min(r1, r2) ** 3)
 
 
 def some_blobs(seed=2):
@@ -157,6 +160,45 @@ def test_guards(spark):
     p = spark.createDataFrame([(1, 0.5), (3, 0.5)], "pid long, p double")
     with pytest.raises(Exception, match="one side only"):
         J.require_same_keys(p, bad).collect()
+    y = spark.createDataFrame([(1, 0), (2, 1)], "pid long, label int")
+    rows = [("a", 1, 0.5), ("a", 2, 0.5), ("b", 1, 0.5), ("b", 2, 0.5)]
+
+    def check(predictions, labels=y, per=("config",)):
+        df = spark.createDataFrame(predictions, "config string, pid long, p double")
+        return J.require_same_keys(df, labels, per=per).count()
+
+    assert check(rows) == 4
+    assert check(rows[:2], per=()) == 2
+    for wrong in (rows[:3], [*rows, rows[0]], [rows[0], rows[3]]):
+        with pytest.raises(Exception, match="missing or repeated"):
+            check(wrong)
+    with pytest.raises(Exception, match="missing or repeated"):
+        check([*rows[:2], rows[0]], per=())
+    with pytest.raises(Exception, match="repeated label"):
+        check(rows, y.union(y))
+    with pytest.raises(Exception, match="missing or repeated"):
+        EN.best_config(spark.createDataFrame(rows[:3], "config string, pid long, p double"), y).collect()
+
+
+def test_detection_counts_patients_without_blobs(spark):
+    flagged = spark.createDataFrame([(1, 7, 0.9, 1)], "pid long, cid long, p double, flag int")
+    ann = spark.createDataFrame([(1,), (2,), (2,)], "pid long")
+    who = spark.createDataFrame([(1,), (2,), (3,)], "pid long")
+    got = ME.detection_totals(ME.detection_per_patient(flagged, ann, patients=who)).first().asDict()
+    assert got == {"n_patients": 3, "tp": 1, "n_blobs": 1, "n_pos": 3, "n_missed": 1}
+    assert ME.detection_totals(ME.detection_per_patient(flagged, ann)).first()["n_patients"] == 2
+    top = ME.detection_in_top(flagged, ann, 5, patients=who).first().asDict()
+    assert top == {"tp": 1, "n_pos": 3, "tp_top": 1, "fp_top": 14}
+
+
+def test_patient_prediction_has_n_slots(spark):
+    cand = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.5), (9, 3, 1.0)], "pid long, cid long, p double")
+    who = spark.createDataFrame([(1, 1), (2, 0)], "pid long, label int")
+    got = {r.pid: r.prediction for r in PT.patient_predictions(cand, who, n=4, r=2.0).collect()}
+    want = [math.log((math.exp(2 * 0.9) + 3) / 4 + 1e-7) / 2, math.log(1 + 1e-7) / 2]
+    assert got.keys() == {1, 2} and [got[1], got[2]] == pytest.approx(want)
+    with pytest.raises(Exception, match="one side only"):
+        PT.patient_log_loss(PT.patient_predictions(cand, who.limit(1)), who).collect()
 
 
 def test_log_loss_at_zero_and_one(spark):
@@ -224,10 +266,9 @@ def test_result_store_replaces_only_given_patients(spark):
 def test_submission_and_catalog_guards(spark):
     path = scratch_path(spark, "submission")
     df = spark.createDataFrame([("b", 0.2), ("a", 0.1)], "pid string, p double")
-    with pytest.raises(ValueError, match="in parts"):
-        SF.write_submission(df, path, single_file_rows=1)
-    SF.write_submission(df, path, single_file_rows=5)
-    assert [r.value for r in spark.read.text(path).collect()] == ["id,cancer", "a,0.1", "b,0.2"]
+    SF.write_submission(df, path)
+    parts = spark.read.text(path).select("value", F.input_file_name().alias("f")).collect()
+    assert [r.value for r in sorted(parts, key=lambda r: r.f) if r.value != "id,cancer"] == ["a,0.1", "b,0.2"]
     catalog = spark.createDataFrame([("m", 1), ("n", 1), ("n", 2)], "config string, model int")
     one = spark.createDataFrame([("m",)], "config string")
     assert SF.lookup_one(catalog, one).count() == 1

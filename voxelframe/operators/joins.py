@@ -238,16 +238,38 @@ def asof_lookup(
 
 
 def require_same_keys(
-    predictions: DataFrame, labels: DataFrame, key: str = "pid"
+    predictions: DataFrame, labels: DataFrame, key: str = "pid", per: Sequence[str] = ()
 ) -> DataFrame:
-    """Inner join that fails the job if a key is missing on either side or repeated."""
+    """Inner join that fails the job unless every group of predictions holds every label once.
+
+    ``per`` names the columns of a group (such as the configuration). A key on one side only, a key
+    repeated on either side, or a group that lacks a key raises.
+    """
+    per = list(per)
+    y = labels.groupBy(key).agg(
+        *[F.first(c).alias(c) for c in labels.columns if c != key], F.count(F.lit(1)).alias("__y")
+    )
     p = predictions.withColumn("__p", F.lit(1))
-    y = labels.withColumn("__y", F.lit(1))
     joined = p.join(y, key, "full_outer")
     one_sided = F.col("__p").isNull() | F.col("__y").isNull()
-    message = F.concat(F.lit("key on one side only: "), F.col(key).cast("string"))
-    guard = F.when(one_sided, F.raise_error(message).cast("int")).otherwise(F.lit(1))
-    return joined.filter(guard == 1).drop("__p", "__y")
+    message = F.concat(
+        F.when(one_sided, F.lit("key on one side only: ")).otherwise(F.lit("repeated label: ")),
+        F.coalesce(F.col(key).cast("string"), F.lit("NULL")),
+    )
+    guard = F.when(one_sided | (F.col("__y") > 1), F.raise_error(message).cast("int")).otherwise(F.lit(1))
+    sound = joined.filter(guard == 1).drop("__p", "__y")
+    once = sound.groupBy(*per, key).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = once.groupBy(*per).agg(F.max("__n").alias("__most"), F.count(F.lit(1)).alias("__keys"))
+    n_labels = labels.agg(F.count(F.lit(1))).scalar()
+    wrong = (F.col("__most") > 1) | (F.col("__keys") != n_labels)
+    where = F.concat_ws(", ", *[F.col(c).cast("string") for c in per]) if per else F.lit("all")
+    checked = sizes.filter(
+        F.when(wrong, F.raise_error(F.concat(F.lit("missing or repeated keys: "), where)).cast("int"))
+        .otherwise(F.lit(1)) == 1
+    )
+    if not per:
+        return sound.filter(checked.agg(F.count(F.lit(1))).scalar() == 1)
+    return sound.join(checked.select(*per), per, "left_semi")
 
 
 def key_difference(left: DataFrame, right: DataFrame, key: str = "pid") -> DataFrame:

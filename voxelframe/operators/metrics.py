@@ -69,11 +69,21 @@ def confusion(df: DataFrame, p: str, label: str, threshold: float = 0.2, by: Seq
     )
 
 
-def detection_per_patient(flagged: DataFrame, annotations: DataFrame, by: str = "pid") -> DataFrame:
-    """Blobs, true detections and annotations per patient that has blobs."""
+def detection_per_patient(
+    flagged: DataFrame, annotations: DataFrame, by: str = "pid", patients: DataFrame | None = None
+) -> DataFrame:
+    """Blobs, true detections and annotations per patient.
+
+    ``patients`` lists whom to count; by default everyone with a blob or an annotation. A patient
+    without blobs misses all its annotations.
+    """
     b = flagged.groupBy(by).agg(F.count(F.lit(1)).alias("n_blobs"), F.sum("flag").cast("long").alias("tp"))
     a = annotations.groupBy(by).agg(F.count(F.lit(1)).alias("n_pos"))
-    return b.join(a, by, "left").fillna(0, ["n_pos"]).withColumn("missed", F.col("tp") < F.col("n_pos"))
+    if patients is None:
+        both = b.join(a, by, "full_outer")
+    else:
+        both = patients.select(by).distinct().join(b, by, "left").join(a, by, "left")
+    return both.fillna(0, ["n_blobs", "tp", "n_pos"]).withColumn("missed", F.col("tp") < F.col("n_pos"))
 
 
 def detection_totals(per_patient: DataFrame) -> DataFrame:
@@ -85,11 +95,12 @@ def detection_totals(per_patient: DataFrame) -> DataFrame:
 
 
 def detection_in_top(
-    flagged: DataFrame, annotations: DataFrame, n: int, score: str = "p", by: str = "pid", cid: str = "cid"
+    flagged: DataFrame, annotations: DataFrame, n: int, score: str = "p", by: str = "pid", cid: str = "cid",
+    patients: DataFrame | None = None,
 ) -> DataFrame:
-    """True and false positives among the first n of each patient, and the totals, one row."""
+    """True and false positives among the n slots of each patient, and the totals, one row."""
     first = top_n(flagged, n, score, by, cid).groupBy(by).agg(F.sum("flag").cast("long").alias("tp_top"))
-    everything = detection_per_patient(flagged, annotations, by)
+    everything = detection_per_patient(flagged, annotations, by, patients)
     joined = everything.join(first, by, "left").fillna(0, ["tp_top"])
     return joined.agg(
         F.sum("tp").cast("long").alias("tp"), F.sum("n_pos").cast("long").alias("n_pos"),

@@ -133,23 +133,10 @@ def scan_folders(spark: SparkSession, path: str) -> DataFrame:
 # --- submissions and model catalog -----------------------------------------------------------
 
 
-def write_submission(
-    predictions: DataFrame, path: str, pid: str = "pid", p: str = "p", single_file_rows: int = 0
-) -> None:
-    """``id,cancer`` CSV, sorted by id.
-
-    Written as sorted parts. With ``single_file_rows`` the result is one file, which is refused
-    when there are more rows than that.
-    """
+def write_submission(predictions: DataFrame, path: str, pid: str = "pid", p: str = "p") -> None:
+    """``id,cancer`` CSV, in parts that are sorted by id one after the other."""
     out = predictions.select(F.col(pid).cast("string").alias("id"), F.col(p).cast("double").alias("cancer"))
-    if single_file_rows:
-        n = out.limit(single_file_rows + 1).count()
-        if n > single_file_rows:
-            raise ValueError(f"more than {single_file_rows} rows: write the submission in parts")
-        out = out.coalesce(1).sortWithinPartitions("id")
-    else:
-        out = out.orderBy("id")
-    out.write.mode("overwrite").csv(path, header=True)
+    out.orderBy("id").write.mode("overwrite").csv(path, header=True)
 
 
 def read_submission(spark: SparkSession, path: str) -> DataFrame:
