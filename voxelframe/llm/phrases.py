@@ -96,32 +96,38 @@ def automaton(phrases: list[tuple[int, ...]]):
     return a
 
 
-def locate(stretches: list[bytes], low: np.ndarray, high: np.ndarray, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each stretch: (place, smallest document) of its confirmed phrases.
+def locate(stretches: list[bytes], low: np.ndarray, high: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Confirmed phrases of distinct stretches: their number by stretch, then place and smallest document of each.
 
     ``low`` and ``high`` are the smallest and largest document that hold the stretch.
     """
     numbers: dict[bytes, int] = {}
     sequences = [tuple([numbers.setdefault(w, len(numbers) + 1) for w in s.split()]) for s in stretches]
-    holders: dict[tuple[int, ...], list[int]] = {}
+    lows: dict[tuple[int, ...], int] = {}
+    highs: dict[tuple[int, ...], int] = {}
     for q, lo, hi in zip(sequences, low.tolist(), high.tolist()):
         for i in range(len(q) - window + 1):
-            x = holders.setdefault(q[i : i + window], [lo, hi])
-            if lo < x[0]:
-                x[0] = lo
-            if hi > x[1]:
-                x[1] = hi
-    confirmed = [p for p, (lo, hi) in holders.items() if lo < hi]
-    first = [holders[p][0] for p in confirmed]
-    holders.clear()
-    if not confirmed:
-        return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(stretches)
-    a = automaton(confirmed)
-    out = []
-    for q in sequences:
-        hits = list(a.iter(q))
-        out.append((np.array([end - window + 1 for end, _ in hits], np.int64), np.array([first[i] for _, i in hits], np.int64)))
-    return out
+            p = q[i : i + window]
+            if p in lows:
+                if lo < lows[p]:
+                    lows[p] = lo
+                if hi > highs[p]:
+                    highs[p] = hi
+            else:
+                lows[p], highs[p] = lo, hi
+    confirmed = [p for p, lo in lows.items() if lo < highs[p]]
+    first = np.array([lows[p] for p in confirmed], np.int64)
+    del lows, highs
+    n, ends, found = np.zeros(len(stretches), np.int64), [], []
+    if confirmed:
+        matches = automaton(confirmed).iter
+        for k, q in enumerate(sequences):
+            before = len(ends)
+            for end, i in matches(q):
+                ends.append(end)
+                found.append(i)
+            n[k] = len(ends) - before
+    return n, np.array(ends, np.int64) - window + 1, first[np.array(found, np.int64)]
 
 
 def _texts(table: pa.Table, column: str):
@@ -237,29 +243,35 @@ def _pair_isin(a: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 
 
 def _answers(rows: list[dict], window: int) -> pa.RecordBatch:
-    stretches, low, high, counts = [], [], [], []
+    """What a shard tells its slices; the same stretch of several slices is searched once."""
+    numbers: dict[bytes, int] = {}
+    places, lows, highs = [], [], []
     for r in rows:
         ends = np.frombuffer(r["offsets"], np.int64).tolist()
-        stretches += [r["data"][a:b] for a, b in zip([0, *ends[:-1]], ends)]
-        low.append(np.frombuffer(r["low"], np.int64))
-        high.append(np.frombuffer(r["high"], np.int64))
-        counts.append(len(ends))
-    hits = locate(stretches, np.concatenate(low), np.concatenate(high), window)
+        data = r["data"]
+        places.append(np.array([numbers.setdefault(data[a:b], len(numbers)) for a, b in zip([0, *ends[:-1]], ends)], np.int64))
+        lows.append(np.frombuffer(r["low"], np.int64))
+        highs.append(np.frombuffer(r["high"], np.int64))
+    at = np.concatenate(places)
+    low, high = np.full(len(numbers), np.iinfo(np.int64).max), np.full(len(numbers), np.iinfo(np.int64).min)
+    np.minimum.at(low, at, np.concatenate(lows))
+    np.maximum.at(high, at, np.concatenate(highs))
+    n, place, holder = locate(list(numbers), low, high, window)
+    start = np.cumsum(n) - n
     out = {c: [] for c in ("slice", "hash", "n", "place", "holder")}
-    at = 0
-    for r, n, hi in zip(rows, counts, high):
-        mine = hits[at : at + n]
-        at += n
+    for r, k, top in zip(rows, places, highs):
+        took = spread(start[k], n[k])
         # of use to a slice: places whose phrase a smaller document holds than some document of the slice
-        useful = [(p[d < top], d[d < top]) for (p, d), top in zip(mine, hi.tolist())]
-        size = np.array([len(p) for p, _ in useful])
+        of = np.repeat(np.arange(len(k)), n[k])
+        good = holder[took] < top[of]
+        size = np.bincount(of[good], minlength=len(k))
         some = size > 0
         if some.any():
             out["slice"].append(r["slice"])
             out["hash"].append(np.frombuffer(r["hash"], np.uint64)[some].tobytes())
             out["n"].append(size[some].tobytes())
-            out["place"].append(np.concatenate([p for p, _ in useful]).tobytes())
-            out["holder"].append(np.concatenate([d for _, d in useful]).tobytes())
+            out["place"].append(place[took[good]].tobytes())
+            out["holder"].append(holder[took[good]].tobytes())
     return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "slice" else pa.binary()) for c, v in out.items()})
 
 
