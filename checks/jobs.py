@@ -9,7 +9,6 @@ from checks.volumes import AUG, SHAPES, SPACING8, trilinear_sql
 from checks.windows_topk import ORDERED, UNIFORM, positioned
 from voxelframe.operators import filters as FL
 from voxelframe.operators import labels as L
-from voxelframe.operators import sampling as SM
 from voxelframe.operators import volume as V
 from voxelframe.plans import jobs as JB
 
@@ -149,13 +148,12 @@ GRID4 = "(select unnest(range(4)) as pz) gz, (select unnest(range(4)) as py) gy,
 
 # per patch: single values at the centre lie on a lattice with exact halves of the sixth decimal
 @query("job_validation_patches", f"""
-with {SHAPES}, one as (select pid, arg_min(cid, {U('vp','pid','cid')}) as aid from f_pts group by pid),
-targets as (select o.pid, o.aid, cast(pz as int) as pz, cast(py as int) as py, cast(px as int) as px, nz, ny, nx,
- {', '.join(f"p{c}*(6.1e0/4)/{s}e0+p.{c}-3.05e0/{s} as s{c}" for c, s in zip('zyx', SPACING8))} from one o join f_pts p on p.pid=o.pid and p.cid=o.aid join shapes on shapes.pid=o.pid, {GRID4})
+with {SHAPES}, targets as (select p.pid, p.cid as aid, cast(pz as int) as pz, cast(py as int) as py, cast(px as int) as px, nz, ny, nx,
+ {', '.join(f"p{c}*(6.1e0/4)/{s}e0+p.{c}-3.05e0/{s} as s{c}" for c, s in zip('zyx', SPACING8))} from f_pts p join shapes on shapes.pid=p.pid, {GRID4})
 select pid, aid, count(*) as n, {R('avg(least(greatest((v+1000)/1400,0),1))')} as mean, {R('sum((pz*16+py*4+px)*least(greatest((v+1000)/1400,0),1))/64')} as moment from ({trilinear_sql('targets', ('aid','pz','py','px'), rounded=False)}) r group by pid, aid""")
 def _(t):
     pts = t.f_pts.withColumnRenamed("cid", "aid")
-    rows = JB.centres(SM.one_per_group(pts, "vp"), pts)
+    rows = JB.centres(pts.select("pid", "aid"), pts)
     vox = t.f_vox
     out = JB.patches(rows, vox, V.volume_shapes(vox), SPACING8, (4, 4, 4), (6.1, 6.1, 6.1))
     at = F.col("pz") * 16 + F.col("py") * 4 + F.col("px")

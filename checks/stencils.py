@@ -85,7 +85,7 @@ def _(t):
 
 @query("vol16_grey_closing_erosion", f"with {DENSE}, a as ({disk('dense', 'hu', 1, 'max')}), b as ({disk('a', 'hu', 1, 'min')}), c as ({disk('b', 'hu', 2, 'min')}) select pid,z,y,x,{R('hu')} as hu from c")
 def _(t):
-    return M.erode_disk(M.close_disk(dense(t).select(*KEYS, "hu"), "hu", 1), "hu", 2).select(*KEYS, r6("hu").alias("hu"))
+    return M.erode_disk(M.close_disk(dense(t).select(*KEYS, "hu"), "hu", 1), "hu", 2, placed=True).select(*KEYS, r6("hu").alias("hu"))
 
 
 EDGE = f"(y=0 or x=0 or y={NY-1} or x={NX-1})"

@@ -7,7 +7,6 @@ from checks.registry import R, U, query, r6
 from voxelframe.functions import affine as A
 from voxelframe.operators import filters as FL
 from voxelframe.operators import joins as J
-from voxelframe.operators import ranking as RK
 from voxelframe.operators import sampling as SM
 from voxelframe.operators import volume as V
 
@@ -145,47 +144,62 @@ def _(t):
     return out.select("pid", "cid", "oz", "oy", "ox", "od")
 
 
-def top_points(t):
-    """The first eight candidates of each scan, the number a patient model looks at."""
-    return RK.top_n(t.f_pts, 8).drop("rank")
+GRID4 = "(select unnest(range(4)) as pz) gz, (select unnest(range(4)) as py) gy, (select unnest(range(4)) as px) gx"
+MOMENT = "pz*16+py*4+px"
 
 
-TOP8 = "top8 as (select * from (select *, row_number() over (partition by pid order by p desc, cid) as rn from f_pts) q where rn<=8)"
-GRID4 = "(select unnest(range(4)) as pz) gz, (select unnest(range(4)) as py) gy, (select unnest(range(4)) as px) gx"
-PATCH_T = f"""targets as (select p.pid, cid, cast(pz as int) as pz, cast(py as int) as py, cast(px as int) as px, nz, ny, nx,
- {', '.join(f"p{c}*(6/4e0)/{s}e0+p.{c}-3/{s}e0 as s{c}" for c, s in zip('zyx', SPACING8))} from top8 p join shapes using (pid), {GRID4})"""
+def patch_t(where="true"):
+    """Sample positions of the 4 x 4 x 4 patches of 6.1 mm around all points."""
+    return f"""targets as (select p.pid, cid, cast(pz as int) as pz, cast(py as int) as py, cast(px as int) as px, nz, ny, nx,
+ {', '.join(f"p{c}*(6.1e0/4)/{s}e0+p.{c}-3.05e0/{s} as s{c}" for c, s in zip('zyx', SPACING8))} from f_pts p join shapes using (pid), {GRID4} where {where})"""
+
+
+def per_patch(rows):
+    return f"select pid, cid, count(*) as n, {R('avg(v)')} as mean, {R(f'sum(({MOMENT})*v)/64')} as moment from ({rows}) r group by pid, cid"
 
 
-@query("vol6_patch_transform", f"with {SHAPES}, {TOP8}, {PATCH_T} {trilinear_sql('targets', ('cid','pz','py','px'))}")
+def patch_sums(df, value="hu"):
+    return df.groupBy("pid", "cid").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg(value)).alias("mean"), r6(F.sum(F.expr(MOMENT) * F.col(value)) / 64).alias("moment")
+    )
+
+
+@query("vol6_patch_transform", f"with {SHAPES}, {patch_t()} {per_patch(trilinear_sql('targets', ('cid','pz','py','px'), rounded=False))}")
 def _(t):
     vox = t.f_vox
-    out = V.extract_patches(top_points(t), vox, V.volume_shapes(vox), SPACING8, (4, 4, 4), (6.0, 6.0, 6.0), value="hu")
-    return out.select("pid", "cid", "pz", "py", "px", r6("hu").alias("v"))
+    out = V.extract_patches(t.f_pts, vox, V.volume_shapes(vox), SPACING8, (4, 4, 4), (6.1, 6.1, 6.1), value="hu")
+    return patch_sums(out)
 
 
-CROP = f"""with {TOP8}, slots as (select pid, cid, case when p>=0.97 then round_even(z,0) end as z, case when p>=0.97 then round_even(y,0) end as y, case when p>=0.97 then round_even(x,0) end as x from top8)
-select s.pid, s.cid, cast(pz as int) as pz, cast(py as int) as py, cast(px as int) as px, coalesce(hu,0)*1e0 as v from slots s cross join {GRID4}
-left join f_vox v on v.pid=s.pid and v.z=s.z-2+pz and v.y=s.y-2+py and v.x=s.x-2+px"""
+CUTOFF = 0.75
+
+
+def cut_slots(t):
+    """All points; those under the cutoff are empty slots."""
+    slots = t.f_pts
+    for c in "zyx":
+        slots = slots.withColumn(c, FL.cutoff("p", CUTOFF, F.col(c)))
+    return slots
+
+
+CROP = f"""with slots as (select pid, cid, {', '.join(f"case when p>={CUTOFF} then round_even({c},0) end as {c}" for c in 'zyx')} from f_pts),
+cells as (select s.pid, s.cid, pz, py, px, coalesce(hu,0)*1e0 as v from slots s cross join {GRID4}
+ left join f_vox v on v.pid=s.pid and v.z=s.z-2+pz and v.y=s.y-2+py and v.x=s.x-2+px) {per_patch('select * from cells')}"""
 
 
 @query("vol7_candidate_crop", CROP)
 def _(t):
-    slots = top_points(t)
-    for c in "zyx":
-        slots = slots.withColumn(c, FL.cutoff("p", 0.97, F.col(c)))
+    slots = cut_slots(t)
     found = J.patch_voxels(slots.filter("z is not null"), t.f_vox, 2, value="hu", brick=4)
-    return J.patch_dense(slots, found, 4, value="hu").select("pid", "cid", "pz", "py", "px", F.col("hu").cast("double").alias("v"))
+    return patch_sums(J.patch_dense(slots, found, 4, value="hu"))
 
 
-@query("vol7_candidate_affine", f"""with {SHAPES}, {TOP8}, {PATCH_T}, cut as (select * from targets join (select pid, cid, p from top8) q using (pid, cid)),
-live as (select * from cut where p>=0.97) select pid, cid, pz, py, px, v from ({trilinear_sql('live', ('cid','pz','py','px'))}) a
-union all select pid, cid, pz, py, px, 0e0 from cut where p<0.97""")
+@query("vol7_candidate_affine", f"""with {SHAPES}, {patch_t(f'p.p>={CUTOFF}')} {per_patch(trilinear_sql('targets', ('cid','pz','py','px'), rounded=False))}
+union all select pid, cid, 64, 0e0, 0e0 from f_pts where p<{CUTOFF}""")
 def _(t):
-    vox, slots = t.f_vox, top_points(t)
-    for c in "zyx":
-        slots = slots.withColumn(c, FL.cutoff("p", 0.97, F.col(c)))
-    out = V.extract_patches(slots, vox, V.volume_shapes(vox), SPACING8, (4, 4, 4), (6.0, 6.0, 6.0), value="hu")
-    return out.select("pid", "cid", "pz", "py", "px", r6("hu").alias("v"))
+    vox = t.f_vox
+    out = V.extract_patches(cut_slots(t), vox, V.volume_shapes(vox), SPACING8, (4, 4, 4), (6.1, 6.1, 6.1), value="hu")
+    return patch_sums(out)
 
 
 # --- shapes ----------------------------------------------------------------------------------

@@ -127,7 +127,7 @@ def annotations(spark):
 
 
 def test_matched_negatives(spark):
-    got = SM.matched_negatives(annotations(spark), "m", hot_rows=20).groupBy("pid").agg(F.count_if(F.col("d") > 0).alias("p"), F.count_if(F.col("d") == 0).alias("n")).collect()
+    got = SM.matched_negatives(annotations(spark), "m").groupBy("pid").agg(F.count_if(F.col("d") > 0).alias("p"), F.count_if(F.col("d") == 0).alias("n")).collect()
     assert {r.pid: (r.p, r.n) for r in got} == {"hot": (50, 50), "p1": (10, 0)}
     with pytest.raises(Exception, match="too few negatives"):
         SM.matched_negatives(annotations(spark), "m", on_short="error").collect()
@@ -135,7 +135,7 @@ def test_matched_negatives(spark):
 
 def test_fixed_ratio_epoch(spark):
     ann = annotations(spark)
-    got = SM.fixed_ratio_epoch(ann, 0.25, "e", hot_rows=20)
+    got = SM.fixed_ratio_epoch(ann, 0.25, "e")
     assert got.filter("positive").count() == 60 and got.filter("not positive").count() == 180
     known = {(r.pid, r.aid) for r in ann.filter("d = 0").collect()}
     assert all((r.pid, r.aid) in known for r in got.filter("not positive").collect())

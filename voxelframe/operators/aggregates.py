@@ -18,7 +18,7 @@ HEATMAP_NORM = 32.0
 
 def as_lists(
     df: DataFrame, by: Sequence[str], order: Sequence[str], item: Column, bucket: Column,
-    chunk: int = 1024, hot_rows: int = 1_000_000,
+    chunk: int = 1024,
 ) -> DataFrame:
     """Ordered lists per group, cut into chunks of at most ``chunk`` items.
 
@@ -26,7 +26,7 @@ def as_lists(
     numbered from 0, and concatenating them in order gives the list.
     """
     ranked = rank_within(
-        df.withColumn("__item", item), by, [F.col(c) for c in order], bucket, "__i", hot_rows
+        df.withColumn("__item", item), by, [F.col(c) for c in order], bucket, "__i"
     ).withColumn("chunk", F.floor((F.col("__i") - 1) / F.lit(chunk)).cast("long"))
     return ranked.groupBy(*by, "chunk").agg(
         F.transform(

@@ -94,12 +94,12 @@ def prune(
 
 def prune_greedy(
     blobs: DataFrame, overlap: float = 0.5, by: str = "pid", cid: str = "cid", width: float = 32.0,
-    max_rounds: int = 200,
 ) -> DataFrame:
     """Greedy pruning: by size descending, then position and id, keep a blob unless it overlaps a kept one.
 
     Computed in rounds over all patients at once: blobs without an undecided better rival are kept,
-    the undecided ones overlapping a kept blob go. The result equals the sequential loop.
+    the undecided ones overlapping a kept blob go. The best undecided blob of a patient has no better
+    rival, so every round decides some, and the loop ends. The result equals the sequential loop.
     """
     axes = [f"__o{c}" for c in AXES]
     mine = F.struct(-F.col("sigma"), *[F.col(c) for c in AXES], F.col(cid))
@@ -107,16 +107,14 @@ def prune_greedy(
     reach = F.col("__osigma") * F.lit(2 * math.sqrt(3))
     undecided = cut(_one_per_place(blobs, by, cid, F.min_by))
     kept = undecided.limit(0)
-    for _ in range(max_rounds):
-        if undecided.isEmpty():
-            return kept
+    while not undecided.isEmpty():
         rivals = _rival(undecided, by, cid)
         won = cut(drop_when_near(undecided, rivals, [by], AXES, axes, reach, width, _conflict(overlap, other < mine)))
         rest = undecided.join(won.select(by, cid), [by, cid], "left_anti")
         winners = _rival(won, by, cid)
         undecided = cut(drop_when_near(rest, winners, [by], AXES, axes, reach, width, _conflict(overlap, other < mine)))
         kept = kept.unionByName(won)
-    raise RuntimeError("pruning did not settle; raise max_rounds")
+    return kept
 
 
 # --- close neighbours ------------------------------------------------------------------------

@@ -226,7 +226,6 @@ def convex_hull(mask: DataFrame, axis: str = "z", by: Sequence[str] = ("pid",))
 
 def prune_by_overlap(
     mask: DataFrame, middle: int | Column, min_pixels: int = 7, min_share: float = 0.015, by: str = "pid",
-    max_rounds: int = 2000,
 ) -> DataFrame:
     """Drop slice regions with too little overlap with what is left of the next slice towards the middle.
 
@@ -248,7 +247,7 @@ def prune_by_overlap(
         child.join(inner, [by, "__inner", "y", "x"]).groupBy(by, "label", "parent").agg(F.count(F.lit(1)).alias("n"))
     )
     alive, n_alive = regions.select(by, "label"), regions.count()
-    for _ in range(max_rounds):
+    while True:  # a round drops a region or is the last
         living = alive.select(by, F.col("label").alias("parent"))
         total = overlaps.join(living, [by, "parent"], "left_semi").groupBy(by, "label").agg(F.sum("n").alias("total"))
         held = regions.join(total, [by, "label"], "left").filter(
@@ -259,4 +258,3 @@ def prune_by_overlap(
         if now == n_alive:
             return labelled.join(alive, [by, "label"], "left_semi").select(by, *AXES)
         n_alive = now
-    raise RuntimeError("overlap pruning did not settle; raise max_rounds")

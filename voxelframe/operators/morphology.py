@@ -2,8 +2,9 @@
 
 Disks act per slice on *dense* tables (every grid position has a row): a disk is a stack of horizontal
 runs, so one window along x gives the extreme over each run length and one window along y combines the
-runs. Both windows partition by single lines of a slice, so even one enormous scan spreads over many
-tasks, and nothing is multiplied by the size of the disk. Positions outside the grid are ignored.
+runs. The rows are placed by slice once, which serves the windows of all filters of a chain; even one
+enormous scan spreads over as many tasks as it has slices, and nothing is multiplied by the size of the
+disk. Positions outside the grid are ignored.
 
 Small 3-D structures act on *sparse* masks (only set voxels have rows) by repeating each voxel once per
 offset.
@@ -26,15 +27,25 @@ def run_widths(radius: int) -> dict[int, int]:
     return {dy: math.isqrt(radius * radius - dy * dy) for dy in range(-radius, radius + 1)}
 
 
-def disk_extreme(dense: DataFrame, value: str, radius: int, largest: bool, by: str = "pid") -> DataFrame:
-    """Replace the value by its maximum (dilation) or minimum (erosion) over a disk in the slice."""
+def by_slice(dense: DataFrame, by: str = "pid") -> DataFrame:
+    """The table placed by slices: what all disk filters after it need, so they shuffle no more."""
+    return dense.repartition(by, "z")
+
+
+def disk_extreme(
+    dense: DataFrame, value: str, radius: int, largest: bool, by: str = "pid", placed: bool = False
+) -> DataFrame:
+    """Replace the value by its maximum (dilation) or minimum (erosion) over a disk in the slice.
+
+    ``placed`` says that the table comes from :func:`by_slice` or from a disk filter.
+    """
     if radius == 0:
         return dense
     agg, pick = (F.max, F.greatest) if largest else (F.min, F.least)
     widths = run_widths(radius)
     along_x = Window.partitionBy(by, "z", "y").orderBy("x")
     along_y = Window.partitionBy(by, "z", "x").orderBy("y")
-    out = dense.withColumns({
+    out = (dense if placed else by_slice(dense, by)).withColumns({
         f"__run{w}": agg(value).over(along_x.rangeBetween(-w, w)) for w in sorted(set(widths.values()))
     })
     parts = [agg(f"__run{w}").over(along_y.rangeBetween(dy, dy)) for dy, w in widths.items()]
@@ -42,21 +53,21 @@ def disk_extreme(dense: DataFrame, value: str, radius: int, largest: bool, by: s
     return out.drop(*[c for c in out.columns if c.startswith("__run")])
 
 
-def dilate_disk(dense: DataFrame, value: str, radius: int, by: str = "pid") -> DataFrame:
-    return disk_extreme(dense, value, radius, True, by)
+def dilate_disk(dense: DataFrame, value: str, radius: int, by: str = "pid", placed: bool = False) -> DataFrame:
+    return disk_extreme(dense, value, radius, True, by, placed)
 
 
-def erode_disk(dense: DataFrame, value: str, radius: int, by: str = "pid") -> DataFrame:
-    return disk_extreme(dense, value, radius, False, by)
+def erode_disk(dense: DataFrame, value: str, radius: int, by: str = "pid", placed: bool = False) -> DataFrame:
+    return disk_extreme(dense, value, radius, False, by, placed)
 
 
-def open_disk(dense: DataFrame, value: str, radius: int, by: str = "pid") -> DataFrame:
-    return dilate_disk(erode_disk(dense, value, radius, by), value, radius, by)
+def open_disk(dense: DataFrame, value: str, radius: int, by: str = "pid", placed: bool = False) -> DataFrame:
+    return dilate_disk(erode_disk(dense, value, radius, by, placed), value, radius, by, radius > 0 or placed)
 
 
-def close_disk(dense: DataFrame, value: str, radius: int, by: str = "pid") -> DataFrame:
+def close_disk(dense: DataFrame, value: str, radius: int, by: str = "pid", placed: bool = False) -> DataFrame:
     """Maximum, then minimum: for grey values and masks alike."""
-    return erode_disk(dilate_disk(dense, value, radius, by), value, radius, by)
+    return erode_disk(dilate_disk(dense, value, radius, by, placed), value, radius, by, radius > 0 or placed)
 
 
 # --- sparse 3-D structures -------------------------------------------------------------------

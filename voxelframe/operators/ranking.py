@@ -52,11 +52,11 @@ def by_bounded_malignancy(layout: HeadLayout, features: str = "features") -> Col
 
 def rank_candidates(
     df: DataFrame, score: str = "p", by: str = "pid", cid: str = "cid", out: str = "rank",
-    step: float = 1 / 256, hot_rows: int = 1_000_000,
+    step: float = 1 / 256,
 ) -> DataFrame:
-    """Rank by score descending, ties by id. ``step`` is the score range of one bucket of a hot group."""
+    """Rank by score descending, ties by id. ``step`` is the score range of one bucket of a group."""
     bucket = value_bucket(-F.col(score), step)
-    return rank_within(df, [by], [F.desc(score), F.asc(cid)], bucket, out, hot_rows)
+    return rank_within(df, [by], [F.desc(score), F.asc(cid)], bucket, out)
 
 
 def top_n(

@@ -17,17 +17,15 @@ from voxelframe.functions.hashing import uniform, uniform_between
 from voxelframe.operators.ranking import top_n
 from voxelframe.plans.ordered import hash_bucket, rank_within
 
-HOT_ROWS = 1_000_000
-
 
 def shuffle_rank(
     df: DataFrame, seed: str, keys: Sequence[str], by: Sequence[str] = (), out: str = "rank",
-    buckets: int = 256, hot_rows: int | None = None,
+    buckets: int = 256,
 ) -> DataFrame:
     """Random order per group (or overall), from 1."""
     drawn = df.withColumn("__u", uniform(seed, *keys))
     order = [F.asc("__u"), *[F.asc(k) for k in keys]]
-    return rank_within(drawn, by, order, hash_bucket(F.col("__u"), buckets), out, hot_rows).drop("__u")
+    return rank_within(drawn, by, order, hash_bucket(F.col("__u"), buckets), out).drop("__u")
 
 
 def stratified_holdout(df: DataFrame, share: float, seed: str, key: str = "pid", label: str = "label") -> DataFrame:
@@ -55,7 +53,7 @@ def shards(df: DataFrame, n: int, order: Sequence[str], bucket: Column, out: str
 
 def matched_negatives(
     annotations: DataFrame, seed: str, by: str = "pid", key: str = "aid", diameter: str = "d",
-    on_short: str = "take_all", hot_rows: int = HOT_ROWS,
+    on_short: str = "take_all",
 ) -> DataFrame:
     """All positives and, per patient, as many random negatives without replacement.
 
@@ -65,7 +63,7 @@ def matched_negatives(
     pos = annotations.filter(F.col(diameter) > 0)
     neg = annotations.filter(F.col(diameter) == 0)
     wanted = pos.groupBy(by).agg(F.count(F.lit(1)).alias("__want"))
-    ranked = shuffle_rank(neg, seed, [by, key], [by], "__r", hot_rows=hot_rows).join(wanted, by)
+    ranked = shuffle_rank(neg, seed, [by, key], [by], "__r").join(wanted, by)
     chosen = ranked.filter(F.col("__r") <= F.col("__want")).drop("__r", "__want")
     if on_short == "error":
         have = neg.groupBy(by).agg(F.count(F.lit(1)).alias("__have"))
@@ -142,7 +140,6 @@ def two_pool_batches(
 
 def fixed_ratio_epoch(
     annotations: DataFrame, share: float, seed: str, by: str = "pid", key: str = "aid", diameter: str = "d",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All positives plus negatives drawn with replacement up to the wanted share of positives.
 
@@ -165,7 +162,7 @@ def fixed_ratio_epoch(
     picked = draws.join(patients, "__patient").withColumn(
         "__item", (F.floor(F.col("__v") * F.col("__n")) + 1).cast("long")
     )
-    numbered = shuffle_rank(neg.select(by, key), seed, [by, key], [by], "__item", hot_rows=hot_rows)
+    numbered = shuffle_rank(neg.select(by, key), seed, [by, key], [by], "__item")
     negatives = picked.join(numbered, [by, "__item"]).select(by, key, "draw", F.lit(False).alias("positive"))
     return pos.select(by, key, F.lit(None).cast("long").alias("draw"), F.lit(True).alias("positive")).unionByName(negatives)
 

@@ -75,9 +75,9 @@ def _body_values(dense: DataFrame, threshold: float, body: int, close: int, valu
     filled = C.fill_holes(dense, F.col(value) > threshold, F.col("ny"), F.col("nx"), [by, "nz", "ny", "nx"])
     keys = [by, *AXES]
     marked = dense.join(filled.select(*keys, F.lit(1).alias("__in")), keys, "left").withColumn("__in", F.coalesce("__in", F.lit(0)))
-    core = M.erode_disk(marked, "__in", body, by)
+    core = M.erode_disk(M.by_slice(marked, by), "__in", body, by, placed=True)
     inside = core.withColumn(value, F.col(value) * F.col("__in")).drop("__in")
-    return M.close_disk(inside, value, close, by)
+    return M.close_disk(inside, value, close, by, placed=True)
 
 
 def lung_mask_body(
@@ -89,7 +89,7 @@ def lung_mask_body(
     ``dense`` has every grid position with its value and the columns nz, ny, nx.
     """
     closed = _body_values(dense, threshold, body, close, value, by)
-    return M.erode_disk(closed, value, wall, by).filter(F.col(value) < threshold).select(by, *AXES)
+    return M.erode_disk(closed, value, wall, by, placed=True).filter(F.col(value) < threshold).select(by, *AXES)
 
 
 def lung_mask_linked(
