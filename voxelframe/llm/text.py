@@ -230,9 +230,14 @@ def to_long(h: np.ndarray) -> np.ndarray:
 
 
 def sized(df: DataFrame, per_piece: int) -> int:
-    """How many pieces of about ``per_piece`` stored bytes the table makes, by the planner's own size of it."""
+    """How many pieces of about ``per_piece`` stored bytes the table makes, by the planner's own size of it.
+
+    A table of unknown size (the planner then assumes exabytes) gets the session's number of shuffle partitions.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, -(-min(size, 1 << 60) // per_piece))
+    if size >= 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // per_piece))
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """WARC archives of pages with deduplicated payloads, and the merged index of their captures.
 
 Archives are written with Spark's text writer: one record per line, the line separator being the two empty lines that end a
-record. They are plain WARC files on any store. Of pages with equal payloads (SHA-1 and length) of at least ``min_bytes`` bytes
+record. They are WARC files, compressed as a whole, on any store. Of pages with equal payloads (SHA-1 and length) of at least ``min_bytes`` bytes
 the one with the smallest id is a response; the others are revisit records that refer to it and hold no payload.
 
 Reading parses whole archives by their content lengths. The captures of each archive are sorted by URL key and time: a run.
@@ -15,6 +15,7 @@ page with the payload has an id; rows that share the smallest id of a payload ar
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -89,7 +90,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
             F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), _header("Content-Length", F.octet_length(body)), F.lit("\r\n"), body,
     )
-    joined.select(record.alias("value")).write.mode("error").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).option("compression", "none").text(path)
+    joined.select(record.alias("value")).write.mode("error").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).option("compression", "gzip").text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
@@ -122,6 +123,7 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                data = gzip.decompress(data) if name.endswith(".gz") else data
                 rows = []
                 for h, block, at in records(data):
                     payload = block.partition(b"\r\n\r\n")[2]
