@@ -27,8 +27,10 @@ def disk(d, r1, r2):
 
 
 def sphere(d, r1, r2):
-    vol = f"(pi()/(12*{d})*pow({r1}+{r2}-{d},2)*({d}*{d}+2*{d}*({r1}+{r2})-3*({r1}*{r1}+{r2}*{r2})+6*{r1}*{r2}))"
-    return f"{vol}/(4e0/3*pi()*pow(least({r1},{r2}),3))"
+    # two caps, cut by the plane of the common circle
+    plane = f"(({d}*{d}+{r1}*{r1}-{r2}*{r2})/(2*{d}))"
+    caps = "+".join(f"pi()*pow({h},2)*({r}-{h}/3)" for r, h in ((r1, f"({r1}-{plane})"), (r2, f"({r2}-{d}+{plane})")))
+    return f"({caps})/(4e0/3*pi()*pow(least({r1},{r2}),3))"
 
 
 def overlap_sql(d, s1, s2, n=3):
@@ -84,12 +86,31 @@ def greedy_input(t):
     return t.f_cand.select("pid", "cid", "z", "y", "x", (F.col("d") / 2).alias("sigma"))
 
 
-@query("can4_prune_greedy")
+def walk(order, step):
+    """SQL twin of a loop over each patient's candidates in an order, with a list of those kept so far."""
+    item = "struct_pack(cid := o.cid, z := o.z, y := o.y, x := o.x, s := o.d/2e0, p := o.p)"
+    return f"""with recursive o as (select *, row_number() over (partition by pid order by {order}) as rn from f_cand),
+walked as (select o.pid, 1::bigint as rn, [{item}] as kept from o where rn=1
+ union all select w.pid, w.rn+1, {step.replace('ITEM', item)} from walked w join o on o.pid=w.pid and o.rn=w.rn+1)
+select pid, unnest(kept).cid as cid from walked w where rn=(select count(*) from f_cand c where c.pid=w.pid)"""
+
+
+def apart(a, b, z="1e0"):
+    return f"sqrt(({a}.z-{b}.z)*({a}.z-{b}.z)*{z}*{z}+({a}.y-{b}.y)*({a}.y-{b}.y)+({a}.x-{b}.x)*({a}.x-{b}.x))"
+
+
+GREEDY = f"case when len(list_filter(w.kept, lambda q: {overlap_sql(apart('o', 'q'), 'q.s', '(o.d/2e0)')} > 0.2))=0 then list_append(w.kept, ITEM) else w.kept end"
+NEAR = f"list_position(list_transform(w.kept, lambda q: {apart('o', 'q', str(B.MERGE_Z_SCALE))} < {B.MERGE_DISTANCE}), true)"
+MERGE = f"""case when coalesce({NEAR},0)=0 then list_append(w.kept, ITEM)
+ when o.p > w.kept[{NEAR}].p then list_append(list_concat(w.kept[1:{NEAR}-1], w.kept[{NEAR}+1:]), ITEM) else w.kept end"""
+
+
+@query("can4_prune_greedy", walk("d desc, z, y, x, cid", GREEDY))
 def _(t):
     return B.prune_greedy(greedy_input(t), 0.2, width=64.0).select("pid", "cid")
 
 
-@query("can5_merge_close")
+@query("can5_merge_close", walk("cid", MERGE))
 def _(t):
     return B.merge_close(t.f_cand.select("pid", "cid", "z", "y", "x", "p")).select("pid", "cid")
 
