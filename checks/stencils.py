@@ -246,7 +246,8 @@ def axis_pass(src, axis, d, out):
 GAUSS = f"{axis_pass('vox', 'x', 0, 'gx')}, {axis_pass('gx', 'y', 0, 'gxy')}, {axis_pass('gxy', 'z', 0, 'g')}"
 DOG_S = SS.dog_sigmas(1, 4)
 LOG_S = SS.log_sigmas(1, 3, 3)
-DOG = f"""{weights_sql(DOG_S)}, {GAUSS}, space as (select a.pid, a.z, a.y, a.x, a.s as level, (a.v-b.v)*sigma as v from g a join g b on b.pid=a.pid and b.z=a.z and b.y=a.y and b.x=a.x and b.s=a.s+1 join sig on sig.s=a.s)"""
+DOG = f"""{weights_sql(DOG_S)}, {GAUSS}, space as (select pid, z, y, x, q.s as level, (v-next_v)*sigma as v
+ from (select *, lead(v) over (partition by pid, z, y, x order by s) as next_v from g) q join sig on sig.s=q.s where next_v is not null)"""
 LOG = f"""{weights_sql(LOG_S)}, {GAUSS}, {axis_pass('vox', 'x', 2, 'hx')}, {axis_pass('hx', 'y', 0, 'hxy')}, {axis_pass('hxy', 'z', 0, 'lx')},
  {axis_pass('gx', 'y', 2, 'hy')}, {axis_pass('hy', 'z', 0, 'ly')}, {axis_pass('gxy', 'z', 2, 'lz')},
  space as (select pid, z, y, x, u.s as level, -sum(v)*max(sigma)*max(sigma) as v from (select * from lx union all by name select * from ly union all by name select * from lz) u join sig on sig.s=u.s group by pid, z, y, x, u.s)"""
