@@ -10,10 +10,6 @@ from voxelframe.operators import sampling as SM
 from voxelframe.plans.ordered import value_bucket
 
 
-def labelled_candidates():
-    return "select pid, cid, p from f_cand"
-
-
 @query("smp1_stratified_holdout", f"""
 select pid, label, case when row_number() over (partition by label order by {U('final','pid')}, pid)
  <= round_even(0.15e0*count(*) over (partition by label),0) then 'test' else 'train' end as split from f_label_a""")

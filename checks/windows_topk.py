@@ -135,7 +135,7 @@ def _(t):
     out = SL.thickness_check(s, SL.principal_line(mid_pixels(t)))
     return out.select(
         "pid", r6("by_position").alias("by_position"), r6("by_location").alias("by_location"),
-        F.size("line_gaps").cast("long").alias("n_gaps"), r6(F.array_max("line_gaps")).alias("max_gap"),
+        "n_gaps", r6("max_gap").alias("max_gap"),
     )
 
 

@@ -23,7 +23,9 @@ BITS = 20  # coordinates are below 2^20 - 1
 
 
 def packed(z: Column, y: Column, x: Column) -> Column:
-    return F.shiftleft(z.cast("long"), 2 * BITS) + F.shiftleft(y.cast("long"), BITS) + x.cast("long")
+    fits = (F.least(z, y, x) >= 0) & (F.greatest(z, y, x) < 2**BITS)
+    code = F.shiftleft(z.cast("long"), 2 * BITS) + F.shiftleft(y.cast("long"), BITS) + x.cast("long")
+    return F.when(fits, code).otherwise(F.raise_error(F.lit("a coordinate has more than 20 bits")).cast("long"))
 
 
 def _forward(offsets: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -113,7 +113,7 @@ def thickness_check(
     by: str = "pid", sid: str = "sid",
 ) -> DataFrame:
     """Slice thickness three ways: first gap by position, by slice location (0 when missing), and
-    the set of gaps along the principal line."""
+    the number of different gaps along the principal line (to six places) with the largest."""
     ordered = order_slices(slices, position, by, sid).filter("slice_no < 2")
     first = ordered.groupBy(by).agg(
         F.abs(F.max(F.when(F.col("slice_no") == 1, F.col("gap")))).alias("by_position"),
@@ -125,7 +125,6 @@ def thickness_check(
             F.lit(0.0),
         ).alias("by_location"),
     )
-    gaps = order_slices(line, "line_pos", by, sid).groupBy(by).agg(
-        F.collect_set(F.round("gap", 6)).alias("line_gaps")
-    )
+    different = order_slices(line, "line_pos", by, sid).select(by, F.round("gap", 6).alias("gap")).distinct()
+    gaps = different.groupBy(by).agg(F.count("gap").alias("n_gaps"), F.max("gap").alias("max_gap"))
     return first.join(gaps, by)

@@ -21,7 +21,7 @@ AXES = ("z", "y", "x")
 def _detect(voxels, shapes, sigmas, form, threshold, overlap, value, by, slab) -> DataFrame:
     peaks = S.local_maxima(voxels, shapes, sigmas, form, threshold, value, by, slab)
     # ids follow the raster order of (z, y, x, level)
-    code = C.packed(*[F.col(c) for c in AXES]) * 64 + F.col("level")
+    code = C.packed(*[F.col(c) for c in AXES]) * F.lit(len(sigmas) + 1) + F.col("level")
     blobs = peaks.select(by, code.alias("cid"), *[F.col(c).cast("double").alias(c) for c in AXES], "sigma")
     # pruning reads the blobs from both sides; the scale space must not be computed twice
     return B.prune(cut(blobs), overlap, by)

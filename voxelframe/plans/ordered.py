@@ -27,10 +27,6 @@ def value_bucket(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(float(width))).cast("long")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on equal keys, NULL equal to NULL, keeping one copy of the keys."""
     renamed = right.select([F.col(c).alias(f"__r_{c}" if c in keys else c) for c in right.columns])
