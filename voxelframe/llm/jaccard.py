@@ -8,7 +8,7 @@ that small. Very small sets, which may differ in one member, have tiles of thems
 parts make no tile; a set with more than ``e`` of them, rare by the choice of ``e``, has tiles for these too. No link between
 different sets can escape the tiles, and what merely shares a common passage doesn't meet in one.
 
-Tiles are resolved in two rounds, so that a large group of copies costs no pairs: first every member with the tile's smallest,
+Tiles are resolved in two rounds, so that a large group of copies costs no pairs: first every member with the tile's centre,
 then, where a tile still holds several components, members of different components in cells of bounded size. A pair is a
 candidate if the bit counts of the two signatures leave room for enough overlap; candidates are checked by intersecting the
 sorted arrays. Components are those of all verified links.
@@ -26,7 +26,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelframe.llm.shared import EXTRA, PACKED, Packer, blobs, concat, shared_pairs
@@ -40,6 +40,7 @@ GROWTH = 1.6
 PIECE_BYTES = 8 << 20
 SHARDS = 16
 LOCAL_GROUP = 8
+FEW_IDS = 1_000_000
 CELL = 1024
 WORDS_BAND, EMPTY = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -167,17 +168,24 @@ def tile_keys(g: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarr
 
 
 def bitmap_words(n: np.ndarray) -> np.ndarray:
-    """64-bit words of a signature: about one bit per member, a power of two."""
-    return 1 << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 64))).astype(np.int64)
+    """64-bit words of a signature: four to eight bits per member, a power of two."""
+    return 1 << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 16))).astype(np.int64)
+
+
+def bitmaps(g: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets, one after the other, and where each begins: bit ``mix(member) mod bits`` set for each member."""
+    n = np.diff(bounds)
+    words = bitmap_words(n)
+    begin = np.concatenate(([0], np.cumsum(words)))
+    bits = np.repeat((64 * words - 1).astype(np.uint64), n)
+    at = mix(g ^ EMPTY) & bits
+    out = np.zeros(int(begin[-1]), np.uint64)
+    np.bitwise_or.at(out, np.repeat(begin[:-1], n) + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out, begin
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """The signature of one set: bit ``mix(member) mod bits`` set for each member."""
-    w = int(bitmap_words(np.array([len(s)]))[0])
-    at = mix(s ^ EMPTY) & np.uint64(64 * w - 1)
-    out = np.zeros(w, np.uint64)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+    return bitmaps(s, np.array([0, len(s)]))[0]
 
 
 def folded(b: np.ndarray, w: int) -> np.ndarray:
@@ -207,7 +215,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-STAGED = "kind int, x long, y long, n int"  # kind 0: tile x holds class y; kind 1: document x has class y with n members
+# kind 0: tile x holds class y; kind 1: document x has class y, a set of n members with this signature
+STAGED = "kind int, x long, y long, n int, signature binary"
 
 
 def _gather(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -223,25 +232,53 @@ def _gather(docs: DataFrame, width: int, percent: int) -> DataFrame:
         known = pc.is_valid(rows.column(0)).to_numpy(zero_copy_only=False)
         ids = rows.column(0).fill_null(0).to_numpy(zero_copy_only=False)
         size = np.diff(bounds)
-        return concat([blobs(EXTRA, packer.any_shard(len(t)), ids, cls, np.where(known, size, -size - 1)), packer.add(key, cls[doc])])
+        signatures, _ = bitmaps(g, bounds)
+        row = {"kind": np.array([EXTRA]), "shard": packer.any_shard(1)}
+        parts = (ids.tobytes(), cls.tobytes() + signatures.tobytes(), np.where(known, size, -size - 1).tobytes())
+        row |= {c: pa.array([x], pa.large_binary()) for c, x in zip("abc", parts)}
+        return concat([row, packer.add(key, cls[doc])])
 
     packed = map_runs(docs, "text", run, PACKED, lambda: (Hasher(), Bands(percent), Packer(shards, LOCAL_GROUP)), lambda s: s[2].flush())
 
     def settle(batches):
-        def rows(kind, x, y, n, null=None):
-            x, y = pa.array(x.view(np.int64), mask=null), pa.array(y.view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(y), kind, np.int32)), x, y, pa.array(n.astype(np.int32))], ["kind", "x", "y", "n"])
-
+        names = ["kind", "x", "y", "n", "signature"]
         extra: list = []
         for key, cls in shared_pairs(batches, extra):
-            yield rows(0, key, cls, np.zeros(len(key)))
-        for ids, cls, n in extra:
+            m = len(key)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(key.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.binary())], names)
+        for ids, rest, n in extra:
             n = np.frombuffer(n, np.int64)
-            yield rows(1, np.frombuffer(ids, np.int64), np.frombuffer(cls, np.int64), np.where(n < 0, -n - 1, n), n < 0)
+            m, null = len(n), n < 0
+            n = np.where(null, -n - 1, n)
+            offs = np.concatenate(([0], np.cumsum(bitmap_words(n)))) * 8
+            signature = pa.Array.from_buffers(pa.large_binary(), m, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(rest[8 * m :])])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ones(m, np.int32)), pa.array(np.frombuffer(ids, np.int64), mask=null), pa.array(np.frombuffer(rest, np.int64, m)), pa.array(n.astype(np.int32)), signature.cast(pa.binary())], names
+            )
 
     return packed.repartition(pieces, "shard").mapInArrow(settle, STAGED)
 
 
+def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and signatures leave room for a link."""
+    left = signatures.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
+    right = signatures.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+
+    def check(batches):
+        for batch in batches:
+            n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                w = min(len(x), len(y))
+                if enough(int(room(folded(x, w), folded(y, w), n_a[i], n_b[i])), int(n_a[i]), int(n_b[i]), percent):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(check, "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked."""
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("set_a"))
@@ -252,11 +289,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if not enough(min(len(x), len(y)), len(x), len(y), percent):
-                    continue
-                bx, by = bitmap(x), bitmap(y)
-                w = min(len(bx), len(by))
-                if enough(int(room(folded(bx, w), folded(by, w), len(x), len(y))), len(x), len(y), percent) and enough(overlap(x, y), len(x), len(y), percent):
+                if enough(overlap(x, y), len(x), len(y), percent):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -265,7 +298,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """cls, members (sorted hashes) of the wanted classes, from one document each."""
-    ids = classes.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    ids = cut(classes.join(wanted, "cls").select(F.col("doc_id").alias("id")).distinct())
+    if ids.count() <= FEW_IDS:  # then the texts needn't be shuffled
+        ids = F.broadcast(ids)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("text")
 
     def run(hasher, rows, t):
@@ -273,50 +308,70 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) ->
         data = pa.Array.from_buffers(pa.large_binary(), len(t), [None, pa.py_buffer((bounds * 8).astype(np.int64)), pa.py_buffer(g)])
         return {"cls": to_long(class_digest(g, bounds)), "members": data}
 
-    return map_runs(texts, "text", run, "cls long, members binary", Hasher).dropDuplicates(["cls"])
+    return map_runs(texts, "text", run, "cls long, members binary", Hasher).join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def _cells(members: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between members of different components of a tile, by cells of tiles."""
+def _cells(members: DataFrame, component: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Pairs with room for a link between members of different components of a tile, by cells of tiles.
+
+    Tiles of two are left out: their only pair is that with the centre.
+    """
     placed = members.join(component, members.y == component.node, "left").select("x", "y", F.coalesce("component", "y").alias("comp"))
-    mixed = cut(placed.groupBy("x").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 != c1").select("x", "m"))
-    bands = F.ceil(F.col("m") / CELL).cast("int")
+    sizes = placed.groupBy("x").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"))
+    mixed = cut(sizes.filter("c0 != c1 and m > 2").select("x", F.ceil(F.col("m") / CELL).cast("int").alias("cells")))
     rows = (
-        placed.join(mixed, "x").join(sets.select(F.col("cls").alias("y"), "members"), "y")
-        .withColumn("cells", bands).withColumn("cell", F.pmod(F.xxhash64("y"), F.col("cells")).cast("int"))
+        placed.join(mixed, "x").join(signatures.select(F.col("cls").alias("y"), "n", "signature"), "y")
+        .withColumn("cell", F.pmod(F.xxhash64("y"), F.col("cells")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-        .select("x", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "y", "comp", "members")
+        .select("x", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "y", "comp", "n", "signature")
     )
+    keys = ["x", "i", "j"]
+
+    def compare(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            t = pa.Table.from_batches(held)
+            x = np.stack([t.column(c).to_numpy() for c in keys])
+            begin = np.flatnonzero(np.concatenate(([True], (x[:, 1:] != x[:, :-1]).any(axis=0)))) if len(t) else np.zeros(0, np.int64)
+            if len(begin) > 1:  # the last cell may go on
+                yield _cell_pairs(t.slice(0, begin[-1]), begin, percent)
+                held = t.slice(begin[-1]).to_batches()
+        t = pa.Table.from_batches(held) if held else None
+        if t is not None and len(t):
+            x = np.stack([t.column(c).to_numpy() for c in keys])
+            begin = np.flatnonzero(np.concatenate(([True], (x[:, 1:] != x[:, :-1]).any(axis=0))))
+            yield _cell_pairs(t, np.append(begin, len(t)), percent)
+
+    # a cell holds at most about two times CELL classes
+    pairs = rows.repartition(*keys).sortWithinPartitions(*keys, "n", "y").mapInArrow(compare, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def compare(key, table):
-        cell = table.column("cell").to_numpy()
-        y, comp = table.column("y").to_numpy(), table.column("comp").to_numpy()
-        sets_ = [np.frombuffer(m, np.uint64) for m in table.column("members").to_pylist()]
-        n = np.array([len(s) for s in sets_])
-        order = np.argsort(n, kind="stable")
-        cell, y, comp, n, sets_ = cell[order], y[order], comp[order], n[order], [sets_[i] for i in order.tolist()]
-        maps = [bitmap(s) for s in sets_]
-        out_a, out_b = [], []
-        i, j = key[1].as_py(), key[2].as_py()
-        for p in range(len(y)):
-            if i != j and cell[p] != i:
-                continue
-            # the partners of a size band: from the smallest to the largest that can be linked
-            lo = np.searchsorted(n, -(-percent * n[p] // 100)) if i != j else p + 1
-            hi = np.searchsorted(n, n[p] * 100 // percent, "right")
-            q = np.arange(lo, hi)
-            q = q[(comp[q] != comp[p]) & ((cell[q] == j) if i != j else True)]
-            for w in {len(maps[k]) for k in q.tolist()}:
-                at = q[[len(maps[k]) == w for k in q.tolist()]]
+
+def _cell_pairs(t: pa.Table, begin: np.ndarray, percent: int) -> pa.RecordBatch:
+    """Possible pairs of the cells that begin at these rows; rows of a cell are sorted by size."""
+    i, j, cell, y, comp, n = (t.column(c).to_numpy() for c in ("i", "j", "cell", "y", "comp", "n"))
+    n = n.astype(np.int64)
+    maps = [np.frombuffer(m, np.uint64) for m in t.column("signature").to_pylist()]
+    width = np.array([len(m) for m in maps])
+    out_a, out_b = [], []
+    for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        for p in range(lo, hi):
+            # the partners of a size band: up to the largest that can be linked, each pair from its smaller side
+            q = np.arange(p + 1, lo + int(np.searchsorted(n[lo:hi], n[p] * 100 // percent, "right")))
+            q = q[(comp[q] != comp[p]) & ((cell[q] != cell[p]) if i[p] != j[p] else True)]
+            for w in np.unique(width[q]).tolist():
+                at = q[width[q] == w]
                 v = min(w, len(maps[p]))
                 both = folded(np.stack([maps[k] for k in at.tolist()]), v)
                 good = at[enough(room(both, folded(maps[p], v), n[at], n[p]), n[at], n[p], percent)]
                 out_a += [y[p]] * len(good)
                 out_b += y[good].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+    return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    pairs = rows.groupBy("x", "i", "j").applyInArrow(compare, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -324,17 +379,29 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     slim = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     staged = cut(_gather(slim, width, percent))
     rows = staged.filter("kind = 1").select(F.col("x").alias("doc_id"), F.col("y").alias("cls"), "n")
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    members = staged.filter("kind = 0").select("x", "y")
-    centres = cut(members.groupBy("x").agg(F.min("y").alias("low"), F.max("y").alias("high")).filter("low != high").select("x", "low"))
-    pairs = cut(members.join(centres, "x").filter("y != low").select(F.col("low").alias("a"), F.col("y").alias("b")).distinct())
-    wanted = members.join(centres, "x").select(F.col("y").alias("cls")).distinct()
-    sets = cut(_sets(slim, classes, wanted, width))
+    described = cut(staged.filter("kind = 1 and n > 0").groupBy(F.col("y").alias("cls")).agg(F.min("x").alias("doc_id"), F.max("n").alias("n"), F.max("signature").alias("signature")))
+    classes, signatures = described.select("cls", "doc_id"), described.select("cls", "n", "signature")
+    # a class that agrees in many tiles is near the middle of its group: the centre of a tile is the one with the most
+    pairs_ = cut(staged.filter("kind = 0").select("x", "y").distinct())
+    degree = cut(pairs_.groupBy("y").agg(F.count(F.lit(1)).alias("degree")))
+    ranked = pairs_.join(degree, "y").select("x", "y", F.struct(-F.col("degree"), F.col("y").alias("y")).alias("order"))
+    # tiles with the same members, as all those of two near copies, are one
+    digest = [F.count(F.lit(1)), F.expr("bit_xor(xxhash64(y))"), F.expr("bit_xor(xxhash64(y, 1))")]
+    tiles = ranked.groupBy("x").agg(F.min("order").alias("o"), *[d.alias(f"d{i}") for i, d in enumerate(digest)]).filter("d0 > 1")
+    centres = cut(tiles.groupBy("d0", "d1", "d2").agg(F.min(F.struct("x", F.col("o.y").alias("centre"))).alias("t")).select("t.*"))
+    members = cut(pairs_.join(centres, "x"))
+    stars = members.filter("y != centre").select(F.least("centre", "y").alias("a"), F.greatest("centre", "y").alias("b")).distinct()
+    pairs = cut(_possible(stars, signatures, percent))
+    members = members.select("x", "y")
+    sets = cut(_sets(slim, classes, _ends(pairs), width))
     links = cut(_verify(pairs, sets, percent))
     component = cut(connected_components(links, "a", "b"))
-    more = cut(_verify(_cells(members.join(centres.select("x"), "x"), component, sets, percent), sets, percent))
+    more = cut(_cells(members, component, signatures, percent))
     if not more.isEmpty():
-        component = cut(connected_components(links.unionByName(more), "a", "b"))
+        known = sets.select("cls")
+        rest = cut(_sets(slim, classes, _ends(more).join(known, "cls", "left_anti"), width))
+        links = links.unionByName(cut(_verify(more, sets.unionByName(rest), percent)))
+        component = cut(connected_components(links, "a", "b"))
     of_class = cut(classes.join(component, classes.cls == component.node, "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component")))
     lows = cut(of_class.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     found = cut(of_class.join(lows, "component").select("cls", "component_id"))
@@ -342,3 +409,20 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id"),
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """The rows of the table, all columns as they are, without near duplicates.
+
+    Of each component the row with its smallest id stays; of rows that repeat this id, the one with the smallest text hash, and of
+    whole copies one. Rows without an id stay, and so do rows without a set, copies of their id and text excepted.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, body = names[docs.columns.index(doc_id)], names[docs.columns.index(text)]
+    tagged = docs.toDF(*names).withColumn("id", F.col(key).cast("long"))
+    found = components(docs, doc_id, text, percent, width)
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    # the limit to one row per id works before the shuffle, so a much repeated id is no large group
+    first = Window.partitionBy("id").orderBy(F.xxhash64(body))
+    once = tagged.filter("id is not null").withColumn("place", F.row_number().over(first)).filter("place = 1")
+    return once.join(keep, "id").select(*names).unionByName(tagged.filter("id is null").select(*names)).toDF(*docs.columns)
