@@ -22,20 +22,22 @@ from voxelframe.llm.text import BLANK, LOWER, NOT_LETTER, Hasher, covered, grams
 COMMON_SHARE = 0.002
 MAX_LANGUAGES = 26**2 + 26**3 + 1
 MIN_REFERENCE_WORDS = 2000
-MIN_CHARS = 100
+MIN_CHARS = 400
 MIN_WORDS = 60
-MAX_CLASS_DISTANCE = 0.19
+MAX_CLASS_DISTANCE = 0.20
 MAX_WORD_DISTANCE = 0.42
 
-CLASSES = 7  # a-z, A-Z, 0-9, blanks, sentence marks, other ASCII, beyond ASCII
+CLASSES = 8  # a-z, A-Z, 0-9, blanks, sentence marks, other ASCII, symbols, beyond ASCII
 CLASS = np.full(256, 5, np.uint8)
 CLASS[97:123] = 0
 CLASS[65:91] = 1
 CLASS[48:58] = 2
 CLASS[BLANK] = 3
 CLASS[[ord(c) for c in ".,;:!?'\"()-"]] = 4
-CLASS[192:] = 6
-CLASS[128:192] = 7  # inside a character
+CLASS[[ord(c) for c in "#$%&*"]] = 6
+CLASS[192:] = 7
+INSIDE = 8  # of a character
+CLASS[128:192] = INSIDE
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -48,7 +50,7 @@ def language(column: str = "lang"):
 def _classes(t) -> np.ndarray:
     """Counts of character classes by document."""
     of = np.repeat(np.arange(len(t), dtype=np.int64), np.diff(t.offs))
-    return np.bincount(of * 8 + CLASS[t.buf], minlength=8 * len(t)).reshape(-1, 8)[:, :CLASSES]
+    return np.bincount(of * 9 + CLASS[t.buf], minlength=9 * len(t)).reshape(-1, 9)[:, :CLASSES]
 
 
 def _letter_words(hasher, t):
@@ -128,7 +130,7 @@ def base_counts(hasher: Hasher, t) -> dict:
     """Word, symbol, repeated line and repeated window counts by document."""
     r = t.words()
     n_words = r.per_document()
-    chars = np.concatenate(([0], np.cumsum(CLASS[t.buf] != 7, dtype=np.int64)))
+    chars = np.concatenate(([0], np.cumsum(CLASS[t.buf] != INSIDE, dtype=np.int64)))
     h = hasher.ranges(r)
     word_chars = np.bincount(r.of, chars[r.ends] - chars[r.starts], len(t)).astype(np.int64)
     lines = t.lines()

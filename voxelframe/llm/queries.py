@@ -53,11 +53,12 @@ with d as (
     from (select doc_id, lang, n from long_docs) l join word_ref r using (lang) left join doc_words w on w.doc_id = l.doc_id and w.w = r.w
   ) group by doc_id
 ), cls as (
-  select doc_id, lang, unnest([0, 1, 2, 3, 4, 5, 6]) as c, unnest([
+  select doc_id, lang, unnest([0, 1, 2, 3, 4, 5, 6, 7]) as c, unnest([
     length(regexp_replace(text, '[^a-z]', '', 'g')), length(regexp_replace(text, '[^A-Z]', '', 'g')),
     length(regexp_replace(text, '[^0-9]', '', 'g')), length(regexp_replace(text, '[^{BLANKS}]', '', 'g')),
     length(regexp_replace(text, '[^.,;:!?''"()-]', '', 'g')),
-    length(regexp_replace(text, '[^\x00-\x08\x0E-\x1F#$%&*+/<=>@\[\\\]^_`{{|}}~\x7F]', '', 'g')),
+    length(regexp_replace(text, '[^\x00-\x08\x0E-\x1F+/<=>@\[\\\]^_`{{|}}~\x7F]', '', 'g')),
+    length(regexp_replace(text, '[^#$%&*]', '', 'g')),
     length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))]) as n
   from d
 ), class_ref as (
