@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm.text import IdCache, map_runs, only, sized
+from voxelframe.llm.text import IdCache, map_runs, only, sized, spread
 from voxelframe.session import scratch_path
 
 BLOCK = 128
@@ -133,54 +133,76 @@ class Segment:
 # words of plain letters with ASCII marks behind them: one or two parts to the tokenizer, whatever its Unicode tables
 PLAIN = "([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\\[-`{-~]*)"
 
+# The text handling of a tokenizer under which plain words have these parts
+LOWER_WORDS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 
 def _tokenizer(definition: str) -> IdCache:
     """Ids of words by the tokenizers library.
 
-    Plain words are encoded many at a time, joined by blanks, and told apart by the tokens that end a part; the others, and
-    all words of a tokenizer without such tokens, one at a time.
+    If the tokenizer lowers its text and splits it as :data:`WORD_PARTS` says, the distinct parts of plain words are encoded
+    many at a time, joined by blanks, by the same model without that text handling, and told apart by the tokens that end
+    a part. All other words, and all words of other tokenizers, are encoded as they are.
     """
     import json
     import os
     import re
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     t = Tokenizer.from_str(definition)
     t.encode_special_tokens = True
+    d = json.loads(definition)
+    split = ((d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+    suffix = d["model"].get("end_of_word_suffix")
+    simple = bool(suffix) and split == WORD_PARTS and (d.get("normalizer") or {}).get("normalizers") == LOWER_WORDS
     vocabulary = t.get_vocab()
-    suffix = json.loads(definition)["model"].get("end_of_word_suffix")
     closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
     closes[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
     plain = re.compile(PLAIN).fullmatch
+    lean = Tokenizer.from_str(definition)
+    if simple:
+        lean.encode_special_tokens = True
+        lean.normalizer = None
+        lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def singly(words: list[str]):
         got = [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
         lens = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.int32, int(lens.sum())), lens
 
-    def joined(words: list[str], parts: np.ndarray):
-        got = t.encode_batch_fast([" ".join(words[lo : lo + 512]) for lo in range(0, len(words), 512)], add_special_tokens=False)
+    def joined(words: list[str], found: list):
+        parts: dict[str, int] = {}
+        first = np.fromiter((parts.setdefault(m[1].lower(), len(parts)) for m in found), np.int64, len(found))
+        second = np.fromiter((parts.setdefault(m[2], len(parts)) if m[2] else -1 for m in found), np.int64, len(found))
+        names = list(parts)
+        got = lean.encode_batch_fast([" ".join(names[lo : lo + 512]) for lo in range(0, len(names), 512)], add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.int32)
         ends = np.flatnonzero(closes[ids]) + 1
-        if len(ends) != parts.sum():
+        if len(ends) != len(names):
             return singly(words)
-        ends = ends[np.cumsum(parts) - 1]
-        return ids, np.diff(ends, prepend=0)
+        lens = np.diff(ends, prepend=0)
+        starts = ends - lens
+        both = np.stack((first, second), axis=1).ravel()
+        both_lens = np.where(both >= 0, lens[both], 0)
+        return ids[spread(starts[both], both_lens)], both_lens.reshape(-1, 2).sum(axis=1)
 
     def encode(strings: list[bytes]):
-        lens, flat = np.zeros(len(strings), np.int64), []
-        for lo in range(0, len(strings), 1 << 14):  # an encoding holds far more than its ids
-            words = [w.decode() for w in strings[lo : lo + (1 << 14)]]
-            found = [plain(w) for w in words] if suffix else [None] * len(words)
-            parts = np.fromiter((1 + bool(m[2]) if m else 0 for m in found), np.int64, len(found))
-            easy, hard = np.flatnonzero(parts), np.flatnonzero(parts == 0)
+        lens, flat = np.zeros(len(strings), np.int64), [np.zeros(0, np.int32)]
+        for lo in range(0, len(strings), 1 << 15):  # an encoding holds far more than its ids
+            words = [w.decode() for w in strings[lo : lo + (1 << 15)]]
+            found = list(map(plain, words)) if simple else [None] * len(words)
+            easy = np.fromiter((m is not None for m in found), bool, len(found))
             n = np.zeros(len(words), np.int64)
-            ids_e, n[easy] = joined([words[i] for i in easy.tolist()], parts[easy]) if len(easy) else (np.zeros(0, np.int32), 0)
-            ids_h, n[hard] = singly([words[i] for i in hard.tolist()]) if len(hard) else (np.zeros(0, np.int32), 0)
+            ids_e = ids_h = flat[0]
+            if easy.any():
+                ids_e, n[easy] = joined([w for w, m in zip(words, found) if m], [m for m in found if m])
+            if not easy.all():
+                ids_h, n[~easy] = singly([w for w, m in zip(words, found) if not m])
             out = np.empty(int(n.sum()), np.int32)
-            is_easy = np.repeat(parts > 0, n)
+            is_easy = np.repeat(easy, n)
             out[is_easy], out[~is_easy] = ids_e, ids_h
             flat.append(out)
             lens[lo : lo + len(words)] = n
