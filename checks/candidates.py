@@ -86,13 +86,13 @@ def greedy_input(t):
     return t.f_cand.select("pid", "cid", "z", "y", "x", (F.col("d") / 2).alias("sigma"))
 
 
-def walk(order, step):
+def walk(order, step, table="f_cand", out="cid"):
     """SQL twin of a loop over each patient's candidates in an order, with a list of those kept so far."""
     item = "struct_pack(cid := o.cid, z := o.z, y := o.y, x := o.x, s := o.d/2e0, p := o.p)"
-    return f"""with recursive o as (select *, row_number() over (partition by pid order by {order}) as rn from f_cand),
+    return f"""with recursive o as (select *, row_number() over (partition by pid order by {order}) as rn from {table}),
 walked as (select o.pid, 1::bigint as rn, [{item}] as kept from o where rn=1
  union all select w.pid, w.rn+1, {step.replace('ITEM', item)} from walked w join o on o.pid=w.pid and o.rn=w.rn+1)
-select pid, unnest(kept).cid as cid from walked w where rn=(select count(*) from f_cand c where c.pid=w.pid)"""
+select pid, unnest(kept).{out} as {out} from walked w where rn=(select count(*) from {table} c where c.pid=w.pid)"""
 
 
 def apart(a, b, z="1e0"):
@@ -100,9 +100,10 @@ def apart(a, b, z="1e0"):
 
 
 GREEDY = f"case when len(list_filter(w.kept, lambda q: {overlap_sql(apart('o', 'q'), 'q.s', '(o.d/2e0)')} > 0.2))=0 then list_append(w.kept, ITEM) else w.kept end"
-NEAR = f"list_position(list_transform(w.kept, lambda q: {apart('o', 'q', str(B.MERGE_Z_SCALE))} < {B.MERGE_DISTANCE}), true)"
-MERGE = f"""case when coalesce({NEAR},0)=0 then list_append(w.kept, ITEM)
- when o.p > w.kept[{NEAR}].p then list_append(list_concat(w.kept[1:{NEAR}-1], w.kept[{NEAR}+1:]), ITEM) else w.kept end"""
+def merge_step(distance=B.MERGE_DISTANCE):
+    near = f"list_position(list_transform(w.kept, lambda q: {apart('o', 'q', str(B.MERGE_Z_SCALE))} < {distance}), true)"
+    return f"""case when coalesce({near},0)=0 then list_append(w.kept, ITEM)
+ when o.p > w.kept[{near}].p then list_append(list_concat(w.kept[1:{near}-1], w.kept[{near}+1:]), ITEM) else w.kept end"""
 
 
 @query("can4_prune_greedy", walk("d desc, z, y, x, cid", GREEDY))
@@ -110,7 +111,7 @@ def _(t):
     return B.prune_greedy(greedy_input(t), 0.2, width=64.0).select("pid", "cid")
 
 
-@query("can5_merge_close", walk("cid", MERGE))
+@query("can5_merge_close", walk("cid", merge_step()))
 def _(t):
     return B.merge_close(t.f_cand.select("pid", "cid", "z", "y", "x", "p")).select("pid", "cid")
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from checks.candidates import WEIGHTS, merge_step, walk
 from checks.registry import R, U, query, r6
 from checks.sampling_labels import PICKS
 from checks.scalars import LAYOUT
@@ -10,7 +11,9 @@ from checks.windows_topk import ORDERED, UNIFORM, positioned
 from voxelframe.operators import filters as FL
 from voxelframe.operators import labels as L
 from voxelframe.operators import volume as V
+from voxelframe.operators import scoring as SC
 from voxelframe.plans import jobs as JB
+from voxelframe.plans import stages as ST
 
 
 @query("job_segmentation_patches", f"""
@@ -171,3 +174,24 @@ def _(t):
     vox = t.f_vox
     out = JB.masked_scan(vox, FL.below(vox), V.volume_shapes(vox), SPACING8, (6, 6, 6), (12.0, 12.0, 12.0))
     return out.select("pid", "z", "y", "x", r6("hu").alias("hu"), "inside")
+
+
+# a quarter of the patients is still to do; two replicas, moved by half a voxel
+STAGE_T = f"""{SHAPES}, drawn as (select pid, cid, replica, {', '.join(f"{c}+({U(f'stage-{c}','pid','cid','replica')}*2-1)*0.5e0 as {c}" for c in 'zyx')}
+ from (select *, unnest(range(2)) as replica from f_pts where pid % 4 = 0) t),
+targets as (select p.pid, cid, replica, pz, py, px, nz, ny, nx, {', '.join(f"p{c}*(6.1e0/4)/{s}e0+p.{c}-3.05e0/{s} as s{c}" for c, s in zip('zyx', SPACING8))} from drawn p join shapes using (pid), {GRID4}),
+vals as ({trilinear_sql('targets', ('cid','replica','pz','py','px'), rounded=False)}),
+one as (select pid, cid, replica, 1/(1+exp(-(sum(least(greatest((v+1000)/1400,0),1)*(((pz*16+py*4+px+1)*7) % 11-5)/10e0)+0.25))) as p from vals group by pid, cid, replica),
+means as (select pid, cid, avg(p) as p, count(*) as n_replicas from one group by pid, cid),
+scored as (select f.pid, f.cid, f.z, f.y, f.x, f.d, m.p, m.n_replicas from f_pts f join means m on m.pid=f.pid and m.cid=f.cid)"""
+
+
+@query("stage_scores", f"""with recursive {STAGE_T}, {walk('cid', merge_step(2.0), 'scored').removeprefix('with recursive ').replace('select pid, unnest', ', kept_ as (select pid, unnest', 1)})
+select s.pid, s.cid, {R('s.p')} as p, s.n_replicas, row_number() over (partition by s.pid order by s.p desc, s.cid) as rank from scored s join kept_ using (pid, cid)""")
+def _(t):
+    vox = t.f_vox
+    done = t.f_pts.filter("pid % 4 <> 0").select("pid")
+    out = ST.stage_scores(
+        t.f_pts, vox, V.volume_shapes(vox), SPACING8, (4, 4, 4), (6.1, 6.1, 6.1), SC.LinearSigmoid(WEIGHTS, 0.25), done, 2, 0.5, "stage", distance=2.0
+    )
+    return out.select("pid", "cid", r6("p").alias("p"), "n_replicas", "rank")
