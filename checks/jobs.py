@@ -6,6 +6,7 @@ from checks.candidates import WEIGHTS, merge_step, walk
 from checks.registry import R, U, query, r6
 from checks.sampling_labels import PICKS
 from checks.scalars import LAYOUT
+from checks.stencils import DOG_S, DOG_STEPS, peaks_sql, pruned_sql, weights_sql
 from checks.volumes import AUG, SHAPES, SPACING8, trilinear_sql
 from checks.windows_topk import ORDERED, UNIFORM, positioned
 from voxelframe.operators import filters as FL
@@ -195,3 +196,27 @@ def _(t):
         t.f_pts, vox, V.volume_shapes(vox), SPACING8, (4, 4, 4), (6.1, 6.1, 6.1), SC.LinearSigmoid(WEIGHTS, 0.25), done, 2, 0.5, "stage", distance=2.0
     )
     return out.select("pid", "cid", r6("p").alias("p"), "n_replicas", "rank")
+
+
+G9 = "(select unnest(range(9)) as z) gz, (select unnest(range(9)) as y) gy, (select unnest(range(9)) as x) gx"
+STITCHED = """select pid, z+1 as z, y+1 as y, x+1 as x, v from squared where z<6 and y<6 and x<6"""
+MASKED = f"""select s.* from ({STITCHED}) s join inside using (pid, z, y, x)"""
+STAGE_C = f"""{SHAPES}, targets as (select pid, cast(z as int) as z, cast(y as int) as y, cast(x as int) as x, nz, ny, nx,
+ {', '.join(f"{c}*(12/9e0)/{s}e0+n{c}/2e0-6/{s}e0 as s{c}" for c, s in zip('zyx', SPACING8))} from shapes, {G9} where pid % 2 = 0),
+low as (select pid,z,y,x,1e0 as one from f_vox where hu < -350),
+inside as (select pid, z, y, x from ({trilinear_sql('targets', 'zyx', 'one', 'low', rounded=False)}) q where v > 0),
+squared as (select pid, z, y, x, pow(least(greatest((v+1000)/1400,0),1), 2) as v from ({trilinear_sql('targets', 'zyx', rounded=False)}) q),
+{weights_sql(DOG_S, (9, 9, 9), MASKED)}, {DOG_STEPS}, {peaks_sql('0.05')}"""
+
+
+# every second patient is still to do; the model squares its input
+@query("stage_candidates", f"""with {STAGE_C}, {pruned_sql(0.5).replace('select pid, z*1e0', ', found as (select pid, z*1e0', 1)})
+select pid, {', '.join(f"{R(f'{c}*(12/9e0)/{s}e0+n{c}/2e0-6/{s}e0')} as {c}" for c, s in zip('zyx', SPACING8))}, sigma from found join shapes using (pid)""")
+def _(t):
+    vox = t.f_vox
+    sizes = V.volume_shapes(vox)
+    out = ST.stage_candidates(
+        vox, FL.below(vox), sizes, SPACING8, (9, 9, 9), (12.0, 12.0, 12.0), lambda tiles: tiles.withColumn("v", F.col("v") * F.col("v")),
+        4, 3, sizes.filter("pid % 2 <> 0"), 1, 4, 0.05,
+    )
+    return out.select("pid", *[r6(c).alias(c) for c in "zyx"], r6("sigma").alias("sigma"))

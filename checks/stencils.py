@@ -225,16 +225,19 @@ def norm_vox(t):
     return t.f_vox.select(*KEYS, S.hu_norm("hu").alias("v"))
 
 
-def weights_sql(sigmas):
+NORM_VOX = "select pid,z,y,x,least(greatest((hu+1000)/1400e0,0),1) as v from f_vox"
+
+
+def weights_sql(sigmas, shape=VOX_SHAPE, vox=NORM_VOX):
     """Smoothing weights per axis, scale and derivative order, ends mirrored."""
     rows = ",".join(f"({i},{s!r}e0)" for i, s in enumerate(sigmas))
-    axes = " union all ".join(f"select '{c}' as axis, {n} as n" for c, n in zip("zyx", VOX_SHAPE))
+    axes = " union all ".join(f"select '{c}' as axis, {n} as n" for c, n in zip("zyx", shape))
     return f"""sig(s, sigma) as (select * from (values {rows}) v),
  ker0 as (select s, sigma, k, exp(-0.5*(k/sigma)*(k/sigma)) as w from (select s, sigma, unnest(range(-cast(floor(4*sigma+0.5) as int), cast(floor(4*sigma+0.5) as int)+1)) as k from sig) q),
  ker1 as (select s, sigma, k, w/sum(w) over (partition by s) as w from ker0),
  ker as (select s, 0 as d, k, w from ker1 union all select s, 2, k, w*(k*k/pow(sigma,4)-1/pow(sigma,2)) from ker1),
  wts as (select axis, s, d, o, case when m<n then m else 2*n-1-m end as i, sum(w) as w from (select axis, n, s, d, o, (((o+k)%(2*n))+2*n)%(2*n) as m, w from (select axis, n, unnest(range(n)) as o from ({axes}) a) b, ker) c group by 1,2,3,4,5),
- vox as (select pid,z,y,x,least(greatest((hu+1000)/1400e0,0),1) as v from f_vox)"""
+ vox as ({vox})"""
 
 
 def axis_pass(src, axis, d, out):
@@ -246,8 +249,9 @@ def axis_pass(src, axis, d, out):
 GAUSS = f"{axis_pass('vox', 'x', 0, 'gx')}, {axis_pass('gx', 'y', 0, 'gxy')}, {axis_pass('gxy', 'z', 0, 'g')}"
 DOG_S = SS.dog_sigmas(1, 4)
 LOG_S = SS.log_sigmas(1, 3, 3)
-DOG = f"""{weights_sql(DOG_S)}, {GAUSS}, space as (select pid, z, y, x, q.s as level, (v-next_v)*sigma as v
+DOG_STEPS = f"""{GAUSS}, space as (select pid, z, y, x, q.s as level, (v-next_v)*sigma as v
  from (select *, lead(v) over (partition by pid, z, y, x order by s) as next_v from g) q join sig on sig.s=q.s where next_v is not null)"""
+DOG = f"{weights_sql(DOG_S)}, {DOG_STEPS}"
 LOG = f"""{weights_sql(LOG_S)}, {GAUSS}, {axis_pass('vox', 'x', 2, 'hx')}, {axis_pass('hx', 'y', 0, 'hxy')}, {axis_pass('hxy', 'z', 0, 'lx')},
  {axis_pass('gx', 'y', 2, 'hy')}, {axis_pass('hy', 'z', 0, 'ly')}, {axis_pass('gxy', 'z', 2, 'lz')},
  space as (select pid, z, y, x, u.s as level, -sum(v)*max(sigma)*max(sigma) as v from (select * from lx union all by name select * from ly union all by name select * from lz) u join sig on sig.s=u.s group by pid, z, y, x, u.s)"""

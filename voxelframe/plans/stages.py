@@ -5,11 +5,12 @@ Both stages resume: patients with a stored result are left out before any work,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelframe.functions import affine as A
 from voxelframe.functions.hashing import uniform
 from voxelframe.functions.scalars import hu_norm
 from voxelframe.operators import blobs as B
@@ -17,6 +18,8 @@ from voxelframe.operators import joins as J
 from voxelframe.operators import ranking as RK
 from voxelframe.operators import scoring as SC
 from voxelframe.operators import volume as V
+from voxelframe.plans import detection as D
+from voxelframe.plans import jobs as JB
 
 AXES = ("z", "y", "x")
 
@@ -57,3 +60,28 @@ def stage_scores(
     placed = todo.join(means, [by, cid])
     merged = B.merge_close(placed, distance, z_scale, by, cid, "p")
     return RK.rank_candidates(merged, "p", by, cid)
+
+
+def stage_candidates(
+    voxels: DataFrame, mask: DataFrame, shapes: DataFrame, spacing: Sequence[float], grid: Sequence[int],
+    grid_mm: Sequence[float], segment: Callable[[DataFrame], DataFrame], window: int, stride: int,
+    done: DataFrame | None = None, min_sigma: float = 1.0, max_sigma: float = 15.0, threshold: float = 0.1,
+    overlap: float = 0.5, value: str = "hu", by: str = "pid",
+) -> DataFrame:
+    """Scans still to do → common grid with mask → tiles → segmentation → stitched → blobs → source voxels.
+
+    ``segment`` maps a table of tile voxels (by, tz, ty, tx, lz, ly, lx, v: normalised intensity) to the same rows with
+    the model's output as ``v``. What lies outside the mask counts as 0. Returns (by, cid, z, y, x, sigma) with positions
+    in voxels of the source scan.
+    """
+    todo = shapes if done is None else J.exclude_done(shapes, done, by)
+    scans, inside = J.keep_known(voxels, todo, by), J.keep_known(mask, todo, by)
+    placed = JB.masked_scan(scans, inside, todo, spacing, grid, grid_mm, value, by)
+    tiles = V.tile(placed.select(by, *AXES, hu_norm(F.col(value)).alias("v")), grid, window, stride).drop(*AXES)
+    scored = V.stitch(segment(tiles), grid, window, stride, "v", by)
+    masked = scored.join(placed.filter("inside").select(by, *AXES), [by, *AXES], "left_semi")
+    sizes = todo.select(by, *[F.lit(n).alias(f"n{c}") for c, n in zip(AXES, grid)])
+    blobs = D.detect_blobs_dog(masked, sizes, min_sigma, max_sigma, threshold=threshold, overlap=overlap, value="v", by=by)
+    found = blobs.join(todo.select(by, *[f"n{c}" for c in AXES]), by)
+    source = A.apply(A.scan_map([F.col(f"n{c}") for c in AXES], spacing, grid, grid_mm), [F.col(c) for c in AXES])
+    return found.select(by, "cid", *[p.alias(c) for p, c in zip(source, AXES)], "sigma")
