@@ -15,17 +15,17 @@ from pyspark.sql import functions as F
 
 from voxelframe.functions.hashing import uniform, uniform_between
 from voxelframe.operators.ranking import top_n
-from voxelframe.plans.ordered import hash_bucket, rank_within
+from voxelframe.plans.ordered import bucket_count, hash_bucket, rank_within
 
 
 def shuffle_rank(
     df: DataFrame, seed: str, keys: Sequence[str], by: Sequence[str] = (), out: str = "rank",
-    buckets: int = 256,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Random order per group (or overall), from 1."""
+    """Random order per group (or overall), from 1. The number of ``buckets`` follows the table's size."""
     drawn = df.withColumn("__u", uniform(seed, *keys))
     order = [F.asc("__u"), *[F.asc(k) for k in keys]]
-    return rank_within(drawn, by, order, hash_bucket(F.col("__u"), buckets), out).drop("__u")
+    return rank_within(drawn, by, order, hash_bucket(F.col("__u"), buckets or bucket_count(df)), out).drop("__u")
 
 
 def stratified_holdout(df: DataFrame, share: float, seed: str, key: str = "pid", label: str = "label") -> DataFrame:
@@ -38,16 +38,17 @@ def stratified_holdout(df: DataFrame, share: float, seed: str, key: str = "pid",
 
 def holdout(df: DataFrame, share: float, seed: str, key: str = "pid") -> DataFrame:
     """Mark floor(share * n) rows as ``valid``, the others as ``train``."""
-    take = int(share * df.count())
+    take = F.floor(F.lit(float(share)) * df.agg(F.count(F.lit(1))).scalar())
     ranked = shuffle_rank(df, seed, [key])
     return ranked.withColumn("split", F.when(F.col("rank") <= take, "valid").otherwise("train")).drop("rank")
 
 
 def shards(df: DataFrame, n: int, order: Sequence[str], bucket: Column, out: str = "shard") -> DataFrame:
     """Contiguous shards 1..n of floor(rows / n) each; the last takes the rest."""
-    size = df.count() // n
+    size = F.floor(df.agg(F.count(F.lit(1))).scalar() / F.lit(n))
     ranked = rank_within(df, [], [F.asc(c) for c in order], bucket, "__r")
-    shard = F.lit(n) if size == 0 else F.least(F.floor((F.col("__r") - 1) / size) + 1, F.lit(n))
+    # with fewer rows than shards all are in the last
+    shard = F.coalesce(F.least(F.floor((F.col("__r") - 1) / F.nullif(size, F.lit(0))) + 1, F.lit(n)), F.lit(n))
     return ranked.withColumn(out, shard.cast("long")).drop("__r")
 
 

@@ -18,6 +18,17 @@ from pyspark.sql import functions as F
 BUCKET = "__bucket"
 
 
+def bucket_count(df: DataFrame, per_bucket: int = 32 << 20, least: int = 256) -> int:
+    """Buckets of about ``per_bucket`` bytes by the planner's size of the table, ``least`` or more.
+
+    A table of unknown size (the planner then assumes exabytes) gets four per shuffle partition.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return max(least, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-size // per_bucket))
+
+
 def hash_bucket(u: Column, n: int = 256) -> Column:
     """Equal slices of a uniform in [0, 1)."""
     return F.floor(u * F.lit(n)).cast("long")
