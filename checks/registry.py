@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import lenses
+from voxelframe.session import sound_unions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,7 +38,7 @@ def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[Data], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, folder: fn(Data(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Data(sound_unions(spark), folder))
         if sql is not None:
             SQL[name] = lenses.with_lenses(sql)
         return fn

@@ -50,8 +50,8 @@ def resample(
     Order 0 takes the nearest voxel, order 1 interpolates between the eight around. Positions outside
     [0, n - 1] on any axis give 0, absent voxels count as 0. ``targets`` holds ``by`` and ``keys``
     (unique together), ``source`` and ``shape`` are columns of it. Only corners with a positive
-    weight travel to the join with the voxels, so aligned axes do not multiply the rows; targets
-    without any are added as zeros in the final sum.
+    weight travel to the join with the voxels, so aligned axes do not multiply the rows; a target
+    outside travels once, without a position.
     """
     t = targets.select(
         by, *keys, *[s.cast("double").alias(f"__s{c}") for s, c in zip(source, AXES)],
@@ -60,12 +60,12 @@ def resample(
     inside = F.lit(True)
     for c in AXES:
         inside = inside & (F.col(f"__s{c}") >= 0) & (F.col(f"__s{c}") <= F.col(f"__n{c}"))
-    corners = t.filter(inside)
-    weight = F.lit(1.0)
+    none = F.struct(F.lit(None).cast("int").alias("k"), F.lit(0.0).alias("w"))
+    corners, weight = t.withColumn("__in", F.coalesce(inside, F.lit(False))), F.lit(1.0)
     for c in AXES:
         s = F.col(f"__s{c}")
         if order == 0:
-            corners = corners.withColumn(f"__k{c}", F.floor(s + 0.5).cast("int"))
+            corners = corners.withColumn(f"__k{c}", F.when(F.col("__in"), F.floor(s + 0.5).cast("int")))
         else:
             low = F.floor(s)
             part = s - low
@@ -73,18 +73,16 @@ def resample(
                 F.struct(low.cast("int").alias("k"), (1 - part).alias("w")),
                 F.struct((low + 1).cast("int").alias("k"), part.alias("w")),
             )
-            corners = corners.withColumn(f"__e{c}", F.explode(F.filter(ends, lambda e: e["w"] > 0)))
+            ends = F.when(F.col("__in"), F.filter(ends, lambda e: e["w"] > 0)).otherwise(F.array(none))
+            corners = corners.withColumn(f"__e{c}", F.explode(ends))
             corners = corners.withColumn(f"__k{c}", F.col(f"__e{c}.k")).withColumn(f"__w{c}", F.col(f"__e{c}.w"))
             weight = weight * F.col(f"__w{c}")
     corners = corners.select(by, *keys, *[f"__k{c}" for c in AXES], weight.alias("__w"))
     v = voxels.select(
         by, *[F.col(c).alias(f"__k{c}") for c in AXES], F.col(value).cast("double").alias("__v")
     )
-    hits = corners.join(v, [by, *[f"__k{c}" for c in AXES]]).select(
-        by, *keys, (F.col("__w") * F.col("__v")).alias(value)
-    )
-    zeros = targets.select(by, *keys, F.lit(0.0).alias(value))
-    return hits.unionByName(zeros).groupBy(by, *keys).agg(F.sum(value).alias(value))
+    met = corners.join(v, [by, *[f"__k{c}" for c in AXES]], "left")
+    return met.groupBy(by, *keys).agg(F.sum(F.coalesce(F.col("__w") * F.col("__v"), F.lit(0.0))).alias(value))
 
 
 def transform_scan(

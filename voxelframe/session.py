@@ -16,6 +16,7 @@ def local_session(cores: str = "8", memory: str = "12g", partitions: int = 8) ->
         .appName("voxelframe")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -24,13 +25,23 @@ def local_session(cores: str = "8", memory: str = "12g", partitions: int = 8) ->
     )
 
 
+def sound_unions(spark: SparkSession) -> SparkSession:
+    """Keep a union from claiming the partitioning of its parts.
+
+    Spark 4.1 takes a union of equally partitioned parts as partitioned. Adaptive execution may have merged the
+    partitions of each part differently, and then rows of one key stay apart in an aggregate above it.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a temporary folder; on a cluster a missing
     setting is an error, because a machine-local folder would not survive a lost executor.
     """
-    context = spark.sparkContext
+    context = sound_unions(spark).sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if named:
