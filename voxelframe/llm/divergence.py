@@ -71,7 +71,7 @@ def language_counts(docs: DataFrame) -> DataFrame:
             classes[name] = classes.get(name, 0) + by_class[of == i].sum(axis=0)
             keys, n = np.unique(h[of[r.of] == i], return_counts=True)
             words.setdefault(name, []).append((keys, n))
-            if sum(len(k) for k, _ in words[name]) > 1_000_000:
+            if sum(len(k) for k, _ in words[name]) > 400_000:
                 words[name] = [_merged(words[name])]
 
     def end(state):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.llm import bpe, decontaminate, divergence, jaccard, licences, packed_ids, phrases, toxicity, warc, winnow
+from voxelframe.session import sound_unions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -15,7 +16,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def wrap(fn):
-        QUERIES[name] = lambda spark, folder: fn(lambda table: spark.read.parquet(f"{folder}/{table}.parquet"))
+        QUERIES[name] = lambda spark, folder: fn(lambda table: sound_unions(spark).read.parquet(f"{folder}/{table}.parquet"))
         if sql:
             SQL[name] = sql
         return fn
