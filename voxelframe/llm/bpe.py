@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from voxelframe.llm.text import IdCache, Ranges, Texts, id_lists, map_runs, only, spread
 
-RUN_BYTES = 4 << 20
-CACHED = 250_000
+RUN_BYTES = 3 << 20
+CACHED = 180_000
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
 
 
