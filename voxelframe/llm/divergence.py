@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.text import BLANK, LOWER, NOT_LETTER, Hasher, covered, grams, map_runs, mix, only, to_long
+from voxelframe.llm.text import BLANK, NOT_LETTER, Hasher, covered, grams, map_runs, mix, to_long
+from voxelframe.session import cut
 
 COMMON_SHARE = 0.002
 MAX_LANGUAGES = 26**2 + 26**3 + 1
@@ -97,7 +98,7 @@ def _merged(parts):
 
 def references(docs: DataFrame, common_share: float = COMMON_SHARE, min_words: int = MIN_REFERENCE_WORDS) -> dict:
     """lang -> (class histogram, sorted hashes of common words, word histogram with all other words last)."""
-    counts = language_counts(docs)
+    counts = cut(language_counts(docs))  # read twice
     totals = counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
     rows = (
         counts.join(totals, "lang")

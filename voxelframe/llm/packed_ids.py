@@ -218,7 +218,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     """Write the segments of all documents to a new folder."""
     with open(tokenizer or default_path(), encoding="utf-8") as f:
         definition = f.read()
-    slim = only(docs, doc_id=doc_id, text=text).withColumn("tie", F.xxhash64("text"))
+    slim = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tie", F.xxhash64("text"))
     ranges = slim.repartitionByRange(sized(docs, RANGE_BYTES), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     class State:
