@@ -177,6 +177,33 @@ def test_lines_of_awkward_rows(awkward, nothing):
     assert winnow.dedup_lines(nothing).collect() == []
 
 
+def brute_long_lines(rows, run, min_words):
+    """id -> (text left, removed): repeats of ``run`` lines, and of fewer lines with enough words."""
+    full = {d: [x for x in (t or "").split("\n") if x.split()] for d, t in rows}
+    spans = [(d, p, k) for d, x in sorted(full.items()) for p in range(len(x)) for k in range(1, run + 1) if p + k <= len(x)]
+    seen, gone = set(), {d: set() for d in full}
+    for d, p, k in spans:
+        lines = tuple(full[d][p : p + k])
+        if k < run and len(" ".join(lines).split()) < min_words:
+            continue
+        if lines in seen:
+            gone[d] |= set(range(p, p + k))
+        seen.add(lines)
+    return {d: ("\n".join(x for i, x in enumerate(full[d]) if i not in gone[d]) if gone[d] else t or "", len(gone[d])) for d, t in rows}
+
+
+def test_long_lines_go_in_runs_of_any_number(spark):
+    r = random.Random(9)
+    pool = [prose(700 + i, n) for i, n in enumerate((1, 3, 6, 7, 12, 13, 14, 40))]
+    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.6 else prose(5000 + 40 * i + k, r.randint(1, 20)) for k in range(r.randint(0, 9)))) for i in range(80)]
+    rows += [(100, pool[7]), (101, pool[7]), (102, pool[0]), (103, None), (104, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for run in (2, 3, 4):
+        got = {x.doc_id: (x.text or "", x.n_removed) for x in winnow.dedup_lines(df, run=run, min_words=13, counts=True).collect()}
+        assert got == brute_long_lines(rows, run, 13)
+        assert got[101] == ("", 1) and got[102] == (pool[0], 0)
+
+
 def brute_phrases(rows, window):
     first, out = {}, {}
     words = [(d, (t or "").encode().split()) for d, t in rows]
