@@ -230,6 +230,20 @@ def test_toxicity_learns_without_held_out_rows(spark, awkward, nothing):
     assert {r.predicted for r in toxicity.score(awkward, none).collect()} == {0}
 
 
+def test_toxicity_features_stay_parallel(spark):
+    docs = spark.range(0, 70, 1, 7).selectExpr("id as doc_id", "concat('some text ', id) as text")
+    labels = spark.range(0, 70, 1, 1).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    context = spark.sparkContext
+    context.setJobGroup("features", "features")
+    try:
+        toxicity.fit(docs, labels)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    stages = [status.getStageInfo(i) for job in status.getJobIdsForGroup("features") for i in status.getJobInfo(job).stageIds]
+    assert 7 in [x.numTasks for x in stages if x]
+
+
 def toxicity_fold(i):
     import zlib
 

@@ -103,7 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: in
         if rows:
             yield pa.RecordBatch.from_pydict({"at": pa.array([at.astype(np.uint32).tobytes()], pa.binary()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "bias": [float(bias)]})
 
-    model = feats.coalesce(1).mapInArrow(train, "at binary, w binary, bias double").collect()
+    # a shuffle, so that only these rows and not the scan and the join run in the one task
+    model = feats.repartition(1).mapInArrow(train, "at binary, w binary, bias double").collect()
     if not model:
         return np.zeros(0, np.uint32), np.zeros(0, np.float32), -30.0
     return np.frombuffer(model[0].at, np.uint32), np.frombuffer(model[0].w, np.float32), model[0].bias
