@@ -133,6 +133,22 @@ def test_decontamination_of_whole_documents(spark, awkward, nothing):
     assert decontaminate.search(awkward, bench).collect() == []
 
 
+def test_short_items_match_in_a_row(spark):
+    items = [(1, "Who wrote Emma? Austen"), (2, "yes"), (3, "Two two"), (4, "who wrote emma austen"), (5, "one two three four five"), (6, "..."), (7, prose(3000, 30))]
+    docs = [(1, "He asked: who wrote Emma -- Austen?"), (2, "who wrote austen emma"), (3, "Yes."), (4, "two, two and one two three four five"),
+            (5, "one two three four"), (6, "eyes"), (7, None), (8, ""), (9, items[6][1] + " yes"), (10, "two"), (11, "two")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    for some in (items, items[:6]):
+        bench = spark.createDataFrame(some, "item_id long, text string")
+        want = [(1, 1), (1, 4), (3, 2), (4, 3), (4, 5), (9, 2)] + [(9, 7)] * (len(some) == 7)
+        for size in (decontaminate.SHARD_WORDS, 4):
+            rows = decontaminate.search(df, bench, shard_words=size).collect()
+            assert sorted((r.doc_id, r.item_id) for r in rows) == want
+            assert all((r.score, r.question_overlap, r.answer_overlap) == (1, 1, 1) for r in rows if r.item_id != 7)
+            kept = decontaminate.drop_contaminated(df, bench, shard_words=size)
+            assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 6, 7, 8, 10, 11]
+
+
 def test_decontamination_query_finds_all_whole_items(spark):
     from voxelframe.llm.queries import QUERIES
 

@@ -11,10 +11,13 @@ scores last. All items at or above the threshold are returned, not a top k.
 A hit is kept if enough word ``GRAM``-grams of the item's question part and of its answer part stand in the passage. The answer
 is what follows the last question mark or line feed, else the last third of the words.
 
+Items of fewer than ``MIN_ITEM_WORDS`` words are too short for shares of words: a document holds one if all its words stand
+there in a row, with 1 as score and overlaps. They take no part in the weights of the others.
+
 The items are dealt into shards of about ``SHARD_WORDS`` words by a hash of their id and text; each shard is an index of its
 own, small enough to travel by value, and all documents pass each shard.
 
-Defined results: null or empty texts, and items of fewer than ``MIN_ITEM_WORDS`` words, match nothing; repeated documents and
+Defined results: null texts and texts without a word match nothing; repeated documents and
 items give a row each time; an empty benchmark or no documents give no rows.
 """
 
@@ -65,10 +68,19 @@ class Index:
             k = min(GRAM, len(h))
             return np.unique(to_long(grams(h, np.zeros(len(h), np.int8), k)[0])) if k else np.zeros(0, np.int64)
 
-        words = [(i, text, h) for i, text in items for h in [hashes(text or "")] if len(h) >= min_words]
+        words = [(i, text, h) for i, text in items for h in [hashes(text or "")] if len(h)]
+        short = [(i, h.view(np.uint64)) for i, _, h in words if len(h) < min_words]
+        words = [x for x in words if len(x[2]) >= min_words]
         words.sort(key=lambda x: (len(x[2]), x[2][0]))
-        self.ids = [i for i, _, _ in words]
         n = len(words)
+        self.ids = [i for i, _, _ in words] + [i for i, _ in short]
+        # short items by number of words: sorted hashes of all their words, and the places of the items among the ids
+        self.short = {}
+        for k in sorted({len(h) for _, h in short}):
+            place = np.array([n + i for i, (_, h) in enumerate(short) if len(h) == k])
+            whole = np.array([grams(h, np.zeros(k, np.int8), k)[0][0] for _, h in short if len(h) == k])
+            order = np.argsort(whole, kind="stable")
+            self.short[k] = whole[order], place[order]
         self.n, self.block = n, block
         self.stride = max([MIN_STRIDE, *(len(h) for _, _, h in words)])
         self.parts = [tuple(gram_set(x) for x in split_item(text)) for _, text, _ in words]
@@ -190,6 +202,15 @@ def passages(index: Index, h: np.ndarray, bounds: np.ndarray, least: float):
                 yield int(doc[p + i]), int(lo[p + i]), int(hi[p + i]), found
 
 
+def short_items(index: Index, h: np.ndarray, of: np.ndarray):
+    """(document, item) of the short items whose words stand in a row in a document; ``of`` is the document of each word."""
+    for k, (whole, place) in index.short.items():
+        g, first = grams(h, of, k)
+        lo = np.searchsorted(whole, g)
+        lens = np.searchsorted(whole, g, "right") - lo
+        yield from set(zip(np.repeat(of[first], lens).tolist(), place[spread(lo, lens)].tolist()))
+
+
 def overlaps(index: Index, item: int, h: np.ndarray) -> tuple[float, float]:
     """Shares of the grams of the item's question and answer part that stand among these words."""
     out = []
@@ -231,10 +252,14 @@ def _found(state, t: Texts, min_score: float, min_overlap: float) -> dict[tuple[
     """(document, item) -> best (score, question overlap, answer overlap)."""
     hasher, index = state
     best: dict[tuple[int, int], tuple] = {}
-    if not index.n:
+    if not index.ids:
         return best
     r = t.lower().ranges(NOT_ALNUM)
     h = hasher.ranges(r)
+    for at in short_items(index, h, r.of):
+        best[at] = (1.0, 1.0, 1.0)
+    if not index.n:
+        return best
     for d, lo, hi, found in passages(index, to_long(h), r.bounds(), min_score):
         for item, s in found:
             q, a = overlaps(index, item, h[lo:hi])
