@@ -136,6 +136,16 @@ def test_one_of_each_group(awkward):
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7, 9, 12, 13, 14, 15, 16] and ids.count(None) == 2
 
 
+def test_one_row_of_each_component_of_a_repeated_id(spark):
+    a, b, c, d = (prose(900 + i, 80) for i in range(4))
+    near = " ".join([*d.split()[:-1], "changed"])
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, near), (3, c), (4, b), (5, d), (6, ""), (6, prose(990, 9)), (7, None), (7, "")]
+    df = spark.createDataFrame([(x, t, "e") for x, t in rows], "doc_id long, text string, component string").repartition(4)
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()]
+    assert sorted(x for x, _ in kept) == [1, 2, 3, 3, 6, 6, 7]
+    assert {(1, a), (2, b), (3, c), (6, ""), (6, prose(990, 9))} < set(kept) and len({(3, d), (3, near)} & set(kept)) == 1
+
+
 def brute_lines(rows, run):
     """(id, text) rows in order -> text left, lines, removed."""
     seen, out = {}, {}

@@ -376,6 +376,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, and class_id: rows with equal sets have the same."""
+    return _placed(docs, doc_id, text, percent, width).drop("component")
+
+
+def _placed(docs: DataFrame, doc_id: str, text: str, percent: int, width: int) -> DataFrame:
+    """The columns of :func:`components`, and component: components with the same smallest id are told apart; null for empty sets."""
     slim = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     staged = cut(_gather(slim, width, percent))
     rows = staged.filter("kind = 1").select(F.col("x").alias("doc_id"), F.col("y").alias("cls"), "n")
@@ -404,25 +409,42 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
         component = cut(connected_components(links, "a", "b"))
     of_class = cut(classes.join(component, classes.cls == component.node, "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component")))
     lows = cut(of_class.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    found = cut(of_class.join(lows, "component").select("cls", "component_id"))
+    found = cut(of_class.join(lows, "component").select("cls", "component", "component_id"))
     return rows.join(found, "cls", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id"), "component",
     )
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The rows of the table, all columns as they are, without near duplicates.
 
-    Of each component the row with its smallest id stays; of rows that repeat this id, the one with the smallest text hash, and of
-    whole copies one. Rows without an id stay, and so do rows without a set, copies of their id and text excepted.
+    Of each component the row with its smallest id stays; of rows of the component that repeat this id, the one with the smallest
+    text hash, and of whole copies one. Rows without an id stay, and so do rows without a set, copies of their id and text excepted.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     key, body = names[docs.columns.index(doc_id)], names[docs.columns.index(text)]
     tagged = docs.toDF(*names).withColumn("id", F.col(key).cast("long"))
-    found = components(docs, doc_id, text, percent, width)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    found = cut(_placed(docs, doc_id, text, percent, width).filter("doc_id is not null"))
+    lowest = found.filter("doc_id = component_id")
+    # ids whose rows have different sets: the set of each row is made once more to tell which component it is in
+    several = found.groupBy("doc_id").agg(F.min("class_id").alias("c0"), F.max("class_id").alias("c1")).filter("c0 != c1").select(F.col("doc_id").alias("id"))
+    several = cut(several)
+    keep = lowest.select(F.col("doc_id").alias("id")).distinct().join(several, "id", "left_anti")
     # the limit to one row per id works before the shuffle, so a much repeated id is no large group
     first = Window.partitionBy("id").orderBy(F.xxhash64(body))
     once = tagged.filter("id is not null").withColumn("place", F.row_number().over(first)).filter("place = 1")
-    return once.join(keep, "id").select(*names).unionByName(tagged.filter("id is null").select(*names)).toDF(*docs.columns)
+    out = once.join(keep, "id").select(*names).unionByName(tagged.filter("id is null").select(*names))
+    if not several.isEmpty():
+        classes = lowest.join(several, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.col("class_id").alias("cls"), "component").distinct()
+        mixed = tagged.join(several, "id").select("id", *names)
+
+        def run(hasher, rows, t):
+            g, bounds = sets_of(hasher, t, width)
+            return {c: rows.column(i) for i, c in enumerate(rows.schema.names)} | {"cls": to_long(class_digest(g, bounds))}
+
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mixed.schema.fields) + ", cls long"
+        of_component = Window.partitionBy("id", "component").orderBy(F.xxhash64(body))
+        rows = map_runs(mixed, body, run, schema, Hasher).join(classes, ["id", "cls"]).withColumn("place", F.row_number().over(of_component))
+        out = out.unionByName(rows.filter("place = 1").select(*names))
+    return out.toDF(*docs.columns)
