@@ -120,7 +120,6 @@ def test_packed_blocks_patch_outliers():
 
 def test_token_files(spark, awkward, nothing):
     library = Tokenizer.from_file(packed_ids.default_path())
-    library.encode_special_tokens = True
     rows = packed_ids.write_and_read(awkward).withColumn("crc", F.crc32("ids")).collect()
     start = 0
     assert len(rows) == awkward.count()
@@ -138,7 +137,6 @@ def test_token_files(spark, awkward, nothing):
 def test_words_of_the_library(text):
     cache = packed_ids._tokenizer(open(packed_ids.default_path(), encoding="utf-8").read())
     library = Tokenizer.from_file(packed_ids.default_path())
-    library.encode_special_tokens = True
     for t in runs([text or ""]):
         ids, _ = cache.of(t.words())
         assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids

@@ -162,9 +162,9 @@ class Encoder:
     def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [[p.encode() for p in self.find(c.decode())] for c in chunks]
         flat = [p for ps in found for p in ps]
-        starts, lens = self.pieces.get(list(dict.fromkeys(flat)))
-        place = {p: i for i, p in enumerate(dict.fromkeys(flat))}
-        at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+        d = pa.array(flat, pa.large_binary()).dictionary_encode()
+        at = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        starts, lens = self.pieces.get(d.dictionary)
         of = np.repeat(np.arange(len(chunks)), np.fromiter(map(len, found), np.int64, len(found)))
         return self.pieces.ids[spread(starts[at], lens[at])], np.bincount(of, lens[at], len(chunks)).astype(np.int64)
 

@@ -143,7 +143,8 @@ def _tokenizer(definition: str) -> IdCache:
 
     If the tokenizer lowers its text and splits it as :data:`WORD_PARTS` says, the distinct parts of plain words are encoded
     many at a time, joined by blanks, by the same model without that text handling, and told apart by the tokens that end
-    a part. All other words, and all words of other tokenizers, are encoded as they are.
+    a part. All other words, those that hold the string of an added token too, are encoded as they are, as are all words of other
+    tokenizers.
     """
     import json
     import os
@@ -153,7 +154,6 @@ def _tokenizer(definition: str) -> IdCache:
     from tokenizers import Tokenizer, pre_tokenizers
 
     t = Tokenizer.from_str(definition)
-    t.encode_special_tokens = True
     d = json.loads(definition)
     split = ((d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
     suffix = d["model"].get("end_of_word_suffix")
@@ -164,7 +164,6 @@ def _tokenizer(definition: str) -> IdCache:
     plain = re.compile(PLAIN).fullmatch
     lean = Tokenizer.from_str(definition)
     if simple:
-        lean.encode_special_tokens = True
         lean.normalizer = None
         lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
@@ -229,6 +228,10 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
             self.ids, self.docs, self.lens = [], [], []
             self.held = 0
 
+        def close(self):
+            self.cache.clear()  # the last segment needs the room
+            return self.flush()
+
         def flush(self):
             if not self.docs:
                 return None
@@ -255,7 +258,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
         state.held += len(out)
         return state.flush() if state.held >= SEGMENT else None
 
-    map_runs(ranges, "text", run, SEGMENTS, State, State.flush, RUN_BYTES).write.mode("error").option("compression", "zstd").parquet(path)
+    map_runs(ranges, "text", run, SEGMENTS, State, State.close, RUN_BYTES).write.mode("error").option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -271,9 +274,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part, first, docs, packed in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("part", "first", "docs", "packed"))):
-                ids = Segment(packed).blocks()
-                table = pa.ipc.open_stream(docs).read_all().combine_chunks()
+            for i in range(b.num_rows):
+                part, first, docs, packed = (b.column(b.schema.get_field_index(c))[i] for c in ("part", "first", "docs", "packed"))
+                part, first = part.as_py(), first.as_py()
+                ids = Segment(packed.as_buffer()).blocks()
+                table = pa.ipc.open_stream(docs.as_buffer()).read_all().combine_chunks()
                 n = table.column("n").to_numpy()
                 ends = np.cumsum(n)
                 offs = np.concatenate(([0], ends)) * 4

@@ -252,34 +252,46 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 class IdCache:
-    """Token ids of distinct byte strings, kept for a task; ``encode`` gets the new ones and returns (ids, lengths)."""
+    """Token ids of distinct byte strings, kept for a task; ``encode`` gets the new ones and returns (ids, lengths).
+
+    The strings stay in Arrow buffers and are looked up there, so an entry costs its bytes and no Python objects. A cache with
+    more than ``most`` strings keeps those of the last call.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids, self.starts, self.lens, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-    def get(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(first id, number of ids) of each string, as places in ``self.ids``."""
-        if len(self.place) > self.most:
-            self.clear()
-        new = [s for s in strings if s not in self.place]
-        if new:
-            ids, lens = self.encode(new)
-            base = len(self.place)
-            self.place.update(zip(new, range(base, base + len(new))))
+        self.keys = pa.array([], pa.large_binary())
+        self.ids, self.starts, self.lens, self.last = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        starts, lens = self.starts[self.last], self.lens[self.last]
+        self.keys, self.ids, self.lens = self.keys.take(pa.array(self.last)), self.ids[spread(starts, lens)], lens
+        self.starts = np.cumsum(lens) - lens
+
+    def get(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(first id, number of ids) of each of these distinct strings, as places in ``self.ids``."""
+        if len(self.keys) > self.most:
+            self.trim()
+        at = pc.index_in(strings, value_set=self.keys)
+        is_new = pc.is_null(at)
+        new = strings.filter(is_new)
+        at = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            at[is_new.to_numpy(zero_copy_only=False)] = len(self.keys) + np.arange(len(new))
+            ids, lens = self.encode(new.to_pylist())
             starts = len(self.ids) + np.cumsum(lens) - lens
+            self.keys = pa.concat_arrays([self.keys, new])
             self.ids, self.starts, self.lens = np.concatenate((self.ids, ids)), np.concatenate((self.starts, starts)), np.concatenate((self.lens, lens))
-        at = np.fromiter(map(self.place.__getitem__, strings), np.int64, len(strings))
+        self.last = at
         return self.starts[at], self.lens[at]
 
     def of(self, r: Ranges) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the ranges in order, and the number of ids of each document."""
         place, distinct = r.interned()
-        starts, lens = self.get(distinct.to_pylist())
+        starts, lens = self.get(distinct)
         n = lens[place]
         return self.ids[spread(starts[place], n)], np.bincount(r.of, n, len(r.texts)).astype(np.int64)
 
