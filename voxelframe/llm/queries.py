@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, decontaminate, divergence, jaccard, licences, packed_ids, phrases, toxicity, warc, winnow
+from voxelframe.llm import bpe, decontaminate, divergence, hard_negatives, jaccard, licences, packed_ids, phrases, ranked_search, simhash, toxicity, warc, winnow
 from voxelframe.session import sound_unions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,62 @@ def op9(table):
 def op10(table):
     decoded = bpe.decode(bpe.encode(table("documents")))
     return decoded.select("doc_id", "n_tokens", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op11_bit_sliced_simhash")
+def op11(table):
+    done = simhash.components(table("documents"))
+    return done.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+NEGATIVES_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as vec
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), pairs as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.vec, b.vec)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from pairs where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+)
+select anchor_id, positive_id, (row_number() over w)::int as rank, other_id as negative_id, positive_score, score as negative_score
+from positives join pairs using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, other_id)
+qualify row_number() over w <= 5
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12(table):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table("embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+SEARCH_SQL = rf"""
+with words as (
+  select doc_id, unnest(regexp_extract_all(translate(text, '{ranked_search.UPPER}', '{ranked_search.LOWER_CASE}'), '{ranked_search.TERM}')) as term from documents
+), tfs as (
+  select doc_id, term, count(*) as tf from words group by all
+), lens as (
+  select doc_id, sum(tf)::bigint as n from tfs group by all
+), totals as (
+  select count(*) as n_all, sum(n)::bigint as l_all from lens
+), weights as (
+  select term, floor(1000 * ln((2 * n_all + 2)::double / (2 * count(*) + 1)))::bigint as w from tfs, totals group by term, n_all
+), asked as (
+  select item_id, unnest(regexp_extract_all(translate(text, '{ranked_search.UPPER}', '{ranked_search.LOWER_CASE}'), '{ranked_search.TERM}')) as term from benchmark
+), scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_all) // l_all))))::bigint as score
+  from asked join tfs using (term) join weights using (term) join lens using (doc_id), totals group by all
+)
+select item_id, (row_number() over r)::int as rank, doc_id, score from scores where score > 0
+window r as (partition by item_id order by score desc, doc_id) qualify row_number() over r <= 10
+"""
+
+
+@query("op13_nra_ranked_search", SEARCH_SQL)
+def op13(table):
+    return ranked_search.search(table("documents"), table("benchmark"))
