@@ -8,7 +8,8 @@ The classifier is fitted on at most ``MAX_TRAIN`` labelled rows, those with the
 that holds only their features; all rows are scored. Rows whose crc32 of the id modulo ``FOLDS`` is ``HELD_OUT`` never train.
 
 Defined results: a null or empty text has no features and gets the bias alone; labels other than 0 and 1, or without an id,
-are left out; a repeated id counts as toxic if any of its labels is; without labelled rows all scores are 0.
+are left out; a repeated id counts as toxic if any of its labels is, and trains with the one text of the smallest hash; without
+labelled rows all scores are 0.
 """
 
 from __future__ import annotations
@@ -83,7 +84,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: in
         .withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(max_train)
     )
     # at most max_train small rows: the bound of this broadcast
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("order", "doc_id", "toxic", "text")
+    found = docs.join(F.broadcast(chosen), "doc_id").select("order", "doc_id", "toxic", F.struct(F.xxhash64("text").alias("tie"), "text").alias("t"))
+    # one row per id, however often the table repeats it: the bound of the training task
+    sample = found.groupBy("order", "doc_id", "toxic").agg(F.min("t").alias("t")).select("order", "doc_id", "toxic", "t.text")
 
     def features(hasher, rows, t):
         s, of = distinct_slots(*slots(hasher, t, bits), bits)
