@@ -8,7 +8,8 @@ Reading parses whole archives by their content lengths. The captures of each arc
 The index is cut into key ranges; in each, a loser tree merges the parts of all runs, so the ranges, one after the other, hold
 the captures of all archives in global order. A URL with very many captures is cut by time and id like anything else.
 
-Defined results: a null payload is empty, a null URL an empty key; a null id is never referred to and is a response only if no
+Defined results: a null payload is empty, a null URL an empty key; a null capture time is ``FIRST_CAPTURE``, one outside the years 1970
+to 9999 raises; a null id is never referred to and is a response only if no
 page with the payload has an id; rows that share the smallest id of a payload are all responses; no pages give no captures.
 """
 
@@ -32,6 +33,8 @@ MIN_BYTES = 0
 RANGE_BYTES = 16 << 20
 RECORDS_PER_ARCHIVE = 5000
 FIRST_CAPTURE = 1_704_067_200
+CAPTURE_SPAN = 366 * 86_400
+LAST_CAPTURE = 253_402_300_799  # the end of the year 9999: later times have no text of the same length
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PAGE = "urn:page:"
@@ -67,8 +70,15 @@ def _header(name: str, value):
 
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", captured: str | None = None, min_bytes: int = MIN_BYTES) -> None:
-    """Write the archives of a table of pages to a new folder. ``captured``: seconds since 1970; default by page id."""
-    at = F.col(f"`{captured}`").cast("long") if captured else F.lit(FIRST_CAPTURE) + F.coalesce(F.col(f"`{page_id}`"), F.lit(0))
+    """Write the archives of a table of pages to a new folder.
+
+    ``captured``: seconds since 1970, up to the year 9999; default the page id modulo a year, from ``FIRST_CAPTURE`` on.
+    """
+    if captured:
+        at = F.coalesce(F.col(f"`{captured}`").cast("long"), F.lit(FIRST_CAPTURE))
+        at = F.when(at.between(0, LAST_CAPTURE), at).otherwise(F.raise_error(F.lit("a capture time is not between 1970 and 9999")).cast("long"))
+    else:
+        at = F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce(F.col(f"`{page_id}`").cast("long"), F.lit(0)), F.lit(CAPTURE_SPAN))
     slim = pages.select(
         F.col(f"`{page_id}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url"), at.alias("at"),
         F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"),
