@@ -15,7 +15,8 @@ Items of fewer than ``MIN_ITEM_WORDS`` words are too short for shares of words:
 there in a row, with 1 as score and overlaps. They take no part in the weights of the others.
 
 The items are dealt into shards of about ``SHARD_WORDS`` words by a hash of their id and text; each shard is an index of its
-own, small enough to travel by value, and all documents pass each shard.
+own, small enough to travel by value, and all documents pass each shard. Document frequencies, the number and mean length of the items and the
+stride are those of all items, so scores and hits don't depend on the shards.
 
 Defined results: null texts and texts without a word match nothing; repeated documents and
 items give a row each time; an empty benchmark or no documents give no rows.
@@ -24,6 +25,7 @@ items give a row each time; an empty benchmark or no documents give no rows.
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.llm.text import NOT_ALNUM, Hasher, Texts, grams, map_runs, only, spread, texts_of, to_long
+from voxelframe.session import cut
 
 K1, B = 1.2, 0.75
 MIN_SCORE = 0.6
@@ -53,15 +56,29 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+def word_hashes(hasher: Hasher, text: str) -> np.ndarray:
+    out = [to_long(hasher.ranges(t.lower().ranges(NOT_ALNUM))) for t in texts_of(pa.array([text]))]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+class Statistics(NamedTuple):
+    """Of all items that are not short: their number, mean and largest length, and sorted term hashes with document frequencies (those of a shard will do)."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """BM25 postings of one shard with block maxima. ``items``: (id, text)."""
+    """BM25 postings of one shard with block maxima. ``items``: (id, text); without ``statistics`` the shard is all there is."""
 
-    def __init__(self, items: list[tuple[int, str]], k1: float = K1, b: float = B, block: int = BLOCK, min_words: int = MIN_ITEM_WORDS):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None, k1: float = K1, b: float = B, block: int = BLOCK, min_words: int = MIN_ITEM_WORDS):
         hasher = Hasher()
 
         def hashes(text: str) -> np.ndarray:
-            out = [to_long(hasher.ranges(t.lower().ranges(NOT_ALNUM))) for t in texts_of(pa.array([text]))]
-            return np.concatenate(out) if out else np.zeros(0, np.int64)
+            return word_hashes(hasher, text)
 
         def gram_set(text: str) -> np.ndarray:
             h = hashes(text).view(np.uint64)
@@ -82,7 +99,7 @@ class Index:
             order = np.argsort(whole, kind="stable")
             self.short[k] = whole[order], place[order]
         self.n, self.block = n, block
-        self.stride = max([MIN_STRIDE, *(len(h) for _, _, h in words)])
+        self.stride = max([MIN_STRIDE, *(len(h) for _, _, h in words), statistics.longest if statistics else 0])
         self.parts = [tuple(gram_set(x) for x in split_item(text)) for _, text, _ in words]
         self.gram_sizes = sorted({min(GRAM, len(hashes(x))) for _, text, _ in words for x in split_item(text)} - {0})
         lens = np.array([len(h) for _, _, h in words], float)
@@ -94,8 +111,11 @@ class Index:
             tf.append(c)
         term, item, tf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (term, item, tf))
         self.terms, code, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[code] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[item] / lens.mean())) if n else np.zeros(0)
+        if not statistics:
+            statistics = Statistics(n, lens.mean() if n else 1.0, 0, self.terms, df)
+        every = statistics.df[np.searchsorted(statistics.terms, self.terms)]
+        idf = np.log1p((statistics.n - every + 0.5) / (every + 0.5))
+        weight = idf[code] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[item] / statistics.mean)) if n else np.zeros(0)
         own = np.bincount(item, weight, n)
         weight = weight / own[item]
         order = np.lexsort((item, code))
@@ -227,15 +247,28 @@ def overlaps(index: Index, item: int, h: np.ndarray) -> tuple[float, float]:
     return out[0], out[1]
 
 
-def shards(items: DataFrame, item_id: str = "item_id", text: str = "text", shard_words: int = SHARD_WORDS):
-    """Lists of (id, text), each of about ``shard_words`` words."""
+def shards(items: DataFrame, item_id: str = "item_id", text: str = "text", shard_words: int = SHARD_WORDS, min_words: int = MIN_ITEM_WORDS):
+    """(items, statistics) for :class:`Index`, each of about ``shard_words`` words."""
     slim = only(items, item_id=item_id, text=text).filter("text is not null")
-    total = slim.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n = -(-total // shard_words)
-    numbered = slim.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))) if n > 1 else slim.withColumn("shard", F.lit(0))
-    for i in range(n):
+
+    def words(hasher, rows, t):
+        r = t.lower().ranges(NOT_ALNUM)
+        h, n = to_long(hasher.ranges(r)), r.per_document()
+        parts = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
+        offs = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        return {"item_id": rows.column(0), "text": rows.column(1), "n_words": n, "terms": pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(parts)))}
+
+    found = cut(map_runs(slim, "text", words, f"item_id {slim.schema['item_id'].dataType.simpleString()}, text string, n_words long, terms array<long>", Hasher))
+    total = found.agg(F.sum("n_words")).first()[0] or 0
+    whole = found.filter(F.col("n_words") >= min_words)
+    n, mean, longest = whole.agg(F.count(F.lit(1)), F.avg("n_words"), F.max("n_words")).first()
+    df = cut(whole.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    n_shards = -(-total // shard_words)
+    for i in range(n_shards):
         # at most about shard_words words: the bound of what goes to the driver and the tasks
-        yield [(r.item_id, r.text) for r in numbered.filter(F.col("shard") == i).collect()]
+        part = found.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)) == i)
+        mine = part.select(F.explode("terms").alias("term")).distinct().join(df, "term").orderBy("term").toArrow()
+        yield [(r.item_id, r.text) for r in part.select("item_id", "text").collect()], Statistics(n, mean or 1.0, longest or 0, mine["term"].to_numpy(), mine["df"].to_numpy())
 
 
 def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -244,7 +277,7 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
     for shard in shards(items, item_id, item_text, shard_words):
-        out = out.unionByName(map_runs(slim, "text", _hits(shard, min_score, min_overlap), schema, lambda shard=shard: (Hasher(), Index(shard))))
+        out = out.unionByName(map_runs(slim, "text", _hits(shard, min_score, min_overlap), schema, lambda shard=shard: (Hasher(), Index(*shard))))
     return out
 
 
@@ -294,5 +327,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
             return {n: kept.column(i) for i, n in enumerate(names)}
 
     for shard in shards(items, item_id, item_text, shard_words):
-        out = map_runs(out, body, keep, schema, lambda shard=shard: (Hasher(), Index(shard)))
+        out = map_runs(out, body, keep, schema, lambda shard=shard: (Hasher(), Index(*shard)))
     return out.toDF(*docs.columns)
