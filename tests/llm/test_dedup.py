@@ -146,21 +146,25 @@ def test_one_row_of_each_component_of_a_repeated_id(spark):
     assert {(1, a), (2, b), (3, c), (6, ""), (6, prose(990, 9))} < set(kept) and len({(3, d), (3, near)} & set(kept)) == 1
 
 
-def brute_lines(rows, run):
-    """(id, text) rows in order -> text left, lines, removed."""
+def brute_lines(rows, run=winnow.RUN, min_words=winnow.MIN_WORDS):
+    """(id, text) rows in order -> text left, lines, removed: repeats of ``run`` lines, and of fewer with enough words."""
     seen, out = {}, {}
     order = sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0))
+
+    def runs(full):
+        for p in range(len(full)):
+            for k in range(1, run + 1):
+                lines = tuple(full[p : p + k])
+                if len(lines) == k and (k == run or min_words is not None and len(b" ".join(lines).split()) >= min_words):
+                    yield p, lines
+
     for d, text in order:
-        full = [x for x in (text or "").encode().split(b"\n") if x.split()]
-        for p in range(len(full) - run + 1):
-            seen.setdefault(tuple(full[p : p + run]), (d, p))
+        for p, lines in runs([x for x in (text or "").encode().split(b"\n") if x.split()]):
+            seen.setdefault(lines, (d, p))
     for d, text in order:
         lines = (text or "").encode().split(b"\n")
         full = [i for i, x in enumerate(lines) if x.split()]
-        gone = set()
-        for p in range(len(full) - run + 1):
-            if seen[tuple(lines[i] for i in full[p : p + run])] != (d, p):
-                gone |= set(full[p : p + run])
+        gone = {full[p + j] for p, found in runs([lines[i] for i in full]) if seen[found] != (d, p) for j in range(len(found))}
         left = b"\n".join(x for i, x in enumerate(lines) if i not in gone) if len(gone) < len(full) else b""
         out[d, text] = (left if gone else (text or "").encode(), len(full), len(gone))
     return out
@@ -171,13 +175,13 @@ def test_line_runs_equal_brute_force(spark):
     rows = [(i, "\n".join(r.choice("abcdefg") + " line" if r.random() < 0.8 else " " for _ in range(r.randint(0, 25)))) for i in range(60)]
     df = spark.createDataFrame([(*x, "e") for x in rows], "doc_id long, text string, lines string").repartition(5)
     for run in (1, 2, 3, 4):
-        got = {(x.doc_id): (x.text.encode(), x.n_lines, x.n_removed) for x in winnow.dedup_lines(df, run=run, counts=True).collect()}
-        assert got == {d: v for (d, _), v in brute_lines(rows, run).items()}
+        got = {(x.doc_id): (x.text.encode(), x.n_lines, x.n_removed) for x in winnow.dedup_lines(df, run=run, min_words=None, counts=True).collect()}
+        assert got == {d: v for (d, _), v in brute_lines(rows, run, None).items()}
 
 
 def test_lines_of_awkward_rows(awkward, nothing):
     got = winnow.dedup_lines(awkward, counts=True)
-    want = brute_lines([(r.doc_id, r.text) for r in awkward.filter("doc_id is not null").collect()], winnow.RUN)
+    want = brute_lines([(r.doc_id, r.text) for r in awkward.collect()])
     rows = got.collect()
     assert len(rows) == awkward.count() and got.columns == [*awkward.columns, "n_lines", "n_removed"]
     assert all(((x.text or "").encode(), x[-2], x[-1]) == want[x.doc_id, t] for x in rows if x.doc_id is not None for t in [o.text for o in awkward.collect() if o.doc_id == x.doc_id][:1])
@@ -187,21 +191,6 @@ def test_lines_of_awkward_rows(awkward, nothing):
     assert winnow.dedup_lines(nothing).collect() == []
 
 
-def brute_long_lines(rows, run, min_words):
-    """id -> (text left, removed): repeats of ``run`` lines, and of fewer lines with enough words."""
-    full = {d: [x for x in (t or "").split("\n") if x.split()] for d, t in rows}
-    spans = [(d, p, k) for d, x in sorted(full.items()) for p in range(len(x)) for k in range(1, run + 1) if p + k <= len(x)]
-    seen, gone = set(), {d: set() for d in full}
-    for d, p, k in spans:
-        lines = tuple(full[d][p : p + k])
-        if k < run and len(" ".join(lines).split()) < min_words:
-            continue
-        if lines in seen:
-            gone[d] |= set(range(p, p + k))
-        seen.add(lines)
-    return {d: ("\n".join(x for i, x in enumerate(full[d]) if i not in gone[d]) if gone[d] else t or "", len(gone[d])) for d, t in rows}
-
-
 def test_long_lines_go_in_runs_of_any_number(spark):
     r = random.Random(9)
     pool = [prose(700 + i, n) for i, n in enumerate((1, 3, 6, 7, 12, 13, 14, 40))]
@@ -209,9 +198,18 @@ def test_long_lines_go_in_runs_of_any_number(spark):
     rows += [(100, pool[7]), (101, pool[7]), (102, pool[0]), (103, None), (104, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     for run in (2, 3, 4):
-        got = {x.doc_id: (x.text or "", x.n_removed) for x in winnow.dedup_lines(df, run=run, min_words=13, counts=True).collect()}
-        assert got == brute_long_lines(rows, run, 13)
-        assert got[101] == ("", 1) and got[102] == (pool[0], 0)
+        got = {x.doc_id: ((x.text or "").encode(), x.n_lines, x.n_removed) for x in winnow.dedup_lines(df, run=run, counts=True).collect()}
+        assert got == {d: v for (d, _), v in brute_lines(rows, run).items()}
+        assert got[101] == (b"", 1, 1) and got[102] == (pool[0].encode(), 1, 0)
+
+
+def test_one_line_in_most_documents(spark):
+    """A long line and a run that nearly all documents hold: only the first place stays."""
+    line, block = prose(31, 20), "\n".join(prose(32 + i, 3) for i in range(3))
+    rows = [(i, f"{prose(9000 + i, 9)}\n{line}\n{prose(9500 + i, 9)}\n{block}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x.doc_id: (x.text.encode(), x.n_lines, x.n_removed) for x in winnow.dedup_lines(df, counts=True).collect()}
+    assert got == {d: v for (d, _), v in brute_lines(rows).items()} and {v[2] for v in got.values()} == {0, 4}
 
 
 def brute_phrases(rows, window):

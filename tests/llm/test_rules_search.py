@@ -11,6 +11,7 @@ import pytest
 from conftest_llm import LOWER, prose, rows_by_id
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tools.check import duck, rows_of
@@ -44,7 +45,7 @@ def brute_base(text):
 
 def test_base_rules_of_awkward_rows(awkward, nothing):
     got = {}
-    for r in divergence.quality(awkward, min_reference_words=100).collect():
+    for r in divergence.quality(awkward).collect():
         got.setdefault(r.doc_id, []).append((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words))
         assert r.kept <= (not r.base_failed) and r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
     want = {}
@@ -114,6 +115,43 @@ def test_wand_returns_all_above_the_threshold(least):
     assert hits
 
 
+def brute_contaminated(rows, items):
+    """Ids of the documents with a passage of enough score and overlap, over all items of six words or more."""
+    bags = {i: alnum(t) for i, t in items}
+    stride = max([decontaminate.MIN_STRIDE, *map(len, bags.values())])
+
+    def grams(words):
+        return {tuple(words[p : p + k]) for k in (1, 2, 3) for p in range(len(words) - k + 1)}
+
+    def share(part, have):
+        k = min(decontaminate.GRAM, len(part))
+        own = {tuple(part[p : p + k]) for p in range(len(part) - k + 1)} if k else set()
+        return len(own & have) / len(own) if own else 1
+
+    bad = set()
+    for d, text in rows:
+        words = alnum(text)
+        for j in range(max(1, -(-len(words) // stride) - 1) if words else 0):
+            passage = words[j * stride : (j + 2) * stride]
+            have = grams(passage)
+            for (_, item), s in zip(items, brute_scores(items, passage)):
+                if s >= decontaminate.MIN_SCORE and min(share(alnum(x), have) for x in decontaminate.split_item(item)) >= decontaminate.MIN_OVERLAP:
+                    bad.add(d)
+    return bad
+
+
+def test_scores_dont_depend_on_shards(spark):
+    """Partial copies, whose scores follow the weights of their terms."""
+    r = random.Random(12)
+    items = [(i, prose(3100 + i % 7, r.randint(8, 60), 70)) for i in range(40)]
+    docs = [(i, prose(8000 + i, 40) + " " + " ".join(items[i % 40][1].split()[: r.randint(5, 60)])) for i in range(120)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    total = sum(len(t.split()) for _, t in items)
+    got = [sorted((x.doc_id, x.item_id, round(x.score, 9)) for x in decontaminate.search(df, bench, shard_words=-(-total // n)).collect()) for n in (1, 2, 8)]
+    assert got[0] and got[0] == got[1] == got[2]
+    assert {d for d, _, _ in got[0]} == brute_contaminated(docs, items)
+
+
 def test_decontamination_of_whole_documents(spark, awkward, nothing):
     items = [(i, prose(3000 + i, 30)) for i in range(20)] + [(20, None), (21, ""), (22, "tiny item"), (0, prose(3000, 30))]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
@@ -246,6 +284,50 @@ def test_toxicity_learns_without_held_out_rows(spark, awkward, nothing):
     assert {r.predicted for r in toxicity.score(awkward, none).collect()} == {0}
 
 
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2, prior):
+    """One coordinate at a time, from the published update."""
+    z, n, bias = {}, {}, "bias"
+    weight = lambda i: 0.0 if abs(z.get(i, 0)) <= (l1 if i != bias else 0) else -(z[i] - math.copysign(l1 if i != bias else 0, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(epochs):
+        for s, y in rows:
+            w = {i: weight(i) for i in [*s, bias]}
+            g = 1 / (1 + math.exp(-sum(w.values()) - prior)) - y
+            for i in w:
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / alpha * w[i]
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_equals_plain_loop():
+    r = random.Random(6)
+    rows = [(np.array(sorted(r.sample(range(64), r.randint(0, 9))), np.int64), int(r.random() < 0.3)) for _ in range(200)]
+    share = sum(y for _, y in rows) / len(rows)
+    prior = math.log(share / (1 - share))
+    for l1 in (0.0, 0.5, 3.0):
+        at, w, bias = toxicity.ftrl(rows, 6, 3, 0.7, 1.0, l1, 0.1)
+        want = plain_ftrl([(s.tolist(), y) for s, y in rows], 3, 0.7, 1.0, l1, 0.1, prior)
+        live = {i: x for i, x in want.items() if x and i != "bias"}
+        assert sorted(live) == at.tolist() and np.allclose([live[i] for i in at.tolist()], w) and math.isclose(bias, want["bias"] + prior)
+
+
+def test_one_row_trains_of_a_repeated_id(spark, monkeypatch):
+    trained = []
+    docs = spark.range(30_000).selectExpr("id % 3 as doc_id", "concat('text ', id % 5, ' of words') as text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (0, 0)], "doc_id long, toxic int")
+    real = toxicity.ftrl
+
+    def counted(rows, *settings):
+        at, w, _ = real(rows, *settings)
+        return at, w, float(len(rows))
+
+    monkeypatch.setattr(toxicity, "ftrl", counted)
+    for limit in (2, 10):
+        trained.append(toxicity.fit(docs, labels, max_train=limit)[2])
+    open_ids = sum(toxicity_fold(i) != 2 for i in range(3))
+    assert trained == [min(2, open_ids), open_ids]
+
+
 def test_toxicity_features_stay_parallel(spark):
     docs = spark.range(0, 70, 1, 7).selectExpr("id as doc_id", "concat('some text ', id) as text")
     labels = spark.range(0, 70, 1, 1).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
@@ -302,6 +384,23 @@ def test_archives(spark, monkeypatch):
     assert warc.write_and_read(df.limit(0)).collect() == []
 
 
+def test_captures_of_any_page_id(spark):
+    ids = [0, 1, 10**11, 3 * 10**11, 10**15, 2**63 - 1, -(2**63), -5, None]
+    rows = [(i, f"http://x.org/{k % 2}", f"page {k % 4}") for k, i in enumerate(ids)]
+    got = warc.write_and_read(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == brute_captures(rows)
+    order = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in sorted(got, key=lambda r: (r.range_no, r.range_pos))]
+    assert order == sorted(order) and all(re.fullmatch(r"202[45]-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.captured) for r in got)
+
+
+def test_capture_times(spark, tmp_path):
+    rows = [(1, "http://x.org", "a", 0), (2, "http://x.org", "b", 253_402_300_799), (3, "http://x.org", "c", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, seen long")
+    assert [r.page_id for r in sorted(warc.write_and_read(df, captured="seen").collect(), key=lambda r: r.range_pos)] == [1, 3, 2]
+    with pytest.raises(Exception, match="1970 and 9999"):
+        warc.write(df.withColumn("seen", F.lit(253_402_300_800)), str(tmp_path / "late"), captured="seen")
+
+
 def test_url_keys():
     assert warc.url_key("https://WWW.Example.com:443/a/B?y=2&x=1#f") == warc.url_key("http://example.com/a/B?x=1&y=2") == "com,example)/a/B?x=1&y=2"
 

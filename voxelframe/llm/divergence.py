@@ -3,11 +3,15 @@
 A document's histograms of character classes and of common words are compared with those of its language by the
 Jensen-Shannon distance (base 2, 0 to 1). The references hold all documents of a language; its common words are all
 words with at least ``COMMON_SHARE`` of the language's words, so there are at most 1 / ``COMMON_SHARE`` of them.
-Languages are codes of two or three letters; any other value, null included, shares one reference. There are thus at most
-``MAX_LANGUAGES`` references, whatever the table's size, and they travel to the tasks by value.
+A language is a code of two or three letters with at least ``LANGUAGE_SHARE`` of all words, so there are at most 1 / ``LANGUAGE_SHARE``
+of them; every other document, those of rare languages and without a code included, is compared with the reference of all documents. The
+number of references is thus bounded whatever the table's size, and they travel to the tasks by value.
+
+Class histograms of short texts scatter, so their limit falls with length: ``MAX_CLASS_DISTANCE`` from ``FULL_CHARS`` characters on, more by the
+root of the missing length below. Under ``MIN_CHARS`` characters or ``MIN_WORDS`` words there is no distance.
 
 Defined results: a null text counts as empty; an empty or short text has no distances and is judged by the base rules
-alone; repeated rows are judged alike; a language with too few words has no reference and its documents no distances.
+alone; repeated rows are judged alike; without a word in the whole table there are no references and no distances.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ from voxelframe.llm.text import BLANK, NOT_LETTER, Hasher, covered, grams, map_r
 from voxelframe.session import cut
 
 COMMON_SHARE = 0.002
-MAX_LANGUAGES = 26**2 + 26**3 + 1
-MIN_REFERENCE_WORDS = 2000
-MIN_CHARS = 400
+LANGUAGE_SHARE = 0.005
+MIN_CHARS = 100
+FULL_CHARS = 400
 MIN_WORDS = 60
 MAX_CLASS_DISTANCE = 0.20
 MAX_WORD_DISTANCE = 0.42
@@ -96,15 +100,16 @@ def _merged(parts):
     return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def references(docs: DataFrame, common_share: float = COMMON_SHARE, min_words: int = MIN_REFERENCE_WORDS) -> dict:
-    """lang -> (class histogram, sorted hashes of common words, word histogram with all other words last)."""
-    counts = cut(language_counts(docs))  # read twice
+def references(docs: DataFrame, common_share: float = COMMON_SHARE, language_share: float = LANGUAGE_SHARE) -> dict:
+    """lang -> (class histogram, sorted hashes of common words, word histogram with all other words last); '' is that of all documents."""
+    counts = cut(language_counts(docs))  # read several times
     totals = counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    rows = (
-        counts.join(totals, "lang")
-        .filter((F.col("total") >= min_words) & ((F.col("kind") == 0) | (F.col("n") >= F.col("total") * common_share)))
-        .collect()
-    )
+    every = totals.agg(F.sum("total")).first()[0] or 0
+    own = counts.join(totals.filter((F.col("lang") != "") & (F.col("total") >= language_share * every)), "lang").select("lang", "kind", "key", "n", "total")
+    shared = counts.groupBy("kind", "key").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "kind", "key", "n", F.lit(every).alias("total"))
+    parts = [x.filter((F.col("total") > 0) & ((F.col("kind") == 0) | (F.col("n") >= F.col("total") * common_share))) for x in (own, shared)]
+    # at most 1 / language_share + 1 languages, each of at most 1 / common_share words
+    rows = parts[0].collect() + parts[1].collect()
     found: dict = {}
     for r in rows:
         found.setdefault(r.lang, ({}, {}, r.total))[r.kind][r.key] = r.n
@@ -163,8 +168,9 @@ def _judge(refs: dict, min_chars: int, min_words: int, max_class: float, max_wor
     def judge(hasher, rows, t):
         out = base_counts(hasher, t)
         langs = rows.column(rows.schema.get_field_index("lang")).to_pylist()
-        langs = np.array(langs, object)
+        langs = np.array([x if x in refs else "" for x in langs], object)
         classes = _classes(t)
+        n_chars = classes.sum(axis=1)
         r, h = _letter_words(hasher, t)
         h = to_long(h)
         n_letter_words = r.per_document()
@@ -172,7 +178,7 @@ def _judge(refs: dict, min_chars: int, min_words: int, max_class: float, max_wor
         for name in set(langs.tolist()) & refs.keys():
             ref_c, keys, ref_w = refs[name]
             of = langs == name
-            long_ = of & (classes.sum(axis=1) >= min_chars)
+            long_ = of & (n_chars >= min_chars)
             class_d[long_] = js_distance(classes[long_], ref_c)
             wordy = np.flatnonzero(of & (n_letter_words >= min_words))
             if not len(wordy):
@@ -188,7 +194,8 @@ def _judge(refs: dict, min_chars: int, min_words: int, max_class: float, max_wor
             word_d[wordy] = js_distance(counts, ref_w)
         n = out["n_words"]
         out["base_failed"] = (n < 10) | (100 * out["n_repeat_words"] > 20 * n)
-        out["kept"] = ~out["base_failed"] & ~(class_d > max_class) & ~(word_d > max_word)
+        limit = max_class * np.sqrt(np.maximum(1, FULL_CHARS / np.maximum(n_chars, 1)))
+        out["kept"] = ~out["base_failed"] & ~(class_d > limit) & ~(word_d > max_word)
         out["class_distance"], out["word_distance"] = pa.array(class_d, from_pandas=True), pa.array(word_d, from_pandas=True)
         return out
 
@@ -197,12 +204,12 @@ def _judge(refs: dict, min_chars: int, min_words: int, max_class: float, max_wor
 
 def quality(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", common_share: float = COMMON_SHARE,
-    min_reference_words: int = MIN_REFERENCE_WORDS, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
+    language_share: float = LANGUAGE_SHARE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
     max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE,
 ) -> DataFrame:
     """A verdict for every row. Distances are null below the length guards."""
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), language(lang).alias("lang"))
-    refs = references(slim.select("lang", "text"), common_share, min_reference_words)
+    refs = references(slim.select("lang", "text"), common_share, language_share)
     judge = _judge(refs, min_chars, min_words, max_class_distance, max_word_distance)
 
     def with_id(hasher, rows, t):
@@ -213,9 +220,9 @@ def quality(
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", **settings) -> DataFrame:
     """The rows of the table, all columns as they are, that pass :func:`quality` with these settings."""
-    s = dict(common_share=COMMON_SHARE, min_reference_words=MIN_REFERENCE_WORDS, min_chars=MIN_CHARS, min_words=MIN_WORDS, max_class_distance=MAX_CLASS_DISTANCE, max_word_distance=MAX_WORD_DISTANCE) | settings
+    s = dict(common_share=COMMON_SHARE, language_share=LANGUAGE_SHARE, min_chars=MIN_CHARS, min_words=MIN_WORDS, max_class_distance=MAX_CLASS_DISTANCE, max_word_distance=MAX_WORD_DISTANCE) | settings
     slim = docs.select(language(lang).alias("lang"), F.col(f"`{text}`").alias("text"))
-    refs = references(slim, s["common_share"], s["min_reference_words"])
+    refs = references(slim, s["common_share"], s["language_share"])
     judge = _judge(refs, s["min_chars"], s["min_words"], s["max_class_distance"], s["max_word_distance"])
     names = [f"c{i}" for i in range(len(docs.columns))]
     fields = docs.schema.fields

@@ -27,16 +27,23 @@ def query(name: str, sql: str | None = None):
 BLANKS = r"\x20\x09-\x0D"
 
 QUALITY_SQL = rf"""
-with d as (
+with named as (
   select doc_id, coalesce(text, '') as text,
          case when regexp_matches(lower(lang), '^[a-z]{{2,3}}$') then lower(lang) else '' end as lang
   from documents
+), spelled as (
+  select doc_id, lang, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+') as ws from named
+), own_counts as (
+  select lang, w, count(*) as n from (select lang, unnest(ws) as w from spelled) group by all
+), totals as (
+  select lang, sum(n) as total from own_counts group by lang having lang <> '' and sum(n) >= {divergence.LANGUAGE_SHARE} * (select sum(n) from own_counts)
+  union all select '', sum(n) from own_counts having sum(n) > 0
+), d as (
+  select doc_id, text, coalesce(t.lang, '') as lang, ws from spelled left join totals t using (lang)
 ), letters as (
-  select doc_id, lang, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+') as ws from d
+  select doc_id, lang, ws from d
 ), counts as (
-  select lang, w, count(*) as n from (select lang, unnest(ws) as w from letters) group by all
-), totals as (
-  select lang, sum(n) as total from counts group by all having sum(n) >= {divergence.MIN_REFERENCE_WORDS}
+  select lang, w, n from own_counts where lang <> '' union all select '', w, sum(n) from own_counts group by w
 ), common as (
   select lang, w, n, total from counts join totals using (lang) where n >= total * {divergence.COMMON_SHARE}
 ), word_ref as (
@@ -63,9 +70,10 @@ with d as (
     length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))]) as n
   from d
 ), class_ref as (
-  select lang, c, sum(n) / sum(sum(n)) over (partition by lang)::double as q from cls join totals using (lang) group by lang, c
+  select lang, c, sum(n) / sum(sum(n)) over (partition by lang)::double as q
+  from (select lang, c, n from cls where lang <> '' union all select '', c, n from cls) join totals using (lang) group by lang, c
 ), class_d as (
-  select doc_id, sqrt(greatest((sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + sum(case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2, 0)) as d
+  select doc_id, any_value(total) as total, sqrt(greatest((sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + sum(case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2, 0)) as d
   from (select doc_id, q, n / (sum(n) over (partition by doc_id))::double as p, sum(n) over (partition by doc_id) as total from cls join class_ref using (lang, c))
   where total >= {divergence.MIN_CHARS} group by doc_id
 ), words as (
@@ -87,7 +95,7 @@ with d as (
 )
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
   n_repeat_words::bigint as n_repeat_words, base_failed,
-  not base_failed and coalesce(c.d, 0) <= {divergence.MAX_CLASS_DISTANCE} and coalesce(w.d, 0) <= {divergence.MAX_WORD_DISTANCE} as kept
+  not base_failed and coalesce(c.d <= {divergence.MAX_CLASS_DISTANCE} * sqrt(greatest(1, {divergence.FULL_CHARS} / c.total::double)), true) and coalesce(w.d, 0) <= {divergence.MAX_WORD_DISTANCE} as kept
 from judged left join class_d c using (doc_id) left join word_d w using (doc_id)
 """
 
@@ -138,13 +146,17 @@ LINES_SQL = rf"""
 with l as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents
 ), f as (
-  select doc_id, i, line, row_number() over (partition by doc_id order by i) - 1 as p from l where regexp_matches(line, '[^{BLANKS}]')
+  select doc_id, i, line, len(regexp_extract_all(line, '[^{BLANKS}]+')) as n, row_number() over (partition by doc_id order by i) - 1 as p from l where regexp_matches(line, '[^{BLANKS}]')
 ), runs as (
-  select doc_id, p, line, lead(line) over w as l2, lead(line, 2) over w as l3 from f window w as (partition by doc_id order by p)
+  select doc_id, p, line, lead(line) over w as l2, lead(line, 2) over w as l3, n, n + lead(n) over w as n2 from f window w as (partition by doc_id order by p)
+), candidates as (
+  select doc_id, p, 3 as k, [line, l2, l3] as run from runs where l3 is not null
+  union all select doc_id, p, 2, [line, l2] from runs where n2 >= {winnow.MIN_WORDS}
+  union all select doc_id, p, 1, [line] from runs where n >= {winnow.MIN_WORDS}
 ), later as (
-  select doc_id, p from (select doc_id, p, row_number() over (partition by line, l2, l3 order by doc_id, p) as k from runs where l3 is not null) where k > 1
+  select doc_id, p, k from (select doc_id, p, k, row_number() over (partition by run order by doc_id, p) as place from candidates) where place > 1
 ), gone as (
-  select distinct doc_id, p + j as p from later, unnest([0, 1, 2]) as u(j)
+  select distinct doc_id, p + j as p from later, unnest([0, 1, 2]) as u(j) where j < k
 ), marked as (
   select f.*, gone.p is not null as dropped from f left join gone using (doc_id, p)
 ), counts as (

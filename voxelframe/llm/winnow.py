@@ -6,15 +6,15 @@ places of fingerprints that occur twice go on. Each is extended both ways over t
 are equal are joined to their first place (smallest id, then text hash, then line). All later ones are deleted: what is left of
 a longer match are its overlapping runs, so it goes as a whole.
 
-Only hashes travel; the texts are shuffled once, to be rewritten. Counts per hash combine before the shuffle and are joined back, so
-a line or run that a third of all documents hold is no single group.
+Only hashes travel; the texts are shuffled once, to be rewritten. Counts per hash combine before the shuffle and are joined back under a
+salt, so a line or run that a third of all documents hold is no single group.
 
-With ``min_words`` a repeated run of fewer than ``RUN`` lines counts too if it has that many words, so a long line or pair of
+A repeated run of fewer than ``RUN`` lines counts too if it has ``min_words`` words, so a long line or pair of
 lines is found wherever it stands. Such runs are found and joined in the same way; their fingerprint is the smallest hash among their own lines.
 
 Defined results: null and empty texts stay as they are; blank lines are no part of runs and stay while any line does; rows
 with the same id and text count as one place and are treated alike; a null id comes first; texts with fewer than ``RUN`` lines
-lose nothing without ``min_words``.
+lose nothing but long lines; ``min_words`` None leaves all shorter runs alone.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from voxelframe.llm.text import BLANK, Hasher, Texts, grams, map_runs, spread, t
 from voxelframe.session import cut
 
 RUN = 3
+MIN_WORDS = 13
+SALTS = 8
 
 
 def full_lines(t: Texts):
@@ -39,7 +41,7 @@ def full_lines(t: Texts):
     return lines, at
 
 
-def fingerprints(docs: DataFrame, run: int = RUN, min_words: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, run: int = RUN, min_words: int | None = MIN_WORDS) -> DataFrame:
     """doc_id, tie, print, runs (hashes), starts (``run`` times the first line of each run, plus its lines less one): one row per fingerprint of (doc_id, tie, text)."""
 
     def find(hasher, rows, t):
@@ -74,20 +76,28 @@ def fingerprints(docs: DataFrame, run: int = RUN, min_words: int | None = None)
     return map_runs(docs, "text", find, "doc_id long, tie long, print long, runs array<long>, starts array<int>", Hasher)
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int | None = None) -> DataFrame:
+def _salt():
+    return F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS)).cast("int")
+
+
+def _salted(keys: DataFrame) -> DataFrame:
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int | None = MIN_WORDS) -> DataFrame:
     """doc_id, tie, starts: where (among lines with a word) a run begins that has an earlier place, and its length, as in :func:`fingerprints`."""
-    prints = fingerprints(docs, run, min_words)
+    prints = fingerprints(docs, run, min_words).withColumn("salt", _salt())
     twice = cut(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"))
-    places = prints.join(twice, "print").select("doc_id", "tie", F.explode(F.arrays_zip("runs", "starts")).alias("r")).select(
-        F.col("r.runs").alias("run"), F.struct("doc_id", "tie", F.col("r.starts").alias("start")).alias("place")
+    places = prints.join(_salted(twice), ["print", "salt"]).select("doc_id", "tie", "salt", F.explode(F.arrays_zip("runs", "starts")).alias("r")).select(
+        "salt", F.col("r.runs").alias("run"), F.struct("doc_id", "tie", F.col("r.starts").alias("start")).alias("place")
     )
     places = cut(places)
     firsts = places.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select("run", "first")
-    later = places.join(cut(firsts), "run").filter("place > first")
+    later = places.join(_salted(cut(firsts)), ["run", "salt"]).filter("place > first")
     return later.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.tie").alias("tie")).agg(F.collect_set("place.start").alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, min_words: int | None = None, counts: bool = False, drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, min_words: int | None = MIN_WORDS, counts: bool = False, drop_emptied: bool = False) -> DataFrame:
     """The table with repeated runs of lines deleted from its texts, all other columns as they are.
 
     ``min_words``: shorter runs of at least so many words go too. ``counts`` adds n_lines and n_removed (lines with a word); ``drop_emptied`` leaves out documents that lost all their lines.
