@@ -57,4 +57,14 @@ def R(expr: str) -> str:
     return f"(round(cast({expr} as double), 6) + 0e0)"
 
 
+def tied6(c: Column) -> Column:
+    """:func:`r6` for sums whose exact value may end in a 5 at the seventh decimal: noise of the order of summing must not decide."""
+    return F.round(c.cast("decimal(38,9)"), 6).cast("double") + F.lit(0.0)
+
+
+def T6(expr: str) -> str:
+    """SQL twin of :func:`tied6`."""
+    return f"(cast(round(cast({expr} as decimal(38,9)), 6) as double) + 0e0)"
+
+
 U = lenses.duck_uniform

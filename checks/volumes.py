@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from checks.lenses import VOX_SHAPE
-from checks.registry import R, U, query, r6
+from checks.registry import R, T6, U, query, r6, tied6
 from voxelframe.functions import affine as A
 from voxelframe.operators import filters as FL
 from voxelframe.operators import joins as J
 from voxelframe.operators import sampling as SM
 from voxelframe.operators import volume as V
+from voxelframe.plans import bricks as BR
 
 NZ, NY, NX = VOX_SHAPE
 AUG = {"translation_z": (-5, 5), "translation_y": (-5, 5), "translation_x": (-5, 5),
@@ -115,6 +116,23 @@ def _(t):
     return out.select("pid", "z", "y", "x", r6("hu").alias("v"))
 
 
+TURN = [10.0, 20.0, -5.0]
+TURNED = A.scan_map([0.0] * 3, SPACING8, P8, MM8, rotation=TURN)
+TURNED_T = f"""targets as (select pid, cast(z as int) as z, cast(y as int) as y, cast(x as int) as x, nz, ny, nx,
+ {', '.join(f"{'+'.join(f'({TURNED[i][j]!r})*{a}' for j, a in enumerate('zyx'))}+({TURNED[i][3]!r})+n{c}/2e0 as s{c}" for i, c in enumerate('zyx'))} from shapes, {GRID8})"""
+
+
+@query("vol4_resample_brick_table", f"with {SHAPES}, {TURNED_T} {trilinear_sql('targets', 'zyx')}")
+def _(t):
+    """A turned scan out of bricks of four voxels, blocks of three."""
+    vox = t.f_vox
+    shapes = V.volume_shapes(vox)
+    m = A.scan_map([F.col(f"n{c}") for c in "zyx"], SPACING8, P8, MM8, rotation=TURN)
+    maps = shapes.select("pid", "nz", "ny", "nx", *A.to_columns(m))
+    out = BR.resample_affine(BR.brick_table(vox, "hu", edge=4), maps, [], P8, value="hu", edge=4, block=3)
+    return out.select("pid", "z", "y", "x", r6("hu").alias("v"))
+
+
 # the 12 mm grid puts sources exactly half way between voxels, where rounding noise decides; 11.9 does not
 NEAREST_T = SCAN_T.replace("12/8e0", "11.9e0/8").replace("6/1.5e0", "5.95e0/1.5").replace("6/1.1e0", "5.95e0/1.1").replace("6/1.2e0", "5.95e0/1.2")
 
@@ -155,12 +173,12 @@ def patch_t(where="true"):
 
 
 def per_patch(rows):
-    return f"select pid, cid, count(*) as n, {R('avg(v)')} as mean, {R(f'sum(({MOMENT})*v)/64')} as moment from ({rows}) r group by pid, cid"
+    return f"select pid, cid, count(*) as n, {T6('avg(v)')} as mean, {T6(f'sum(({MOMENT})*v)/64')} as moment from ({rows}) r group by pid, cid"
 
 
 def patch_sums(df, value="hu"):
     return df.groupBy("pid", "cid").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg(value)).alias("mean"), r6(F.sum(F.expr(MOMENT) * F.col(value)) / 64).alias("moment")
+        F.count(F.lit(1)).alias("n"), tied6(F.avg(value)).alias("mean"), tied6(F.sum(F.expr(MOMENT) * F.col(value)) / 64).alias("moment")
     )
 
 

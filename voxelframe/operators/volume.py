@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions import affine as A
+from voxelframe.plans.bricks import brick_pieces, resample_affine
 
 AXES = ("z", "y", "x")
 
@@ -49,9 +50,10 @@ def resample(
 
     Order 0 takes the nearest voxel, order 1 interpolates between the eight around. Positions outside
     [0, n - 1] on any axis give 0, absent voxels count as 0. ``targets`` holds ``by`` and ``keys``
-    (unique together), ``source`` and ``shape`` are columns of it. Only corners with a positive
-    weight travel to the join with the voxels, so aligned axes do not multiply the rows; a target
-    outside travels once, without a position.
+    (unique together), ``source`` and ``shape`` are columns of it. For positions of any kind: the corners of a
+    target become rows. Grids read through affine maps take :func:`~voxelframe.plans.bricks.resample_affine`, as the
+    functions below do. Only corners with a positive weight travel to the join with the voxels, so aligned axes do not multiply
+    the rows; a target outside travels once, without a position.
     """
     t = targets.select(
         by, *keys, *[s.cast("double").alias(f"__s{c}") for s, c in zip(source, AXES)],
@@ -93,9 +95,7 @@ def transform_scan(
     n = [F.col(f"n{c}") for c in AXES]
     m = A.scan_map(n, spacing, patch, patch_mm, **augment)
     maps = shapes.select(by, *[f"n{c}" for c in AXES], *A.to_columns(m))
-    targets = grid(maps, patch)
-    source = A.apply(A.from_columns(), [F.col(c).cast("double") for c in AXES])
-    return resample(targets, voxels, list(AXES), source, n, order, value, by)
+    return resample_affine(brick_pieces(voxels, value, by), maps, [], patch, AXES, order, value, by, routes=None)
 
 
 def transform_mask(mask: DataFrame, shapes: DataFrame, *args, by: str = "pid", **kw) -> DataFrame:
@@ -122,15 +122,12 @@ def extract_patches(
 ) -> DataFrame:
     """One resampled patch per candidate: (pid, cid, pz, py, px, value).
 
-    A candidate with a NULL position is an empty slot and yields zeros; it never reaches the voxels.
+    A candidate with a NULL position is an empty slot and yields zeros.
     """
     c = candidates.join(shapes, by)
     m = A.patch_map([F.col(a) for a in AXES], spacing, patch, patch_mm, **augment)
     maps = c.select(by, cid, *[f"n{a}" for a in AXES], *A.to_columns(m))
-    names = ["pz", "py", "px"]
-    targets = grid(maps, patch, names)
-    source = A.apply(A.from_columns(), [F.col(p).cast("double") for p in names])
-    return resample(targets, voxels, [cid, *names], source, [F.col(f"n{a}") for a in AXES], order, value, by)
+    return resample_affine(brick_pieces(voxels, value, by), maps, [cid], patch, ("pz", "py", "px"), order, value, by)
 
 
 # --- shapes ----------------------------------------------------------------------------------
@@ -252,12 +249,13 @@ def zoom(
     for c, old, new in zip(AXES, spacing, new_spacing):
         s = s.withColumn(f"m{c}", F.greatest(F.bround(F.col(f"n{c}") * F.lit(old / new)), F.lit(1.0)).cast("int"))
         s = s.withColumn(f"s{c}", F.lit(float(old)) * F.col(f"n{c}") / F.col(f"m{c}"))
-    targets = grid(s, [F.col(f"m{c}") for c in AXES])
-    source = [
-        F.col(c) * F.coalesce(F.try_divide(F.col(f"n{c}") - F.lit(1.0), F.col(f"m{c}") - F.lit(1.0)), F.lit(0.0))
-        for c in AXES
-    ]
+    steps = [F.coalesce(F.try_divide(F.col(f"n{c}") - F.lit(1.0), F.col(f"m{c}") - F.lit(1.0)), F.lit(0.0)) for c in AXES]
+    m: A.Matrix = A.identity()
+    for i, step in enumerate(steps):
+        m[i][i] = step
+    maps = s.select(by, *[f"n{c}" for c in AXES], *[f"m{c}" for c in AXES], *A.to_columns(m))
     # the last voxel may land a rounding error beyond the end
-    source = [F.least(p, F.col(f"n{c}") - F.lit(1.0)) for p, c in zip(source, AXES)]
-    out = resample(targets, voxels, list(AXES), source, [F.col(f"n{c}") for c in AXES], order, value, by)
+    out = resample_affine(
+        brick_pieces(voxels, value, by), maps, [], [F.col(f"m{c}") for c in AXES], AXES, order, value, by, snap=True, routes=None
+    )
     return out.join(s.select(by, "sz", "sy", "sx"), by)
