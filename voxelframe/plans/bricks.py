@@ -38,8 +38,6 @@ def brick_pieces(voxels: DataFrame, value: str = "v", by: str = "pid", edge: int
 
     def run(batches):
         for b in batches:
-            names = b.column(0).dictionary_encode()
-            of = names.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             p = np.stack([b.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3)])
             v = b.column(4).to_numpy()
             k, inner = np.divmod(p, edge)
@@ -52,24 +50,36 @@ def brick_pieces(voxels: DataFrame, value: str = "v", by: str = "pid", edge: int
                 z, y, x = inner[:, at] + s * edge
                 places.append((z * side + y) * side + x)
             rows, keys, places = np.concatenate(rows), np.concatenate(keys, axis=1), np.concatenate(places)
-            order = np.lexsort((places, *keys[::-1], of[rows]))
-            rows, keys, places = rows[order], keys[:, order], places[order]
-            if not len(rows):
-                continue
-            full = np.vstack((of[rows], keys))
-            first = np.flatnonzero(np.append(True, (full[:, 1:] != full[:, :-1]).any(axis=0)))
-            offs = np.append(first, len(rows))
-            pack = lambda a, width: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((offs * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows[first])), *[pa.array(x[first], pa.int32()) for x in keys], pack(places.astype("<i4"), 4), pack(v[rows].astype("<f8"), 8)],
-                [by, "kz", "ky", "kx", "at", "v"],
-            )
+            got = packed_groups(b.column(0), rows, keys, places, v[rows], "float64")
+            if got:
+                yield pa.RecordBatch.from_arrays(got, [by, "kz", "ky", "kx", "at", "v"])
 
     kind = slim.schema[by].dataType.simpleString()
     return slim.mapInArrow(run, f"`{by}` {kind}, kz int, ky int, kx int, at binary, v binary")
 
 
-def _same_as_before(columns: list[pa.Array]) -> np.ndarray:
+def packed_groups(names: pa.Array, rows: np.ndarray, keys: Sequence[np.ndarray], places: np.ndarray, values: np.ndarray, dtype: str) -> list[pa.Array] | None:
+    """One row per group of (name, keys): name, keys, the places and the values of the group, packed.
+
+    ``rows``: where the name of each place stands in ``names``.
+    """
+    if not len(rows):
+        return None
+    of = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[rows]
+    full = np.vstack((of, *keys))
+    order = np.lexsort((places, *full[::-1]))
+    full, places = full[:, order], places[order].astype("<i4")
+    values = np.ascontiguousarray(values[order], dtype)
+    first = np.flatnonzero(np.append(True, (full[:, 1:] != full[:, :-1]).any(axis=0)))
+    offs = np.append(first, len(rows))
+
+    def pack(a: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((offs * a.itemsize).astype(np.int32)), pa.py_buffer(a)])
+
+    return [names.take(pa.array(rows[order][first])), *[pa.array(k[first], pa.int32()) for k in full[1:]], pack(places), pack(values)]
+
+
+def same_as_before(columns: list[pa.Array]) -> np.ndarray:
     """Flags of rows whose key equals that of the row before; the first has none."""
     n = len(columns[0])
     same = np.ones(n, bool)
@@ -102,7 +112,7 @@ def brick_table(voxels: DataFrame, value: str = "v", by: str = "pid", edge: int
             return pa.RecordBatch.from_arrays([*held, pa.nulls(1, pa.binary()), pa.array([data.astype("<f8").tobytes()], pa.binary())], [*keys, "at", "v"])
 
         for b in batches:
-            starts = np.flatnonzero(~_same_as_before(b.columns[:4]))
+            starts = np.flatnonzero(~same_as_before(b.columns[:4]))
             for lo, hi in zip(starts, np.append(starts[1:], b.num_rows)):
                 key = [c.slice(lo, 1) for c in b.columns[:4]]
                 if held is None or any(x[0].as_py() != y[0].as_py() for x, y in zip(held, key)):
@@ -225,7 +235,7 @@ def resample_affine(
     def run(batches):
         key, data = None, None
         for b in batches:
-            starts = np.flatnonzero(~_same_as_before(b.columns[:6]))
+            starts = np.flatnonzero(~same_as_before(b.columns[:6]))
             for lo, hi in zip(starts, np.append(starts[1:], b.num_rows)):
                 rows = b.slice(lo, hi - lo)
                 here = [c[0].as_py() for c in rows.columns[:5]]

@@ -18,8 +18,8 @@ from voxelframe.session import cut
 AXES = ("z", "y", "x")
 
 
-def _detect(voxels, shapes, sigmas, form, threshold, overlap, value, by, slab) -> DataFrame:
-    peaks = S.local_maxima(voxels, shapes, sigmas, form, threshold, value, by, slab)
+def _detect(voxels, shapes, sigmas, form, threshold, overlap, value, by, slab, dtype) -> DataFrame:
+    peaks = S.local_maxima(voxels, shapes, sigmas, form, threshold, value, by, slab, dtype)
     # ids follow the raster order of (z, y, x, level)
     code = C.packed(*[F.col(c) for c in AXES]) * F.lit(len(sigmas) + 1) + F.col("level")
     blobs = peaks.select(by, code.alias("cid"), *[F.col(c).cast("double").alias(c) for c in AXES], "sigma")
@@ -29,19 +29,20 @@ def _detect(voxels, shapes, sigmas, form, threshold, overlap, value, by, slab) -
 
 def detect_blobs_dog(
     voxels: DataFrame, shapes: DataFrame, min_sigma: float = 1.0, max_sigma: float = 50.0, ratio: float = 1.6,
-    threshold: float = 2.0, overlap: float = 0.5, value: str = "v", by: str = "pid", slab: int = 4,
+    threshold: float = 2.0, overlap: float = 0.5, value: str = "v", by: str = "pid", slab: int = S.SLAB, dtype: str = "float32",
 ) -> DataFrame:
     """(by, cid, z, y, x, sigma): maxima of the difference of gaussians, pruned by overlap."""
-    return _detect(voxels, shapes, S.dog_sigmas(min_sigma, max_sigma, ratio), "dog", threshold, overlap, value, by, slab)
+    return _detect(voxels, shapes, S.dog_sigmas(min_sigma, max_sigma, ratio), "dog", threshold, overlap, value, by, slab, dtype)
 
 
 def detect_blobs_log(
     voxels: DataFrame, shapes: DataFrame, min_sigma: float = 1.0, max_sigma: float = 50.0, n_sigma: int = 10,
-    threshold: float = 0.2, overlap: float = 0.5, log_scale: bool = False, value: str = "v", by: str = "pid", slab: int = 4,
+    threshold: float = 0.2, overlap: float = 0.5, log_scale: bool = False, value: str = "v", by: str = "pid",
+    slab: int = S.SLAB, dtype: str = "float32",
 ) -> DataFrame:
     """The same with the Laplacian of gaussian."""
     sigmas = S.log_sigmas(min_sigma, max_sigma, n_sigma, log_scale)
-    return _detect(voxels, shapes, sigmas, "log", threshold, overlap, value, by, slab)
+    return _detect(voxels, shapes, sigmas, "log", threshold, overlap, value, by, slab, dtype)
 
 
 # --- lung masks ------------------------------------------------------------------------------
