@@ -63,6 +63,16 @@ def _vox(q):
 VOX_SHAPE = (10, 11, 9)
 
 
+def _big(q):
+    # scans of 64 x 64 x 64 voxels with scattered and clustered points, one per 64 suppliers
+    return """select cast(floor((l_suppkey-1)/64) as bigint) as pid, cast(l_orderkey*7+l_linenumber*11 as bigint) % 64 as z,
+      cast(l_partkey*5+l_linenumber as bigint) % 64 as y, cast(l_orderkey % 29+l_partkey % 36 as bigint) as x,
+      cast(1+sum(l_partkey+l_orderkey) % 8 as double) as v from lineitem group by 1,2,3,4"""
+
+
+BIG_SHAPE = (64, 64, 64)
+
+
 def _cand(q):
     # cid follows (orderkey, linenumber, suppkey) and is unique in a patient, so no window is needed
     return f"""select pid, cid, z, y, x, d, {q.u('p', 'k')} as p, k from (
@@ -142,6 +152,7 @@ def _feat(q):
 
 LENSES = {
     "f_vox": _vox,
+    "f_big": _big,
     "f_cand": _cand,
     "f_pts": _pts,
     "f_ann": _ann,

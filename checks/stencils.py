@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.candidates import overlap_sql
-from checks.lenses import VOX_SHAPE
+from checks.lenses import BIG_SHAPE, VOX_SHAPE
 from checks.registry import R, query, r6
 from voxelframe.functions import scalars as S
 from voxelframe.operators import components as C
@@ -306,6 +306,32 @@ def _(t):
     return b.select(*KEYS, r6("sigma").alias("sigma"))
 
 
+# --- scans of 64 voxels per axis, scales from 1 to beyond 15 ------------------------------------
+
+WIDE_S = SS.dog_sigmas(1, 15)
+WIDE = f"{weights_sql(WIDE_S, BIG_SHAPE, 'select pid,z,y,x,v from f_big')}, {DOG_STEPS}"
+WIDE_LEAST = 0.15
+NEAR = ", ".join(f"(select unnest([-1,0,1]) as d{c}) n{c}" for c in "zyxl")
+WIDE_PEAKS = f"""high as (select * from space where v > {WIDE_LEAST}),
+ around as (select a.*, a.z+dz as bz, a.y+dy as b_y, a.x+dx as bx, a.level+dl as bl from high a, {NEAR}),
+ peaks as (select a.pid, a.z, a.y, a.x, a.level, max(a.v) as v from around a join space b on b.pid=a.pid and b.z=a.bz and b.y=a.b_y and b.x=a.bx and b.level=a.bl group by 1,2,3,4,5 having max(b.v)=max(a.v))"""
+
+
+def big_shapes(t):
+    return t.f_big.select("pid").distinct().select("pid", *[F.lit(n).alias(f"n{c}") for c, n in zip("zyx", BIG_SHAPE)])
+
+
+@query("vol31_wide_maxima", f"with {WIDE}, {WIDE_PEAKS} {OUT} from peaks")
+def _(t):
+    return space_out(SS.local_maxima(t.f_big, big_shapes(t), WIDE_S, "dog", WIDE_LEAST, slab=24))
+
+
+@query("can6_blob_detection_wide", f"with {WIDE}, {WIDE_PEAKS}, {pruned_sql(0.5)}")
+def _(t):
+    b = D.detect_blobs_dog(t.f_big, big_shapes(t), 1, 15, threshold=WIDE_LEAST, slab=24)
+    return b.select(*[F.col(c).cast("double").alias(c) if c != "pid" else F.col(c) for c in KEYS], r6("sigma").alias("sigma"))
+
+
 N_SPEC = 64
 
 
