@@ -7,7 +7,6 @@ from checks.registry import R, U, query, r6
 from voxelframe.operators import joins as J
 from voxelframe.operators import labels as L
 from voxelframe.operators import sampling as SM
-from voxelframe.plans.ordered import value_bucket
 
 
 @query("smp1_stratified_holdout", f"""
@@ -26,7 +25,7 @@ def _(t):
 @query("smp3_shards", """
 select pid, cid, least((row_number() over (order by pid, cid)-1)//((select count(*) from f_cand)//7)+1, 7) as shard from f_cand""")
 def _(t):
-    return SM.shards(t.f_cand.select("pid", "cid"), 7, ["pid", "cid"], value_bucket(F.col("pid"), 64))
+    return SM.shards(t.f_cand.select("pid", "cid"), 7, ["pid", "cid"])
 
 
 NEG_RANK = f"""select *, row_number() over (partition by pid order by {U('match','pid','aid')}, aid) as rn from f_ann where d=0"""

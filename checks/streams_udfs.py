@@ -71,7 +71,7 @@ def _(t):
         return layout.unit(features, "nodule", 1) * F.sqrt(layout.get(features, "size"))
 
     scored = t.f_feat.withColumn("score", by_size(LAYOUT, "features"))
-    return RK.rank_candidates(scored, "score", step=0.05).select("pid", "cid", "rank")
+    return RK.rank_candidates(scored, "score").select("pid", "cid", "rank")
 
 
 @query("udf3_label_builder", f"select pid, aid, {R('case when d>0 then least(d/30,1) else 0 end')} as y from f_ann")

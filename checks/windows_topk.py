@@ -161,9 +161,9 @@ def _(t):
     return RK.top_n_padded(t.f_cand.select("pid", "cid", "p"), patients, 20).select("pid", "rank", "cid", r6("p").alias("p"))
 
 
-def ranked_by(t, strategy, step=1 / 256):
+def ranked_by(t, strategy):
     scored = t.f_feat.withColumn("score", strategy(LAYOUT, "features"))
-    return RK.rank_candidates(scored, "score", step=step).select("pid", "cid", "rank", r6("score").alias("score"))
+    return RK.rank_candidates(scored, "score").select("pid", "cid", "rank", r6("score").alias("score"))
 
 
 def ranked_sql(expr):
@@ -196,7 +196,7 @@ def _(t):
 
 @query("top8_rank_bounded_malignancy", ranked_sql("features[5]"))
 def _(t):
-    return ranked_by(t, RK.by_bounded_malignancy, 5 / 256)
+    return ranked_by(t, RK.by_bounded_malignancy)
 
 
 @query("top9_best_epoch", f"""

@@ -7,6 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxelframe.operators import joins as J
+from voxelframe.operators import ranking as RK
+from voxelframe.operators import slices as SL
 from voxelframe.plans import ordered as O
 from voxelframe.plans.graph import connected_components
 from voxelframe.plans.pieces import map_pieces, split_pieces
@@ -133,3 +135,37 @@ def test_asof_lookup_counts_equal_index(spark):
     steps = spark.createDataFrame([("a", 3, 1.0), ("a", 10, 2.0), ("a", 31, 3.0)], "g string, i long, rate double")
     got = {r.i: r.rate for r in J.asof_lookup(rows, steps, ["g"], "i", "rate", 7).collect()}
     assert got == {0: None, 5: 1.0, 10: 2.0, 15: 2.0, 20: 2.0, 25: 2.0, 30: 2.0, 35: 3.0, 40: 3.0, 45: 3.0}
+
+
+def test_equal_scores_of_one_patient_are_cut(spark):
+    """A million equal scores of one patient: no bucket holds most of them, and the ranks are those of one sort."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("a").alias("pid"), F.pmod(F.col("id") * 7919, F.lit(n)).alias("cid"), F.lit(0.5).alias("p"))
+    df = df.unionByName(spark.range(1000).select(F.lit("b").alias("pid"), F.col("id").alias("cid"), (F.col("id") % 3).cast("double").alias("p")))
+    buckets = O.range_buckets(df, ["pid"], [F.desc("p"), F.asc("cid")])
+    sizes = [r["n"] for r in buckets.groupBy(O.BUCKET).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == n + 1000 and max(sizes) < 0.45 * n and len(sizes) == 4
+    ranked = RK.rank_candidates(df)
+    assert ranked.filter("pid = 'a' and rank <> cid + 1").count() == 0
+    b = {r.cid: r["rank"] for r in ranked.filter("pid = 'b'").collect()}
+    order = sorted(range(1000), key=lambda i: (-(i % 3), i))
+    assert b == {c: k + 1 for k, c in enumerate(order)}
+
+
+def test_a_series_of_a_million_slices(spark):
+    n = 1_000_000
+    slices = spark.range(n).select(F.lit("a").alias("pid"), F.pmod(F.col("id") * 7919, F.lit(n)).alias("sid")).withColumn("position_mm", F.floor(F.col("sid") / 2) * 2.0)
+    ordered = SL.order_slices(slices)
+    assert ordered.filter(F.col("slice_no") != F.col("sid")).count() == 0
+    odd = F.col("sid") % 2 == 1
+    assert ordered.filter(~F.col("gap").eqNullSafe(F.when(odd, 0.0).when(F.col("sid") > 0, 2.0))).count() == 0
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Window" in x and "[pid" in x and O.BUCKET not in x and "__before" not in x and "__carry" not in x]
+
+
+def test_previous_of_nulls_and_single_rows(spark):
+    rows = [("a", 1, None), ("a", 2, 5.0), ("a", 3, None), (None, 1, 2.0), (None, 2, 7.0), ("c", 9, 1.0)]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    got = sorted((str(r.g), r.i, r["rank"], r.previous) for r in O.rank_and_previous(df, ["g"], ["i"], "v").collect())
+    assert got == [("None", 1, 1, None), ("None", 2, 2, 2.0), ("a", 1, 1, None), ("a", 2, 2, None), ("a", 3, 3, 5.0), ("c", 9, 1, None)]
+    assert O.rank_and_previous(df.limit(0), ["g"], ["i"], "v").collect() == []

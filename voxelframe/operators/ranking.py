@@ -52,10 +52,14 @@ def by_bounded_malignancy(layout: HeadLayout, features: str = "features") -> Col
 
 def rank_candidates(
     df: DataFrame, score: str = "p", by: str = "pid", cid: str = "cid", out: str = "rank",
-    step: float = 1 / 256,
+    step: float | None = None,
 ) -> DataFrame:
-    """Rank by score descending, ties by id. ``step`` is the score range of one bucket of a group."""
-    bucket = value_bucket(-F.col(score), step)
+    """Rank by score descending, ties by id.
+
+    The order is cut by splitters of (score, id), so equal scores are cut as well; ``step`` cuts it by score ranges instead, where
+    scores are known to spread.
+    """
+    bucket = None if step is None else value_bucket(-F.col(score), step)
     return rank_within(df, [by], [F.desc(score), F.asc(cid)], bucket, out)
 
 

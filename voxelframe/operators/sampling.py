@@ -43,8 +43,8 @@ def holdout(df: DataFrame, share: float, seed: str, key: str = "pid") -> DataFra
     return ranked.withColumn("split", F.when(F.col("rank") <= take, "valid").otherwise("train")).drop("rank")
 
 
-def shards(df: DataFrame, n: int, order: Sequence[str], bucket: Column, out: str = "shard") -> DataFrame:
-    """Contiguous shards 1..n of floor(rows / n) each; the last takes the rest."""
+def shards(df: DataFrame, n: int, order: Sequence[str], bucket: Column | None = None, out: str = "shard") -> DataFrame:
+    """Contiguous shards 1..n of floor(rows / n) each; the last takes the rest. Without a bucket the order is cut by range."""
     size = F.floor(df.agg(F.count(F.lit(1))).scalar() / F.lit(n))
     ranked = rank_within(df, [], [F.asc(c) for c in order], bucket, "__r")
     # with fewer rows than shards all are in the last

@@ -1,7 +1,7 @@
 """From slices to ordered scans.
 
-The per-patient windows here run over slice metadata only: a series has at most some thousands of
-slices (one table position each), so a patient's partition stays small whatever the pixel volume.
+Slices are numbered by range partitions of (patient, position, id) with carried last rows, so a series of any length is cut over
+tasks like the rest; windows hold pairs of slices only.
 """
 
 from __future__ import annotations
@@ -9,17 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelframe.plans.ordered import attach
+from voxelframe.plans.ordered import attach, rank_and_previous
+from voxelframe.session import cut
 
 TOLERANCE = 0.01
 
 
 def order_slices(slices: DataFrame, position: str = "position_mm", by: str = "pid", sid: str = "sid") -> DataFrame:
     """Add ``slice_no`` (from 0) and ``gap`` to the previous slice along the position."""
-    w = Window.partitionBy(by).orderBy(position, sid)
-    return slices.withColumn("slice_no", F.row_number().over(w) - 1).withColumn(
-        "gap", F.col(position) - F.lag(position).over(w)
-    )
+    numbered = rank_and_previous(slices, [by], [position, sid], position, "__rank", "__previous")
+    return numbered.withColumn("slice_no", (F.col("__rank") - 1).cast("int")).withColumn("gap", F.col(position) - F.col("__previous")).drop("__rank", "__previous")
 
 
 def uniform_spacing(ordered: DataFrame, by: str = "pid", two_sided: bool = False) -> DataFrame:
@@ -125,6 +124,7 @@ def thickness_check(
             F.lit(0.0),
         ).alias("by_location"),
     )
-    different = order_slices(line, "line_pos", by, sid).select(by, F.round("gap", 6).alias("gap")).distinct()
+    # the range partitioning reads its input twice
+    different = order_slices(cut(line), "line_pos", by, sid).select(by, F.round("gap", 6).alias("gap")).distinct()
     gaps = different.groupBy(by).agg(F.count("gap").alias("n_gaps"), F.max("gap").alias("max_gap"))
     return first.join(gaps, by)

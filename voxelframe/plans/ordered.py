@@ -4,7 +4,8 @@ A window over ``partitionBy(group)`` sorts a whole group in one task, which fail
 group holds a large share of the rows. The functions here cut every group into *buckets* that follow
 the sort order, work inside (group, bucket), and carry a one-row-per-bucket summary across buckets.
 A bucket is any column that never decreases along the sort order: a slice of a uniform hash, a
-floor of the sort value, a time slot.
+floor of the sort value, a time slot. Where no such column is known, :func:`range_buckets` cuts the table by splitters that
+Spark samples from the order itself, so ties and groups with one value are cut like all else.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelframe.session import cut as checkpointed
+
 BUCKET = "__bucket"
 
 
@@ -29,6 +32,16 @@ def bucket_count(df: DataFrame, per_bucket: int = 32 << 20, least: int = 256) ->
     return max(least, -(-size // per_bucket))
 
 
+def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[Column], per_bucket: int = 32 << 20) -> DataFrame:
+    """The table with ``BUCKET``: contiguous stretches of about equal size of the order (by, order), which should be total.
+
+    The stretches are those of a range partitioning; the result is a reliable checkpoint, so all that reads it sees the same.
+    """
+    n = bucket_count(df, per_bucket, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(n, *[F.asc(c) for c in by], *order)
+    return checkpointed(dealt.withColumn(BUCKET, F.spark_partition_id().cast("long")))
+
+
 def hash_bucket(u: Column, n: int = 256) -> Column:
     """Equal slices of a uniform in [0, 1)."""
     return F.floor(u * F.lit(n)).cast("long")
@@ -53,12 +66,12 @@ def rank_within(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
-    bucket: Column,
+    bucket: Column | None = None,
     out: str = "rank",
 ) -> DataFrame:
-    """1-based ``row_number`` of each row in its group; ``by`` may be empty for a total order."""
+    """1-based ``row_number`` of each row in its group; ``by`` may be empty for a total order. Without a bucket the order is cut by range."""
     by = list(by)
-    cut = df.withColumn(BUCKET, bucket)
+    cut = range_buckets(df, by, order) if bucket is None else df.withColumn(BUCKET, bucket)
     sizes = cut.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select(
         *by,
@@ -121,6 +134,27 @@ def previous_value(
     )
 
 
+def rank_and_previous(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, rank: str = "rank", previous: str = "previous"
+) -> DataFrame:
+    """1-based number of each row in its group and the value of the row before it, the order cut by range."""
+    by = list(by)
+    cut = range_buckets(df, by, [F.asc(c) for c in order])
+    sizes = cut.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("__n"), F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__tail"))
+    carried = sizes.select(
+        *by, BUCKET, F.coalesce(F.sum("__n").over(_across(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.lag("__tail").over(_across(by)).alias("__carry"),
+    )
+    w = Window.partitionBy(*by, BUCKET).orderBy(*order)
+    inside = cut.withColumn("__rn", F.row_number().over(w)).withColumn("__in", F.lag(value).over(w))
+    return (
+        attach(inside, carried, by + [BUCKET])
+        .withColumn(previous, F.when(F.col("__rn") == 1, F.col("__carry.v")).otherwise(F.col("__in")))
+        .withColumn(rank, (F.col("__rn") + F.col("__before")).cast("long"))
+        .drop("__rn", "__in", "__carry", "__before", BUCKET)
+    )
+
+
 def forward_fill(
     df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, bucket: Column, out: str
 ) -> DataFrame:
