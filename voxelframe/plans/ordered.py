@@ -32,13 +32,15 @@ def bucket_count(df: DataFrame, per_bucket: int = 32 << 20, least: int = 256) ->
     return max(least, -(-size // per_bucket))
 
 
-def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[Column], per_bucket: int = 32 << 20) -> DataFrame:
-    """The table with ``BUCKET``: contiguous stretches of about equal size of the order (by, order), which should be total.
+def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[Column], per_bucket: int = 500_000) -> DataFrame:
+    """The table with ``BUCKET``: contiguous stretches of about ``per_bucket`` rows of the order (by, order), which should be total.
 
-    The stretches are those of a range partitioning; the result is a reliable checkpoint, so all that reads it sees the same.
+    The stretches are those of a range partitioning. Its input is read more than once and stands in a checkpoint, as does the
+    result, so all that reads it sees the same stretches.
     """
-    n = bucket_count(df, per_bucket, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(n, *[F.asc(c) for c in by], *order)
+    stored = checkpointed(df)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored.count() // per_bucket))
+    dealt = stored.repartitionByRange(n, *[F.asc(c) for c in by], *order)
     return checkpointed(dealt.withColumn(BUCKET, F.spark_partition_id().cast("long")))
 
 
