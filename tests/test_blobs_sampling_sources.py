@@ -97,6 +97,42 @@ def test_merge_close_equals_sequential_loop(spark, batch):
     assert got == want
 
 
+def merged(rows):
+    """The sequential loop over rows (pid, cid, z, y, x, p) of one patient."""
+    kept = []
+    for r in sorted(rows, key=lambda r: r[1]):
+        near = next((k for k in kept if math.sqrt((2.5 * (r[2] - k[2])) ** 2 + (r[3] - k[3]) ** 2 + (r[4] - k[4]) ** 2) < 16), None)
+        if near is None:
+            kept.append(r)
+        elif r[5] > near[5]:
+            kept.remove(near)
+            kept.append(r)
+    return {k[1] for k in kept}
+
+
+@pytest.mark.parametrize("cells, per_block", [(8, 20_000), (1, 20_000), (1, 9), (2, 40)])
+def test_merge_close_over_blocks(spark, cells, per_block):
+    """Chains of replacements across cells, and a heap that holds a third of all candidates and is cut by ids."""
+    rnd = random.Random(7)
+    rows = [(None, i, rnd.uniform(-20, 20), rnd.uniform(-60, 60), rnd.uniform(0, 130), round(rnd.random(), 1)) for i in range(150)]
+    rows += [(None, 1000 + i, 1.0, 5.0, 15.9, rnd.random()) for i in range(90)]
+    chain = [("c", i, 0.0, 0.0, 9.0 * i, 0.01 * i) for i in range(40)]
+    scattered = rnd.sample(range(200), 40)
+    chain += [("d", scattered[i], 0.0, 9.0 * i, 0.0, rnd.random()) for i in range(40)]
+    odd = [("e", 1, None, 1.0, 1.0, 0.5), ("e", 2, 0.0, 0.0, 0.0, None), ("e", 3, 0.0, 0.0, 0.0, 0.9)]
+    df = spark.createDataFrame(rows + chain + odd, "pid string, cid long, z double, y double, x double, p double").repartition(3)
+    got = B.merge_close(df, cells=cells, per_block=per_block)
+    assert got.columns == df.columns
+    found = {(r.pid, r.cid) for r in got.collect()}
+    want = {(p, c) for p in (None, "c", "d") for c in merged([r for r in rows + chain if r[0] == p])}
+    assert found == want | {("e", 1), ("e", 2)}
+
+
+def test_merge_close_of_nothing(spark):
+    df = spark.createDataFrame([], "pid string, cid long, z double, y double, x double, p double")
+    assert B.merge_close(df).collect() == []
+
+
 # --- sampling --------------------------------------------------------------------------------
 
 

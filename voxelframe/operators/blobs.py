@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.operators.joins import AXES
-from voxelframe.plans.graph import connected_components
-from voxelframe.plans.spatial import drop_when_near, join_within, squared_distance
+from voxelframe.plans.ordered import BUCKET, range_buckets
+from voxelframe.plans.spatial import drop_when_near, squared_distance
 from voxelframe.session import cut
 
 # Merging of close neighbours.
@@ -120,81 +120,136 @@ def prune_greedy(
 # --- close neighbours ------------------------------------------------------------------------
 
 
-def close_groups(
-    candidates: DataFrame, distance: float = MERGE_DISTANCE, z_scale: float = MERGE_Z_SCALE, by: str = "pid",
-    cid: str = "cid",
-) -> DataFrame:
-    """Candidates with ``group``: the lowest place of those linked by steps below the distance.
-
-    Places (distinct positions) are linked, not candidates, so copies add no edges.
-    """
-    scaled = ["__gz", "__gy", "__gx"]
-    place = F.struct(by, *AXES)
-    places = candidates.select(by, *AXES).distinct().select(
-        by, place.alias("src"), (F.col("z") * z_scale).alias("__gz"), F.col("y").alias("__gy"), F.col("x").alias("__gx")
-    )
-    others = places.select(by, F.col("src").alias("dst"), *[F.col(c).alias(c + "o") for c in scaled])
-    other_axes = [c + "o" for c in scaled]
-    near = (F.col("src") < F.col("dst")) & (squared_distance(scaled, other_axes) < F.lit(distance * distance))
-    edges = join_within(places, others, [by], scaled, other_axes, distance, near).select("src", "dst")
-    comps = connected_components(edges)
-    return (
-        candidates.withColumn("node", place).join(comps, "node", "left")
-        .withColumn("group", F.coalesce("component", "node")).drop("node", "component")
-    )
-
-
 def merge_close(
     candidates: DataFrame, distance: float = MERGE_DISTANCE, z_scale: float = MERGE_Z_SCALE, by: str = "pid",
-    cid: str = "cid", score: str = "p",
+    cid: str = "cid", score: str = "p", cells: int = 8, per_block: int = 20_000,
 ) -> DataFrame:
     """Keep one of close candidates, in id order.
 
     A candidate closer than the distance to a kept one (the earliest kept counts) takes its place if
-    its score is higher and is dropped otherwise. The step depends on what came before, so it runs in
-    order, but only inside a group of linked candidates: candidates alone skip it, and each group is
-    read as a sorted stream that holds the kept ones, never the whole group.
+    its score is higher and is dropped otherwise.
+
+    Each step depends on what came before, so the result is found as a fixed point. Space is cut into cells of ``cells`` distances
+    and a cell, where it is crowded, into stretches of ids: blocks of about ``per_block`` candidates at most. A round runs the steps of every block
+    side by side, with the lives (kept from, replaced at) that the last round found for candidates next to the block or before
+    it. The first step that isn't yet right has only right ones before it, so each round settles more, and rounds end
+    when none changes a life: then every step has seen what the loop over all candidates would have seen. The number of rounds follows the
+    longest chain of replacements across blocks, not the size of a group.
+
+    Ids are unique in a patient. A candidate without a position is close to nothing and stays.
     """
-    linked = close_groups(candidates.select(by, cid, *AXES, score), distance, z_scale, by, cid)
-    sizes = linked.groupBy("group").agg(F.count(F.lit(1)).alias("__n"))
-    sized = linked.join(sizes, "group")
-    alone = sized.filter("__n = 1").select(by, cid)
-    crowd = sized.filter("__n > 1").select(
-        F.to_json("group").alias("group"), F.col(by).alias("pid"), F.col(cid).alias("cid"),
-        *[F.col(c).cast("double").alias(c) for c in AXES], F.col(score).cast("double").alias("score"),
+    width = cells * distance
+    axes = (("cz", "z", z_scale), ("cy", "y", 1.0), ("cx", "x", 1.0))
+    block = ["pid", "cz", "cy", "cx"]
+    rows = candidates.select(
+        F.col(by).alias("pid"), F.col(cid).alias("cid"), *[F.col(c).cast("double").alias(c) for c in AXES], F.col(score).cast("double").alias("score")
+    ).filter("z is not null and y is not null and x is not null")
+    rows = rows.withColumns({c: F.floor(F.col(a) * F.lit(s) / F.lit(width)) for c, a, s in axes})
+    dealt = range_buckets(rows, block, [F.asc("cid")], per_block).withColumnRenamed(BUCKET, "part")
+    blocks = cut(dealt.groupBy(*block, "part").agg(F.min("cid").alias("__lo"), F.max("cid").alias("__hi")))
+    kind_of = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    lives_schema = (
+        f"pid {kind_of['pid']}, cid {kind_of['cid']}, stays boolean, z double, y double, x double, score double, cz long, cy long, cx long, "
+        f"part long, own {kind_of['cid']}, other {kind_of['cid']}"
     )
-    fields = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-    kept = crowd.repartition("group").sortWithinPartitions("group", "cid").mapInPandas(
-        _merge_stream(distance, z_scale), f"pid {fields[by]}, cid {fields[cid]}"
-    ).select(F.col("pid").alias(by), F.col("cid").alias(cid))
-    return candidates.join(alone.unionByName(kept), [by, cid], "left_semi")
-
-
-def _merge_stream(distance: float, z_scale: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, kept = None, []
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if row.group != group:
-                    out += kept
-                    group, kept = row.group, []
-                near = next(
-                    (
-                        i for i, k in enumerate(kept)
-                        if math.sqrt(((row.z - k.z) * z_scale) ** 2 + (row.y - k.y) ** 2 + (row.x - k.x) ** 2) < distance
-                    ),
-                    None,
-                )
-                if near is None:
-                    kept.append(row)
-                elif row.score > kept[near].score:
-                    del kept[near]
-                    kept.append(row)
-            yield pd.DataFrame({"pid": [k.pid for k in out], "cid": [k.cid for k in out]}).astype(
-                {"pid": pdf["pid"].dtype, "cid": pdf["cid"].dtype}
-            )
-        if kept:
-            yield pd.DataFrame({"pid": [k.pid for k in kept], "cid": [k.cid for k in kept]})
+    order = [*block, "part", "kind", "cid", *AXES, "score", "death"]
+    mine = dealt.withColumn("kind", F.lit(2)).withColumn("death", F.lit(None).cast(kind_of["cid"])).select(*order)
+    lives, state = dealt.sparkSession.createDataFrame([], lives_schema), None
+    while True:
+        death = F.least("own", "other")
+        near = lives.withColumn("death", death)
+        for c, a, s in axes:
+            at = F.col(a) * F.lit(s)
+            near = near.withColumn(f"__{c}", F.explode(F.sequence(F.floor((at - distance) / width), F.floor((at + distance) / width))))
+        there = blocks.select(*[F.col(c).alias(f"__b_{c}") for c in (*block, "part")], "__lo", "__hi")
+        same_cell = F.col("pid").eqNullSafe(F.col("__b_pid"))
+        for c in block[1:]:
+            same_cell = same_cell & (F.col(f"__{c}") == F.col(f"__b_{c}"))
+        elsewhere = (F.col("part") != F.col("__b_part")) | (F.col("cz") != F.col("__b_cz")) | (F.col("cy") != F.col("__b_cy")) | (F.col("cx") != F.col("__b_cx"))
+        alive = (F.col("cid") < F.col("__hi")) & (F.col("death").isNull() | (F.col("death") >= F.col("__lo")))
+        met = near.join(there, same_cell & elsewhere & alive).select(
+            *[F.col(f"__b_{c}").alias(c) for c in (*block, "part")], F.lit(0).alias("kind"), "cid", *AXES, "score", "death"
+        )
+        ends = lives.filter("other is not null").withColumn("kind", F.lit(1)).withColumn("death", F.col("other")).select(*order)
+        n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sorted_ = met.unionByName(ends).unionByName(mine).repartition(n, *block, "part").sortWithinPartitions(*block, "part", "kind", "cid")
+        found = sorted_.mapInArrow(_merge_blocks(distance, z_scale, block), lives_schema)
+        lives = cut(
+            found.groupBy("pid", "cid").agg(*[F.max(c).alias(c) for c in ("stays", *AXES, "score", "cz", "cy", "cx", "part")], F.min("own").alias("own"), F.min("other").alias("other")).filter("stays")
+        )
+        before, state = state, lives.agg(F.count(F.lit(1)), F.sum(F.xxhash64("pid", "cid", "own", "other").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+    kept = lives.filter("own is null and other is null").select(F.col("pid").alias("__pid"), F.col("cid").alias("__cid"))
+    nowhere = F.lit(False)
+    for c in AXES:
+        nowhere = nowhere | F.col(c).isNull()
+    rest = candidates.filter(nowhere)
+    return candidates.filter(~nowhere).join(kept, F.col(by).eqNullSafe(F.col("__pid")) & (F.col(cid) == F.col("__cid")), "left_semi").unionByName(rest)
+
+
+def _merge_blocks(distance: float, z_scale: float, block: list[str]):
+    """The steps of each block of a sorted stream: kept candidates around it, ends of its own that others bring, its candidates in id order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        key, places, ends, out = None, {}, {}, []
+
+        def cell(p):
+            return math.floor(p[1] * z_scale / distance), math.floor(p[2] / distance), math.floor(p[3] / distance)
+
+        def step(p):
+            """p: [id, z, y, x, score, end, mine, replaced by]."""
+            cz, cy, cx = cell(p)
+            first = None
+            for z in (cz - 1, cz, cz + 1):
+                for y in (cy - 1, cy, cy + 1):
+                    for x in (cx - 1, cx, cx + 1):
+                        for k in places.get((z, y, x), ()):
+                            if (
+                                k[0] < p[0] and k[7] is None and (k[5] is None or k[5] >= p[0]) and (first is None or k[0] < first[0])
+                                and math.sqrt(((p[1] - k[1]) * z_scale) ** 2 + (p[2] - k[2]) ** 2 + (p[3] - k[3]) ** 2) < distance
+                            ):
+                                first = k
+            if first is not None:
+                if not p[4] > first[4]:
+                    return
+                first[7] = p[0]
+                places[cell(first)].remove(first)
+                if not first[6]:
+                    out.append((first[0], None, None, None, None, None, None, p[0]))
+            places.setdefault(cell(p), []).append(p)
+            out.append(p)
+
+        def flush():
+            if not out:
+                return
+            pid, part = key[0], key[4]
+            stays = [len(p) == 8 and p[1] is not None for p in out]
+            cols = {
+                "pid": [pid] * len(out), "cid": [p[0] for p in out], "stays": [s or None for s in stays], **{c: [p[i] if s else None for p, s in zip(out, stays)] for i, c in ((1, "z"), (2, "y"), (3, "x"), (4, "score"))},
+                **{c: [key[i] if s else None for s in stays] for i, c in ((1, "cz"), (2, "cy"), (3, "cx"))}, "part": [part if s else None for s in stays],
+                "own": [p[7] if s else None for p, s in zip(out, stays)], "other": [None if s else p[7] for p, s in zip(out, stays)],
+            }
+            types = {"pid": schema.field("pid").type, **dict.fromkeys(("cid", "own", "other"), schema.field("cid").type), "stays": pa.bool_(), **dict.fromkeys(("z", "y", "x", "score"), pa.float64())}
+            yield pa.RecordBatch.from_arrays([pa.array(v, types.get(c, pa.int64())) for c, v in cols.items()], list(cols))
+
+        for b in batches:
+            schema = b.schema
+            names = [b.column(i).to_pylist() for i in range(5)]
+            kinds, ids, *numbers = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("kind", "cid", *AXES, "score", "death"))
+            for *here, kind, i, z, y, x, p, death in zip(*names, kinds, ids, *numbers):
+                if here != key:
+                    yield from flush()
+                    key, places, ends, out = here, {}, {}, []
+                p = math.nan if p is None else p
+                if kind == 0:
+                    place = [i, z, y, x, p, death, False, None]
+                    places.setdefault(cell(place), []).append(place)
+                elif kind == 1:
+                    ends[i] = death
+                else:
+                    step([i, z, y, x, p, ends.get(i), True, None])
+        yield from flush()
 
     return run
