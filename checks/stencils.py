@@ -332,6 +332,41 @@ def _(t):
     return b.select(*[F.col(c).cast("double").alias(c) if c != "pid" else F.col(c) for c in KEYS], r6("sigma").alias("sigma"))
 
 
+BIG_DENSE = """big as (select g.pid, g.z, g.y, g.x, coalesce(v.v,0)*10+(g.z*31+g.y*17+g.x*23) % 97 as hu from (select pid, cast(z as int) as z, cast(y as int) as y, cast(x as int) as x from (select distinct pid from f_big) p,
+ (select unnest(range(64)) as z) a, (select unnest(range(64)) as y) b, (select unnest(range(64)) as x) c) g left join f_big v using (pid,z,y,x))"""
+
+
+def big_dense(t):
+    full = V.densify(t.f_big, big_shapes(t), "v")
+    return full.select(*KEYS, (F.col("v") * 10 + (F.col("z") * 31 + F.col("y") * 17 + F.col("x") * 23) % 97).alias("hu"))
+
+
+def wide_disk(src, val, r, agg):
+    """A disk of any radius as windows: runs along x, then the rows of the disk."""
+    widths = M.run_widths(r)
+    runs = ", ".join(f"{agg}({val}) over (partition by pid,z,y order by x range between {w} preceding and {w} following) as r{w}" for w in sorted(set(widths.values())))
+    side = [f"{abs(d)} {'preceding' if d < 0 else 'following'}" for d in widths]
+    rows = ", ".join(f"{agg}(r{w}) over (partition by pid,z,x order by y range between {e} and {e})" for (d, w), e in zip(widths.items(), side))
+    return f"select pid,z,y,x,{'greatest' if agg == 'max' else 'least'}({rows}) as {val} from (select pid,z,y,x,{runs} from {src}) q"
+
+
+ROUND = "hu > 90 or (y-32)*(y-32)+(x-32)*(x-32) < (18+z % 9)*(18+z % 9)"
+
+
+@query("vol15_wide_opening", f"""with {BIG_DENSE}, m0 as (select pid,z,y,x,case when {ROUND} then 1 else 0 end as m from big), a as ({wide_disk('m0', 'm', 5, 'min')}),
+b as ({wide_disk('a', 'm', 5, 'max')}), c as ({wide_disk('b', 'm', 8, 'min')}), d as ({wide_disk('c', 'm', 13, 'max')}) select pid,z,y,x from d where m=1""")
+def _(t):
+    """Disks of 5, 8 and 13 in one chain."""
+    chain = M.disk_chain(mask_of(big_dense(t), F.expr(ROUND)), "m", [(5, False), (5, True), (8, False), (13, True)])
+    return chain.filter("m = 1").drop("m")
+
+
+@query("vol16_wide_grey", f"""with {BIG_DENSE}, a as ({wide_disk('big', 'hu', 2, 'max')}), b as ({wide_disk('a', 'hu', 2, 'min')}), c as ({wide_disk('b', 'hu', 13, 'min')}) select pid,z,y,x,{R('hu')} as hu from c""")
+def _(t):
+    closed = M.close_disk(big_dense(t), "hu", 2)
+    return M.erode_disk(closed, "hu", 13, placed=True).select(*KEYS, r6("hu").alias("hu"))
+
+
 N_SPEC = 64
 
 

@@ -1,10 +1,10 @@
 """Binary and grey morphology on voxel tables.
 
-Disks act per slice on *dense* tables (every grid position has a row): a disk is a stack of horizontal
-runs, so one window along x gives the extreme over each run length and one window along y combines the
-runs. The rows are placed by slice once, which serves the windows of all filters of a chain; even one
-enormous scan spreads over as many tasks as it has slices, and nothing is multiplied by the size of the
-disk. Positions outside the grid are ignored.
+Disks act per slice on *dense* tables (every grid position has a row). The rows are placed by slice once, which serves
+all filters of a chain; a task holds one slice at a time as an array, and even one enormous scan spreads over as many
+tasks as it has slices. A disk is a stack of horizontal runs: the extreme over a run of any width takes a
+logarithmic number of steps over the slice, and runs of one width are shared by all rows of the disk, so a radius of 13 costs little
+more than one of 2. Positions without a row, and null values, are ignored.
 
 Small 3-D structures act on *sparse* masks (only set voxels have rows) by repeating each voxel once per
 offset.
@@ -14,11 +14,16 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelframe.plans.bricks import same_as_before
+
 AXES = ("z", "y", "x")
 
 
@@ -32,25 +37,89 @@ def by_slice(dense: DataFrame, by: str = "pid") -> DataFrame:
     return dense.repartition(by, "z")
 
 
-def disk_extreme(
-    dense: DataFrame, value: str, radius: int, largest: bool, by: str = "pid", placed: bool = False
+def _runs(a: np.ndarray, w: int, pick: np.ufunc, none: float) -> np.ndarray:
+    """The extreme over x - w to x + w of each place of a slice."""
+    n, length = a.shape[1], 2 * w + 1
+    m = np.pad(a, ((0, 0), (w, w)), constant_values=none)
+    span = 1
+    while 2 * span <= length:
+        m = pick(m[:, :-span], m[:, span:])
+        span *= 2
+    return pick(m[:, :n], m[:, length - span : length - span + n])
+
+
+def slice_extreme(a: np.ndarray, radius: int, largest: bool) -> np.ndarray:
+    """The extreme over a disk around each place of a slice; places without a value hold the infinity that never wins."""
+    pick, none = (np.maximum, -np.inf) if largest else (np.minimum, np.inf)
+    out = np.full(a.shape, none)
+    rows = len(a)
+    by_width: dict[int, list[int]] = {}
+    for dy, w in run_widths(radius).items():
+        by_width.setdefault(w, []).append(dy)
+    for w, shifts in by_width.items():
+        run = _runs(a, w, pick, none)
+        for dy in shifts:
+            lo, hi = max(0, -dy), min(rows, rows - dy)
+            if lo < hi:
+                out[lo:hi] = pick(out[lo:hi], run[lo + dy : hi + dy])
+    return out
+
+
+def disk_chain(
+    dense: DataFrame, value: str, steps: Sequence[tuple[int, bool]], by: str = "pid", placed: bool = False
 ) -> DataFrame:
-    """Replace the value by its maximum (dilation) or minimum (erosion) over a disk in the slice.
+    """The value replaced, step by step, by its maximum or minimum over a disk in the slice.
 
-    ``placed`` says that the table comes from :func:`by_slice` or from a disk filter.
+    ``steps``: radius, and whether the maximum is taken. ``placed`` says that the table comes from :func:`by_slice` or from a
+    disk filter; other columns stay as they are.
     """
-    if radius == 0:
+    steps = [(r, largest) for r, largest in steps if r > 0]
+    if not steps:
         return dense
-    agg, pick = (F.max, F.greatest) if largest else (F.min, F.least)
-    widths = run_widths(radius)
-    along_x = Window.partitionBy(by, "z", "y").orderBy("x")
-    along_y = Window.partitionBy(by, "z", "x").orderBy("y")
-    out = (dense if placed else by_slice(dense, by)).withColumns({
-        f"__run{w}": agg(value).over(along_x.rangeBetween(-w, w)) for w in sorted(set(widths.values()))
-    })
-    parts = [agg(f"__run{w}").over(along_y.rangeBetween(dy, dy)) for dy, w in widths.items()]
-    out = out.withColumn(value, pick(*parts))
-    return out.drop(*[c for c in out.columns if c.startswith("__run")])
+    at = {c: dense.columns.index(c) for c in (by, *AXES, value)}
+
+    def filtered(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        y, x = (t.column(at[c]).to_numpy().astype(np.int64) for c in ("y", "x"))
+        v = t.column(at[value])
+        a = v.cast(pa.float64()).to_numpy()
+        missing = pc.is_null(v).to_numpy()
+        y, x = y - y.min(), x - x.min()
+        grid = np.full((y.max() + 1, x.max() + 1), np.nan)
+        grid[y[~missing], x[~missing]] = a[~missing]
+        for r, largest in steps:
+            none = -np.inf if largest else np.inf
+            got = slice_extreme(np.where(np.isnan(grid), none, grid), r, largest)
+            grid = np.where(got == none, np.nan, got)
+        new = grid[y, x]
+        new = pa.array(new, mask=np.isnan(new)).cast(v.type)
+        yield from t.set_column(at[value], value, pa.chunked_array([new])).to_batches(10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def key(b, i):
+            return b.column(at[by])[i].as_py(), b.column(at["z"])[i].as_py()
+
+        for b in batches:
+            starts = np.flatnonzero(~same_as_before([b.column(at[by]), b.column(at["z"])]))
+            for lo, hi in zip(starts, np.append(starts[1:], b.num_rows)):
+                part = b.slice(lo, hi - lo)
+                if held and key(held[-1], 0) != key(part, 0):
+                    yield from filtered(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from filtered(pa.Table.from_batches(held))
+
+    rows = (dense if placed else by_slice(dense, by)).sortWithinPartitions(by, "z")
+    return rows.mapInArrow(run, dense.schema)
+
+
+def disk_extreme(
+    dense: DataFrame, value: str, radius: int, largest: bool, by: str = "pid", placed: bool = False
+) -> DataFrame:
+    """Replace the value by its maximum (dilation) or minimum (erosion) over a disk in the slice."""
+    return disk_chain(dense, value, [(radius, largest)], by, placed)
 
 
 def dilate_disk(dense: DataFrame, value: str, radius: int, by: str = "pid", placed: bool = False) -> DataFrame:
@@ -62,12 +131,12 @@ def erode_disk(dense: DataFrame, value: str, radius: int, by: str = "pid", place
 
 
 def open_disk(dense: DataFrame, value: str, radius: int, by: str = "pid", placed: bool = False) -> DataFrame:
-    return dilate_disk(erode_disk(dense, value, radius, by, placed), value, radius, by, radius > 0 or placed)
+    return disk_chain(dense, value, [(radius, False), (radius, True)], by, placed)
 
 
 def close_disk(dense: DataFrame, value: str, radius: int, by: str = "pid", placed: bool = False) -> DataFrame:
     """Maximum, then minimum: for grey values and masks alike."""
-    return erode_disk(dilate_disk(dense, value, radius, by, placed), value, radius, by, radius > 0 or placed)
+    return disk_chain(dense, value, [(radius, True), (radius, False)], by, placed)
 
 
 # --- sparse 3-D structures -------------------------------------------------------------------
