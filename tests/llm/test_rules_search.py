@@ -393,6 +393,12 @@ def test_captures_of_any_page_id(spark):
     assert order == sorted(order) and all(re.fullmatch(r"202[45]-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.captured) for r in got)
 
 
+def test_one_payload_in_most_pages(spark):
+    rows = [(i, f"http://x.org/{i}", "the same page" if i % 3 else f"page {i}") for i in range(400)] + [(None, None, "the same page")]
+    got = warc.write_and_read(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == brute_captures(rows)
+
+
 def test_capture_times(spark, tmp_path):
     rows = [(1, "http://x.org", "a", 0), (2, "http://x.org", "b", 253_402_300_799), (3, "http://x.org", "c", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, seen long")

@@ -30,6 +30,7 @@ from voxelframe.llm.text import sized
 from voxelframe.session import scratch_path
 
 MIN_BYTES = 0
+SALTS = 16
 RANGE_BYTES = 16 << 20
 RECORDS_PER_ARCHIVE = 5000
 FIRST_CAPTURE = 1_704_067_200
@@ -84,8 +85,11 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
         F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"),
     )
     full = digests(slim)
-    firsts = digests(slim).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"))
-    joined = full.join(firsts, ["payload_digest", "payload_bytes"])
+    firsts = digests(slim).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    # pages that share no payload are responses; the others meet their first page under a salt, however many there are of one payload
+    shared = firsts.filter("n > 1").drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    full = full.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = full.join(shared, ["payload_digest", "payload_bytes", "salt"], "left")
     again = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     body = F.when(again, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), "html"))
     date = F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
