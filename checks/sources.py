@@ -8,6 +8,7 @@ from voxelframe.functions.hashing import uniform
 from voxelframe.functions.scalars import pid_from_dir
 from voxelframe.session import scratch_path
 from voxelframe.sources import files as SF
+from voxelframe.sources.store import VersionedStore
 
 
 def doubled_labels(t):
@@ -97,6 +98,19 @@ def _(t):
     return t.spark.read.parquet(path).select("pid", "cid", "p")
 
 
+@query("src9_versioned_store", """
+select c.pid, c.cid, case when b.pid is not null then c.p+2 when a.pid is not null then c.p+1 else c.p end as p
+from f_cand c left join f_label_a a using (pid) left join f_label_b b on b.pid=c.pid and b.label=1""")
+def _(t):
+    """Three writes, each replacing some patients, and a compaction after the second."""
+    store = VersionedStore(t.spark, scratch_path(t.spark, "versions"), most=2)
+    rows = t.f_cand.select("pid", "cid", "p")
+    store.write(rows)
+    for labels, add in ((t.f_label_a, 1), (t.f_label_b.filter("label = 1"), 2)):
+        store.write(rows.join(labels.select("pid"), "pid", "left_semi").withColumn("p", F.col("p") + add))
+    return store.read()
+
+
 @query("src10_submission_csv", f"select cast(pid as varchar) as id, p as cancer from f_pred where config='c1_spl'")
 def _(t):
     path = scratch_path(t.spark, "submission")
