@@ -15,6 +15,7 @@ from voxelframe.operators import sampling as SM
 from voxelframe.operators import slices as SL
 from voxelframe.plans import patient as PT
 from voxelframe.plans.ordered import value_bucket
+from voxelframe.plans.spatial import drop_when_near_sized, search_cells
 from voxelframe.session import scratch_path
 from voxelframe.sources import files as SF
 
@@ -54,6 +55,34 @@ def test_prune_equals_pair_loop(spark):
     assert got == {r[1] for r in rows} - dead
 
 
+def test_prune_of_blobs_of_all_sizes(spark):
+    """Sigmas from 0 to 50: every pair loop result, whatever the width of the finest grid."""
+    rnd = random.Random(11)
+    rows = [("a", i, *[rnd.uniform(-90, 90) for _ in range(3)], rnd.choice([0.3, 1.0, 4.0, 12.0, 50.0]) * rnd.choice([1.0, 1.0, 1.1])) for i in range(160)]
+    dead = set()
+    for a in rows:
+        for b in rows:
+            if a[1] < b[1] and overlap(a, b) > 0.3:
+                dead.add(b[1] if a[5] > b[5] else a[1])
+    df = spark.createDataFrame(rows, SCHEMA)
+    for width in (1.0, 32.0, 500.0):
+        assert {r.cid for r in B.prune(df, 0.3, width=width).collect()} == {r[1] for r in rows} - dead
+    assert B.prune(df.limit(0)).collect() == []
+
+
+def test_a_large_blob_fills_few_cells(spark):
+    df = spark.createDataFrame([("a", 1, 3.0, 5.0, 7.0, 50.0), ("a", 2, 3.0, 5.0, 7.5, 1.0), ("a", 3, 60.0, 5.0, 7.5, 1.0)], SCHEMA)
+    out = B.prune(df, 0.5)
+    assert sorted(r.cid for r in out.collect()) == [1]
+    rivals = df.select("pid", *[F.col(c).alias(f"o{c}") for c in "zyx"], F.col("sigma").alias("os")).filter("os = 50")
+    reach = F.col("os") * (2 * math.sqrt(3))
+    plan = drop_when_near_sized(df, rivals, "pid", "cid", ("z", "y", "x"), ("oz", "oy", "ox"), reach, F.col("sigma") * 2, 32.0, F.lit(True))
+    joined = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in joined and "LeftSemi" in joined
+    cells = search_cells(rivals, ("oz", "oy", "ox"), reach, 512.0).count()
+    assert cells <= 8 < search_cells(rivals, ("oz", "oy", "ox"), reach, 32.0).count()
+
+
 def test_greedy_prune_equals_sequential_loop(spark):
     rows = some_blobs(3)
     kept = []

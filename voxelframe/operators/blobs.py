@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.operators.joins import AXES
 from voxelframe.plans.ordered import BUCKET, range_buckets
-from voxelframe.plans.spatial import drop_when_near, squared_distance
+from voxelframe.plans.spatial import drop_when_near_sized, squared_distance
 from voxelframe.session import cut
 
 # Merging of close neighbours.
@@ -58,6 +58,11 @@ def _rival(blobs: DataFrame, by: str, cid: str) -> DataFrame:
     )
 
 
+def _reach(sigma: str) -> Column:
+    """The diameter of a blob."""
+    return F.col(sigma) * F.lit(2 * math.sqrt(3))
+
+
 def _conflict(overlap: float, outranks: Column) -> Column:
     axes = [f"__o{c}" for c in AXES]
     d = F.sqrt(squared_distance(AXES, axes))
@@ -78,17 +83,16 @@ def prune(
     """One-pass pruning: a blob goes when any larger one overlaps it by more than the limit.
 
     Equal sizes remove the lower id. An overlapping rival is at least as large, hence no further away
-    than its own diameter: the rivals search cells within that reach and the victims leave by an
-    anti join, so no pair of blobs is ever a row.
+    than its own diameter: a rival stands in the few cells of a grid of its own size, a victim looks into one cell of each grid
+    from its own size on and leaves by an anti join, so no pair of blobs is ever a row and a blob of any size fills few cells.
     """
     distinct = _one_per_place(blobs, by, cid, F.max_by)
     rivals = _rival(distinct, by, cid)
     outranks = (F.col("__osigma") > F.col("sigma")) | (
         (F.col("__osigma") == F.col("sigma")) & (F.col("__oid") > F.col(cid))
     )
-    reach = F.col("__osigma") * F.lit(2 * math.sqrt(3))
-    return drop_when_near(
-        distinct, rivals, [by], AXES, [f"__o{c}" for c in AXES], reach, width, _conflict(overlap, outranks)
+    return drop_when_near_sized(
+        distinct, rivals, by, cid, AXES, [f"__o{c}" for c in AXES], _reach("__osigma"), _reach("sigma"), width, _conflict(overlap, outranks)
     )
 
 
@@ -104,15 +108,15 @@ def prune_greedy(
     axes = [f"__o{c}" for c in AXES]
     mine = F.struct(-F.col("sigma"), *[F.col(c) for c in AXES], F.col(cid))
     other = F.struct(-F.col("__osigma"), *[F.col(c) for c in axes], F.col("__oid"))
-    reach = F.col("__osigma") * F.lit(2 * math.sqrt(3))
+    sizes = _reach("__osigma"), _reach("sigma")
     undecided = cut(_one_per_place(blobs, by, cid, F.min_by))
     kept = undecided.limit(0)
     while not undecided.isEmpty():
         rivals = _rival(undecided, by, cid)
-        won = cut(drop_when_near(undecided, rivals, [by], AXES, axes, reach, width, _conflict(overlap, other < mine)))
+        won = cut(drop_when_near_sized(undecided, rivals, by, cid, AXES, axes, *sizes, width, _conflict(overlap, other < mine)))
         rest = undecided.join(won.select(by, cid), [by, cid], "left_anti")
         winners = _rival(won, by, cid)
-        undecided = cut(drop_when_near(rest, winners, [by], AXES, axes, reach, width, _conflict(overlap, other < mine)))
+        undecided = cut(drop_when_near_sized(rest, winners, by, cid, AXES, axes, *sizes, width, _conflict(overlap, other < mine)))
         kept = kept.unionByName(won)
     return kept
 

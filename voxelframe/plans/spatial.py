@@ -87,3 +87,42 @@ def drop_when_near(
     for k in keys:
         on = on & (a[k] == b[f"__s_{k}"])
     return a.join(b, on, how).drop(*cells)
+
+
+def _level(reach: Column, width: float) -> Column:
+    """The first grid, each of twice the width of the one before, whose cells are at least as wide as the search box."""
+    return F.greatest(F.coalesce(F.ceil(F.log2(2 * reach / F.lit(float(width)))), F.lit(0)), F.lit(0)).cast("int")
+
+
+def drop_when_near_sized(
+    resting: DataFrame,
+    searching: DataFrame,
+    by: str,
+    key: str,
+    resting_axes: Sequence[str],
+    searching_axes: Sequence[str],
+    reach: Column,
+    least: Column,
+    width: float,
+    condition: Column,
+) -> DataFrame:
+    """Rows of ``resting`` (unique by (by, key)) without a near match, for search boxes of very different sizes.
+
+    A searching point stands in the grid of its own size, in at most 8 cells of it; a resting one looks into
+    one cell of each grid from that of ``least`` on, the smallest reach that can match it. ``width`` is that of the finest grid.
+    """
+    at = [f"__cell{i}" for i in range(len(resting_axes))]
+    b = searching.withColumn("__reach", reach).withColumn("__slevel", _level(F.col("__reach"), width))
+    size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("__slevel"))
+    for c, axis in zip(at, searching_axes):
+        low, high = F.floor((F.col(axis) - F.col("__reach")) / size), F.floor((F.col(axis) + F.col("__reach")) / size)
+        b = b.withColumn(f"__s{c}", F.explode(F.sequence(low, high)))
+    b = b.withColumnRenamed(by, "__sby").drop("__reach")
+    top = searching.agg(F.max(_level(reach, width))).scalar()
+    a = resting.withColumn("__level", F.explode(F.sequence(F.least(_level(least, width), top), top)))
+    size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("__level"))
+    a = a.withColumns({c: F.floor(F.col(axis) / size) for c, axis in zip(at, resting_axes)})
+    on = (F.col(by) == F.col("__sby")) & (F.col("__level") == F.col("__slevel")) & condition
+    for c in at:
+        on = on & (F.col(c) == F.col(f"__s{c}"))
+    return resting.join(a.join(b, on, "left_semi").select(by, key).distinct(), [by, key], "left_anti")
