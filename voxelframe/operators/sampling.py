@@ -139,6 +139,14 @@ def two_pool_batches(
     return out
 
 
+def _numbers(count: DataFrame, column: str, out: str, block: int = 1 << 16) -> DataFrame:
+    """0 to n - 1 for the one row n of ``count``, made in blocks by many tasks."""
+    n = F.col(column)
+    starts = count.filter(n > 0).select(column, F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(block).cast("long"))).alias("__start"))
+    dealt = starts.repartition(int(count.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__start")
+    return dealt.select(F.explode(F.sequence("__start", F.least(F.col("__start") + (block - 1), n - 1))).alias(out))
+
+
 def fixed_ratio_epoch(
     annotations: DataFrame, share: float, seed: str, by: str = "pid", key: str = "aid", diameter: str = "d",
 ) -> DataFrame:
@@ -149,13 +157,15 @@ def fixed_ratio_epoch(
     """
     pos = annotations.filter(F.col(diameter) > 0)
     neg = annotations.filter(F.col(diameter) == 0)
-    n_pos = pos.count()
-    n_draws = int(n_pos + (1.0 - share) / share * n_pos) - n_pos
+    # numbers of rows stay columns, so nothing runs while the plan is built
+    n_pos = F.col("__pos")
+    n_draws = (F.floor(n_pos + F.lit((1.0 - share) / share) * n_pos) - n_pos).cast("long")
+    count = pos.agg(F.count(F.lit(1)).alias("__pos")).select(n_draws.alias("__many"))
     patients = shuffle_rank(
         neg.groupBy(by).agg(F.count(F.lit(1)).alias("__n")), seed, [by], out="__patient"
     )
-    n_patients = patients.count()
-    draws = annotations.sparkSession.range(n_draws).select(
+    n_patients = neg.select(by).distinct().agg(F.count(F.lit(1))).scalar()
+    draws = _numbers(count, "__many", "id").select(
         F.col("id").alias("draw"),
         (F.floor(uniform(seed + "-patient", "id") * n_patients) + 1).cast("long").alias("__patient"),
         uniform(seed + "-item", "id").alias("__v"),
@@ -177,7 +187,7 @@ def balanced_stream(labels: DataFrame, seed: str, key: str = "pid", label: str =
     """
     neg = shuffle_rank(labels.filter(F.col(label) == 0).select(key), seed, [key], out="turn")
     pos = shuffle_rank(labels.filter(F.col(label) == 1).select(key), seed, [key], out="__p")
-    n_pos = pos.count()
+    n_pos = labels.filter(F.col(label) == 1).agg(F.count(F.lit(1))).scalar()
     u = 1 - uniform(seed + "-coin", "turn")
     many = F.floor(-F.log(u) / F.log(F.lit(2.0))).cast("int")
     draws = neg.withColumn("__many", many).filter("__many > 0").select(
@@ -231,7 +241,7 @@ def epoch_batches(df: DataFrame, batch: int, seed: str, key: str = "pid", full_o
         "slot", (F.col("__r") - 1) % batch
     )
     if full_only:
-        out = out.filter(F.col("batch_id") < df.count() // batch)
+        out = out.filter(F.col("batch_id") < F.floor(df.agg(F.count(F.lit(1))).scalar() / batch))
     return out.drop("__r")
 
 
