@@ -139,7 +139,7 @@ def op7(table):
 
 @query("op8_ngram_jaccard_join")
 def op8(table):
-    return jaccard.components(table("documents")).drop("class_id")
+    return jaccard.components(table("documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 LINES_SQL = rf"""
