@@ -157,7 +157,7 @@ def close_pair_counts(
     before = F.struct(*AXES) < F.struct(*axes)
     near = before & (squared_distance(AXES, axes) <= F.lit(float(distance) ** 2))
     across = (
-        join_within(left, right, [by], AXES, axes, float(distance), near, width)
+        join_within(left, right, [by], AXES, axes, float(distance), near, width, forward=True)
         .groupBy(by).agg(F.sum(F.col("w") * F.col("__bw")).alias("n"))
     )
     within = heaps.filter("w > 1").groupBy(by).agg(F.sum(F.expr("w * (w - 1) div 2")).alias("n"))
