@@ -10,6 +10,7 @@ from voxelframe.operators import joins as J
 from voxelframe.operators import ranking as RK
 from voxelframe.operators import slices as SL
 from voxelframe.plans import ordered as O
+from voxelframe.plans import spatial
 from voxelframe.plans.graph import connected_components
 from voxelframe.plans.pieces import map_pieces, split_pieces
 
@@ -69,6 +70,30 @@ def test_cell_join_equals_all_pairs(spark):
     assert counts == {p: sum(1 for w in want if w[0] == p) for p in "ab"}
 
 
+@pytest.mark.parametrize("find", ["pairs", "counts"])
+def test_distance_joins_copy_few_rows(spark, monkeypatch, find):
+    rnd = random.Random(4)
+    pts = [("a", i, rnd.uniform(0, 50), rnd.uniform(0, 512), rnd.uniform(0, 512)) for i in range(400)]
+    df = spark.createDataFrame(pts, "pid string, cid long, z double, y double, x double")
+    seen, search = [], spatial.search_cells
+
+    def watched(*args):
+        seen.append(search(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(spatial, "search_cells", watched)
+    got = J.close_pairs(df, 40.0).count() if find == "pairs" else J.close_pair_counts(df, 40.0).first().n_pairs
+    assert got == sum(sum((p - q) ** 2 for p, q in zip(a[2:], b[2:])) <= 1600 for a, b in itertools.combinations(pts, 2))
+    assert seen[0].count() <= 4 * len(pts)
+
+
+def test_close_pairs_carry_columns_of_both(spark):
+    pts = [("a", 2, 0.0, 0.0, 0.0, 0.2), ("a", 1, 1.0, 0.0, 0.0, 0.1), ("a", 3, 1.0, 0.0, 0.0, 0.3), ("a", 3, 2.0, 0.0, 0.0, 0.4)]
+    df = spark.createDataFrame(pts, "pid string, cid long, z double, y double, x double, s double")
+    got = sorted((r.i, r.j, r.dist, r.i_s, r.j_s) for r in J.close_pairs(df, 1.0, keep=["s"]).collect())
+    assert got == [(1, 2, 1.0, 0.1, 0.2), (1, 3, 0.0, 0.1, 0.3), (1, 3, 1.0, 0.1, 0.4), (2, 3, 1.0, 0.2, 0.3)]
+
+
 def test_nearest_match_ties_and_reach(spark):
     blobs = spark.createDataFrame(
         [("a", 5, 0.0, 0.0, 0.0), ("a", 3, 0.0, 0.0, 0.0), ("a", 9, 0.0, 0.0, 4.0)], "pid string, cid long, z double, y double, x double"

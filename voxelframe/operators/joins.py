@@ -130,16 +130,30 @@ def point_in_mask(points: DataFrame, mask: DataFrame, by: str = "pid") -> DataFr
 
 
 def close_pairs(
-    blobs: DataFrame, distance: float, by: str = "pid", cid: str = "cid", width: float | None = None
+    blobs: DataFrame, distance: float, by: str = "pid", cid: str = "cid", width: float | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Pairs (lower id, higher id) of blobs no further apart than the distance."""
-    left = blobs.select(by, F.col(cid).alias("i"), *AXES)
-    right = blobs.select(by, F.col(cid).alias("j"), *[F.col(c).alias(f"__b{c}") for c in AXES])
+    """Pairs (lower id, higher id) of blobs no further apart than the distance.
+
+    ``keep`` names columns to carry along, of both blobs: ``i_<name>`` and ``j_<name>``. The blob that comes first on the first axis
+    searches, so each pair is found once and no blob looks back.
+    """
     axes = [f"__b{c}" for c in AXES]
+    left = blobs.select(by, F.col(cid).alias("__i"), *AXES, *[F.col(c).alias(f"__i_{c}") for c in keep])
+    right = blobs.select(
+        by, F.col(cid).alias("__j"), *[F.col(c).alias(b) for c, b in zip(AXES, axes)], *[F.col(c).alias(f"__j_{c}") for c in keep]
+    )
     d2 = squared_distance(AXES, axes)
-    near = (F.col("i") < F.col("j")) & (d2 <= F.lit(float(distance) ** 2))
-    pairs = join_within(left, right, [by], AXES, axes, float(distance), near, width)
-    return pairs.select(by, "i", "j", F.sqrt(d2).alias("dist"))
+    level = (F.col(AXES[0]) == F.col(axes[0])) & (F.col("__i") < F.col("__j"))
+    first = (F.col(AXES[0]) < F.col(axes[0])) & (F.col("__i") != F.col("__j")) | level
+    near = first & (d2 <= F.lit(float(distance) ** 2))
+    pairs = join_within(left, right, [by], AXES, axes, float(distance), near, width, forward=True)
+    turned = F.col("__i") > F.col("__j")
+
+    def both(a: str, b: str, i: str, j: str) -> list[Column]:
+        return [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(i), F.when(turned, F.col(a)).otherwise(F.col(b)).alias(j)]
+
+    kept = [x for c in keep for x in both(f"__i_{c}", f"__j_{c}", f"i_{c}", f"j_{c}")]
+    return pairs.select(by, *both("__i", "__j", "i", "j"), F.sqrt(d2).alias("dist"), *kept)
 
 
 def close_pair_counts(
