@@ -40,13 +40,9 @@ def overlap_sql(d, s1, s2, n=3):
 
 
 def pairs(t):
-    c = t.f_cand.withColumn("sigma", F.col("d") / 2)
-    close = J.close_pairs(c, 40.0)
-    s = c.select("pid", "cid", "sigma")
-    return (
-        close.join(s.select("pid", F.col("cid").alias("i"), F.col("sigma").alias("s1")), ["pid", "i"])
-        .join(s.select("pid", F.col("cid").alias("j"), F.col("sigma").alias("s2")), ["pid", "j"])
-    )
+    c = t.f_cand.select("pid", "cid", "z", "y", "x", (F.col("d") / 2).alias("sigma"))
+    close = J.close_pairs(c, 40.0, keep=["sigma"])
+    return close.withColumnsRenamed({"i_sigma": "s1", "j_sigma": "s2"})
 
 
 @query("can1_disk_overlap", f"with {PAIRS} select pid, i, j, {R(disk('dd','(10*s1)','(10*s2)'))} as v from pairs where dd>0")
