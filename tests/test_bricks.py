@@ -107,3 +107,36 @@ def test_plan_of_a_resampled_scan(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\(pid#\d+, kz#\d+, ky#\d+, kx#\d+", plan)) == 1
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+@pytest.mark.parametrize("edge, block", [(32, 16), (4, 3)])
+def test_packed_pieces_hold_the_same_patches(spark, edge, block):
+    shapes = ((9, 7, 11), (5, 12, 6))
+    vox, _ = scans(spark)
+    maps = maps_of(spark, shapes)
+    shape = (6, 5, 7)
+    rows = B.resample_affine(B.brick_pieces(vox, edge=edge), maps, ["cid"], shape, edge=edge, block=block).collect()
+    want = {}
+    for r in rows:
+        want.setdefault((r.pid, r.cid), np.zeros(shape))[r.z, r.y, r.x] = r.v
+    pieces = B.resample_affine(B.brick_pieces(vox, edge=edge), maps, ["cid"], shape, edge=edge, block=block, packed=True)
+    got = {(r.pid, r.cid): np.array(r.v).reshape(shape) for r in B.whole_grids(pieces, ["cid"]).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.array_equal(got[k], want[k]) for k in want)
+    assert (pieces.count() == len(want)) == (edge == 32)  # one row per patch where one brick and block hold it
+
+
+def test_crops_are_the_voxels_around(spark):
+    vox, images = scans(spark)
+    spots = [("p0", 1, 4.5, 3.0, 5.0), ("p0", 2, 0.0, 0.4, 10.6), ("p1", 3, None, 1.0, 1.0), ("nobody", 4, 1.0, 1.0, 1.0), ("p1", 5, 90.0, 0.0, 0.0)]
+    cand = spark.createDataFrame(spots, "pid string, cid int, z double, y double, x double")
+    pieces = V.crop_pieces(cand, vox, V.volume_shapes(vox), 2)
+    got = {r.cid: np.array(r.v).reshape(4, 4, 4) for r in B.whole_grids(pieces, ["cid"]).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    for pid, cid, *at in spots:
+        want = np.zeros((4, 4, 4))
+        if pid in images and None not in at:
+            padded = np.pad(images[pid], 100)
+            z, y, x = (int(np.rint(c)) + 98 for c in at)
+            want = padded[z:z + 4, y:y + 4, x:x + 4]
+        assert np.array_equal(got[cid], want)
