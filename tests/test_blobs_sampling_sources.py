@@ -157,6 +157,21 @@ def test_merge_close_over_blocks(spark, cells, per_block):
     assert found == want | {("e", 1), ("e", 2)}
 
 
+def test_only_candidates_near_others_take_part_in_rounds(spark, monkeypatch):
+    rows = [("a", i, 0.0, 40.0 * i, 0.0, 0.5) for i in range(50)] + [("a", 100, 0.0, 12.0, 0.0, 0.9), ("b", 1, 0.0, 0.0, 0.0, 0.1), ("b", 2, 0.0, 129.0, 0.0, 0.1), ("b", 3, 0.0, 127.0, 0.0, 0.2)]
+    df = spark.createDataFrame(rows, "pid string, cid long, z double, y double, x double, p double")
+    seen, deal = [], B.range_buckets
+
+    def watched(*args):
+        seen.append(deal(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(B, "range_buckets", watched)
+    got = {(r.pid, r.cid) for r in B.merge_close(df).collect()}
+    assert got == {(p, c) for p in "ab" for c in merged([r for r in rows if r[0] == p])}
+    assert sorted((r.pid, r.cid) for r in seen[0].collect()) == [("a", 0), ("a", 100), ("b", 2), ("b", 3)]
+
+
 def test_merge_close_of_nothing(spark):
     df = spark.createDataFrame([], "pid string, cid long, z double, y double, x double, p double")
     assert B.merge_close(df).collect() == []

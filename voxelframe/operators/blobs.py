@@ -138,7 +138,8 @@ def merge_close(
     side by side, with the lives (kept from, replaced at) that the last round found for candidates next to the block or before
     it. The first step that isn't yet right has only right ones before it, so each round settles more, and rounds end
     when none changes a life: then every step has seen what the loop over all candidates would have seen. The number of rounds follows the
-    longest chain of replacements across blocks, not the size of a group.
+    longest chain of replacements across blocks, not the size of a group. A candidate without any other within the distance meets none in
+    any step: it stays, and only the others take part in the rounds.
 
     Ids are unique in a patient. A candidate without a position is close to nothing and stays.
     """
@@ -149,6 +150,7 @@ def merge_close(
         F.col(by).alias("pid"), F.col(cid).alias("cid"), *[F.col(c).cast("double").alias(c) for c in AXES], F.col(score).cast("double").alias("score")
     ).filter("z is not null and y is not null and x is not null")
     rows = rows.withColumns({c: F.floor(F.col(a) * F.lit(s) / F.lit(width)) for c, a, s in axes})
+    rows = _with_others_near(rows, distance, width, axes)
     dealt = range_buckets(rows, block, [F.asc("cid")], per_block).withColumnRenamed(BUCKET, "part")
     blocks = cut(dealt.groupBy(*block, "part").agg(F.min("cid").alias("__lo"), F.max("cid").alias("__hi")))
     kind_of = {f.name: f.dataType.simpleString() for f in dealt.schema}
@@ -184,12 +186,22 @@ def merge_close(
         before, state = state, lives.agg(F.count(F.lit(1)), F.sum(F.xxhash64("pid", "cid", "own", "other").cast("decimal(38,0)"))).first()
         if state == before:
             break
-    kept = lives.filter("own is null and other is null").select(F.col("pid").alias("__pid"), F.col("cid").alias("__cid"))
-    nowhere = F.lit(False)
-    for c in AXES:
-        nowhere = nowhere | F.col(c).isNull()
-    rest = candidates.filter(nowhere)
-    return candidates.filter(~nowhere).join(kept, F.col(by).eqNullSafe(F.col("__pid")) & (F.col(cid) == F.col("__cid")), "left_semi").unionByName(rest)
+    kept = lives.filter("own is null and other is null").select(F.col("pid").alias("__kpid"), F.col("cid").alias("__kcid"))
+    gone = dealt.join(kept, F.col("pid").eqNullSafe(F.col("__kpid")) & (F.col("cid") == F.col("__kcid")), "left_anti")
+    gone = gone.select(F.col("pid").alias("__pid"), F.col("cid").alias("__cid"))
+    return candidates.join(gone, F.col(by).eqNullSafe(F.col("__pid")) & (F.col(cid) == F.col("__cid")), "left_anti")
+
+
+def _with_others_near(rows: DataFrame, distance: float, width: float, axes) -> DataFrame:
+    """Rows with another of their patient within the distance (a little more is no harm); no pair is emitted."""
+    reach = distance * (1 + 1e-9)
+    other = rows.select(*[F.col(c).alias(f"__o_{c}") for c in ("pid", "cid", *AXES)])
+    on, d2 = F.col("pid").eqNullSafe(F.col("__o_pid")) & (F.col("cid") != F.col("__o_cid")), F.lit(0.0)
+    for c, a, s in axes:
+        at, gap = F.col(f"__o_{a}") * F.lit(s), (F.col(a) - F.col(f"__o_{a}")) * F.lit(s)
+        other = other.withColumn(f"__o_{c}", F.explode(F.sequence(F.floor((at - reach) / width), F.floor((at + reach) / width))))
+        on, d2 = on & (F.col(c) == F.col(f"__o_{c}")), d2 + gap * gap
+    return rows.join(other, on & (F.sqrt(d2) <= reach), "left_semi")
 
 
 def _merge_blocks(distance: float, z_scale: float, block: list[str]):
