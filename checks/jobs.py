@@ -7,7 +7,7 @@ from checks.registry import R, U, query, r6
 from checks.sampling_labels import PICKS
 from checks.scalars import LAYOUT
 from checks.stencils import DOG_S, DOG_STEPS, peaks_sql, pruned_sql, weights_sql
-from checks.volumes import AUG, SHAPES, SPACING8, trilinear_sql
+from checks.volumes import AUG, SHAPES, SPACING8, piece_sums, trilinear_sql
 from checks.windows_topk import ORDERED, UNIFORM, positioned
 from voxelframe.operators import filters as FL
 from voxelframe.operators import labels as L
@@ -159,11 +159,8 @@ def _(t):
     pts = t.f_pts.withColumnRenamed("cid", "aid")
     rows = JB.centres(pts.select("pid", "aid"), pts)
     vox = t.f_vox
-    out = JB.patches(rows, vox, V.volume_shapes(vox), SPACING8, (4, 4, 4), (6.1, 6.1, 6.1))
-    at = F.col("pz") * 16 + F.col("py") * 4 + F.col("px")
-    return out.groupBy("pid", "aid").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg("v")).alias("mean"), r6(F.sum(at * F.col("v")) / 64).alias("moment")
-    )
+    out = JB.patch_pieces(rows, vox, V.volume_shapes(vox), SPACING8, (4, 4, 4), (6.1, 6.1, 6.1))
+    return piece_sums(out, "v", "aid").select("pid", "aid", "n", r6("mean").alias("mean"), r6("moment").alias("moment"))
 
 
 @query("job_masked_scan", f"""

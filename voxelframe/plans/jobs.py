@@ -40,6 +40,18 @@ def patches(
     return out.select(by, cid, "pz", "py", "px", normalise(F.col(value)).alias("v"))
 
 
+def patch_pieces(
+    centre_rows: DataFrame, voxels: DataFrame, shapes: DataFrame, spacing: Sequence[float], patch: Sequence[int],
+    patch_mm: Sequence[float], cid: str = "aid", value: str = "hu", by: str = "pid", order: int = 1,
+    normalise: Callable[[Column], Column] = hu_norm, **augment,
+) -> DataFrame:
+    """(pid, cid, places, v): the same patches in pieces, as arrays."""
+    out = V.patch_pieces(
+        centre_rows.select(by, cid, *AXES).distinct(), voxels, shapes, spacing, patch, patch_mm, cid, value, by, order, **augment
+    )
+    return out.select(by, cid, "places", F.transform(value, lambda v: normalise(v)).alias("v"))
+
+
 def segmentation_patches(annotations: DataFrame, batch: int, seed: str, by: str = "pid", aid: str = "aid") -> DataFrame:
     """One random positive annotation per patient that has any, shuffled into batches."""
     pos = annotations.filter(F.col("d") > 0)
