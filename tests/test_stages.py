@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from voxelframe.operators import volume as V
 from voxelframe.operators.scoring import LinearSigmoid
 from voxelframe.plans import stages as ST
 
@@ -31,6 +32,22 @@ def test_scores_of_patients_to_do(spark):
     assert run(done=cand.select("pid")) == []
 
 
+def test_scores_never_make_rows_of_patch_voxels(spark, monkeypatch):
+    vox = grid(spark)
+    shapes = vox.select("pid", *[F.lit(6).alias(f"n{c}") for c in "zyx"]).distinct()
+    cand = spark.createDataFrame([(p, 10 * p + i, 1.0 + 3 * i, 2.0, 3.0) for p in (1, 2, 3) for i in range(2)], "pid long, cid long, z double, y double, x double")
+    seen, read = [], V.resample_affine
+
+    def watched(*args, **kw):
+        seen.append(read(*args, **kw))
+        return seen[-1]
+
+    monkeypatch.setattr(V, "resample_affine", watched)
+    model = LinearSigmoid([0.1] * 8, 0.0)
+    assert len(ST.stage_scores(cand, vox, shapes, (1.0, 1.0, 1.0), (2, 2, 2), (2.0, 2.0, 2.0), model, distance=1.0).collect()) == 6
+    assert seen[0].count() == 6
+
+
 def test_candidates_of_patients_to_do(spark):
     vox = grid(spark, (1, 2), 8)
     shapes = vox.select("pid", *[F.lit(8).alias(f"n{c}") for c in "zyx"]).distinct()

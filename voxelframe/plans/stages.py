@@ -20,6 +20,8 @@ from voxelframe.operators import scoring as SC
 from voxelframe.operators import volume as V
 from voxelframe.plans import detection as D
 from voxelframe.plans import jobs as JB
+from voxelframe.plans.bricks import whole_grids
+from voxelframe.session import cut
 
 AXES = ("z", "y", "x")
 
@@ -31,12 +33,6 @@ def jittered(candidates: DataFrame, n: int, reach: float, seed: str, by: str = "
     return replicas.withColumns(move)
 
 
-def patch_arrays(voxels: DataFrame, by: str, key: str, value: str) -> DataFrame:
-    """One array per patch in raster order; a patch has a fixed number of voxels."""
-    cells = F.array_sort(F.collect_list(F.struct("pz", "py", "px", F.col(value).alias("v"))))
-    return voxels.groupBy(by, key).agg(F.transform(cells, lambda s: s["v"]).alias("v"))
-
-
 def stage_scores(
     candidates: DataFrame, voxels: DataFrame, shapes: DataFrame, spacing: Sequence[Column | float], patch: Sequence[int],
     patch_mm: Sequence[float], scorer: SC.Scorer, done: DataFrame | None = None, n_replicas: int = 1, reach: float = 0.0,
@@ -52,12 +48,12 @@ def stage_scores(
         todo = J.exclude_done(todo, done, by)
     replicas = jittered(todo, n_replicas, reach, seed, by, cid).withColumn("__rid", F.struct(F.col(cid).alias("cid"), "replica"))
     scans = J.keep_known(voxels, todo, by)
-    patches = V.extract_patches(
-        replicas.select(by, "__rid", *AXES), scans, shapes, spacing, patch, patch_mm, "__rid", value, by
-    ).withColumn(value, hu_norm(F.col(value)))
-    scored = SC.score_patches(patch_arrays(patches, by, "__rid", value), scorer, "v", keep=(by, "__rid"))
+    pieces = V.patch_pieces(replicas.select(by, "__rid", *AXES), scans, shapes, spacing, patch, patch_mm, "__rid", value, by)
+    patches = whole_grids(pieces, ["__rid"], value, by)
+    normalised = patches.select(by, "__rid", F.transform(value, lambda v: hu_norm(v)).alias("v"))
+    scored = SC.score_patches(normalised, scorer, "v", keep=(by, "__rid"))
     means = SC.average_replicas(scored.select(by, F.col("__rid.cid").alias(cid), "p"), [by, cid])
-    placed = todo.join(means, [by, cid])
+    placed = cut(todo.join(means, [by, cid]))  # scored once; the merge reads it several times
     merged = B.merge_close(placed, distance, z_scale, by, cid, "p")
     return RK.rank_candidates(merged, "p", by, cid)
 
