@@ -6,8 +6,8 @@ tasks as it has slices. A disk is a stack of horizontal runs: the extreme over a
 logarithmic number of steps over the slice, and runs of one width are shared by all rows of the disk, so a radius of 13 costs little
 more than one of 2. Positions without a row, and null values, are ignored.
 
-Small 3-D structures act on *sparse* masks (only set voxels have rows) by repeating each voxel once per
-offset.
+Small 3-D structures act on *sparse* masks (only set voxels have rows), on bricks with as much of their surroundings as the
+structures reach; a voxel travels to the few bricks it can reach and not once per offset.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.plans.bricks import same_as_before
+from voxelframe.plans.bricks import EDGE, origin, same_as_before, to_bricks, whole_groups
 
 AXES = ("z", "y", "x")
 
@@ -153,39 +153,83 @@ def neighbour_offsets(connectivity: int) -> list[tuple[int, int, int]]:
     return [o for o in itertools.product((-1, 0, 1), repeat=3) if sum(map(abs, o)) <= connectivity]
 
 
-def _inside(shape: Sequence[int | Column], coords: Sequence[Column]) -> Column:
-    ok = F.lit(True)
-    for c, n in zip(coords, shape):
-        ok = ok & (c >= 0) & (c < (n if isinstance(n, Column) else F.lit(n)))
-    return ok
+def _shifted(a: np.ndarray, off: Sequence[int], none: bool) -> np.ndarray:
+    """b[p] = a[p - off]."""
+    out = np.full_like(a, none)
+    to = tuple(slice(max(0, o), min(n, n + o)) for o, n in zip(off, a.shape))
+    at = tuple(slice(max(0, -o), min(n, n - o)) for o, n in zip(off, a.shape))
+    out[to] = a[at]
+    return out
+
+
+def _step(a: np.ndarray, grid: np.ndarray, offsets: Sequence[tuple[int, int, int]], grow: bool) -> np.ndarray:
+    """One dilation or erosion of a set inside the grid; of an erosion no place is left that touches no set voxel."""
+    if grow:
+        return np.logical_or.reduce([_shifted(a, o, False) for o in offsets]) & grid
+    back = [[-v for v in o] for o in offsets]
+    every = np.logical_and.reduce([_shifted(a | ~grid, o, True) for o in back])
+    return every & grid & np.logical_or.reduce([_shifted(a & grid, o, False) for o in back])
 
 
-def _spread(mask: DataFrame, offsets: Sequence[tuple[int, int, int]], sign: int, by: Sequence[str]) -> DataFrame:
-    """Each voxel moved by every offset."""
-    o = F.array(*[F.struct(*[F.lit(sign * v).alias(c) for v, c in zip(off, AXES)]) for off in offsets])
-    moved = mask.select(*by, *AXES, F.explode(o).alias("__o"))
-    return moved.select(*by, *[(F.col(c) + F.col(f"__o.{c}")).alias(c) for c in AXES])
+def structure_chain(
+    mask: DataFrame, steps: Sequence[tuple[Sequence[tuple[int, int, int]], bool]], shape: Sequence[int | Column], by: Sequence[str] = ("pid",)
+) -> DataFrame:
+    """Dilations (True) and erosions (False) by small structures, one after the other on the bricks of a sparse mask.
+
+    A voxel travels to the bricks it can reach in all steps together, as one small row each; every brick answers for its own
+    voxels. Nothing else is shuffled, and no row stands for a voxel and an offset. ``shape``: numbers or columns that depend on ``by`` alone.
+    """
+    by, steps = list(by), [([tuple(o) for o in offsets], grow) for offsets, grow in steps]
+    far = [sum(max(abs(o[i]) for o in offsets) for offsets, _ in steps) for i in range(3)]
+    sizes = [(n if isinstance(n, Column) else F.lit(n)).cast("int") for n in shape]
+    low = [F.greatest(F.col(c) - r, F.lit(0)) for c, r in zip(AXES, far)]
+    high = [F.least(F.col(c) + r, n - 1) for c, r, n in zip(AXES, far, sizes)]
+    carried = [*[F.col(c).cast("int").alias(f"__c{c}") for c in AXES], *[n.alias(f"__cn{c}") for n, c in zip(sizes, AXES)]]
+    set_ = mask.filter(" and ".join(f"{c} is not null" for c in AXES))
+    m, pad = len(by) + 1, np.array(far)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches, m):
+            starts = np.flatnonzero(~same_as_before(b.columns[:m]))
+            code = b.column(m - 1).to_numpy()
+            at = np.stack([b.column(m + i).to_numpy() for i in range(3)]).astype(np.int64)
+            n = np.stack([b.column(m + 3 + i).to_numpy() for i in range(3)])
+            found = []
+            for lo, hi in zip(starts, np.append(starts[1:], b.num_rows)):
+                first, size = origin(int(code[lo])), n[:, lo]
+                p = at[:, lo:hi]
+                zero = p.min(axis=1) - pad
+                a = np.zeros(p.max(axis=1) + pad - zero + 1, bool)
+                a[tuple(p - zero[:, None])] = True
+                own, grid = [], []
+                for i in range(3):
+                    place = np.arange(zero[i], zero[i] + a.shape[i])
+                    grid.append((place >= 0) & (place < size[i]))
+                    own.append((place >= first[i]) & (place < first[i] + EDGE))
+                grid = grid[0][:, None, None] & grid[1][None, :, None] & grid[2][None, None, :]
+                for offsets, grow in steps:
+                    a = _step(a, grid, offsets, grow)
+                a &= own[0][:, None, None] & own[1][None, :, None] & own[2][None, None, :]
+                found.append(np.argwhere(a) + zero)
+            rows = pa.array(np.repeat(starts, [len(f) for f in found]))
+            places = np.concatenate(found).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([*[b.column(i).take(rows) for i in range(m - 1)], *[pa.array(np.ascontiguousarray(c)) for c in places.T]], [*by, *AXES])
+            yield from (out.slice(i, 50_000) for i in range(0, out.num_rows, 50_000))
+
+    schema = ", ".join([*[f"`{c}` {mask.schema[c].dataType.simpleString()}" for c in by], *[f"{c} int" for c in AXES]])
+    return to_bricks(set_, by, low, high, carried).mapInArrow(run, schema)
 
 
 def dilate(mask: DataFrame, offsets: Sequence[tuple[int, int, int]], shape: Sequence[int | Column], by: Sequence[str] = ("pid",)) -> DataFrame:
     """Voxels p with some set voxel at p - offset."""
-    moved = _spread(mask, offsets, 1, by)
-    return moved.filter(_inside(shape, [F.col(c) for c in AXES])).distinct()
+    return structure_chain(mask, [(offsets, True)], shape, by)
 
 
 def erode(mask: DataFrame, offsets: Sequence[tuple[int, int, int]], shape: Sequence[int | Column], by: Sequence[str] = ("pid",)) -> DataFrame:
     """Voxels p with every p + offset set or outside the grid."""
-    hits = (
-        _spread(mask, offsets, -1, by).filter(_inside(shape, [F.col(c) for c in AXES]))
-        .groupBy(*by, *AXES).agg(F.count(F.lit(1)).alias("__n"))
-    )
-    outside = F.lit(0)
-    for off in offsets:
-        at = [F.col(c) + F.lit(v) for c, v in zip(AXES, off)]
-        outside = outside + (~_inside(shape, at)).cast("int")
-    return hits.filter(F.col("__n") + outside == len(offsets)).drop("__n")
+    return structure_chain(mask, [(offsets, False)], shape, by)
 
 
 def opening(mask: DataFrame, offsets: Sequence[tuple[int, int, int]], shape: Sequence[int | Column], by: Sequence[str] = ("pid",)) -> DataFrame:
     """Erosion, then the matching dilation: what the structure can cover from inside."""
-    return dilate(erode(mask, offsets, shape, by), offsets, shape, by)
+    return structure_chain(mask, [(offsets, False), (offsets, True)], shape, by)

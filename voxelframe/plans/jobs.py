@@ -61,7 +61,7 @@ def segmentation_patches(annotations: DataFrame, batch: int, seed: str, by: str
 
 def segmentation_target(annotations: DataFrame, shape: Sequence[int | Column], kind: str = "sphere", by: str = "pid") -> DataFrame:
     """Voxels of the union of the annotations' shapes."""
-    return V.union_masks(V.rasterise(annotations.filter(F.col("d") > 0), shape, kind, by=by), by)
+    return V.rasterise_union(annotations.filter(F.col("d") > 0), shape, kind, by=by)
 
 
 def candidate_batches(
