@@ -4,8 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelframe.functions import affine as A
+from voxelframe.functions import pooling as P
+from voxelframe.operators import metrics as ME
 from voxelframe.operators import morphology as M
+from voxelframe.operators import scalespace as SS
 from voxelframe.operators import volume as V
+from voxelframe.plans import bricks as BR
 
 
 def shuffled(spark, df):
@@ -69,3 +74,41 @@ def test_union_of_shapes_is_the_union_of_their_masks(spark, kind):
     want = {(r.pid, r.z, r.y, r.x): r.v for r in V.union_masks(V.rasterise(p.dropna(), shape, kind)).collect()}
     assert got.keys() == want.keys()
     assert np.allclose([got[k] for k in want], list(want.values()), rtol=0, atol=1e-12)
+
+
+def test_crps_without_lambda_steps(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame(
+        [(1.2, 0.5, 2.0), (3.0, 0.0, 3.0), (-4.0, 2.5, 9.5), (1.0, 1.0, None), (None, 1.0, 1.0), (1.0, None, 1.0), (1.0, 1.0, nan), (nan, 1.0, 1.0), (inf, 1.0, 2.0), (1.0, 1.0, -inf)],
+        "m double, s double, t double",
+    )
+    m, s, t = (F.col(c) for c in "mst")
+    squares = F.zip_with(P.normal_cdf(m, s, 7), P.heaviside(t, 7), lambda a, b: (a - b) * (a - b))
+    spelled = F.aggregate(squares, F.lit(0.0), lambda a, v: a + v) / F.lit(7.0)
+    fast = ME.crps(m, s, t, 7)
+    rows = df.select(spelled.alias("a"), fast.alias("b")).collect()
+    for a, b in rows:
+        assert (a is None) == (b is None) and (a is None or np.isclose(a, b, rtol=0, atol=1e-14, equal_nan=True))
+    plan = df.select(fast)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
+def test_planes_travel_packed(spark):
+    """Voxels in no order reach their slabs as planes, not as one row each."""
+    rows = scattered(spark, 40, 100).withColumn("v", F.lit(1.0))
+    shapes = spark.createDataFrame([(1, 40, 40, 40)], "pid int, nz int, ny int, nx int")
+    out = SS.local_maxima(rows, shapes, [1.0, 1.6, 2.6], "dog", 0.01, slab=8)
+    assert shuffled(spark, out) < 4 * shuffled(spark, rows.repartition("pid", "z"))
+
+
+def test_many_bricks_in_one_kernel_call(spark):
+    """Bricks of a few voxels are answered together, whole or in pieces."""
+    vox = spark.range(210 * 50).select((F.col("id") % 50).alias("pid"), *[F.floor(F.floor(F.col("id") / 50) / k % n).cast("int").alias(c) for k, n, c in ((30, 7, "z"), (5, 6, "y"), (1, 5, "x"))], F.pmod(F.xxhash64("id"), F.lit(100)).cast("double").alias("v"))
+    m = A.affine([0.9, 1.1, 0.8], [F.lit(4.0), F.lit(-3.0), F.lit(8.0)], [F.lit(0.3), F.lit(0.2), F.lit(-0.4)])
+    maps = V.volume_shapes(vox).select("pid", "nz", "ny", "nx", *A.to_columns(m))
+    one = BR.resample_affine(BR.brick_pieces(vox), maps, [], (6, 5, 4))
+    for pieces in (BR.brick_pieces(vox, edge=2), BR.brick_table(vox, edge=2)):
+        some = BR.resample_affine(pieces, maps, [], (6, 5, 4), edge=2, block=3)
+        both = one.join(some.withColumnRenamed("v", "w"), ["pid", "z", "y", "x"], "full")
+        n, off = both.agg(F.count(F.lit(1)), F.max(F.coalesce(F.abs(F.col("v") - F.col("w")), F.lit(1e9)))).first()
+        assert n == 50 * 120 and off < 1e-9

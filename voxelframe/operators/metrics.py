@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.functions.pooling import heaviside, normal_cdf
+from voxelframe.functions.pooling import crps_mean, heaviside, normal_cdf
 from voxelframe.functions.scalars import clip
 from voxelframe.operators.ranking import top_n
 
@@ -117,6 +117,8 @@ def mask_recall(located: DataFrame, by: str = "pid") -> DataFrame:
 
 def crps(mu: Column, sigma: Column, target: Column, n: int, exact: bool = False) -> Column:
     """Row value: mean over 0..n-1 of (normal CDF - step at the target)^2."""
+    if not exact:
+        return crps_mean(mu, sigma, target, n)
     cdf, step = normal_cdf(mu, sigma, n, exact), heaviside(target, n)
     squares = F.zip_with(cdf, step, lambda a, b: (a - b) * (a - b))
     return F.aggregate(squares, F.lit(0.0), lambda s, v: s + v) / F.lit(float(n))

@@ -1,7 +1,7 @@
 """Gaussian scale spaces and their local maxima.
 
-A scan is cut into slabs of planes, each with a halo of as many planes as the widest kernel reaches. Voxel rows are packed plane by
-plane before the shuffle, and a plane goes to the slabs that need it, so a voxel travels once per slab and not once per scale. A task
+A scan is cut into slabs of planes, each with a halo of as many planes as the widest kernel reaches. Voxel rows are placed by planes and
+packed plane by plane, and a packed plane goes to the slabs that need it, so a voxel travels once per slab and not once per scale. A task
 smooths its slab along all axes, one scale after the other, with small matrices that already contain the mirrored border; only
 the scales around the present one are held, and of :func:`local_maxima` only the maxima leave the task.
 """
@@ -13,10 +13,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.plans.bricks import packed_groups, same_as_before
+from voxelframe.plans.bricks import packed_groups, packed_values, same_as_before
 from voxelframe.session import sound_unions
 
 # Kernels are cut at this many sigmas.
@@ -72,9 +73,10 @@ class Slab:
         self.img = np.zeros((self.high - self.low, *self.shape[1:]), dtype)
         self.known: dict = {}
 
-    def add(self, z: int, places: np.ndarray, values: np.ndarray) -> None:
-        if self.low <= z < self.high:
-            np.add.at(self.img[z - self.low], (places >> 16, places & 0xFFFF), values)
+    def add(self, z: np.ndarray, places: np.ndarray, values: np.ndarray) -> None:
+        near = np.flatnonzero((z >= self.low) & (z < self.high))
+        z, places = z[near] - self.low, places[near].astype(np.int64)
+        np.add.at(self.img.reshape(-1), (z * self.shape[1] + (places >> 16)) * self.shape[2] + (places & 0xFFFF), values[near])
 
     def matrix(self, axis: int, sigma: float, derivative: int = 0) -> np.ndarray:
         key = axis, sigma, derivative
@@ -170,7 +172,8 @@ def _over_slabs(voxels: DataFrame, shapes: DataFrame, sigmas: Sequence[float], v
     reach = max((len(kernel(s)) // 2 for s in sigmas), default=0)
     spark = sound_unions(voxels.sparkSession)
     asked = shapes.select(by, *[F.col(c).cast("int").alias(c) for c in ("nz", "ny", "nx")]).withColumn("slab", F.explode(F.sequence(F.lit(0), F.floor((F.col("nz") - 1) / slab).cast("int"))))
-    pieces = plane_pieces(voxels, value, by, dtype)
+    # whole planes: rows that come in no order would be packed alone, and travel to every slab like that
+    pieces = plane_pieces(voxels.repartition(by, "z").sortWithinPartitions(by, "z"), value, by, dtype)
     low = F.greatest(F.ceil((F.col("z") - (reach + slab)) / slab), F.lit(0)).cast("int")
     high = F.floor((F.col("z") + (reach + 1)) / slab).cast("int")
     pieces = pieces.withColumn("slab", F.explode(F.sequence(low, high)))
@@ -203,8 +206,9 @@ def _over_slabs(voxels: DataFrame, shapes: DataFrame, sigmas: Sequence[float], v
                     shape = [rows.column(i)[0].as_py() for i in (3, 4, 5)]
                     held = Slab(shape, here[1] * slab, min(shape[0], (here[1] + 1) * slab), reach, dtype)
                 elif held is not None:  # beyond the last plane there is no slab
-                    for z, at, v in zip(rows.column(6).to_pylist(), rows.column(7), rows.column(8)):
-                        held.add(z, np.frombuffer(at.as_buffer(), "<i4"), np.frombuffer(v.as_buffer(), dtype))
+                    at = packed_values(rows.column(7), "<i4")
+                    n = pc.binary_length(rows.column(7)).to_numpy() // 4
+                    held.add(np.repeat(rows.column(6).to_numpy(), n), at, packed_values(rows.column(8), dtype))
         if held is not None:
             out = done()
             if out is not None:
