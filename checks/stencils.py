@@ -48,22 +48,22 @@ BODY = f"{DENSE}, m0 as (select pid,z,y,x,case when hu > -350 then 1 else 0 end
 
 @query("vol15_binary_dilation", f"with {AIR}, d as ({disk('m0', 'm', 2, 'max')}) select pid,z,y,x from d where m=1")
 def _(t):
-    return M.dilate_disk(mask_of(dense(t), F.col("hu") < -350), "m", 2).filter("m = 1").drop("m")
+    return M.dilate_disk(mask_of(dense(t), F.col("hu") < -350), "m", 2, placed=True).filter("m = 1").drop("m")
 
 
 @query("vol15_binary_erosion", f"with {BODY}, d as ({disk('m0', 'm', 1, 'min')}) select pid,z,y,x from d where m=1")
 def _(t):
-    return M.erode_disk(mask_of(dense(t), F.col("hu") > -350), "m", 1).filter("m = 1").drop("m")
+    return M.erode_disk(mask_of(dense(t), F.col("hu") > -350), "m", 1, placed=True).filter("m = 1").drop("m")
 
 
 @query("vol15_binary_opening", f"with {BODY}, e as ({disk('m0', 'm', 1, 'min')}), d as ({disk('e', 'm', 1, 'max')}) select pid,z,y,x from d where m=1")
 def _(t):
-    return M.open_disk(mask_of(dense(t), F.col("hu") > -350), "m", 1).filter("m = 1").drop("m")
+    return M.open_disk(mask_of(dense(t), F.col("hu") > -350), "m", 1, placed=True).filter("m = 1").drop("m")
 
 
 @query("vol15_binary_closing", f"with {AIR}, e as ({disk('m0', 'm', 1, 'max')}), d as ({disk('e', 'm', 1, 'min')}) select pid,z,y,x from d where m=1")
 def _(t):
-    return M.close_disk(mask_of(dense(t), F.col("hu") < -350), "m", 1).filter("m = 1").drop("m")
+    return M.close_disk(mask_of(dense(t), F.col("hu") < -350), "m", 1, placed=True).filter("m = 1").drop("m")
 
 
 CUBE = f"""{BODY}, e as (select p.pid,p.z,p.y,p.x from m0 p join m0 q on q.pid=p.pid and q.z between p.z-1 and p.z and q.y between p.y-1 and p.y and q.x between p.x-1 and p.x
@@ -85,7 +85,8 @@ def _(t):
 
 @query("vol16_grey_closing_erosion", f"with {DENSE}, a as ({disk('dense', 'hu', 1, 'max')}), b as ({disk('a', 'hu', 1, 'min')}), c as ({disk('b', 'hu', 2, 'min')}) select pid,z,y,x,{R('hu')} as hu from c")
 def _(t):
-    return M.erode_disk(M.close_disk(dense(t).select(*KEYS, "hu"), "hu", 1), "hu", 2, placed=True).select(*KEYS, r6("hu").alias("hu"))
+    chain = M.disk_chain(dense(t).select(*KEYS, "hu"), "hu", [(1, True), (1, False), (2, False)], placed=True)
+    return chain.select(*KEYS, r6("hu").alias("hu"))
 
 
 EDGE = f"(y=0 or x=0 or y={NY-1} or x={NX-1})"
@@ -109,7 +110,7 @@ filled as (select pid,z,y,x from dense except select * from outside)"""
 
 @query("vol18_fill_holes", f"with recursive {FILLED} select * from filled")
 def _(t):
-    return C.fill_holes(dense(t), F.col("hu") > -350, NY, NX)
+    return C.fill_holes(dense(t), F.col("hu") > -350, NY, NX, placed=True)
 
 
 def hull_sql(src, axis, keys="pid"):
@@ -202,13 +203,13 @@ c1 as ({disk('inn', 'hu', 1, 'max')}), closed as ({disk('c1', 'hu', 1, 'min')})"
 
 @query("vol25_lung_mask_body", f"with recursive {BODY_VALUES}, w as ({disk('closed', 'hu', 2, 'min')}) select pid,z,y,x from w where hu < -350")
 def _(t):
-    return D.lung_mask_body(dense(t), body=1, close=1, wall=2)
+    return D.lung_mask_body(dense(t), body=1, close=1, wall=2, placed=True)
 
 
 @query("vol26_lung_mask_linked", f"""with recursive {BODY_VALUES}, lung as (select pid,z,y,x from closed where hu < -350), {linked_sql('lung', 1, 0.015)},
 m1 as (select d.pid,d.z,d.y,d.x,case when l.pid is null then 0 else 1 end as m from dense d left join linked l using (pid,z,y,x)), g as ({disk('m1', 'm', 2, 'max')}) select pid,z,y,x from g where m=1""")
 def _(t):
-    return D.lung_mask_linked(dense(t), body=1, close=1, grow=2, min_pixels=1)
+    return D.lung_mask_linked(dense(t), body=1, close=1, grow=2, min_pixels=1, placed=True, shapes=shapes(t))
 
 
 @query("vol27_lung_mask_region")
@@ -357,14 +358,14 @@ ROUND = "hu > 90 or (y-32)*(y-32)+(x-32)*(x-32) < (18+z % 9)*(18+z % 9)"
 b as ({wide_disk('a', 'm', 5, 'max')}), c as ({wide_disk('b', 'm', 8, 'min')}), d as ({wide_disk('c', 'm', 13, 'max')}) select pid,z,y,x from d where m=1""")
 def _(t):
     """Disks of 5, 8 and 13 in one chain."""
-    chain = M.disk_chain(mask_of(big_dense(t), F.expr(ROUND)), "m", [(5, False), (5, True), (8, False), (13, True)])
+    chain = M.disk_chain(mask_of(big_dense(t), F.expr(ROUND)), "m", [(5, False), (5, True), (8, False), (13, True)], placed=True)
     return chain.filter("m = 1").drop("m")
 
 
 @query("vol16_wide_grey", f"""with {BIG_DENSE}, a as ({wide_disk('big', 'hu', 2, 'max')}), b as ({wide_disk('a', 'hu', 2, 'min')}), c as ({wide_disk('b', 'hu', 13, 'min')}) select pid,z,y,x,{R('hu')} as hu from c""")
 def _(t):
-    closed = M.close_disk(big_dense(t), "hu", 2)
-    return M.erode_disk(closed, "hu", 13, placed=True).select(*KEYS, r6("hu").alias("hu"))
+    chain = M.disk_chain(big_dense(t), "hu", [(2, True), (2, False), (13, False)], placed=True)
+    return chain.select(*KEYS, r6("hu").alias("hu"))
 
 
 N_SPEC = 64

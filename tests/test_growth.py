@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.functions import affine as A
 from voxelframe.functions import pooling as P
+from voxelframe.operators import components as C
 from voxelframe.operators import metrics as ME
 from voxelframe.operators import morphology as M
 from voxelframe.operators import scalespace as SS
@@ -93,12 +94,13 @@ def test_crps_without_lambda_steps(spark):
     assert "lambda" not in plan
 
 
-def test_planes_travel_packed(spark):
-    """Voxels in no order reach their slabs as planes, not as one row each."""
-    rows = scattered(spark, 40, 100).withColumn("v", F.lit(1.0))
-    shapes = spark.createDataFrame([(1, 40, 40, 40)], "pid int, nz int, ny int, nx int")
-    out = SS.local_maxima(rows, shapes, [1.0, 1.6, 2.6], "dog", 0.01, slab=8)
-    assert shuffled(spark, out) < 4 * shuffled(spark, rows.repartition("pid", "z"))
+def test_a_slab_takes_many_planes_at_once():
+    slab = SS.Slab((5, 3, 4), 0, 2, 1, "float64")
+    z, y, x = np.array([0, 1, 1, 4, 1]), np.array([2, 0, 0, 0, 1]), np.array([3, 1, 1, 0, 0])
+    slab.add(z, y << 16 | x, np.array([1.0, 2.0, 3.0, 4.0, 5.0]))
+    want = np.zeros((4, 3, 4))
+    want[0, 2, 3], want[1, 0, 1], want[1, 1, 0] = 1, 5, 5
+    assert np.array_equal(slab.img, want)
 
 
 def test_many_bricks_in_one_kernel_call(spark):
@@ -112,3 +114,66 @@ def test_many_bricks_in_one_kernel_call(spark):
         both = one.join(some.withColumnRenamed("v", "w"), ["pid", "z", "y", "x"], "full")
         n, off = both.agg(F.count(F.lit(1)), F.max(F.coalesce(F.abs(F.col("v") - F.col("w")), F.lit(1e9)))).first()
         assert n == 50 * 120 and off < 1e-9
+
+
+def uneven(spark):
+    """Four scans of different sizes with holes, one voxel beyond its scan and a scan without a size."""
+    shapes = spark.createDataFrame([(1, 3, 9, 7), (2, 2, 30, 12), (3, 40, 4, 4), (4, 2, 1, 1)], "pid int, nz int, ny int, nx int")
+    cells = V.grid(shapes, [F.col(f"n{c}") for c in "zyx"]).filter(F.pmod(F.xxhash64("pid", "z", "y", "x"), F.lit(10)) < 6)
+    vox = cells.select("pid", "z", "y", "x", F.pmod(F.xxhash64("x", "y", "z"), F.lit(50)).cast("double").alias("v"))
+    return vox.unionByName(spark.createDataFrame([(1, 9, 0, 0, 5.0), (1, 0, 20, 0, 5.0), (7, 0, 0, 0, 5.0), (2, 0, 0, -1, 5.0)], vox.schema)), shapes
+
+
+def joined(vox, shapes, fill):
+    full = V.grid(shapes, [F.col(f"n{c}") for c in "zyx"])
+    return full.join(vox, ["pid", "z", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(fill)))
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select("pid", "z", "y", "x", "nz", "ny", "nx", "v").collect()))
+
+
+def test_positions_are_filled_in_slices(spark):
+    vox, shapes = uneven(spark)
+    dense = V.densify(vox, shapes, "v", fill=-1.0)
+    assert rows_of(dense) == rows_of(joined(vox, shapes, -1.0))
+    assert "Join" not in dense._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_chain_on_small_slices_side_by_side(spark):
+    vox, shapes = uneven(spark)
+    dense = V.densify(vox, shapes, "v")
+    steps = [(2, True), (1, False), (3, False)]
+    chain = M.disk_chain(dense, "v", steps, placed=True)
+    assert chain._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = {}
+    for r in rows_of(joined(vox, shapes, 0.0)):
+        want.setdefault(r[:2], {})[r[2:4]] = r[7]
+    for at, values in want.items():
+        for r, largest in steps:
+            pick = max if largest else min
+            values = {p: pick(w for q, w in values.items() if (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= r * r) for p in values}
+        want[at] = values
+    got = {(*r[:4],): r[7] for r in rows_of(chain)}
+    assert got == {(*at, *p): v for at, values in want.items() for p, v in values.items()}
+
+
+def test_holes_of_many_slices_in_one_go(spark):
+    vox, shapes = uneven(spark)
+    dense = V.densify(vox, shapes, "v")
+    marked = C.mark_filled(dense, F.col("v") > 12, F.col("ny"), F.col("nx"), placed=True)
+    assert marked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    slices, got = {}, {}
+    for r in marked.collect():
+        slices.setdefault((r.pid, r.z), {})[r.y, r.x] = (r.v > 12, r.y in (0, r.ny - 1) or r.x in (0, r.nx - 1))
+        got[r.pid, r.z, r.y, r.x] = r["__in"]
+    for at, places in slices.items():
+        todo = [p for p, (set_, edge) in places.items() if edge and not set_]
+        out = set(todo)
+        while todo:
+            y, x = todo.pop()
+            for q in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+                if q in places and q not in out and not places[q][0]:
+                    out.add(q)
+                    todo.append(q)
+        assert {p: got[*at, *p] for p in places} == {p: int(p not in out) for p in places}

@@ -10,11 +10,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelframe.operators.morphology import AXES, neighbour_offsets
+from voxelframe.plans.bricks import same_as_before, whole_groups
 from voxelframe.plans.graph import connected_components
 from voxelframe.plans.pieces import map_pieces, piece_index, split_pieces
 from voxelframe.session import cut
@@ -156,14 +158,52 @@ def clear_border(mask: DataFrame, ny: int | Column, nx: int | Column, by: Sequen
     return labelled.filter("not __edge").select(*by, *AXES)
 
 
-def fill_holes(dense: DataFrame, inside: Column, ny: int | Column, nx: int | Column, by: Sequence[str] = ("pid",)) -> DataFrame:
+def mark_filled(
+    dense: DataFrame, inside: Column, ny: int | Column, nx: int | Column, by: Sequence[str] = ("pid",), name: str = "__in", placed: bool = False
+) -> DataFrame:
+    """The table with ``name``: 1 for set positions and for background the slice edge cannot reach (by steps along the axes), else 0.
+
+    Slices are worked on as whole arrays, many small ones in one go; ``placed`` says that the table comes from ``morphology.by_slice`` or
+    ``volume.densify``, and the result is placed as well.
+    """
+    by = list(by)
+    m = len(by) + 1
+    edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == ny - 1) | (F.col("x") == nx - 1)
+    rest = [c for c in dense.columns if c not in (*by, "z")]
+    rows = dense if placed else dense.repartition(*by, "z").sortWithinPartitions(*by, "z")
+    rows = rows.select(*by, "z", *rest, F.coalesce(inside, F.lit(False)).alias("__inside"), edge.alias("__edge"))
+    aty, atx = (m + rest.index(c) for c in ("y", "x"))
+
+    def run(batches):
+        for b in whole_groups(batches, m):
+            line = np.cumsum(~same_as_before(b.columns[:m])).astype(np.int64)
+            width = 0
+            for i in (aty, atx):
+                at = b.column(i).to_numpy().astype(np.int64)
+                width = int(at.max() - at.min()) + 2
+                line = line * width + (at - at.min())
+            set_, border = (b.column(b.num_columns - i).to_numpy(zero_copy_only=False) for i in (2, 1))
+            back = np.flatnonzero(~set_)
+            back = back[np.argsort(line[back], kind="stable")]
+            flag = set_.astype(np.int32)
+            if len(back):
+                root = _roots(line[back], [1, width])
+                open_ = np.zeros(len(back), bool)
+                open_[root[border[back]]] = True
+                flag[back] = ~open_[root]
+            out = pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(flag)], [*b.schema.names[:-2], name])
+            yield from (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
+
+    schema = T.StructType([*rows.schema.fields[:-2], T.StructField(name, T.IntegerType())])
+    return rows.mapInArrow(run, schema).select(*dense.columns, name)
+
+
+def fill_holes(dense: DataFrame, inside: Column, ny: int | Column, nx: int | Column, by: Sequence[str] = ("pid",), placed: bool = False) -> DataFrame:
     """Set voxels plus the background the slice edge cannot reach (by steps along the axes).
 
-    ``dense`` has every grid position, ``inside`` tells whether it is set.
+    ``dense`` has every grid position, ``inside`` tells whether it is set; ``placed``: see :func:`mark_filled`.
     """
-    background = label_slices(dense.filter(~inside), by, diagonal=False)
-    holes = background.withColumn("__edge", _reaches_edge(by, ny, nx)).filter("not __edge")
-    return dense.filter(inside).select(*by, *AXES).unionByName(holes.select(*by, *AXES))
+    return mark_filled(dense, inside, ny, nx, by, "__in", placed).filter("__in = 1").select(*by, *AXES)
 
 
 # --- convex hulls ----------------------------------------------------------------------------

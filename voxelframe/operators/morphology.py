@@ -1,7 +1,7 @@
 """Binary and grey morphology on voxel tables.
 
 Disks act per slice on *dense* tables (every grid position has a row). The rows are placed by slice once, which serves
-all filters of a chain; a task holds one slice at a time as an array, and even one enormous scan spreads over as many
+all filters of a chain; a task holds one slice, or some small ones, at a time as an array, and even one enormous scan spreads over as many
 tasks as it has slices. A disk is a stack of horizontal runs: the extreme over a run of any width takes a
 logarithmic number of steps over the slice, and runs of one width are shared by all rows of the disk, so a radius of 13 costs little
 more than one of 2. Positions without a row, and null values, are ignored.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from voxelframe.plans.bricks import EDGE, origin, same_as_before, to_bricks, whole_groups
 
 AXES = ("z", "y", "x")
+#: Small slices are filtered side by side, up to this many places.
+CELLS = 1 << 18
 
 
 def run_widths(radius: int) -> dict[int, int]:
@@ -33,26 +35,27 @@ def run_widths(radius: int) -> dict[int, int]:
 
 
 def by_slice(dense: DataFrame, by: str = "pid") -> DataFrame:
-    """The table placed by slices: what all disk filters after it need, so they shuffle no more."""
-    return dense.repartition(by, "z")
+    """The table placed and sorted by slices: what all disk filters after it need, so they shuffle and sort no more."""
+    return dense.repartition(by, "z").sortWithinPartitions(by, "z")
 
 
 def _runs(a: np.ndarray, w: int, pick: np.ufunc, none: float) -> np.ndarray:
-    """The extreme over x - w to x + w of each place of a slice."""
-    n, length = a.shape[1], 2 * w + 1
-    m = np.pad(a, ((0, 0), (w, w)), constant_values=none)
+    """The extreme over x - w to x + w of each place of a slice, or of many (the last axis is x)."""
+    n, length = a.shape[-1], 2 * w + 1
+    m = np.full((*a.shape[:-1], n + 2 * w), none)
+    m[..., w : w + n] = a
     span = 1
     while 2 * span <= length:
-        m = pick(m[:, :-span], m[:, span:])
+        m = pick(m[..., :-span], m[..., span:])
         span *= 2
-    return pick(m[:, :n], m[:, length - span : length - span + n])
+    return pick(m[..., :n], m[..., length - span : length - span + n])
 
 
 def slice_extreme(a: np.ndarray, radius: int, largest: bool) -> np.ndarray:
-    """The extreme over a disk around each place of a slice; places without a value hold the infinity that never wins."""
+    """The extreme over a disk around each place of a slice, or of many (the last axes are y, x); places without a value hold the infinity that never wins."""
     pick, none = (np.maximum, -np.inf) if largest else (np.minimum, np.inf)
     out = np.full(a.shape, none)
-    rows = len(a)
+    rows = a.shape[-2]
     by_width: dict[int, list[int]] = {}
     for dy, w in run_widths(radius).items():
         by_width.setdefault(w, []).append(dy)
@@ -61,7 +64,7 @@ def slice_extreme(a: np.ndarray, radius: int, largest: bool) -> np.ndarray:
         for dy in shifts:
             lo, hi = max(0, -dy), min(rows, rows - dy)
             if lo < hi:
-                out[lo:hi] = pick(out[lo:hi], run[lo + dy : hi + dy])
+                out[..., lo:hi, :] = pick(out[..., lo:hi, :], run[..., lo + dy : hi + dy, :])
     return out
 
 
@@ -71,48 +74,44 @@ def disk_chain(
     """The value replaced, step by step, by its maximum or minimum over a disk in the slice.
 
     ``steps``: radius, and whether the maximum is taken. ``placed`` says that the table comes from :func:`by_slice` or from a
-    disk filter; other columns stay as they are.
+    disk filter, or is a filter or column of such a one; other columns stay as they are.
     """
     steps = [(r, largest) for r, largest in steps if r > 0]
     if not steps:
         return dense
-    at = {c: dense.columns.index(c) for c in (by, *AXES, value)}
+    names = [by, "z", *[c for c in dense.columns if c not in (by, "z")]]
+    at = {c: names.index(c) for c in ("y", "x", value)}
 
-    def filtered(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def filtered(t: pa.RecordBatch) -> pa.RecordBatch:
+        first = np.flatnonzero(~same_as_before(t.columns[:2]))
+        size = np.diff(np.append(first, t.num_rows))
         y, x = (t.column(at[c]).to_numpy().astype(np.int64) for c in ("y", "x"))
+        y, x = (c - np.repeat(np.minimum.reduceat(c, first), size) for c in (y, x))
         v = t.column(at[value])
-        a = v.cast(pa.float64()).to_numpy()
-        missing = pc.is_null(v).to_numpy()
-        y, x = y - y.min(), x - x.min()
-        grid = np.full((y.max() + 1, x.max() + 1), np.nan)
-        grid[y[~missing], x[~missing]] = a[~missing]
-        for r, largest in steps:
-            none = -np.inf if largest else np.inf
-            got = slice_extreme(np.where(np.isnan(grid), none, grid), r, largest)
-            grid = np.where(got == none, np.nan, got)
-        new = grid[y, x]
-        new = pa.array(new, mask=np.isnan(new)).cast(v.type)
-        yield from t.set_column(at[value], value, pa.chunked_array([new])).to_batches(10_000)
+        a = v.cast(pa.float64()).to_numpy(zero_copy_only=False).copy()
+        a[pc.is_null(v).to_numpy(zero_copy_only=False)] = np.nan
+        h, w = int(y.max()) + 1, int(x.max()) + 1
+        most = max(1, CELLS // (h * w))  # slices side by side
+        for i in range(0, len(first), most):
+            part = slice(first[i], first[i] + size[i : i + most].sum())
+            n = len(size[i : i + most])
+            place = (np.repeat(np.arange(n), size[i : i + most]), y[part], x[part])
+            grid, empty = np.full((n, h, w), np.nan), np.ones((n, h, w), bool)
+            grid[place], empty[place] = a[part], False
+            for r, largest in steps:
+                none = -np.inf if largest else np.inf
+                got = slice_extreme(np.where(np.isnan(grid), none, grid), r, largest)
+                grid = np.where((got == none) | empty, np.nan, got)
+            a[part] = grid[place]
+        return t.set_column(at[value], t.schema.field(at[value]), pa.array(a, mask=np.isnan(a)).cast(v.type))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for b in whole_groups(batches, 2):
+            out = filtered(b)
+            yield from (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
 
-        def key(b, i):
-            return b.column(at[by])[i].as_py(), b.column(at["z"])[i].as_py()
-
-        for b in batches:
-            starts = np.flatnonzero(~same_as_before([b.column(at[by]), b.column(at["z"])]))
-            for lo, hi in zip(starts, np.append(starts[1:], b.num_rows)):
-                part = b.slice(lo, hi - lo)
-                if held and key(held[-1], 0) != key(part, 0):
-                    yield from filtered(pa.Table.from_batches(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield from filtered(pa.Table.from_batches(held))
-
-    rows = (dense if placed else by_slice(dense, by)).sortWithinPartitions(by, "z")
-    return rows.mapInArrow(run, dense.schema)
+    rows = (dense if placed else by_slice(dense, by)).select(*names)
+    return rows.mapInArrow(run, rows.schema).select(*dense.columns)
 
 
 def disk_extreme(

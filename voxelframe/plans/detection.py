@@ -67,42 +67,47 @@ def lung_mask_hull(
 ) -> DataFrame:
     """Air not touching the slice edge, opened by a disk, and its convex hull per slice."""
     air = _cleared(voxels.filter(F.col(value) < threshold).select(by, *AXES), shapes, by)
-    opened = M.open_disk(_dense_mask(shapes, air, by), "m", radius, by)
+    opened = M.open_disk(_dense_mask(shapes, air, by), "m", radius, by, placed=True)
     return C.convex_hull(opened.filter("m > 0").select(by, *AXES), "z", [by])
 
 
-def _body_values(dense: DataFrame, threshold: float, body: int, close: int, value: str, by: str) -> DataFrame:
-    """Values inside the filled and eroded body (0 outside), closed by a small disk."""
-    filled = C.fill_holes(dense, F.col(value) > threshold, F.col("ny"), F.col("nx"), [by, "nz", "ny", "nx"])
-    keys = [by, *AXES]
-    marked = dense.join(filled.select(*keys, F.lit(1).alias("__in")), keys, "left").withColumn("__in", F.coalesce("__in", F.lit(0)))
-    core = M.erode_disk(M.by_slice(marked, by), "__in", body, by, placed=True)
+def _body_values(
+    dense: DataFrame, threshold: float, body: int, close: int, value: str, by: str, placed: bool, after: Sequence[tuple[int, bool]] = ()
+) -> DataFrame:
+    """Values inside the filled and eroded body (0 outside), closed by a small disk, then the disks ``after``; one placement by slices serves all."""
+    rows = dense if placed else M.by_slice(dense, by)
+    marked = C.mark_filled(rows, F.col(value) > threshold, F.col("ny"), F.col("nx"), [by], "__in", placed=True)
+    core = M.erode_disk(marked, "__in", body, by, placed=True)
     inside = core.withColumn(value, F.col(value) * F.col("__in")).drop("__in")
-    return M.close_disk(inside, value, close, by, placed=True)
+    return M.disk_chain(inside, value, [(close, True), (close, False), *after], by, placed=True)
 
 
 def lung_mask_body(
     dense: DataFrame, threshold: float = AIR_THRESHOLD, body: int = 8, close: int = 2, wall: int = 13, value: str = "hu",
-    by: str = "pid",
+    by: str = "pid", placed: bool = False,
 ) -> DataFrame:
     """Air inside the body, freed of vessels by a grey closing and widened by a grey erosion.
 
-    ``dense`` has every grid position with its value and the columns nz, ny, nx.
+    ``dense`` has every grid position with its value and the columns nz, ny, nx; ``placed``: it comes from ``densify``.
     """
-    closed = _body_values(dense, threshold, body, close, value, by)
-    return M.erode_disk(closed, value, wall, by, placed=True).filter(F.col(value) < threshold).select(by, *AXES)
+    worn = _body_values(dense, threshold, body, close, value, by, placed, [(wall, False)])
+    return worn.filter(F.col(value) < threshold).select(by, *AXES)
 
 
 def lung_mask_linked(
     dense: DataFrame, threshold: float = AIR_THRESHOLD, body: int = 8, close: int = 2, grow: int = 13, min_pixels: int = 7,
-    min_share: float = 0.015, value: str = "hu", by: str = "pid",
+    min_share: float = 0.015, value: str = "hu", by: str = "pid", placed: bool = False, shapes: DataFrame | None = None,
 ) -> DataFrame:
-    """Air inside the body, kept where linked slice by slice to the middle, then dilated."""
-    closed = _body_values(dense, threshold, body, close, value, by)
+    """Air inside the body, kept where linked slice by slice to the middle, then dilated.
+
+    ``shapes`` (by, nz, ny, nx) saves looking them up in ``dense``.
+    """
+    closed = _body_values(dense, threshold, body, close, value, by, placed)
     air = closed.filter(F.col(value) < threshold)
     linked = C.prune_by_overlap(air, F.floor(F.col("nz") / 2), min_pixels, min_share, by)
-    shapes = dense.select(by, "nz", "ny", "nx").distinct()
-    return M.dilate_disk(_dense_mask(shapes, linked, by), "m", grow, by).filter("m > 0").select(by, *AXES)
+    if shapes is None:
+        shapes = dense.select(by, "nz", "ny", "nx").distinct()
+    return M.dilate_disk(_dense_mask(shapes, linked, by), "m", grow, by, placed=True).filter("m > 0").select(by, *AXES)
 
 
 def lung_mask_region(
