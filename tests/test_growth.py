@@ -1,11 +1,14 @@
 """Work that grew faster than the tables, or wrote far more than it read."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxelframe.functions import affine as A
 from voxelframe.functions import pooling as P
+from voxelframe.operators import blobs as B
 from voxelframe.operators import components as C
 from voxelframe.operators import metrics as ME
 from voxelframe.operators import morphology as M
@@ -177,3 +180,58 @@ def test_holes_of_many_slices_in_one_go(spark):
                     out.add(q)
                     todo.append(q)
         assert {p: got[*at, *p] for p in places} == {p: int(p not in out) for p in places}
+
+
+def scattered_blobs(spark):
+    """Blobs of two patients, most of them alone, of very different sizes, some equal in place or size."""
+    u = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000 for k in range(4)]
+    rows = spark.range(0, 500, 1, 2).select(
+        (F.col("id") % 2).alias("pid"), F.col("id").alias("cid"), *[F.floor(c * 900 - 100).cast("double").alias(a) for c, a in zip(u, "zyx")], F.floor(1 + 14 / (1 + 9 * u[3])).alias("sigma")
+    )
+    near = rows.filter("cid < 50").select("pid", (F.col("cid") + 5000).alias("cid"), (F.col("z") + F.col("cid") % 3).alias("z"), "y", "x", F.col("sigma"))
+    return rows.unionByName(near).withColumn("sigma", F.when(F.col("cid") == 0, 90.0).otherwise(F.col("sigma").cast("double")))
+
+
+def test_greedy_pruning_writes_only_outranked_blobs(spark, monkeypatch):
+    rows = scattered_blobs(spark)
+    written = []
+    real = B.cut
+
+    def cut(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(B, "cut", cut)
+    got = {(r.pid, r.cid) for r in B.prune_greedy(rows, 0.2).collect()}
+    kept = []
+    for r in sorted(rows.collect(), key=lambda r: (-r.sigma, r.z, r.y, r.x, r.cid)):
+        if all(q.pid != r.pid or overlap(r, q) <= 0.2 for q in kept):
+            kept.append(r)
+    assert got == {(r.pid, r.cid) for r in kept}
+    assert sum(written[1:]) < 0.6 * written[0]
+
+
+def overlap(a, b):
+    d = math.dist((a.z, a.y, a.x), (b.z, b.y, b.x))
+    r, s = a.sigma * math.sqrt(3), b.sigma * math.sqrt(3)
+    if d > r + s:
+        return 0.0
+    if d <= abs(r - s):
+        return 1.0
+    lens = math.pi * (r + s - d) ** 2 * (d * d + 2 * d * (r + s) - 3 * (r * r + s * s) + 6 * r * s) / (12 * d)
+    return lens / (4 / 3 * math.pi * min(r, s) ** 3)
+
+
+def test_pruning_shuffles_blobs_and_not_cells(spark):
+    rows = scattered_blobs(spark)
+    both = B.prune(rows, 0.2, width=64.0)
+    dead = set()
+    everyone = rows.collect()
+    for a in everyone:
+        for b in everyone:
+            if a.pid == b.pid and (b.sigma, b.cid) > (a.sigma, a.cid) and abs(a.z - b.z) < 400 and overlap(a, b) > 0.2:
+                dead.add(a.cid)
+                break
+    assert {r.cid for r in both.collect()} == {r.cid for r in everyone} - dead
+    assert "__sb__cell0" in both._jdf.queryExecution().optimizedPlan().toString()

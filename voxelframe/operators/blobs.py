@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.operators.joins import AXES
 from voxelframe.plans.ordered import BUCKET, range_buckets
-from voxelframe.plans.spatial import drop_when_near_sized, squared_distance
+from voxelframe.plans.spatial import drop_when_near_sized, met_when_near_sized, squared_distance
 from voxelframe.session import cut
 
 # Merging of close neighbours.
@@ -101,24 +101,34 @@ def prune_greedy(
 ) -> DataFrame:
     """Greedy pruning: by size descending, then position and id, keep a blob unless it overlaps a kept one.
 
-    Computed in rounds over all patients at once: blobs without an undecided better rival are kept,
-    the undecided ones overlapping a kept blob go. The best undecided blob of a patient has no better
+    Computed in rounds over all patients at once: blobs without an undecided better rival are kept, the undecided ones overlapping a
+    kept blob go; the first round, with most of the blobs, writes the others only. The best undecided blob of a patient has no better
     rival, so every round decides some, and the loop ends. The result equals the sequential loop.
     """
     axes = [f"__o{c}" for c in AXES]
     mine = F.struct(-F.col("sigma"), *[F.col(c) for c in AXES], F.col(cid))
     other = F.struct(-F.col("__osigma"), *[F.col(c) for c in axes], F.col("__oid"))
     sizes = _reach("__osigma"), _reach("sigma")
-    undecided = cut(_one_per_place(blobs, by, cid, F.min_by))
-    kept = undecided.limit(0)
+    every = cut(_one_per_place(blobs, by, cid, F.min_by))
+    conflict = _conflict(overlap, other < mine)
+
+    def met(some: DataFrame, rivals: DataFrame) -> DataFrame:
+        return met_when_near_sized(some, _rival(rivals, by, cid), by, cid, AXES, axes, *sizes, width, conflict)
+
+    def without(some: DataFrame, ids: DataFrame) -> DataFrame:
+        return some.join(ids, [by, cid], "left_anti")
+
+    # most blobs have no better rival and are kept at once; only the others are written and take part in the rounds
+    outranked = cut(every.join(met(every, every), [by, cid], "left_semi"))
+    gone = cut(met(outranked, without(every, outranked.select(by, cid))))
+    undecided = cut(without(outranked, gone))
     while not undecided.isEmpty():
-        rivals = _rival(undecided, by, cid)
-        won = cut(drop_when_near_sized(undecided, rivals, by, cid, AXES, axes, *sizes, width, _conflict(overlap, other < mine)))
-        rest = undecided.join(won.select(by, cid), [by, cid], "left_anti")
-        winners = _rival(won, by, cid)
-        undecided = cut(drop_when_near_sized(rest, winners, by, cid, AXES, axes, *sizes, width, _conflict(overlap, other < mine)))
-        kept = kept.unionByName(won)
-    return kept
+        won = cut(without(undecided, met(undecided, undecided)))
+        rest = without(undecided, won.select(by, cid))
+        lost = cut(met(rest, won))
+        gone = gone.unionByName(lost)
+        undecided = cut(without(rest, lost))
+    return without(every, gone)
 
 
 # --- close neighbours ------------------------------------------------------------------------

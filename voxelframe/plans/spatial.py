@@ -100,7 +100,11 @@ def _level(reach: Column, width: float) -> Column:
     return F.greatest(F.coalesce(F.ceil(F.log2(2 * reach / F.lit(float(width)))), F.lit(0)), F.lit(0)).cast("int")
 
 
-def drop_when_near_sized(
+#: Cells per axis of a block; rows are placed by blocks and repeated for cells only after the shuffle.
+BLOCK = 8
+
+
+def met_when_near_sized(
     resting: DataFrame,
     searching: DataFrame,
     by: str,
@@ -112,23 +116,37 @@ def drop_when_near_sized(
     width: float,
     condition: Column,
 ) -> DataFrame:
-    """Rows of ``resting`` (unique by (by, key)) without a near match, for search boxes of very different sizes.
+    """(by, key) of ``resting`` rows (unique by them) with a near match, for search boxes of very different sizes.
 
     A searching point stands in the grid of its own size, in at most 8 cells of it; a resting one looks into
     one cell of each grid from that of ``least`` on, the smallest reach that can match it. ``width`` is that of the finest grid.
+    Rows travel to blocks of cells of one grid, where few stand twice.
     """
+    # the join's keys are blocks and cells, the rows are placed by blocks alone
+    resting.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     at = [f"__cell{i}" for i in range(len(resting_axes))]
     b = searching.withColumn("__reach", reach).withColumn("__slevel", _level(F.col("__reach"), width))
     size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("__slevel"))
-    for c, axis in zip(at, searching_axes):
-        low, high = F.floor((F.col(axis) - F.col("__reach")) / size), F.floor((F.col(axis) + F.col("__reach")) / size)
-        b = b.withColumn(f"__s{c}", F.explode(F.sequence(low, high)))
-    b = b.withColumnRenamed(by, "__sby").drop("__reach")
+    ends = {c: [F.floor((F.col(axis) + sign * F.col("__reach")) / size) for sign in (-1, 1)] for c, axis in zip(at, searching_axes)}
+    for c, (low, high) in ends.items():
+        b = b.withColumn(f"__sb{c}", F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))))
+    b = b.withColumnRenamed(by, "__sby").repartition("__sby", "__slevel", *[f"__sb{c}" for c in at])
+    for c, (low, high) in ends.items():
+        first = F.col(f"__sb{c}") * BLOCK
+        b = b.withColumn(f"__s{c}", F.explode(F.sequence(F.greatest(low, first), F.least(high, first + (BLOCK - 1)))))
+    b = b.drop("__reach")
     top = searching.agg(F.max(_level(reach, width))).scalar()
     a = resting.withColumn("__level", F.explode(F.sequence(F.least(_level(least, width), top), top)))
     size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("__level"))
-    a = a.withColumns({c: F.floor(F.col(axis) / size) for c, axis in zip(at, resting_axes)})
+    cells = {c: F.floor(F.col(axis) / size) for c, axis in zip(at, resting_axes)}
+    a = a.withColumns({f"__b{c}": F.floor(cell / BLOCK) for c, cell in cells.items()}).repartition(by, "__level", *[f"__b{c}" for c in at])
+    a = a.withColumns(cells)
     on = (F.col(by) == F.col("__sby")) & (F.col("__level") == F.col("__slevel")) & condition
     for c in at:
-        on = on & (F.col(c) == F.col(f"__s{c}"))
-    return resting.join(a.join(b, on, "left_semi").select(by, key).distinct(), [by, key], "left_anti")
+        on = on & (F.col(f"__b{c}") == F.col(f"__sb{c}")) & (F.col(c) == F.col(f"__s{c}"))
+    return a.join(b, on, "left_semi").select(by, key).distinct()
+
+
+def drop_when_near_sized(resting: DataFrame, searching: DataFrame, by: str, key: str, *args) -> DataFrame:
+    """Rows of ``resting`` without a near match; arguments as of :func:`met_when_near_sized`."""
+    return resting.join(met_when_near_sized(resting, searching, by, key, *args), [by, key], "left_anti")
