@@ -10,6 +10,7 @@ from voxelframe.functions import affine as A
 from voxelframe.functions import pooling as P
 from voxelframe.operators import blobs as B
 from voxelframe.operators import components as C
+from voxelframe.operators import joins as J
 from voxelframe.operators import metrics as ME
 from voxelframe.operators import morphology as M
 from voxelframe.operators import scalespace as SS
@@ -235,3 +236,19 @@ def test_pruning_shuffles_blobs_and_not_cells(spark):
                 break
     assert {r.cid for r in both.collect()} == {r.cid for r in everyone} - dead
     assert "__sb__cell0" in both._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_patch_windows_travel_by_blocks(spark):
+    side = 20
+    vox = scattered(spark, side, 60).withColumn("v", F.col("z") * 400 + F.col("y") * 20 + F.col("x"))
+    u = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(26)) - 3 for k in range(3)]
+    points = spark.range(0, 300, 1, 2).select(F.lit(1).alias("pid"), F.col("id").alias("cid"), *[c.cast("double").alias(a) for c, a in zip(u, "zyx")])
+    found = J.patch_voxels(points, vox, 2, brick=4)
+    got = sorted(map(tuple, found.select("cid", "v", "pz", "py", "px").collect()))
+    places = [(r.z, r.y, r.x) for r in vox.collect()]
+    want = sorted(
+        (r.cid, z * 400 + y * 20 + x, int(z - r.z + 2), int(y - r.y + 2), int(x - r.x + 2))
+        for r in points.collect() for z, y, x in places if all(c - 2 <= p < c + 2 for c, p in ((r.z, z), (r.y, y), (r.x, x)))
+    )
+    assert got == want
+    assert "__block0" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -178,6 +178,10 @@ def close_pair_counts(
     return across.unionByName(within).groupBy(by).agg(F.sum("n").cast("long").alias("n_pairs"))
 
 
+#: Bricks per axis of a block.
+BLOCK = 4
+
+
 def patch_voxels(
     candidates: DataFrame,
     voxels: DataFrame,
@@ -190,19 +194,27 @@ def patch_voxels(
     """Present voxels inside [c - half, c + half) of each candidate, with patch coordinates.
 
     Voxels stay single and carry a brick id; each candidate is repeated for the few bricks its
-    window touches, so the large side is shuffled once at most.
+    window touches, so the large side is shuffled once at most. Both travel to blocks of bricks, and candidates
+    are repeated for bricks only there.
     """
+    # the join's keys are blocks and bricks, the rows are placed by blocks alone
+    voxels.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     c = candidates.select(by, cid, *[F.bround(F.col(a)).cast("int").alias(f"__c{a}") for a in AXES])
     v = voxels.select(by, *AXES, value)
-    for i, a in enumerate(AXES):
-        low = F.floor((F.col(f"__c{a}") - half) / F.lit(brick)).cast("int")
-        high = F.floor((F.col(f"__c{a}") + half - 1) / F.lit(brick)).cast("int")
-        c = c.withColumn(f"__brick{i}", F.explode(F.sequence(low, high)))
-        v = v.withColumn(f"__brick{i}", F.floor(F.col(a) / F.lit(brick)).cast("int"))
+    blocks, bricks = [f"__block{i}" for i in range(3)], [f"__brick{i}" for i in range(3)]
+    ends = [[F.floor((F.col(f"__c{a}") + d) / F.lit(brick)).cast("int") for d in (-half, half - 1)] for a in AXES]
+    for block, (low, high) in zip(blocks, ends):
+        c = c.withColumn(block, F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))))
+    v = v.withColumns({block: F.floor(F.floor(F.col(a) / F.lit(brick)) / BLOCK) for block, a in zip(blocks, AXES)})
+    c, v = c.repartition(by, *blocks), v.repartition(by, *blocks)
+    for block, name, (low, high) in zip(blocks, bricks, ends):
+        first = (F.col(block) * BLOCK).cast("int")
+        c = c.withColumn(name, F.explode(F.sequence(F.greatest(low, first), F.least(high, first + (BLOCK - 1)))))
+    v = v.withColumns({name: F.floor(F.col(a) / F.lit(brick)).cast("int") for name, a in zip(bricks, AXES)})
     inside = F.lit(True)
     for a in AXES:
         inside = inside & (F.col(a) >= F.col(f"__c{a}") - half) & (F.col(a) < F.col(f"__c{a}") + half)
-    joined = v.join(c, [by, "__brick0", "__brick1", "__brick2"]).filter(inside)
+    joined = v.join(c, [by, *blocks, *bricks]).filter(inside)
     return joined.select(
         by, cid, *[(F.col(a) - F.col(f"__c{a}") + half).cast("int").alias(f"p{a}") for a in AXES], value
     )
