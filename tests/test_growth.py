@@ -16,6 +16,7 @@ from voxelframe.operators import morphology as M
 from voxelframe.operators import scalespace as SS
 from voxelframe.operators import volume as V
 from voxelframe.plans import bricks as BR
+from voxelframe.sources import files as SF
 
 
 def shuffled(spark, df):
@@ -29,6 +30,16 @@ def shuffled(spark, df):
     return written() - before
 
 
+def tasks(spark, run):
+    """Result of a function and the tasks it started."""
+    def started():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalTasks()
+
+    before = started()
+    return run(), started() - before
+
+
 def scattered(spark, side, share):
     """Voxels of one cube in no order, over 8 tasks."""
     at = F.pmod(F.col("id") * 7919, F.lit(side**3))
@@ -252,3 +263,23 @@ def test_patch_windows_travel_by_blocks(spark):
     )
     assert got == want
     assert "__block0" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_folders_take_few_tasks(spark, tmp_path):
+    """Neither a task per folder to list nor one per file to look at."""
+    for i in range(300):
+        at = tmp_path / f"scan-{i % 7}" / f"part={i}" if i % 3 else tmp_path / f"scan={i}"
+        at.mkdir(parents=True)
+        if i % 10:
+            (at / "a.dcm").write_bytes(b"x")
+            (at / "b.dcm").write_bytes(b"")
+    (tmp_path / "top.txt").write_text("x")
+    want = sorted({f"file:{p.parent}" for p in tmp_path.rglob("*") if p.is_file()})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    try:
+        got, n = tasks(spark, lambda: [r.folder for r in SF.scan_folders(spark, str(tmp_path)).collect()])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+    assert n < 60
+    assert spark.conf.get(SF.LISTING_TASKS) == "10000"
