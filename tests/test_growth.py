@@ -16,6 +16,7 @@ from voxelframe.operators import morphology as M
 from voxelframe.operators import scalespace as SS
 from voxelframe.operators import volume as V
 from voxelframe.plans import bricks as BR
+from voxelframe.plans import jobs as JB
 from voxelframe.sources import files as SF
 
 
@@ -283,3 +284,25 @@ def test_many_folders_take_few_tasks(spark, tmp_path):
     assert got == want
     assert n < 60
     assert spark.conf.get(SF.LISTING_TASKS) == "10000"
+
+
+def test_property_batches_read_the_annotations_once(spark):
+    u = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 10 for k in range(3)]
+    ann = spark.range(0, 4000, 1, 200).select(
+        (F.col("id") % 90).alias("pid"), F.col("id").alias("aid"), *[c.alias(a) for c, a in zip(u, "zyx")],
+        F.when((F.col("id") % 90 < 60) & (F.col("id") % 7 == 0), 3.0).otherwise(0.0).alias("d"),
+    )
+    stored = spark.createDataFrame(ann.collect(), ann.schema).coalesce(1).cache()
+    marks = stored.filter("d > 0").select("pid", (F.col("z") + 1).alias("cz"), F.col("y").alias("cy"), F.col("x").alias("cx"), (1 + F.col("aid") % 5).cast("double").alias("m"))
+    rows, n = tasks(spark, lambda: JB.property_batches(ann, marks, 8, 0.75, "t", ["nodule", "m"], {}, {"m": "bounded_continuous"}).collect())
+    assert n < 500
+    known = {(r.pid, r.aid): r for r in stored.collect()}
+    pids = sorted(r.pid for r in rows)  # 10 batches of 6 and 2; the other patients without positives are not used
+    assert pids[:60] == list(range(60)) and len(set(pids[60:])) == len(pids[60:]) == 20
+    for r in rows:
+        a = known[r.pid, r.aid]
+        assert (r.z, r.y, r.x, r.d) == (a.z, a.y, a.x, a.d) and r.positive == (a.d > 0) == (r.pid < 60)
+        near = [1 + b.aid % 5 for b in known.values() if b.pid == a.pid and b.d > 0 and math.dist((a.z, a.y, a.x), (b.z + 1, b.y, b.x)) < 5]
+        assert r.target[0] == (a.d > 0) and r.enabled[1] == (a.d > 0)
+        assert math.isclose(r.target[1], (sum(near) / len(near) - 1) / 4 if a.d > 0 else 0.0, abs_tol=1e-12)
+    stored.unpersist()

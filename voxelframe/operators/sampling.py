@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from voxelframe.functions.hashing import uniform, uniform_between
 from voxelframe.operators.ranking import top_n
 from voxelframe.plans.ordered import bucket_count, hash_bucket, rank_within
+from voxelframe.session import cut
 
 
 def shuffle_rank(
@@ -109,24 +110,29 @@ def positive_share_batches(
 
 def two_pool_batches(
     annotations: DataFrame, batch: int, share: float, seed: str, by: str = "pid", key: str = "aid",
-    diameter: str = "d", full_only: bool = False,
+    diameter: str = "d", full_only: bool = False, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Batches of rint(batch * share) patients with positives and the rest patients with negatives
-    only, aligned by batch; negatives beyond the last positive batch are not used."""
+    only, aligned by batch; negatives beyond the last positive batch are not used.
+
+    ``keep`` names columns of the drawn annotation to carry along. Annotations are read once.
+    """
     n_pos = round(batch * share)
     n_neg = batch - n_pos
     u = F.struct(uniform(seed, by, key), F.col(key))
     pos = F.col(diameter) > 0
-    per = annotations.groupBy(by).agg(
-        F.count_if(pos).alias("__n"), F.min_by(F.col(key), F.when(pos, u)).alias("__pos"),
-        F.min_by(F.col(key), F.when(~pos, u)).alias("__neg"),
-    )
+    drawn = F.struct(key, *keep)
+    # one row per patient; both pools read it several times
+    per = cut(annotations.groupBy(by).agg(
+        F.count_if(pos).alias("__n"), F.min_by(drawn, F.when(pos, u)).alias("__pos"),
+        F.min_by(drawn, F.when(~pos, u)).alias("__neg"),
+    ))
 
     def pool(side: DataFrame, n: int, pick: str, positive: bool) -> DataFrame:
         ranked = shuffle_rank(side, seed, [by], out="__r")
         return ranked.select(
-            F.floor((F.col("__r") - 1) / n).cast("long").alias("batch_id"), by, F.col(pick).alias(key),
-            F.lit(positive).alias("positive"),
+            F.floor((F.col("__r") - 1) / n).cast("long").alias("batch_id"), by, F.col(pick)[key].alias(key),
+            F.lit(positive).alias("positive"), *[F.col(pick)[c].alias(c) for c in keep],
         )
 
     positive = pool(per.filter("__n > 0"), n_pos, "__pos", True)

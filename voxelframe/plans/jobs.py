@@ -19,6 +19,7 @@ from voxelframe.operators import ranking as RK
 from voxelframe.operators import sampling as SM
 from voxelframe.operators import slices as SL
 from voxelframe.operators import volume as V
+from voxelframe.session import cut
 
 AXES = ("z", "y", "x")
 
@@ -83,7 +84,8 @@ def property_batches(
     bin_borders: dict[str, Sequence[float]], kinds: dict[str, str], by: str = "pid", aid: str = "aid",
 ) -> DataFrame:
     """Two-pool batches with property targets and their enable flags."""
-    chosen = centres(SM.two_pool_batches(annotations, batch, share, seed, by, aid), annotations, by, aid)
+    # the targets read the chosen rows several times
+    chosen = cut(SM.two_pool_batches(annotations, batch, share, seed, by, aid, keep=(*AXES, "d")))
     targets = L.property_targets(chosen, marks, objectives, bin_borders, kinds, by, aid)
     return chosen.join(targets, [by, aid])
 
