@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.operators import volume as V
 from voxelframe.operators.scoring import LinearSigmoid
+from voxelframe.plans import jobs as JB
 from voxelframe.plans import stages as ST
 
 
@@ -59,3 +60,23 @@ def test_candidates_of_patients_to_do(spark):
     everyone = run()
     assert {r[0] for r in everyone} == {1, 2}
     assert run(done=spark.createDataFrame([(1,)], "pid long")) == [r for r in everyone if r[0] == 2]
+
+
+def test_candidates_resample_scan_and_mask_once(spark, monkeypatch):
+    vox = grid(spark, (1, 2), 8)
+    shapes = vox.select("pid", *[F.lit(8).alias(f"n{c}") for c in "zyx"]).distinct()
+    args = (shapes, (1.0, 1.0, 1.0), (7, 7, 7), (7.0, 7.0, 7.0))
+    low = vox.filter("hu < 1e9 and z + y < 9 and pid + x < 8")
+    seen, real = [], ST.D.detect_blobs_dog
+
+    def watched(masked, *rest, **kw):
+        seen.append(masked)
+        return real(masked, *rest, **kw)
+
+    monkeypatch.setattr(ST.D, "detect_blobs_dog", watched)
+    ST.stage_candidates(vox, low, *args, lambda d: d, 3, 2, min_sigma=1, max_sigma=3, threshold=0.01)
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 4  # voxels to bricks, bricks to grids
+    placed = JB.masked_scan(vox, low, *args)
+    want = {tuple(r) for r in placed.filter("inside and z < 6 and y < 6 and x < 6").select("pid", "z", "y", "x").collect()}
+    assert 0 < len(want) < 2 * 6**3
+    assert {tuple(r) for r in seen[0].select("pid", "z", "y", "x").collect()} == want

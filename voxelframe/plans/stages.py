@@ -19,7 +19,6 @@ from voxelframe.operators import ranking as RK
 from voxelframe.operators import scoring as SC
 from voxelframe.operators import volume as V
 from voxelframe.plans import detection as D
-from voxelframe.plans import jobs as JB
 from voxelframe.plans.bricks import whole_grids
 from voxelframe.session import cut
 
@@ -72,10 +71,12 @@ def stage_candidates(
     """
     todo = shapes if done is None else J.exclude_done(shapes, done, by)
     scans, inside = J.keep_known(voxels, todo, by), J.keep_known(mask, todo, by)
-    placed = JB.masked_scan(scans, inside, todo, spacing, grid, grid_mm, value, by)
+    # scan and mask fill the same grid: they need not meet before the mask is used, and each is resampled once
+    placed = V.transform_scan(scans, todo, spacing, grid, grid_mm, value, by)
+    allowed = V.transform_mask(inside, todo, spacing, grid, grid_mm, by=by)
     tiles = V.tile(placed.select(by, *AXES, hu_norm(F.col(value)).alias("v")), grid, window, stride).drop(*AXES)
     scored = V.stitch(segment(tiles), grid, window, stride, "v", by)
-    masked = scored.join(placed.filter("inside").select(by, *AXES), [by, *AXES], "left_semi")
+    masked = scored.join(allowed, [by, *AXES], "left_semi")
     sizes = todo.select(by, *[F.lit(n).alias(f"n{c}") for c, n in zip(AXES, grid)])
     blobs = D.detect_blobs_dog(masked, sizes, min_sigma, max_sigma, threshold=threshold, overlap=overlap, value="v", by=by)
     found = blobs.join(todo.select(by, *[f"n{c}" for c in AXES]), by)
