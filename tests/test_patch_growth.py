@@ -72,6 +72,23 @@ def test_straight_maps_equal_the_long_form(spark, order, edge, block):
     assert max(abs(got[c][z, y, x] - v) for (c, z, y, x), v in want.items()) < 1e-9 and any(want.values())
 
 
+def test_norm_of_arrays_and_sums_of_pieces(spark):
+    values = [-2000.0, -1000.0, -999.5, 0.0, 37.25, 400.0, 1e9, float("nan"), float("inf"), float("-inf")]
+    want = [r.v for r in spark.createDataFrame([(x,) for x in values], "x double").select(S.hu_norm("x").alias("v")).collect()]
+    assert S.hu_norm_array(np.array(values)).tolist() == want
+    vox, _ = scans(spark)
+    cand = spots(spark).withColumn("d", F.lit(1.0)).withColumnRenamed("cid", "aid")
+    args = (cand, vox.withColumnRenamed("v", "hu"), V.volume_shapes(vox), *MM)
+    rows = {(r.aid, r.pz, r.py, r.px): r.v for r in JB.patches(*args).collect()}
+    pieces = JB.patch_pieces(*args)
+    assert "transform(" not in plan(pieces)
+    got = {r.aid: r for r in CV.piece_sums(pieces, "v", "aid").collect()}
+    for aid in range(1, 6):
+        mine = {k[1:]: v for k, v in rows.items() if k[0] == aid}
+        assert got[aid].n == len(mine) == 64 and got[aid].mean == pytest.approx(sum(mine.values()) / 64)
+        assert got[aid].moment == pytest.approx(sum((z * 16 + y * 4 + x) * v for (z, y, x), v in mine.items()) / 64)
+
+
 def test_sums_of_parts_of_a_patch(spark):
     rows = [("a", 1, [3, 5], [2.0, 4.0]), ("a", 1, [0], [7.0]), ("a", 2, [], [1.0, 2.0, 3.0])]
     got = {r.cid: (r.n, r.mean, r.moment) for r in CV.piece_sums(spark.createDataFrame(rows, "pid string, cid int, places array<int>, hu array<double>")).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +66,12 @@ def hu_norm(hu: Column | str, low: float = 0.0, high: float = 1.0) -> Column:
     return clip(hu_norm_no_clip(hu), low, high)
 
 
+def hu_norm_array(hu: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.ndarray:
+    """:func:`hu_norm` of an array of doubles; nan counts as largest, as it does there."""
+    unit = (hu - MIN_HU) / (MAX_HU - MIN_HU)
+    return np.where(np.isnan(unit), high, np.clip(unit, low, high))
+
+
 def hu_norm_low_clip(hu: Column | str) -> Column:
     return hu_norm(hu, 0.0, 10.0)
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.functions.scalars import HeadLayout, hu_norm, scale_patch_location
+from voxelframe.functions.scalars import HeadLayout, hu_norm, hu_norm_array, scale_patch_location
 from voxelframe.operators import aggregates as AG
 from voxelframe.operators import joins as J
 from voxelframe.operators import labels as L
@@ -47,10 +47,12 @@ def patch_pieces(
     normalise: Callable[[Column], Column] = hu_norm, **augment,
 ) -> DataFrame:
     """(pid, cid, places, v): the same patches in pieces, as arrays."""
+    # the usual norm is taken array by array; others are expressions, which an array takes value by value
+    change = hu_norm_array if normalise is hu_norm else None
     out = V.patch_pieces(
-        centre_rows.select(by, cid, *AXES).distinct(), voxels, shapes, spacing, patch, patch_mm, cid, value, by, order, **augment
+        centre_rows.select(by, cid, *AXES).distinct(), voxels, shapes, spacing, patch, patch_mm, cid, value, by, order, change, **augment
     )
-    return out.select(by, cid, "places", F.transform(value, lambda v: normalise(v)).alias("v"))
+    return out.select(by, cid, "places", F.col(value).alias("v") if change else F.transform(value, lambda v: normalise(v)).alias("v"))
 
 
 def segmentation_patches(annotations: DataFrame, batch: int, seed: str, by: str = "pid", aid: str = "aid") -> DataFrame:
