@@ -72,6 +72,28 @@ def test_straight_maps_equal_the_long_form(spark, order, edge, block):
     assert max(abs(got[c][z, y, x] - v) for (c, z, y, x), v in want.items()) < 1e-9 and any(want.values())
 
 
+@pytest.mark.parametrize("edge, block", [(32, 16), (4, 3)])
+def test_whole_patches_stay_where_they_are_made(spark, edge, block):
+    shapes = ((9, 7, 11), (5, 12, 6))
+    vox, _ = scans(spark)
+    maps, bricks = maps_of(spark, shapes), B.brick_pieces(vox, edge=edge)
+    placed = B.dealt(bricks, maps, ["cid"], (6, 5, 7), edge=edge, block=block)
+    every, whole, parts = (B.resample_affine(bricks, maps, ["cid"], (6, 5, 7), edge=edge, block=block, packed=k, placed=placed) for k in (True, "whole", "parts"))
+    assert (parts.count() == 0) == (edge == 32) and whole.filter("size(places) > 0").count() == 0
+    want = {(r.pid, r.cid): r.v for r in B.whole_grids(every, ["cid"]).collect()}
+    both = whole.select("pid", "cid", "v").unionByName(B.whole_grids(parts, ["cid"]))
+    rows = both.collect()
+    assert {(r.pid, r.cid): r.v for r in rows} == want and len(rows) == len(want)
+    assert edge == 32 or "ReusedExchange" in plan(both)  # routes and bricks are shuffled once for both kinds
+
+
+def test_candidate_patches_as_one_array_each(spark):
+    vox, _ = scans(spark)
+    args = (spots(spark), vox, V.volume_shapes(vox), *MM)
+    want = {r.cid: r.v for r in B.whole_grids(V.patch_pieces(*args, change=S.hu_norm_array), ["cid"]).collect()}
+    assert {r.cid: r.v for r in V.whole_patches(*args, change=S.hu_norm_array).collect()} == want and len(want) == 5
+
+
 def test_norm_of_arrays_and_sums_of_pieces(spark):
     values = [-2000.0, -1000.0, -999.5, 0.0, 37.25, 400.0, 1e9, float("nan"), float("inf"), float("-inf")]
     want = [r.v for r in spark.createDataFrame([(x,) for x in values], "x double").select(S.hu_norm("x").alias("v")).collect()]
@@ -93,3 +115,20 @@ def test_sums_of_parts_of_a_patch(spark):
     rows = [("a", 1, [3, 5], [2.0, 4.0]), ("a", 1, [0], [7.0]), ("a", 2, [], [1.0, 2.0, 3.0])]
     got = {r.cid: (r.n, r.mean, r.moment) for r in CV.piece_sums(spark.createDataFrame(rows, "pid string, cid int, places array<int>, hu array<double>")).collect()}
     assert got == {1: (3, 13 / 3, 26 / 64), 2: (3, 2.0, 8 / 64)}
+
+
+def test_patients_of_one_block_are_merged_without_rounds(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("rounds")
+
+    monkeypatch.setattr(BL, "_merged_in_rounds", never)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = [(p, i, 0.0, 9.0 * i, 0.0, 0.01 * i) for p in ("a", None) for i in range(40)]
+        kept_files = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/**/rdd-*", recursive=True))
+        got = BL.merge_close(spark.createDataFrame(rows, "pid string, cid long, z double, y double, x double, p double"), cells=1)
+        made = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/**/rdd-*", recursive=True)) - kept_files
+        assert {(r.pid, r.cid) for r in got.collect()} == {(p, 39) for p in ("a", None)}
+        assert len(made) <= 2  # buckets and blocks; the table before the buckets is gone
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

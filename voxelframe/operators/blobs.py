@@ -5,14 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.operators.joins import AXES
+from voxelframe.plans.bricks import same_as_before, whole_groups
 from voxelframe.plans.ordered import BUCKET, range_buckets
 from voxelframe.plans.spatial import drop_when_near_sized, met_when_near_sized, squared_distance
-from voxelframe.session import cut
+from voxelframe.session import cut, sound_unions, uncut
 
 # Merging of close neighbours.
 MERGE_DISTANCE = 16.0
@@ -149,20 +152,58 @@ def merge_close(
     it. The first step that isn't yet right has only right ones before it, so each round settles more, and rounds end
     when none changes a life: then every step has seen what the loop over all candidates would have seen. The number of rounds follows the
     longest chain of replacements across blocks, not the size of a group. A candidate without any other within the distance meets none in
-    any step: it stays, and only the others take part in the rounds.
+    any step: it stays, and only the others take part in the rounds. A patient with ``per_block`` candidates at most is one block, so its
+    steps are run once, without rounds.
 
     Ids are unique in a patient. A candidate without a position is close to nothing and stays.
     """
-    width = cells * distance
-    axes = (("cz", "z", z_scale), ("cy", "y", 1.0), ("cx", "x", 1.0))
-    block = ["pid", "cz", "cy", "cx"]
     rows = candidates.select(
         F.col(by).alias("pid"), F.col(cid).alias("cid"), *[F.col(c).cast("double").alias(c) for c in AXES], F.col(score).cast("double").alias("score")
     ).filter("z is not null and y is not null and x is not null")
+    width = cells * distance
+    axes = (("cz", "z", z_scale), ("cy", "y", 1.0), ("cx", "x", 1.0))
+    block = ["pid", *[c for c, _, _ in axes]]
     rows = rows.withColumns({c: F.floor(F.col(a) * F.lit(s) / F.lit(width)) for c, a, s in axes})
     rows = _with_others_near(rows, distance, width, axes)
-    dealt = range_buckets(rows, block, [F.asc("cid")], per_block).withColumnRenamed(BUCKET, "part")
+    # both tables have a row for so many candidates, or partitions, at most
+    crowded = F.broadcast(rows.groupBy("pid").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > per_block).select(F.col("pid").alias("__cpid"), "__n"))
+    rows = rows.join(crowded, F.col("pid").eqNullSafe(F.col("__cpid")), "left").withColumns({c: F.when(F.col("__n").isNull(), 0).otherwise(F.col(c)).cast("long") for c in block[1:]})
+    dealt = range_buckets(rows.drop("__cpid", "__n"), block, [F.asc("cid")], per_block).withColumnRenamed(BUCKET, "part")
     blocks = cut(dealt.groupBy(*block, "part").agg(F.min("cid").alias("__lo"), F.max("cid").alias("__hi")))
+    split = F.broadcast(blocks.groupBy("pid").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col("pid").alias("__cpid")))
+    apart = F.col("pid").eqNullSafe(F.col("__cpid"))
+    gone = _merged_away(dealt.join(split, apart, "left_anti"), distance, z_scale)
+    if not split.isEmpty():
+        gone = gone.unionByName(_merged_in_rounds(dealt.join(split, apart, "left_semi"), blocks, distance, z_scale, width, axes))
+    return candidates.join(gone, F.col(by).eqNullSafe(F.col("__pid")) & (F.col(cid) == F.col("__cid")), "left_anti")
+
+
+def _merged_away(rows: DataFrame, distance: float, z_scale: float) -> DataFrame:
+    """(__pid, __cid) of the candidates of ``rows`` that don't stay: every patient is one block and runs its steps once."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    n = int(sound_unions(rows.sparkSession).conf.get("spark.sql.shuffle.partitions"))
+    steps = _merge_blocks(distance, z_scale, [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches, 1):
+            groups = pa.array(np.cumsum(~same_as_before(b.columns[:1])))
+            none, two = pa.nulls(len(b), pa.int64()), pa.array(np.full(len(b), 2, np.int32))
+            block = [groups, *[none] * 4, two, *b.columns[1:], pa.nulls(len(b), b.schema.field("cid").type)]
+            names = ["pid", "cz", "cy", "cx", "part", "kind", "cid", *AXES, "score", "death"]
+            found = pa.Table.from_batches(list(steps([pa.RecordBatch.from_arrays(block, names)])))
+            stay = found.filter(pc.is_null(found["own"]))
+            left = set(zip(stay["pid"].to_pylist(), stay["cid"].to_pylist()))
+            left -= set(zip(*(found.filter(pc.is_valid(found["own"]))[c].to_pylist() for c in ("pid", "cid"))))
+            gone = pa.array([i not in left for i in zip(groups.to_pylist(), b.column(1).to_pylist())])
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(gone) for i in (0, 1)], ["__pid", "__cid"])
+
+    dealt = rows.select("pid", "cid", *AXES, "score").repartition(n, "pid").sortWithinPartitions("pid", "cid")
+    return dealt.mapInArrow(run, f"__pid {kinds['pid']}, __cid {kinds['cid']}")
+
+
+def _merged_in_rounds(dealt: DataFrame, blocks: DataFrame, distance: float, z_scale: float, width: float, axes) -> DataFrame:
+    """(__pid, __cid) of the candidates of ``dealt`` that don't stay, by rounds over blocks. Patients in one cell stand at 0 on each axis."""
+    block = ["pid", *[c for c, _, _ in axes]]
     kind_of = {f.name: f.dataType.simpleString() for f in dealt.schema}
     lives_schema = (
         f"pid {kind_of['pid']}, cid {kind_of['cid']}, stays boolean, z double, y double, x double, score double, cz long, cy long, cx long, "
@@ -176,7 +217,8 @@ def merge_close(
         near = lives.withColumn("death", death)
         for c, a, s in axes:
             at = F.col(a) * F.lit(s)
-            near = near.withColumn(f"__{c}", F.explode(F.sequence(F.floor((at - distance) / width), F.floor((at + distance) / width))))
+            cells = F.sequence(F.floor((at - distance) / width), F.floor((at + distance) / width))
+            near = near.withColumn(f"__{c}", F.explode(F.array_distinct(F.concat(cells, F.array(F.lit(0).cast("long"))))))
         there = blocks.select(*[F.col(c).alias(f"__b_{c}") for c in (*block, "part")], "__lo", "__hi")
         same_cell = F.col("pid").eqNullSafe(F.col("__b_pid"))
         for c in block[1:]:
@@ -190,16 +232,17 @@ def merge_close(
         n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         sorted_ = met.unionByName(ends).unionByName(mine).repartition(n, *block, "part").sortWithinPartitions(*block, "part", "kind", "cid")
         found = sorted_.mapInArrow(_merge_blocks(distance, z_scale, block), lives_schema)
-        lives = cut(
+        old, lives = lives, cut(
             found.groupBy("pid", "cid").agg(*[F.max(c).alias(c) for c in ("stays", *AXES, "score", "cz", "cy", "cx", "part")], F.min("own").alias("own"), F.min("other").alias("other")).filter("stays")
         )
         before, state = state, lives.agg(F.count(F.lit(1)), F.sum(F.xxhash64("pid", "cid", "own", "other").cast("decimal(38,0)"))).first()
+        if before is not None:
+            uncut(old)  # nothing reads it any more
         if state == before:
             break
     kept = lives.filter("own is null and other is null").select(F.col("pid").alias("__kpid"), F.col("cid").alias("__kcid"))
     gone = dealt.join(kept, F.col("pid").eqNullSafe(F.col("__kpid")) & (F.col("cid") == F.col("__kcid")), "left_anti")
-    gone = gone.select(F.col("pid").alias("__pid"), F.col("cid").alias("__cid"))
-    return candidates.join(gone, F.col(by).eqNullSafe(F.col("__pid")) & (F.col(cid) == F.col("__cid")), "left_anti")
+    return gone.select(F.col("pid").alias("__pid"), F.col("cid").alias("__cid"))
 
 
 def _with_others_near(rows: DataFrame, distance: float, width: float, axes) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,14 +52,19 @@ def score_patches(df: DataFrame, scorer: Scorer, patch: str = "v", out: str = "p
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{k}` {types[k]}" for k in kept] + [f"`{out}` double"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = cloudpickle.loads(packed.value)
-        for pdf in batches:
-            if len(pdf):
-                values = np.stack(pdf[patch].to_numpy()).astype(np.float64)
-                yield pdf[kept].assign(**{out: malignant_column(model.score(values))})
-
-    return df.select(*kept, patch).mapInPandas(run, schema)
+        for b in batches:
+            if b.num_rows:
+                patches = b.column(len(kept))
+                lengths = patches.value_lengths()
+                if patches.null_count or pc.count_distinct(lengths).as_py() != 1:
+                    raise ValueError("patches of one table have one size")
+                values = patches.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, lengths[0].as_py())
+                scores = np.asarray(malignant_column(model.score(values)), np.float64)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(scores)], [*kept, out])
+
+    return df.select(*kept, patch).mapInArrow(run, schema)
 
 
 def average_replicas(scored: DataFrame, by: Sequence[str], p: str = "p") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelframe.session import cut as checkpointed
+from voxelframe.session import uncut
 
 BUCKET = "__bucket"
 
@@ -35,13 +36,14 @@ def bucket_count(df: DataFrame, per_bucket: int = 32 << 20, least: int = 256) ->
 def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[Column], per_bucket: int = 500_000) -> DataFrame:
     """The table with ``BUCKET``: contiguous stretches of about ``per_bucket`` rows of the order (by, order), which should be total.
 
-    The stretches are those of a range partitioning. Its input is read more than once and stands in a checkpoint, as does the
-    result, so all that reads it sees the same stretches.
+    The stretches are those of a range partitioning. Its input is read more than once and stands in a checkpoint until the result does, so all that reads it sees the same stretches.
     """
     stored = checkpointed(df)
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored.count() // per_bucket))
     dealt = stored.repartitionByRange(n, *[F.asc(c) for c in by], *order)
-    return checkpointed(dealt.withColumn(BUCKET, F.spark_partition_id().cast("long")))
+    out = checkpointed(dealt.withColumn(BUCKET, F.spark_partition_id().cast("long")))
+    uncut(stored)
+    return out
 
 
 def hash_bucket(u: Column, n: int = 256) -> Column:

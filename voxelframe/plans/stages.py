@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 
 from voxelframe.functions import affine as A
 from voxelframe.functions.hashing import uniform
-from voxelframe.functions.scalars import hu_norm
+from voxelframe.functions.scalars import hu_norm, hu_norm_array
 from voxelframe.operators import blobs as B
 from voxelframe.operators import joins as J
 from voxelframe.operators import ranking as RK
 from voxelframe.operators import scoring as SC
 from voxelframe.operators import volume as V
 from voxelframe.plans import detection as D
-from voxelframe.plans.bricks import whole_grids
 from voxelframe.session import cut
 
 AXES = ("z", "y", "x")
@@ -44,13 +43,11 @@ def stage_scores(
     """
     todo = candidates.select(by, cid, *AXES)
     if done is not None:
-        todo = J.exclude_done(todo, done, by)
+        todo = J.exclude_done(todo, done.select(by).distinct(), by)
     replicas = jittered(todo, n_replicas, reach, seed, by, cid).withColumn("__rid", F.struct(F.col(cid).alias("cid"), "replica"))
-    scans = J.keep_known(voxels, todo, by)
-    pieces = V.patch_pieces(replicas.select(by, "__rid", *AXES), scans, shapes, spacing, patch, patch_mm, "__rid", value, by)
-    patches = whole_grids(pieces, ["__rid"], value, by)
-    normalised = patches.select(by, "__rid", F.transform(value, lambda v: hu_norm(v)).alias("v"))
-    scored = SC.score_patches(normalised, scorer, "v", keep=(by, "__rid"))
+    scans = J.keep_known(voxels, todo.select(by).distinct(), by)
+    patches = V.whole_patches(replicas.select(by, "__rid", *AXES), scans, shapes, spacing, patch, patch_mm, "__rid", value, by, change=hu_norm_array)
+    scored = SC.score_patches(patches, scorer, value, keep=(by, "__rid"))
     means = SC.average_replicas(scored.select(by, F.col("__rid.cid").alias(cid), "p"), [by, cid])
     placed = cut(todo.join(means, [by, cid]))  # scored once; the merge reads it several times
     merged = B.merge_close(placed, distance, z_scale, by, cid, "p")
